@@ -6,15 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyline.llm import secrets, sharding
+from tallyline.llm import leakage, secrets, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_blob_ledger_secrets": secrets.op4_blob_ledger_secrets,
         "op5_rendezvous_sharding": sharding.op5_rendezvous_sharding,
+        "op8_positional_index_decontamination": leakage.op8_positional_index_decontamination,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op8_positional_index_decontamination": leakage.OP8_SQL,
+    }
