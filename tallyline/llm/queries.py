@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyline.llm import chosenpath, leakage, secrets, sharding
+from tallyline.llm import chosenpath, leakage, pieces, secrets, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_chosen_path_join": chosenpath.op2_chosen_path_join,
+        "op3_distinct_chunk_pieces": pieces.op3_distinct_chunk_pieces,
         "op4_blob_ledger_secrets": secrets.op4_blob_ledger_secrets,
         "op5_rendezvous_sharding": sharding.op5_rendezvous_sharding,
         "op8_positional_index_decontamination": leakage.op8_positional_index_decontamination,
