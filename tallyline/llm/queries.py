@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyline.llm import chosenpath, leakage, pieces, secrets, sharding
+from tallyline.llm import chosenpath, language, leakage, pieces, secrets, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_distinct_chunk_pieces": pieces.op3_distinct_chunk_pieces,
         "op4_blob_ledger_secrets": secrets.op4_blob_ledger_secrets,
         "op5_rendezvous_sharding": sharding.op5_rendezvous_sharding,
+        "op7_naive_bayes_language": language.op7_naive_bayes_language,
         "op8_positional_index_decontamination": leakage.op8_positional_index_decontamination,
     }
 
