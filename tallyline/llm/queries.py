@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyline.llm import chosenpath, language, leakage, pieces, secrets, sharding
+from tallyline.llm import chosenpath, language, leakage, pieces, secrets, sharding, spans
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_rendezvous_sharding": sharding.op5_rendezvous_sharding,
         "op7_naive_bayes_language": language.op7_naive_bayes_language,
         "op8_positional_index_decontamination": leakage.op8_positional_index_decontamination,
+        "op9_sliding_sentence_spans": spans.op9_sliding_sentence_spans,
     }
 
 
