@@ -144,7 +144,7 @@ def _groups(nodes: DataFrame, limit: int) -> DataFrame:
             above = F.col(f"k{depth - 1}")
             up = F.arrays_zip(F.col(f"k{depth}").alias("key"), F.transform(f"p{depth}", lambda i: above[i]).alias("parent"))  # noqa: B023
             rows = nodes.select("tid", "n", F.explode(up).alias("x")).select("tid", "n", "x.key", "x.parent")
-            rows = rows.join(hot.select(F.col("key").alias("parent")), "parent", "left_semi").select("tid", "n", "key")
+            rows = written(rows.join(hot.select(F.col("key").alias("parent")), "parent", "left_semi").select("tid", "n", "key"), f"paths{depth}")
         found = written(_buckets(rows), f"buckets{depth}")
         last = depth == DEPTH
         # two buckets with the same sets are one comparison
