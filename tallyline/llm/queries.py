@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyline.llm import chosenpath, language, leakage, pieces, secrets, sharding, spans
+from tallyline.llm import chosenpath, fixity, language, leakage, pieces, secrets, sharding, spans
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_distinct_chunk_pieces": pieces.op3_distinct_chunk_pieces,
         "op4_blob_ledger_secrets": secrets.op4_blob_ledger_secrets,
         "op5_rendezvous_sharding": sharding.op5_rendezvous_sharding,
+        "op6_merkle_fixity": fixity.op6_merkle_fixity,
         "op7_naive_bayes_language": language.op7_naive_bayes_language,
         "op8_positional_index_decontamination": leakage.op8_positional_index_decontamination,
         "op9_sliding_sentence_spans": spans.op9_sliding_sentence_spans,
@@ -23,5 +24,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op6_merkle_fixity": fixity.OP6_SQL,
         "op8_positional_index_decontamination": leakage.OP8_SQL,
     }
