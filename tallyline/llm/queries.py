@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyline.llm import chosenpath, fixity, language, leakage, pieces, secrets, sharding, spans
+from tallyline.llm import chosenpath, fixity, language, leakage, pieces, quality, secrets, sharding, spans
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_isolation_forest_quality": quality.op1_isolation_forest_quality,
         "op2_chosen_path_join": chosenpath.op2_chosen_path_join,
         "op3_distinct_chunk_pieces": pieces.op3_distinct_chunk_pieces,
         "op4_blob_ledger_secrets": secrets.op4_blob_ledger_secrets,
