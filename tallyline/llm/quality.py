@@ -85,9 +85,10 @@ def statistics(column: pa.Array) -> dict[str, np.ndarray]:
 
 
 def features(c: dict[str, np.ndarray]) -> np.ndarray:
-    """FEATURES of each text: ratios inside it."""
+    """FEATURES of each text: ratios inside it, rounded down to steps, as a few marks in a text say nothing but differ from none."""
+    step = lambda x, n: np.floor(x * n) / n
     words, chars = np.maximum(c["n_words"], 1), np.maximum(c["word_chars"], 1)
-    cols = [c["n_symbols"] / chars, c["n_upper"] / np.maximum(c["n_letters"], 1), chars / words, c["n_marked"] / words, c["n_lone"] / words]
+    cols = [step(c["n_symbols"] / chars, 50), step(c["n_upper"] / np.maximum(c["n_letters"], 1), 20), step(chars / words, 2), step(c["n_marked"] / words, 20), step(c["n_lone"] / words, 20)]
     return np.stack(cols, 1).astype(np.float64)
 
 
