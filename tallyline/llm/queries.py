@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyline.llm import chosenpath, fixity, language, leakage, pieces, quality, secrets, sharding, spans
+from tallyline.llm import chosenpath, fixity, language, leakage, pieces, quality, secrets, sharding, spans, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_naive_bayes_language": language.op7_naive_bayes_language,
         "op8_positional_index_decontamination": leakage.op8_positional_index_decontamination,
         "op9_sliding_sentence_spans": spans.op9_sliding_sentence_spans,
+        "op10_noisy_channel_toxicity": toxicity.op10_noisy_channel_toxicity,
     }
 
 

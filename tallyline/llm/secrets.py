@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tallyline.llm.common import table, text_of
+from tallyline.llm.common import table, text_of, written
 
 
 @dataclass(frozen=True)
@@ -115,6 +115,29 @@ def digest(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def mask(docs: DataFrame, text: str = "text", ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """docs, all columns, with each character of a finding replaced by an asterisk.
+
+    Findings come from the ledger scan of distinct texts, by blob; texts without any stay as they are. Spans that overlap are one.
+    """
+    entries, _ = scan_versions(docs.select(text), text, ledger, rules)
+    if ledger is not None:
+        entries = entries.unionByName(ledger.filter(F.col("rules_version") == rules_version(rules)).select("blob", "rules_version", F.col("spans").cast(entries.schema["spans"].dataType)))
+    found = written(entries.filter(F.size("spans") > 0).select(F.col("blob").alias("__blob"), "spans"), "findings").withColumnRenamed("spans", "__spans")
+    joined = docs.withColumn("__blob", blob_of(text_of(text))).join(found, "__blob", "left")
+    # (text so far, end so far): spans are in the order of their starts
+    zero = F.struct(F.lit("").alias("t"), F.lit(0).cast("bigint").alias("e"))
+
+    def step(acc: Column, s: Column) -> Column:
+        start = F.greatest(acc["e"], s["start"])
+        gap = F.substring(F.col(text), (acc["e"] + 1).cast("int"), (start - acc["e"]).cast("int"))
+        end = F.greatest(acc["e"], s["end"])
+        return F.struct(F.concat(acc["t"], gap, F.repeat(F.lit("*"), (end - start).cast("int"))).alias("t"), end.alias("e"))
+
+    masked = F.aggregate("__spans", zero, step, lambda acc: F.concat(acc["t"], F.substring(F.col(text), (acc["e"] + 1).cast("int"), F.length(F.col(text)))))
+    return joined.withColumn(text, F.when(F.col("__spans").isNull(), F.col(text)).otherwise(masked)).drop("__blob", "__spans")
+
+
 def op4_blob_ledger_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every version of documents against an empty ledger: all distinct texts are scanned once."""
     _, back = scan_versions(table(spark, sf_dir, "documents").select("doc_id", "text"))
