@@ -622,10 +622,10 @@ def stage_latency(spark, d):
 @query("""
 SELECT l_orderkey, passed, len(reasons) AS n_reasons, array_to_string(reasons, '; ') AS reasons FROM (SELECT l_orderkey, list_filter([CASE WHEN a < 0.9 THEN 'frozen exact match ' || printf('%.4f', a) || ' is below 0.90' END, CASE WHEN b < 0.9 THEN 'expanded exact match ' || printf('%.4f', b) || ' is below 0.90' END,
   CASE WHEN c > 0.031 THEN 'combined CER ' || printf('%.4f', c) || ' exceeds 0.031' END, CASE WHEN p >= q THEN 'candidate warm p95 latency ' || printf('%.2f', p) || ' ms is not lower than Paddle p95 ' || printf('%.2f', q) || ' ms' END], lambda x: x IS NOT NULL) AS reasons, a >= 0.9 AND b >= 0.9 AND c <= 0.031 AND p < q AS passed
-  FROM (SELECT l_orderkey, 0.5 + min(l_quantity) / CAST(64 AS DOUBLE) AS a, 0.5 + max(l_quantity) / CAST(64 AS DOUBLE) AS b, CAST(count(*) AS DOUBLE) / 125 AS c, min(l_quantity) AS p, max(l_quantity) AS q FROM lineitem GROUP BY 1))""")
+  FROM (SELECT l_orderkey, min(l_quantity) / CAST(50 AS DOUBLE) AS a, max(l_quantity) / CAST(50 AS DOUBLE) AS b, CAST(count(*) AS DOUBLE) / 125 AS c, min(l_quantity) AS p, max(l_quantity) AS q FROM lineitem GROUP BY 1))""")
 def deployment_gate(spark, d):
     rows = table(spark, d, "lineitem").groupBy("l_orderkey").agg(
-        (0.5 + F.min("l_quantity") / 64).alias("frozen_exact"), (0.5 + F.max("l_quantity") / 64).alias("expanded_exact"), (F.count("*").cast("double") / 125).alias("cer"), F.min("l_quantity").alias("candidate_p95"), F.max("l_quantity").alias("other_p95")
+        (F.min("l_quantity") / 50).alias("frozen_exact"), (F.max("l_quantity") / 50).alias("expanded_exact"), (F.count("*").cast("double") / 125).alias("cer"), F.min("l_quantity").alias("candidate_p95"), F.max("l_quantity").alias("other_p95")
     )
     return E.deployment_gate(rows).select("l_orderkey", "passed", F.size("reasons").cast("long").alias("n_reasons"), F.array_join("reasons", "; ").alias("reasons"))
 
