@@ -17,7 +17,7 @@ def spark(tmp_path_factory):
         "spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.sql.session.timeZone": "UTC", "spark.driver.memory": "4g", "spark.ui.showConsoleProgress": "false",
         "spark.checkpoint.dir": str(shared), "spark.sql.warehouse.dir": str(tmp_path_factory.mktemp("warehouse")),
     }
-    s = SparkSession.builder.master("local[4]").config(map=conf).getOrCreate()
+    s = SparkSession.builder.master("local[2]").config(map=conf).getOrCreate()
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
