@@ -1,7 +1,7 @@
 """Language ID: multinomial naive Bayes over hashed character n-grams.
 
 Letters are lower-cased; every other character is one word gap. The n-grams of 1 to 3 characters, gaps included, are hashed to
-2**16 columns. Training counts columns by language, on at most MAX_TRAIN texts that are chosen by a hash of their ids, spread
+2**16 columns. Training counts columns by language, on about MAX_TRAIN texts that are chosen by a hash of their ids, spread
 over the cluster; the log-probability matrix (languages x columns, a fixed size) is broadcast. Scoring gathers the rows of the
 matrix for the n-grams of a batch of texts and sums them by text; no count is limited and whole texts are read.
 
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyline.llm.common import batches_of, table, text_of
+from tallyline.llm.common import batches_of, hash_share, table, text_of
 
 BITS, ORDERS, MAX_TRAIN, TEMPERATURE = 16, (1, 2, 3), 8000, 0.25
 _U = np.uint32
@@ -80,14 +80,12 @@ def grams(letter: np.ndarray, first: np.ndarray) -> Iterator[tuple[np.ndarray, n
 
 
 def train(docs: DataFrame, label: str = "lang", text: str = "text", key: str = "doc_id", most: int = MAX_TRAIN) -> tuple[list[str], np.ndarray]:
-    """(languages, log-probability matrix) from at most `most` rows with a label, those with the least hashes of their key.
+    """(languages, log-probability matrix) from about `most` rows with a label, chosen by a hash of their key.
 
-    The hashes of the chosen rows, not their texts, come to the driver; so do summed counts of at most languages x 2**BITS cells.
+    A count comes to the driver, and summed counts of at most languages x 2**BITS cells.
     """
-    rows = docs.filter(F.col(label).isNotNull() & F.col(text).isNotNull()).select(F.col(label).cast("string").alias("label"), F.col(text).alias("text"), F.xxhash64(F.col(key).cast("string")).alias("h"))
-    least = rows.select("h").orderBy("h").limit(most).agg(F.max("h")).first()[0]
-    if least is None:
-        return [], np.zeros((0, 1 << BITS))
+    labelled = docs.filter(F.col(label).isNotNull()).select(F.col(label).cast("string").alias("label"), F.col(text).alias("text"), F.col(key).cast("string").alias("key"))
+    rows = hash_share(labelled, F.col("key"), most).filter(F.col("text").isNotNull())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
@@ -102,7 +100,7 @@ def train(docs: DataFrame, label: str = "lang", text: str = "text", key: str = "
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at)), pa.array(at.astype(np.int32)), pa.array(n[at])], names=["label", "column", "n"])
 
-    counts = rows.filter(F.col("h") <= least).select("label", "text").mapInArrow(count, "label string, column int, n long").groupBy("label", "column").agg(F.sum("n").alias("n"))
+    counts = rows.select("label", "text").mapInArrow(count, "label string, column int, n long").groupBy("label", "column").agg(F.sum("n").alias("n"))
     got = counts.toPandas()
     names = sorted(got.label.unique())
     matrix = np.ones((len(names), 1 << BITS))

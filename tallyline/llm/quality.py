@@ -1,7 +1,7 @@
 """Quality rules: an isolation forest on rule statistics, with a threshold that labelled rows set.
 
 Counts are taken from whole texts. Words are runs without ASCII white space. The forest sees ratios only (FEATURES), so that a
-long text isn't odd for its length; repetition is left to the base rules, as a page frame that stands twice is no fault. It is grown on SAMPLE rows at most, those with the least hashes of their ids among rows that
+long text isn't odd for its length; repetition is left to the base rules, as a page frame that stands twice is no fault. It is grown on about SAMPLE rows (never over twice as many), chosen by a hash of their ids among rows that
 pass the base rules: TREES trees of PSI rows each, split at random between the extremes of a random feature. A text's score is
 2 ** (-mean path length / expected path length): near 1 if random splits set it apart soon.
 
@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from tallyline.llm import kernel
-from tallyline.llm.common import batches_of, table, text_of, written
+from tallyline.llm.common import batches_of, hash_share, table, text_of, written
 
 SYMBOLS = b"#*$%&|<>"
 TREES, PSI, SAMPLE, BINS, MAX_LOSS, SEED = 100, 256, 25_600, 1000, 0.005, 20240229
@@ -196,7 +196,7 @@ def threshold(scored: DataFrame, labels: DataFrame, max_loss: float = MAX_LOSS)
 def judge(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, COUNTS, base_failed, score, kept) of each row."""
     counted = count(docs, doc_id, text)
-    sample = counted.filter(~F.col("base_failed")).orderBy(F.xxhash64(F.col("id").cast("string"))).limit(SAMPLE).select(*COUNTS).toPandas()
+    sample = hash_share(counted.filter(~F.col("base_failed")), F.col("id").cast("string"), SAMPLE).limit(2 * SAMPLE).select(*COUNTS).toPandas()
     forest = grow(features({k: sample[k].to_numpy() for k in COUNTS})) if len(sample) else None
     scored = written(score(counted, forest), "scores")
     bound = threshold(scored, labels)

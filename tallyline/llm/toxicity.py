@@ -6,7 +6,7 @@
    repeated letter may be one or two. Viterbi decoding finds the likeliest letters under the model; other words are only
    lower-cased and freed of marks around them. A different word is decoded once in a batch.
 3. The restored text is scored by logistic regression on the presence of words and of word beginnings. The features are those
-   most bound to the label, and weights are fitted, on MAX_TRAIN labelled rows at most: those with the least hashes of ids.
+   most bound to the label, and weights are fitted, on about MAX_TRAIN labelled rows, chosen by a hash of their ids.
 
 Whole texts are read. Defined cases: a null or empty text has no features and gets the base score; without labels of both kinds
 every score is 0; repeated rows are scored each; labels that repeat for an id count once, as toxic if any is; a word of any
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyline.llm import kernel, language
-from tallyline.llm.common import batches_of, table, text_of, written
+from tallyline.llm.common import batches_of, hash_share, table, text_of, written
 
 MAX_TRAIN, MAX_FEATURES, MIN_DOCS, BEGINNINGS, BAR = 12_000, 1000, 4, (3, 4, 5, 6), 0.3
 CLASSES = 64
@@ -181,9 +181,9 @@ def word_features(word: str) -> list[str]:
 
 
 def _sample(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
-    """(text, toxic) of at most `most` labelled rows. Their ids, at most so many, are broadcast."""
+    """(doc_id, text, toxic) of about `most` labelled rows. Their ids, at most twice so many, are broadcast."""
     known = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("__toxic"))
-    chosen = known.orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(most)
+    chosen = hash_share(known, F.col("doc_id").cast("string"), most).limit(2 * most)
     return docs.join(F.broadcast(chosen), "doc_id").select(F.col("doc_id"), text_of().alias("text"), F.col("__toxic").cast("int").alias("toxic"))
 
 
