@@ -18,8 +18,8 @@ pieces only; repeated rows are encoded each; a very long word is a chunk like ot
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +30,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from tallyline.llm import kernel
-from tallyline.llm.common import batches_of, table, text_of, written
-from tallyline.llm.leakage import _numbers, _varints
+from tallyline.llm.common import batches_of, table, text_of
 
 MARK = "▁"
 BLOCK_MB = 16.0
@@ -79,21 +78,32 @@ def _strings(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
 
 
 def _packed(words: pa.Array) -> bytes:
-    """The words one after the other; they part again where a space follows another character."""
-    data, _ = kernel.text_bytes(words)
-    return len(data).to_bytes(8, "little") + pa.compress(data.tobytes(), "zstd", asbytes=True)
+    """The words' lengths in bytes, and the words one after the other, compressed."""
+    data, offsets = kernel.text_bytes(words)
+    lengths = _small(np.diff(offsets))
+    return len(lengths).to_bytes(8, "little") + lengths + len(data).to_bytes(8, "little") + pa.compress(data.tobytes(), "zstd", asbytes=True)
 
 
-def _unpacked(raw: bytes) -> bytes:
-    return pa.decompress(raw[8:], int.from_bytes(raw[:8], "little"), "zstd", asbytes=True)
+def _words_of(raw: bytes) -> pa.Array:
+    at = 8 + int.from_bytes(raw[:8], "little")
+    data = pa.decompress(raw[at + 8 :], int.from_bytes(raw[at : at + 8], "little"), "zstd", asbytes=True)
+    return _strings(np.frombuffer(data, np.uint8), np.concatenate([[0], np.cumsum(_large(raw[8:at]))]))
 
 
-def _words_of(raw: bytes) -> pa.Array:
-    data = np.frombuffer(_unpacked(raw), np.uint8)
-    space = data == 32
-    head = space.copy()
-    head[1:] &= ~space[:-1]
-    return _strings(data, np.append(np.flatnonzero(head), len(data)))
+def _small(numbers: np.ndarray) -> bytes:
+    """Numbers of 0 or more, packed: in one, two or three planes of a byte, as many as the greatest needs, and compressed."""
+    planes = max(1, (int(numbers.max(initial=0)).bit_length() + 7) // 8)
+    raw = b"".join(((numbers >> np.array(8 * k).astype(numbers.dtype)) & np.array(255).astype(numbers.dtype)).astype(np.uint8).tobytes() for k in range(planes))
+    return bytes([planes]) + len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def _large(raw: bytes) -> np.ndarray:
+    planes, size = raw[0], int.from_bytes(raw[1:9], "little")
+    data = np.frombuffer(pa.decompress(raw[9:], size, "zstd", asbytes=True), np.uint8).reshape(planes, -1)
+    out = data[0].astype(np.int64)
+    for k in range(1, planes):
+        out |= data[k].astype(np.int64) << (8 * k)
+    return out
 
 
 def _buckets(words: pa.Array, n: int) -> np.ndarray:
@@ -101,11 +111,20 @@ def _buckets(words: pa.Array, n: int) -> np.ndarray:
     return (kernel.hashes(data, offsets[:-1], offsets[1:], kernel.SPACE) % np.uint64(n)).astype(np.int64)
 
 
+def _name(block: pa.RecordBatch) -> str:
+    data, offsets = kernel.text_bytes(block.column(1))
+    h = hashlib.blake2b(data, digest_size=16)
+    h.update(offsets.tobytes())
+    h.update(repr(block.column(0).to_pylist()).encode())
+    return h.hexdigest()
+
+
 def block_table(docs: DataFrame, n_buckets: int) -> DataFrame:
-    """One row a block: (block, ids, counts, sequence, dealt, asked array<struct(bucket, words)>), in the shared folder.
+    """One row a block: (block, ids, counts, sequence, dealt, asked array<struct(bucket, words)>).
 
     counts: words of each text; sequence: numbers of the words of all texts; dealt: the bucket of each number. A bucket's words
-    are in the order of their numbers.
+    are in the order of their numbers. A block is named by its ids and texts, so that the rows can be made anew, for the second
+    use or after a loss, and meet the same answers.
     """
     kind = to_arrow_type(docs.schema["id"].dataType)
     asked = pa.list_(pa.struct([("bucket", pa.int32()), ("words", pa.binary())]))
@@ -123,13 +142,13 @@ def block_table(docs: DataFrame, n_buckets: int) -> DataFrame:
             bucket = _buckets(different, n_buckets)
             groups = [{"bucket": int(k), "words": _packed(different.take(pa.array(np.flatnonzero(bucket == k))))} for k in np.unique(bucket)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([uuid.uuid4().hex]), pa.array([b.column(0).to_pylist()], pa.list_(kind)), pa.array([_varints(counts)]), pa.array([_varints(number[code])]), pa.array([_varints(bucket)]), pa.array([groups], asked)],
+                [pa.array([_name(b)]), pa.array([b.column(0).to_pylist()], pa.list_(kind)), pa.array([_small(counts)]), pa.array([_small(number[code])]), pa.array([_small(bucket)]), pa.array([groups], asked)],
                 names=["block", "ids", "counts", "sequence", "dealt", "asked"],
             )
 
     fields = [("block", T.StringType()), ("ids", T.ArrayType(docs.schema["id"].dataType)), ("counts", T.BinaryType()), ("sequence", T.BinaryType()), ("dealt", T.BinaryType())]
     fields.append(("asked", T.ArrayType(T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("words", T.BinaryType())]))))
-    return written(docs.select("id", "text").mapInArrow(build, T.StructType([T.StructField(*f) for f in fields])), "blocks")
+    return docs.select("id", "text").mapInArrow(build, T.StructType([T.StructField(*f) for f in fields]))
 
 
 def segment_chunks(asked: DataFrame, raw: bytes) -> DataFrame:
@@ -149,13 +168,15 @@ def segment_chunks(asked: DataFrame, raw: bytes) -> DataFrame:
                 ids = sp.encode([w[1:] for w in new], num_threads=1)  # the encoder puts the first marker back
                 ids = [i if len(w) > 1 else marker for w, i in zip(new, ids)]
                 back = sp.decode(ids, num_threads=1) if ids else []
-                for w, i, s in zip(new, ids, back):
-                    known[w] = (np.array(i, np.uint32).tobytes(), None if s == w[1:] else " " + s)
+                ends = np.cumsum([0, *map(len, ids)])
+                flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(ends[-1])).tobytes()
+                for w, s, lo, hi in zip(new, back, (ends[:-1] * 4).tolist(), (ends[1:] * 4).tolist()):
+                    known[w] = (flat[lo:hi], None if s == w[1:] else " " + s)
                 got = [known[w] for w in words]
                 sizes = np.fromiter((len(g[0]) for g in got), np.int64, len(got)) // 4
                 odd = [i for i, g in enumerate(got) if g[1] is not None]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([block]), pa.array([bucket], pa.int32()), pa.array([_varints(sizes)]), pa.array([_varints(np.frombuffer(b"".join(g[0] for g in got), np.uint32))])]
+                    [pa.array([block]), pa.array([bucket], pa.int32()), pa.array([_small(sizes)]), pa.array([_small(np.frombuffer(b"".join([g[0] for g in got]), np.uint32))])]
                     + [pa.array([odd], pa.list_(pa.int32())), pa.array([[got[i][1] for i in odd]], pa.list_(pa.string()))],
                     names=["block", "bucket", "sizes", "pieces", "odd", "surfaces"],
                 )
@@ -163,46 +184,56 @@ def segment_chunks(asked: DataFrame, raw: bytes) -> DataFrame:
     return asked.mapInArrow(answer, "block string, bucket int, sizes binary, pieces binary, odd array<int>, surfaces array<string>")
 
 
-def _by_number(asked: list[dict], answers: list[dict], dealt: bytes) -> tuple[list[np.ndarray], list[str]]:
-    """(ids, decoded form) of each word of a block, by its number."""
+def _by_number(asked: list[dict], answers: list[dict], dealt: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(ids of all words one after the other, start and end of each word's, decoded forms), by the words' numbers."""
     answers = {a["bucket"]: a for a in answers}
-    ids, forms = [], []
+    ids, sizes, forms = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
     for a in sorted(asked, key=lambda a: a["bucket"]):
         got = answers[a["bucket"]]
         own = _words_of(a["words"]).to_pylist()
         for i, form in zip(got["odd"], got["surfaces"]):
             own[i] = form
         forms += own
-        ids += np.split(_numbers(got["pieces"]), np.cumsum(_numbers(got["sizes"]))[:-1])
-    place = np.argsort(_numbers(dealt), kind="stable")  # numbers of the words, bucket by bucket
-    by_ids, by_form = [None] * len(place), [None] * len(place)
-    for n, i, form in zip(place.tolist(), ids, forms):
-        by_ids[n], by_form[n] = i, form
-    return by_ids, by_form
-
-
-def _texts(row: dict, end: list[int], digest: bool) -> Iterator[tuple]:
+        ids.append(_large(got["pieces"]))
+        sizes.append(_large(got["sizes"]))
+    place = np.argsort(_large(dealt), kind="stable")  # numbers of the words, bucket by bucket
+    size = np.concatenate(sizes)
+    start, end, form = np.zeros(len(place), np.int64), np.zeros(len(place), np.int64), np.empty(len(place), object)
+    end[place] = np.cumsum(size)
+    start[place] = end[place] - size
+    form[place] = forms
+    return np.concatenate(ids), start, end, form
+
+
+def _texts(row: dict, end_ids: list[int], digest: bool) -> Iterator[tuple]:
     """The result columns of each text of a block."""
-    by_ids, forms = _by_number(row["asked"], row["answers"], row["dealt"])
-    sequence = _numbers(row["sequence"]).tolist()
+    ids, start, end, form = _by_number(row["asked"], row["answers"], row["dealt"])
+    sequence, counts = _large(row["sequence"]), _large(row["counts"])
+    bounds = np.concatenate([[0], np.cumsum(counts)]).tolist()
     if digest:
-        plain = [" ".join(map(str, i.tolist())) for i in by_ids]
-        size = [len(i) for i in by_ids]
-        last = [str(i) for i in end]
-    at = 0
-    for n in _numbers(row["counts"]).tolist():
-        own = sequence[at : at + n]
-        at += n
-        decoded = "".join([forms[i] for i in own])[1:]
+        decimal = np.array([str(i) for i in range(int(ids.max()) + 1 if len(ids) else 0)], object)[ids].tolist()
+        plain = np.empty(len(start), object)
+        plain[:] = [" ".join(decimal[a:b]) for a, b in zip(start.tolist(), end.tolist())]
+        last = [str(i) for i in end_ids]
+    size = end - start
+    for lo, hi in zip(bounds, bounds[1:]):
+        own = sequence[lo:hi]
+        decoded = "".join(form[own].tolist())[1:]
         if digest:
-            line = " ".join([plain[i] for i in own] + last)
-            yield sum([size[i] for i in own]) + len(end), hashlib.sha256(line.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
+            line = " ".join(plain[own].tolist() + last)
+            yield int(size[own].sum()) + len(end_ids), hashlib.sha256(line.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
         else:
-            yield np.concatenate([by_ids[i] for i in own] + [np.array(end, np.int64)]).astype(np.int32) if own or end else np.zeros(0, np.int32), decoded
+            n = size[own]
+            at = np.repeat(start[own] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            yield np.concatenate([ids[at], np.array(end_ids, np.int64)]).astype(np.int32), decoded
 
 
 def encode(docs: DataFrame, model_path: str, doc_id: str = "doc_id", text: str = "text", end: bool = True, digest: bool = False) -> DataFrame:
-    """(doc_id, ids array<int>, decoded) of each row or, with digest, (doc_id, n_tokens, ids_sha256, decoded_sha256)."""
+    """(doc_id, ids array<int>, decoded) of each row or, with digest, (doc_id, n_tokens, ids_sha256, decoded_sha256).
+
+    docs is read twice and must give the same batches each time, as a scan of files does; write it to a table first where it
+    comes from a shuffle. Blocks that differ between the readings end the job with an error, never with other rows.
+    """
     raw = model_bytes(model_path)
     spark = docs.sparkSession
     n_buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
