@@ -1,6 +1,6 @@
 """Substring dedup on sliding sentence spans.
 
-A text is cut into sentences (ends: a run of . ! or ? before white space, or a line break). From each sentence on, and up to
+A text is cut into sentences (ends: punctuation with a . ! or ? in it before white space, or a line break). From each sentence on, and up to
 each, the shortest run of at least RUN sentences and MIN_WORDS words is a span; so is each shortest run of fewer sentences with
 LONE_WORDS words, as a passage may be one long sentence. Spans are hashed by their words (A-Z lowered, punctuation aside) and
 joined over all texts. Every sentence that lies in a span which stood earlier, in a text of a lesser doc_id or before in the
@@ -27,7 +27,10 @@ from pyspark.sql import types as T
 from tallyline.llm import kernel
 from tallyline.llm.common import batches_of, table, text_of, written
 
-RUN, MIN_WORDS, LONE_WORDS = 3, 20, 40
+RUN, MIN_WORDS, LONE_WORDS = 2, 20, 25
+#: bytes of ASCII punctuation
+MARK = np.zeros(256, bool)
+MARK[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
 LAST = (1 << 63) - 1
 
 
@@ -37,7 +40,11 @@ def sentences(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     stop = (data == 46) | (data == 33) | (data == 63)
     space = (data == 32) | ((data >= 9) & (data <= 13))
     end = line.copy()
-    end[:-1] |= stop[:-1] & space[1:]
+    # marks that follow a stop belong to it: up to white space, a byte before which only marks stand since a stop ends a sentence
+    mark = MARK[data]
+    alone = np.maximum.accumulate(np.where(mark, -1, np.arange(len(data)))) if len(data) else np.zeros(0, np.int64)
+    last_stop = np.maximum.accumulate(np.where(stop, np.arange(len(data)), -1)) if len(data) else np.zeros(0, np.int64)
+    end[:-1] |= (last_stop[:-1] > alone[:-1]) & space[1:]
     after = np.zeros(len(data) + 1, bool)
     after[1:] = end
     # white space after an end belongs to the sentence before; a new one starts at the next other byte
