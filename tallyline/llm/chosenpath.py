@@ -164,7 +164,7 @@ def _groups(nodes: DataFrame, limit: int) -> DataFrame:
         least = held.groupBy("tid").agg(F.min("key").alias("least"))
         label = written(held.join(least, "tid").groupBy("key").agg(F.min("least").alias("label")), "labels")
         member = written(held.join(label, "key").select("tid", "n", F.col("label").alias("key")).distinct(), "members")
-        whole = written(member.groupBy("key").agg(F.sum("n").alias("tokens")), "wholes")
+        whole = member.groupBy("key").agg(F.sum("n").alias("tokens"))
         out = out.unionByName(member.join(whole, "key").select("tid", "key", "tokens"))
     return out
 
@@ -274,31 +274,27 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(raw, pa.binary())], names=["tid", "copies", "groups", "tokens"])
 
 
-def components(edges: DataFrame, most: int = 50) -> DataFrame:
-    """(node, root) for all nodes of edges (u, v): root is the least node that is connected; alternating large and small stars.
+def components(edges: DataFrame, most: int = 100) -> DataFrame:
+    """(node, root) for all nodes of edges (u, v): root is the least node that is connected.
 
-    Each round is a written table; only a row count and a checksum come to the driver.
+    First each node is hung on its least neighbour below it, and its other neighbours below are linked with that one instead,
+    until every node has one parent; then parents are replaced by their parents until all are roots. Rounds are written tables,
+    and only whether any row is left comes to the driver. Edges of one comparison are stars already, so rounds are few.
     """
-
-    def stars(both: DataFrame, only_less: bool) -> DataFrame:
-        # (node, other): the node's neighbours, those above it (large star) or below it (small star) get the least of all
-        least = both.groupBy("node").agg(F.least(F.min("other"), F.first("node")).alias("least"))
-        near = both.join(written(least, "least"), "node")
-        if only_less:
-            return near.select(F.col("other").alias("u"), F.col("least").alias("v")).union(near.select("node", "least"))
-        return near.filter("other > node").select(F.col("other").alias("u"), F.col("least").alias("v"))
-
-    both_ways = lambda e: e.select(F.col("u").alias("node"), F.col("v").alias("other")).union(e.select("v", "u"))
-    down = lambda e: e.select(F.greatest("u", "v").alias("node"), F.least("u", "v").alias("other"))
-    now = written(edges.select("u", "v").filter("u <> v").distinct(), "edges")
-    mark = None
+    now = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct(), "edges")
+    for _ in range(most):
+        least = now.groupBy("u").agg(F.min("v").alias("m"))
+        other = written(now.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")), "other")
+        if not other.take(1):
+            break
+        now = written(least.select("u", F.col("m").alias("v")).union(other).distinct(), "edges")
+    else:
+        raise RuntimeError(f"components did not settle in {most} rounds")
     for _ in range(most):
-        large = written(stars(both_ways(now), False).filter("u <> v").distinct(), "large")
-        now = written(stars(down(large), True).filter("u <> v").distinct(), "small")
-        new = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if new == mark:
+        up = now.select(F.col("u").alias("v"), F.col("v").alias("top"))
+        if not now.join(up, "v", "left_semi").take(1):
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select("v", "v").distinct())
-        mark = new
+        now = written(now.join(up, "v", "left").select("u", F.coalesce("top", "v").alias("v")), "edges")
     raise RuntimeError(f"components did not settle in {most} rounds")
 
 
