@@ -354,3 +354,25 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **o
 
 def op2_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join_documents(table(spark, sf_dir, "documents"))
+
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: all pairs that share a shingle, compared exactly; the join finds the same links but for a chance of 1 - recall at the threshold
+OP2_SQL = rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce(text, '') AS x, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+),
+i AS (SELECT doc_id, w, least({SHINGLE}, len(w)) AS k, unnest(range(1, len(w) - least({SHINGLE}, len(w)) + 2)) AS i FROM d WHERE len(w) > 0),
+g AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + k - 1), ' ') AS g FROM i),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+h AS (
+  SELECT a, b FROM c JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 9 * c >= 4 * (na.n + nb.n)
+  UNION SELECT a.doc_id, b.doc_id FROM d a JOIN d b ON a.x = b.x AND a.doc_id < b.doc_id
+),
+e AS (SELECT a, b FROM h UNION ALL SELECT b, a FROM h),
+r AS (SELECT a AS node, a AS seen FROM e UNION SELECT r.node, e.b FROM r JOIN e ON r.seen = e.a),
+m AS (SELECT node, min(seen) AS class_id FROM r GROUP BY 1),
+l AS (SELECT a, count(*) AS n FROM e GROUP BY 1)
+SELECT doc_id, coalesce(class_id, doc_id) AS class_id, coalesce(l.n, 0) AS n_links FROM d LEFT JOIN m ON m.node = doc_id LEFT JOIN l ON l.a = doc_id
+"""

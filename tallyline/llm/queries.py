@@ -26,6 +26,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_chosen_path_join": chosenpath.OP2_SQL,
+        "op4_blob_ledger_secrets": secrets.OP4_SQL,
         "op6_merkle_fixity": fixity.OP6_SQL,
         "op8_positional_index_decontamination": leakage.OP8_SQL,
     }

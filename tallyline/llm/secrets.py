@@ -144,3 +144,24 @@ def op4_blob_ledger_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     all_spans = digest(F.col("spans"))
     return back.select("doc_id", n("assign"), n("access"), n("hex"), F.sha2(all_spans.cast("binary"), 256).alias("base_sha256"), all_spans.alias("spans"))
+
+
+_ANY_CASE = "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in "(password|passwd|secret|token|api_?key)")
+_ASSIGN_SQL = _ANY_CASE + r"""["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+_FOUND_SQL = " UNION ALL ".join(
+    f"SELECT r, {o} AS o, '{k}' AS k, regexp_split_to_array(x, '{p}') AS g, regexp_extract_all(x, '{p}', 0) AS w, regexp_extract_all(x, '{p}', {c}) AS c, {n} AS least FROM t WHERE regexp_matches(x, '{p}')"
+    for o, (k, p, c, n) in enumerate([("assign", _ASSIGN_SQL, 2, 8), ("access", "AKIA[A-Z0-9]+", 0, 16), ("hex", "[0-9a-f]{32,}", 0, 32)])
+)
+OP4_SQL = f"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS x FROM documents),
+f AS ({_FOUND_SQL}),
+p AS (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM f),
+s AS (
+  SELECT r, o, k, length(w[i]) AS n,
+    list_sum(list_transform(list_slice(g, 1, i), lambda z: length(z))) + coalesce(list_sum(list_transform(list_slice(w, 1, i - 1), lambda z: length(z))), 0) AS a
+  FROM p WHERE length(c[i]) >= least
+),
+j AS (SELECT r, string_agg(k || ':' || CAST(a AS BIGINT) || ':' || CAST(a + n AS BIGINT), ',' ORDER BY a, o) AS spans, count(*) FILTER (o = 0) AS a, count(*) FILTER (o = 1) AS k, count(*) FILTER (o = 2) AS h FROM s GROUP BY r)
+SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(k, 0) AS n_access, coalesce(h, 0) AS n_hex, sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM t LEFT JOIN j ON t.r = j.r
+"""
