@@ -32,14 +32,12 @@ def majority(df: DataFrame, session: str = "session_id", plate: str = "plate_tex
     stripped = df.withColumn("__p", F.trim(F.coalesce(F.col(plate), F.lit(""))))
     counted = stripped.groupBy(session, "__p").agg(F.count("*").alias("n"))
     evidence = F.col("__p") != ""
+    # of the most frequent texts the last and the first: they differ if the top ties, and no list of texts is kept
     tally = counted.groupBy(session).agg(
-        F.sum("n").alias("n_frames"),
-        F.max(F.when(evidence, F.col("n"))).alias("votes"),
-        F.sort_array(F.collect_list(F.when(evidence, F.struct("n", "__p"))), asc=False).alias("top"),
+        F.sum("n").alias("n_frames"), F.max(F.when(evidence, F.struct("n", "__p"))).alias("last"), F.min(F.when(evidence, F.struct((-F.col("n")).alias("m"), "__p"))).alias("first")
     )
-    tie = (F.size("top") > 1) & (F.try_element_at("top", F.lit(2))["n"] == F.col("votes"))
-    status = F.when(F.col("votes").isNull(), "NO_PLATE").when(tie, "UNCERTAIN").otherwise("DECIDED")
-    picked = tally.select(session, "n_frames", F.coalesce("votes", F.lit(0)).alias("votes"), status.alias("status"), F.when(status == "DECIDED", F.try_element_at("top", F.lit(1))["__p"]).otherwise("").alias("plate"))
+    status = F.when(F.col("last").isNull(), "NO_PLATE").when(F.col("last.__p") != F.col("first.__p"), "UNCERTAIN").otherwise("DECIDED")
+    picked = tally.select(session, "n_frames", F.coalesce("last.n", F.lit(0)).alias("votes"), status.alias("status"), F.when(status == "DECIDED", F.col("last.__p")).otherwise("").alias("plate"))
     colors = first_seen_mode(df.filter(F.coalesce(F.trim(color), F.lit("")) != ""), [session], color, order).select(session, F.col(color).alias("color"))
     return picked.join(colors, session, "left").withColumn("color", F.coalesce("color", F.lit("")))
 
