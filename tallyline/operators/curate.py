@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,10 +15,30 @@ def top_per_group(df: DataFrame, keys: list[str], order: list[Column], n: int =
     return df.withColumn("__n", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).filter(F.col("__n") <= n).drop("__n")
 
 
+def numbered(df: DataFrame, keys: list[str], order: list[Column], at: str = "__at", total: str = "__n") -> DataFrame:
+    """df with each row's place in its group by the (ascending) order, from 1, and the group's size.
+
+    Rows are dealt by ranges of keys and order, counted by group and range, and numbered inside: a group of any size, a third of all
+    rows say, is spread over many tasks. What is summed has a row for each group and range.
+    """
+    names = [f"__o{i}" for i in range(len(order))]
+    ranges = df.select("*", *[c.alias(n) for c, n in zip(order, names)]).repartitionByRange(*keys, *names)
+    held = written(ranges.withColumn("__p", F.spark_partition_id()), "ranges")
+    group = W.partitionBy(*keys)
+    counts = held.groupBy(*keys, "__p").agg(F.count("*").alias("__c"))
+    before = F.coalesce(F.sum("__c").over(group.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__p").alias("__q"), before.alias("__s"), F.sum("__c").over(group).alias(total))
+    on = held["__p"] == starts["__q"]
+    for i, k in enumerate(keys):
+        on = on & held[k].eqNullSafe(starts[f"__k{i}"])
+    inside = F.row_number().over(W.partitionBy(*keys, "__p").orderBy(*names))
+    return held.withColumn("__r", inside).join(starts, on).select(*df.columns, (F.col("__s") + F.col("__r")).alias(at), total)
+
+
 def cap(df: DataFrame, keys: list[str], order: list[Column], target: int) -> tuple[DataFrame, DataFrame]:
-    """(first `target` rows of each group, the overflow)."""
-    ranked = df.withColumn("__n", F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
-    return ranked.filter(F.col("__n") <= target).drop("__n"), ranked.filter(F.col("__n") > target).drop("__n")
+    """(first `target` rows of each group by the ascending order, the overflow)."""
+    ranked = numbered(df, keys, order)
+    return ranked.filter(F.col("__at") <= target).drop("__at", "__n"), ranked.filter(F.col("__at") > target).drop("__at", "__n")
 
 
 def priority(name: Column, prefixes: list[str]) -> Column:
@@ -75,9 +93,7 @@ def class_split(df: DataFrame, label: str, key: str, seed: int = 42, rule: str =
     stratified: at least one and 70 % (down) to train, at least one and 15 % (down) to val, the rest to test; task: 15 % (half to
     even) to test, then to val, the rest to train; holdout: at least one and 20 % (down) to val, the rest to train.
     """
-    n = F.count("*").over(W.partitionBy(label))
-    at = F.row_number().over(W.partitionBy(label).orderBy(hash_order(F.col(key), seed), key))
-    ranked = df.withColumn("__n", n).withColumn("__at", at)
+    ranked = numbered(df, [label], [hash_order(F.col(key), seed), F.col(key)])
     share = lambda x: F.greatest(F.lit(1), F.floor(F.col("__n") * x))
     if rule == "stratified":
         split = F.when(F.col("__at") <= share(0.70), "train").when(F.col("__at") <= share(0.70) + share(0.15), "val").otherwise("test")
