@@ -696,3 +696,63 @@ def stream_gate_replay(spark, d):
     from tallyline.streaming import gate
 
     return gate.replay(spark, gate.frames_of_events(table(spark, d, "events")), I.plate_registry(spark, d))
+
+
+# frames
+
+
+@query(f"SELECT session_id, CAST(least(2, coalesce(max(n) FILTER (p <> ''), 0)) AS INTEGER) AS votes, 2 AS target FROM (SELECT session_id, trim(plate_text) AS p, count(*) FILTER (plate_conf >= 0.5) AS n FROM ({I.PLATES}) GROUP BY 1, 2) GROUP BY 1")
+def vote_progress(spark, d):
+    from tallyline.operators import frames
+
+    return frames.vote_progress(I.plates(spark, d))
+
+
+@query("""
+WITH e AS (SELECT *, event_type = 'purchase' AS s, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n, lag(event_type = 'purchase') OVER (PARTITION BY user_id ORDER BY event_id) AS b FROM events)
+SELECT user_id, count(*) AS total, CAST(sum(event_id % 89 + 1) FILTER (n <= 100) AS DOUBLE) / count(*) FILTER (n <= 100) AS avg_ms, count(*) FILTER (s AND NOT coalesce(b, false) AND value > 50) AS alerts FROM e GROUP BY 1""")
+def dashboard_kpis(spark, d):
+    from tallyline.operators import frames
+
+    rows = table(spark, d, "events").withColumn("ms", F.col("event_id") % 89 + 1).withColumn("state", F.when(F.col("event_type") == "purchase", "DECIDED").otherwise("IDLE"))
+    return frames.kpis(rows, "user_id", "event_id", "ms", "state", F.col("value") > 50).select("user_id", "total", "avg_ms", "alerts")
+
+
+@query("SELECT CAST(l_partkey % 9 AS INTEGER) AS cls, count(*) AS n FROM lineitem GROUP BY 1")
+def class_histogram(spark, d):
+    from tallyline.operators import frames
+
+    return frames.class_histogram(table(spark, d, "lineitem").select((F.col("l_partkey") % 9).cast("int").alias("cls")))
+
+
+@query("SELECT o_orderstatus AS split, count(DISTINCT o_orderkey) AS images, (SELECT count(*) FROM lineitem JOIN orders p ON l_orderkey = p.o_orderkey WHERE p.o_orderstatus = o.o_orderstatus AND l_linenumber = 2) AS labels, (SELECT count(DISTINCT l_orderkey) FROM lineitem JOIN orders p ON l_orderkey = p.o_orderkey WHERE p.o_orderstatus = o.o_orderstatus AND l_linenumber = 2) AS paired FROM orders o GROUP BY 1")
+def pair_inventory(spark, d):
+    from tallyline.operators import frames
+
+    orders = table(spark, d, "orders").select(F.col("o_orderstatus").alias("split"), F.col("o_orderkey").alias("stem"))
+    labels = table(spark, d, "lineitem").filter("l_linenumber = 2").select(F.col("l_orderkey").alias("stem")).join(orders, "stem").select("split", "stem")
+    return frames.inventory(orders, labels)
+
+
+_FRAMES = "SELECT o_orderkey AS frame, CASE o_orderkey % 3 WHEN 0 THEN 'White' WHEN 1 THEN 'Red' ELSE 'Blue' END AS color, (o_orderkey % 100) / CAST(100 AS DOUBLE) AS color_conf FROM orders"
+
+
+@query(f"""
+WITH v AS (SELECT l_orderkey AS frame, l_linenumber AS o, l_partkey AS pk, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC, l_linenumber, l_partkey) AS n FROM lineitem WHERE l_partkey % 9 IN (2, 5, 7)),
+c AS (SELECT frame, o FROM v WHERE n = 1),
+q AS (SELECT l.l_orderkey AS frame, CASE WHEN l_suppkey % 4 = 0 THEN NULL ELSE l_linenumber END AS vo, l_discount AS conf, l_linenumber AS o, CASE WHEN l_suppkey % 7 = 0 THEN '' ELSE CAST(l_suppkey * 3 AS VARCHAR) END AS plate, l_partkey AS pk FROM lineitem l),
+r AS (SELECT * FROM (SELECT q.frame, q.plate, row_number() OVER (PARTITION BY q.frame ORDER BY q.conf DESC, q.o, q.pk) AS n FROM q LEFT JOIN c ON c.frame = q.frame WHERE q.vo IS NOT DISTINCT FROM c.o) WHERE n = 1)
+SELECT f.frame, CASE WHEN coalesce(r.plate, '') = '' THEN 'NO_PLATE' WHEN g.license_plate IS NULL THEN 'UNREGISTERED' ELSE 'AUTHORIZED' END AS status,
+  CASE WHEN coalesce(r.plate, '') = '' THEN 'LOG' WHEN g.license_plate IS NULL THEN 'DENY_ALERT' WHEN upper(f.color) = g.car_color OR (upper(f.color) IN {I.NEUTRAL} AND g.car_color IN {I.NEUTRAL}) OR f.color_conf < 0.4 THEN 'ALLOW' ELSE 'ALLOW_WARN' END AS action
+FROM ({_FRAMES}) f LEFT JOIN r ON r.frame = f.frame LEFT JOIN ({I.REGISTRY}) g ON g.license_plate = r.plate""")
+def single_frame_verdict(spark, d):
+    from tallyline.operators import frames
+
+    items = table(spark, d, "lineitem")
+    shot = table(spark, d, "orders").selectExpr("o_orderkey AS frame", "CASE o_orderkey % 3 WHEN 0 THEN 'White' WHEN 1 THEN 'Red' ELSE 'Blue' END AS color", "(o_orderkey % 100) / 100D AS color_conf")
+    order = "l_linenumber * 1000000L + l_partkey AS det_ord"
+    vehicles = items.selectExpr("l_orderkey AS frame", order, "l_partkey % 9 AS cls", "l_quantity AS area", "l_linenumber")
+    # vehicles are named by their line, as plates refer to it
+    named = C.top_per_group(vehicles.filter("cls IN (2, 5, 7)"), ["frame"], [F.desc("area"), F.asc("det_ord")]).select("frame", F.col("l_linenumber").cast("long").alias("det_ord"), "cls", "area")
+    plates = items.selectExpr("l_orderkey AS frame", "CASE WHEN l_suppkey % 4 = 0 THEN NULL ELSE CAST(l_linenumber AS BIGINT) END AS vehicle_ord", order, "l_discount AS conf", "CASE WHEN l_suppkey % 7 = 0 THEN '' ELSE CAST(l_suppkey * 3 AS STRING) END AS plate_text")
+    return frames.single_frame(shot, named, plates, I.registry(spark, d)).select("frame", "status", "action")
