@@ -47,7 +47,7 @@ def hash_share(df: DataFrame, key: Column, most: int) -> DataFrame:
     return df.filter(F.pmod(F.xxhash64(key), F.lit(1 << 31)) < int(most / n * (1 << 31)))
 
 
-def batches_of(batches: Iterator[pa.RecordBatch], mb: float = 8.0, column: str = "text") -> Iterator[pa.RecordBatch]:
+def batches_of(batches: Iterator[pa.RecordBatch], mb: float = 4.0, column: str = "text") -> Iterator[pa.RecordBatch]:
     """The same rows in slices whose `column` holds about `mb` MB, or one row where a single text is longer."""
     for b in batches:
         if b.num_rows == 0:

@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from tallyline.llm.common import batches_of, hash_share, table, text_of
 
 BITS, ORDERS, MAX_TRAIN, TEMPERATURE = 16, (1, 2, 3), 8000, 0.25
+#: text that a task works on at once: about 60 bytes of arrays for each of its characters
+BATCH_MB = 2.0
 _U = np.uint32
 
 
@@ -89,7 +91,7 @@ def train(docs: DataFrame, label: str = "lang", text: str = "text", key: str = "
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
-        for b in batches_of(batches):
+        for b in batches_of(batches, BATCH_MB):
             names = np.array(b.column(0).to_pylist(), object)
             letter, first = letters(b.column(1))
             for column, text_no in grams(letter, first):
@@ -118,7 +120,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "t
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, table = sent.value
-        for b in batches_of(batches, column=text):
+        for b in batches_of(batches, BATCH_MB, text):
             letter, first = letters(b.column(at))
             n = b.num_rows
             lettered = np.diff(np.concatenate([[0], np.cumsum(letter > 0)])[np.append(first[:-1], len(letter))]) > 0

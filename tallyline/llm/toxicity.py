@@ -48,7 +48,7 @@ def letter_counts(docs: DataFrame, text: str = "text") -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(CLASSES**3, np.int64)
-        for b in batches_of(batches):
+        for b in batches_of(batches, language.BATCH_MB):
             letter, _ = language.letters(b.column(0))
             keep = np.ones(len(letter), bool)
             keep[1:] = (letter[1:] > 0) | (letter[:-1] > 0)
