@@ -237,18 +237,18 @@ def fit(docs: DataFrame, labels: DataFrame, channel: Channel, most: int = MAX_TR
     return {f: float(v) for f, v in zip(top, w)}, float(b)
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3, steps: int = 400) -> tuple[np.ndarray, float]:
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.03, steps: int = 400) -> tuple[np.ndarray, float]:
     """Weights of 0 or more (a feature is a sign of toxicity or nothing) and intercept, by accelerated projected gradient."""
     n = len(y)
     rate = 1.0 / (0.25 * float(np.linalg.norm(x.T @ x, 2)) / n + ridge / n + 0.25)
     w, b = np.zeros(x.shape[1], np.float32), 0.0
     vw, vb, t = w.copy(), b, 1.0
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ vw + vb, -30, 30)))
-        g = (p - y) / n
-        new_w, new_b = np.maximum(vw - rate * (x.T @ g + ridge / n * vw), 0), vb - rate * float(g.sum())
+        p = 1 / (1 + np.exp(-np.clip(x @ vw + np.float32(vb), -30, 30)))
+        g = ((p - y) / n).astype(np.float32)
+        new_w, new_b = np.maximum(vw - np.float32(rate) * (x.T @ g + np.float32(ridge / n) * vw), 0), vb - rate * float(g.sum())
         t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        vw, vb = new_w + (t - 1) / t2 * (new_w - w), new_b + (t - 1) / t2 * (new_b - b)
+        vw, vb = new_w + np.float32((t - 1) / t2) * (new_w - w), new_b + (t - 1) / t2 * (new_b - b)
         w, b, t = new_w, new_b, t2
     return w, b
 
