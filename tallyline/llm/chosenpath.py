@@ -34,7 +34,7 @@ SHINGLE, SIMILARITY, DEPTH, RECALL = 5, Fraction(4, 5), 3, 0.99
 #: sets in a bucket that is compared without a further split
 LIMIT = 1000
 #: tokens of the sets on one side of a comparison task
-BLOCK_TOKENS = 2_000_000
+BLOCK_TOKENS = 1_000_000
 
 
 def runs_for(recall: float, depth: int) -> int:
@@ -83,7 +83,7 @@ def paths(token: np.ndarray, first: np.ndarray, runs: int, depth: int = DEPTH, s
     out = [(d, key, np.zeros(len(d), np.int64))]
     for _ in range(1, depth):
         d, key, _ = out[-1]
-        new, step = [], max(1, int(4_000_000 / max(1.0, float(size[d].mean()) if len(d) else 1.0)))
+        new, step = [], max(1, int(1_000_000 / max(1.0, float(size[d].mean()) if len(d) else 1.0)))
         for lo in range(0, len(d), step):
             own, k = d[lo : lo + step], key[lo : lo + step]
             n = size[own]
