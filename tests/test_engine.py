@@ -1,6 +1,7 @@
 """Registry, votes, gate, fuzzy and manifest operators on small cases."""
 
 import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -119,8 +120,12 @@ def test_stream_equals_replay(spark, registry, tmp_path):
         df.filter(F.floor(F.col("seq") / 10) == part).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
     want = gate.replay(spark, df, registry)
     source = spark.readStream.schema(gate.FRAME).option("maxFilesPerTrigger", 1).option("latestFirst", False).json(str(tmp_path / "in"))
-    q = gate.stream(source, registry).writeStream.format("memory").queryName("gate_out").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    q.awaitTermination(240)
+    q = gate.stream(source, registry).writeStream.format("memory").queryName("gate_out").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
+    # with a processing-time timeout the query never falls idle, so wait for its rows
+    expected, ends = want.count(), time.monotonic() + 240
+    while spark.table("gate_out").count() < expected and time.monotonic() < ends:
+        time.sleep(1)
+    q.stop()
     got = spark.table("gate_out")
     rows = lambda d: sorted(map(tuple, d.fillna(-1.0).collect()), key=str)
     assert rows(got) == rows(want) and got.count() > 100
