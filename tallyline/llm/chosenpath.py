@@ -1,11 +1,13 @@
 """Chosen-path similarity join of documents on word shingles (Jaccard), and the classes that its links make.
 
-Every different text is a node, so that copies cost nothing. In each run, a set keeps each of its tokens x with chance
+Every different set of shingles is a node, with the number of its rows, so that copies cost nothing, nor do texts that differ in
+case, marks or spaces only; sets too small to be linked with any but equal ones need no paths. In each run, a set keeps each of its tokens x with chance
 1 / (similarity * size), decided by a hash of the run and x: two similar sets share a kept token with a good chance, others
 hardly ever. A kept token is a path and names a bucket; a path is extended by further kept tokens in the same way. A bucket
 with at most `limit` sets is compared by brute force; a larger one is split by the paths one token longer, and at the last
 depth, or once it is no longer split, its sets are compared in blocks by many tasks. The number of runs follows from the
-recall that is asked of a pair just at the threshold that meets only at the last depth (`runs_for`).
+recall that is asked of a pair just at the threshold that meets only at the last depth (`runs_for`; small sets, which run out
+of tokens to extend a path by, have more: `runs_by_size`).
 
 Pairs are never rows: a comparison yields, for each set, how many others it is linked with and the least set of its part.
 A pair that meets in several buckets counts in the least of them. Comparisons use all tokens and are exact.
@@ -17,6 +19,7 @@ doc_id of its class (null if all are null); an empty table gives no rows.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 from fractions import Fraction
@@ -45,6 +48,26 @@ def runs_for(recall: float, depth: int) -> int:
     return math.ceil(math.log(1 - recall) / math.log(1 - alive))
 
 
+def runs_by_size(recall: float, depth: int, most: int = 256) -> np.ndarray:
+    """Runs for a set of each size up to `most` and, last, of any larger size: enough for the worst pair at the threshold, or above, that a
+    set of that size is in. 0 where it can be linked with equal sets only."""
+    num, den = SIMILARITY.numerator, SIMILARITY.denominator
+    out = np.zeros(most + 2, np.int64)
+    for a in range(1, most + 1):
+        for b in range(a, a * den // num + 1):
+            both = max(-(-num * (a + b) // (num + den)), 1)
+            if both > a or both == b:
+                continue
+            keep, alive = min(1.0, den / (num * b)), 1.0
+            for left in range(both - depth + 1, both + 1):  # shared tokens that a path may still take, at the last depth first
+                alive = 1 - (1 - keep * alive) ** max(left, 0)
+            need = math.ceil(math.log(1 - recall) / math.log(1 - alive)) if alive < 1 else 1
+            for size in (a, min(b, most + 1)):
+                out[size] = max(out[size], need)
+    out[-1] = max(out[-1], runs_for(recall, depth))
+    return out
+
+
 def shingle_sets(column: pa.Array, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """(tokens, first): the sorted different k-word shingles of each text; a text of fewer words, but not none, is one shingle."""
     data, offsets = kernel.text_bytes(column)
@@ -66,17 +89,23 @@ def shingle_sets(column: pa.Array, k: int = SHINGLE) -> tuple[np.ndarray, np.nda
     return token, np.searchsorted(doc, np.arange(len(n) + 1))
 
 
-def paths(token: np.ndarray, first: np.ndarray, runs: int, depth: int = DEPTH, similarity: float = float(SIMILARITY)) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each depth: (doc, key, number of the parent among the paths one shorter), ordered by doc."""
+def paths(token: np.ndarray, first: np.ndarray, runs: int | np.ndarray, depth: int = DEPTH, similarity: float = float(SIMILARITY)) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each depth: (doc, key, number of the parent among the paths one shorter), ordered by doc. runs: for all, or of each doc."""
     size = np.diff(first)
     limit = np.minimum(2.0**64 / (similarity * np.maximum(size, 1)), 2.0**64 - 2048).astype(_U)
+    own_runs = np.broadcast_to(runs, len(size))
+    roots = kernel.mix(np.arange(1, int(own_runs.max(initial=0)) + 1, dtype=_U) * _U(0xD1342543DE82EF95))
+    at = np.flatnonzero(np.repeat(own_runs, size))
     doc = np.repeat(np.arange(len(size)), size)
-    bar = limit[doc]
-    roots = kernel.mix(np.arange(1, runs + 1, dtype=_U) * _U(0xD1342543DE82EF95))
-    kept = []
-    for p in roots:
-        at = np.flatnonzero(((token ^ p) * (p | _U(1))) < bar)
-        kept.append((doc[at], kernel.mix(token[at] ^ (p + _U(1))), at))
+    nothing = np.zeros(0, np.int64)
+    kept = [(nothing, nothing.view(_U), nothing)]
+    few = own_runs.min(initial=len(roots), where=own_runs > 0)
+    for r, p in enumerate(roots):
+        if r >= few:  # the sets that have more runs
+            at = at[own_runs[doc[at]] > r]
+        x = token if len(at) == len(token) else token[at]
+        hit = at[((x ^ p) * (p | _U(1))) < limit[doc[at]]]
+        kept.append((doc[hit], kernel.mix(token[hit] ^ (p + _U(1))), hit))
     d, key, at = (np.concatenate([x[i] for x in kept]) for i in range(3))
     order = np.argsort(d, kind="stable")
     d, key, used = d[order], key[order], [at[order]]
@@ -107,15 +136,20 @@ def paths(token: np.ndarray, first: np.ndarray, runs: int, depth: int = DEPTH, s
     return out
 
 
-def _signatures(docs: DataFrame, runs: int) -> DataFrame:
-    """(tid, n, k1, k2, p2, k3, p3) of each row: paths by depth and, as numbers inside the row's own list, their parents."""
-    names = ["tid", "id", "n", "k1", *[f"{c}{d}" for d in range(2, DEPTH + 1) for c in "kp"]]
+def _signatures(docs: DataFrame, runs: np.ndarray) -> DataFrame:
+    """(tid, id, sid, n, k1, k2, p2, k3, p3) of each row: paths by depth and, as numbers inside the row's own list, their parents.
+
+    sid: MD5 of the tokens, or the tid of a text without tokens. runs: by size of the set, the last for all larger ones.
+    """
+    names = ["tid", "id", "sid", "n", "k1", *[f"{c}{d}" for d in range(2, DEPTH + 1) for c in "kp"]]
     id_type = docs.schema["id"].dataType
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches_of(batches):
             token, first = shingle_sets(b.column(2))
-            levels = paths(token, first, runs)
+            size = np.diff(first)
+            levels = paths(token, first, runs[np.minimum(size, len(runs) - 1)])
+            sid = [hashlib.md5(token[first[i] : first[i + 1]].tobytes()).hexdigest() if size[i] else t for i, t in enumerate(b.column(0).to_pylist())]
             cols, before = [], None
             for level, (doc, key, parent) in enumerate(levels):
                 starts = np.searchsorted(doc, np.arange(b.num_rows + 1))
@@ -124,10 +158,10 @@ def _signatures(docs: DataFrame, runs: int) -> DataFrame:
                 if level:
                     cols.append(lists((parent - before[doc]).astype(np.int32), pa.int32()))
                 before = starts
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.diff(first)), *cols], names=names)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sid, pa.string()), pa.array(size), *cols], names=names)
 
     kinds = ", ".join(f"k{d} array<long>" + (f", p{d} array<int>" if d > 1 else "") for d in range(1, DEPTH + 1))
-    return docs.select("tid", "id", "text").mapInArrow(sign, f"tid string, id {id_type.simpleString()}, n long, {kinds}")
+    return docs.select("tid", "id", "text").mapInArrow(sign, f"tid string, id {id_type.simpleString()}, sid string, n long, {kinds}")
 
 
 def _buckets(rows: DataFrame) -> DataFrame:
@@ -302,17 +336,20 @@ def join_nodes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", reca
     """One row per different text: (tid, copies, rep, root, class_id, n_links), as a table.
 
     tid: MD5 of the text; rep: the least id of its copies; root: the least tid of its class; n_links: other documents, copies
-    included, at the similarity or above.
+    included, at the similarity or above. Texts with equal sets are joined as one, under the least tid of theirs.
     """
     rows = docs.select(F.md5(text_of(text).cast("binary")).alias("tid"), F.col(doc_id).alias("id"), text_of(text).alias("text"))
     paths_of = [c for d in range(1, DEPTH + 1) for c in ((f"k{d}", f"p{d}") if d > 1 else ("k1",))]
-    nodes = written(
-        _signatures(rows, runs_for(recall, DEPTH)).groupBy("tid").agg(F.count("*").alias("copies"), F.min("id").alias("rep"), F.first("n").alias("n"), *[F.first(c).alias(c) for c in paths_of]),
-        "nodes",
-    )
+    signed = _signatures(rows, runs_by_size(recall, DEPTH))
+    texts = written(signed.groupBy("tid").agg(F.count("*").alias("copies"), F.min("id").alias("rep"), *[F.first(c).alias(c) for c in ("sid", "n", *paths_of)]), "texts")
+    same = texts.groupBy("sid").agg(F.min("tid").alias("head"), F.sum("copies").alias("all"), F.min("rep").alias("least_rep"), (F.count("*") > 1).alias("more"))
+    sets_of = written(same, "sets")
+    twins = texts.select("sid", "tid").join(sets_of.filter("more"), "sid").filter("tid <> head").select("tid")
+    nodes = texts.join(written(twins, "twins"), "tid", "left_anti")
+    heads = sets_of.select(F.col("head").alias("tid"), F.col("all").alias("copies"), F.col("least_rep").alias("rep"))
     blocks = F.ceil(F.col("tokens") / BLOCK_TOKENS).cast("int")
     mine = _groups(nodes, limit).groupBy("tid").agg(F.collect_list(F.struct("key", blocks.alias("blocks"))).alias("groups"))
-    mine = written(mine.join(nodes.select("tid", "copies"), "tid"), "compared")
+    mine = written(mine.join(heads.select("tid", "copies"), "tid"), "compared")
     once = rows.groupBy("tid").agg(F.first("text").alias("text"))
     sets = once.join(mine, "tid").select("tid", "copies", "groups", "text").mapInArrow(_tokens, "tid string, copies long, groups array<struct<key:long,blocks:int>>, tokens binary")
     block = F.pmod(F.xxhash64("tid"), F.col("g.blocks")).cast("int")
@@ -326,12 +363,13 @@ def join_nodes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", reca
     linked = written(dealt.select("key", "i", "j", "tid", "copies", "keys", "tokens", "block").mapInArrow(_verify, "tid string, root string, links long"), "linked")
     parts = components(linked.select(F.col("tid").alias("u"), F.col("root").alias("v")))
     links = linked.groupBy("tid").agg(F.sum("links").alias("links"))
-    reps = parts.select(F.col("node").alias("tid"), "root").join(nodes.select("tid", "rep"), "tid")
-    named = reps.join(written(reps.groupBy("root").agg(F.min("rep").alias("class_id")), "classes"), "root").select("tid", "root", "class_id")
-    out = nodes.select("tid", "copies", "rep").join(named, "tid", "left").join(links, "tid", "left")
+    reps = parts.select(F.col("node").alias("tid"), "root").join(heads.select("tid", "rep"), "tid")
+    named = reps.join(written(reps.groupBy("root").agg(F.min("rep").alias("class_id")), "classes"), "root").select(F.col("tid").alias("head"), "root", "class_id")
+    links = links.withColumnRenamed("tid", "head")
+    out = texts.select("tid", "copies", "rep", "sid").join(sets_of.drop("more"), "sid").join(named, "head", "left").join(links, "head", "left")
     return written(
         out.select(
-            "tid", "copies", "rep", F.coalesce("root", "tid").alias("root"), F.coalesce("class_id", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
+            "tid", "copies", "rep", F.coalesce("root", "head").alias("root"), F.coalesce("class_id", "least_rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("all") - 1).alias("n_links")
         ),
         "classes",
     )

@@ -115,6 +115,29 @@ def test_join(spark, odd, none, limit):
         assert chosenpath.join_documents(none).count() == 0
 
 
+def test_join_small_sets(spark):
+    texts = [" ".join(["one"] * k) for k in range(6, 12)]  # one shingle
+    texts += [" ".join((["two", "words"] * 9)[:k]) for k in range(8, 14)]  # two shingles
+    texts += ["a b c d e f", "A b c d e f", "a, b c d e f", "a b c  d e f.", "a b c d e f g", "!!!", "???"]
+    docs = spark.createDataFrame([*enumerate(texts), (99, texts[0])], "doc_id long, text string")
+    got = {r.doc_id: (r.class_id, r.n_links) for r in chosenpath.join_documents(docs, limit=2).collect()}
+    want = {i: (0, 6) for i in [*range(6), 99]} | {i: (6, 5) for i in range(6, 12)} | {i: (12, 3) for i in range(12, 16)} | {i: (i, 0) for i in (16, 17, 18)}
+    assert got == want
+    assert sorted(r.doc_id for r in chosenpath.one_of_each(docs, limit=2).collect()) == [0, 6, 12, 16, 17, 18]
+
+
+@pytest.mark.parametrize("a, b", [(4, 5), (8, 10), (16, 20)])
+def test_recall_of_small_sets(a, b):
+    n, runs = 3000, chosenpath.runs_by_size(0.99, 3)
+    assert runs[:4].tolist() == [0] * 4 and runs[-1] == 10
+    token = np.sort(np.random.default_rng(8).integers(0, 1 << 63, (n, b)).astype(np.uint64), axis=1)
+    both = np.concatenate([np.concatenate([x, x[:a]]) for x in token])
+    size = np.tile([b, a], n)
+    doc, key, _ = chosenpath.paths(both, np.concatenate([[0], np.cumsum(size)]), runs[size])[2]
+    met = {(d // 2, k) for d, k in zip(doc.tolist(), key.tolist()) if d % 2} & {(d // 2, k) for d, k in zip(doc.tolist(), key.tolist()) if not d % 2}
+    assert len({d for d, _ in met}) >= 0.985 * n
+
+
 def test_compare_blocks():
     rng = np.random.default_rng(5)
     base = rng.integers(0, 1 << 63, 40).astype(np.uint64)
