@@ -2,7 +2,9 @@
 
 A text is cut into sentences (ends: punctuation with a . ! or ? in it before white space, or a line break). From each sentence on, and up to
 each, the shortest run of at least RUN sentences and MIN_WORDS words is a span; so is each shortest run of fewer sentences with
-LONE_WORDS words, as a passage may be one long sentence. Spans are hashed by their words (A-Z lowered, punctuation aside) and
+LONE_WORDS words, as a passage may be one long sentence. As passages begin and end inside sentences too, the LONE_WORDS words from the
+start of each shorter sentence, and those up to its end, are spans for the complete sentences in them: of a passage of twice so
+many words, one of the two lies in it for each of its complete sentences. Spans are hashed by their words (A-Z lowered, punctuation aside) and
 joined over all texts. Every sentence that lies in a span which stood earlier, in a text of a lesser doc_id or before in the
 same text, is removed; first occurrences stay.
 
@@ -86,18 +88,28 @@ def spans(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
         return np.minimum(i + 1 - run, np.searchsorted(w0, w1 - words, "right") - 1)
 
     end = forward(RUN, MIN_WORDS)
-    got.append((i[end <= hi], end[end <= hi]))
+    runs = [(i[end <= hi], end[end <= hi])]
     start = backward(RUN, MIN_WORDS)
     ok = start >= lo
-    got.append((start[ok], i[ok] + 1))
+    runs.append((start[ok], i[ok] + 1))
+    for a, b in runs:  # longer runs go by the words from their start and those up to their end, but for sentences without words
+        need = (w1[b - 1] - w0[a] < LONE_WORDS) | (full[b - 1] - full[a] > b - 1 - a)
+        got.append((a[need], b[need]))
     end = forward(1, LONE_WORDS)
     ok = (end <= hi) & (end - i < RUN)
     got.append((i[ok], end[ok]))
     start = backward(1, LONE_WORDS)
     ok = (start >= lo) & (i + 1 - start < RUN)
     got.append((start[ok], i[ok] + 1))
-    pair = np.unique(np.concatenate([a * (m + 1) + b for a, b in got]))
-    a, b = pair // (m + 1), pair % (m + 1)
+    a, b = (np.concatenate(z) for z in zip(*got))
+    short = i[w1 - w0 < LONE_WORDS]
+    ahead = short[w0[short] + LONE_WORDS <= w1[hi[short] - 1]]
+    back = short[w1[short] - LONE_WORDS >= w0[lo[short]]]
+    x, y = np.concatenate([w0[a], w0[ahead], w1[back] - LONE_WORDS]), np.concatenate([w1[b - 1], w0[ahead] + LONE_WORDS, w1[back]])
+    a = np.concatenate([a, ahead, np.searchsorted(w0, w1[back] - LONE_WORDS, "left")])
+    b = np.concatenate([b, np.searchsorted(w1, w0[ahead] + LONE_WORDS, "right"), back + 1])
+    one = np.unique(x * (len(h) + 1) + y, return_index=True)[1]  # equal words at one place cover equal sentences
+    a, b, x, y = a[one], b[one], x[one], y[one]
     # polynomial over the mixed word hashes of the span
     power = np.full(len(h) + 1, kernel._BASE, np.uint64)
     power[0] = 1
@@ -107,7 +119,6 @@ def spans(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     inverse = np.multiply.accumulate(inverse)
     total = np.zeros(len(h) + 1, np.uint64)
     np.cumsum(h * power[:-1], out=total[1:])
-    x, y = w0[a], w1[b - 1]
     hashed = kernel.mix((total[y] - total[x]) * inverse[x] + (y - x).astype(np.uint64))
     own = t[a]
     order = np.lexsort((x, own, hashed))

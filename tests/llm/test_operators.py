@@ -397,6 +397,35 @@ def test_spans(spark, odd, none):
     assert spans.without_repeats(none).count() == 0
 
 
+def test_spans_inside_sentences(spark):
+    rng = random.Random(12)
+    cut = words(rng, 22, 9999) + ". Nine words stand here in a sentence of theirs. " + words(rng, 22, 9999)
+    lone = words(rng, 12, 9999) + ". " + " ".join(words(rng, 18, 9999).split()) + ". " + words(rng, 24, 9999)
+    at_end = words(rng, 42, 9999) + ". Two sentences end here now. And this is the last."
+    fill = lambda n: words(rng, n, 9999)
+    texts = [f"{fill(30)} {x} {fill(30)}." for x in (cut, lone, at_end, cut, lone, at_end)] + [f"{fill(30)}. Nine words stand here in a sentence of theirs. {fill(30)}."]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.removed for r in spans.without_repeats(docs).collect()}
+    assert got == {0: [], 1: [], 2: [], 3: [1], 4: [1], 5: [1, 2], 6: []}
+
+
+def test_spans_of_every_long_passage():
+    rng = random.Random(13)
+    for _ in range(300):
+        passage = [f"{words(rng, rng.randrange(1, 30), 9999)}{rng.choice(['.', '. ***.', chr(10)])}" for _ in range(rng.randrange(1, 6))]
+        passage = words(rng, rng.randrange(1, 24), 9999) + ". " + " ".join(passage) + " " + words(rng, rng.randrange(1, 24), 9999)
+        if len(passage.replace("***.", "").split()) < 50:
+            continue
+        both = pa.array([f"{words(rng, 5, 9999)} {passage} {words(rng, 5, 9999)}" for _ in range(2)])
+        hashed, own, start, end, _ = spans.spans(both)
+        seen, data = set(hashed[own == 0].tolist()), kernel.text_bytes(both)
+        gone = {k for x, o, s, e in zip(hashed.tolist(), own, start, end) if o == 1 and x in seen for k in range(s, e)}
+        starts, first = spans.sentences(*data)
+        ends = np.append(starts, len(data[0]))
+        full = [k for k in range(1, first[2] - first[1] - 1) if b"***" not in data[0][ends[first[1] + k] : ends[first[1] + k + 1]].tobytes()]
+        assert gone >= set(full) and not gone & {0, first[2] - first[1] - 1}
+
+
 # 10: toxicity
 
 
