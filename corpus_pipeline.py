@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyline.llm import chosenpath, language, leakage, pieces, secrets
-from tallyline.llm.common import table, written
+from tallyline.llm.common import table, text_of, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -27,10 +27,12 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops contaminated documents."""
-    found = leakage.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    gone = written(found.filter("contaminated").select(F.col("id").alias("__gone")).distinct(), "contaminated")
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["__gone"]), "left_anti").select(*COLUMNS)
+    """Drops contaminated documents: rows of the id and the text, by its MD5, that are; a clean row with the same id, or also a null one, stays."""
+    marked = docs.withColumn("__address", F.unhex(F.md5(text_of().cast("binary"))))
+    found = leakage.decontaminate(marked.withColumn("__key", F.struct("doc_id", "__address")), table(spark, sf_dir, "benchmark"), "__key")
+    gone = written(found.filter("contaminated").select(F.col("id.doc_id").alias("__gone"), F.col("id.__address").alias("__gone_address")).distinct(), "contaminated")
+    same = (marked["__address"] == gone["__gone_address"]) & marked["doc_id"].eqNullSafe(gone["__gone"])
+    return marked.join(gone, same, "left_anti").select(*COLUMNS)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

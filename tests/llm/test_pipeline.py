@@ -35,6 +35,17 @@ def test_stages(spark, tmp_path):
     assert "abcdefgh12" not in secret and "*" in secret
 
 
+def test_decontamination_keeps_clean_rows_of_an_id(spark, tmp_path):
+    rng = random.Random(14)
+    item, clean = words(rng, 30, 9999), [words(rng, 60, 9999) for _ in range(4)]
+    rows = [(None, item + " x"), (None, clean[0]), (None, None), (7, clean[1]), (7, "y " + item), (7, "y " + item), (8, clean[2]), (9, item)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    kept = P.decontamination_stage(spark, docs, str(tmp_path))
+    assert kept.columns == P.COLUMNS
+    assert {(r.doc_id, r.text) for r in kept.collect()} == {(None, clean[0]), (None, None), (7, clean[1]), (8, clean[2])}
+
+
 def test_registered():
     names = {n.split("_")[0] for n in queries.queries()}
     assert names == {f"op{n}" for n in range(1, 11)}
