@@ -455,7 +455,7 @@ def exact_dedup(spark, d):
 
 @query()
 def greedy_dedup(spark, d):
-    bits = F.aggregate(F.slice("embedding", 1, 63), F.lit(0).cast("long"), lambda a, x: F.shiftleft(a, 1).bitwiseOR(F.when(x > 0, F.lit(1).cast("long")).otherwise(F.lit(0).cast("long"))))
+    bits = F.aggregate(F.slice("embedding", 1, 64), F.lit(0).cast("long"), lambda a, x: F.shiftleft(a, 1).bitwiseOR(F.when(x > 0, F.lit(1).cast("long")).otherwise(F.lit(0).cast("long"))))
     rows = table(spark, d, "embeddings").select("vec_id", "label", bits.alias("phash"))
     return C.greedy_dedup(rows, "label", "vec_id", "phash", 12).select("vec_id", "label", "kept")
 

@@ -48,3 +48,10 @@ def test_query(spark, duck, name):
     assert {c: KINDS.get(t, t) for c, t in df.dtypes} == types
     want = [tuple(_plain(r[names.index(c)]) for c in cols) for r in res.fetchall()]
     assert _sorted(got) == _sorted(want)
+
+
+def test_greedy_dedup_takes_all_bits(spark, tmp_path):
+    at = [1.0] * 64
+    rows = [(0, at, 1), (1, [-1.0] * 12 + at[12:63] + [-1.0], 1), (2, at[:63] + [-1.0], 2), (3, [-1.0] * 12 + at[12:63] + [-1.0], 2)]  # 13 bits apart, then 12
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    assert {r.vec_id: r.kept for r in catalog.queries()["greedy_dedup"](spark, str(tmp_path)).collect()} == {0: True, 1: True, 2: True, 3: False}
