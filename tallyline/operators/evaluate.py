@@ -28,6 +28,20 @@ def swaps(df: DataFrame) -> DataFrame:
     return df.groupBy("registered", "true").agg(F.count("*").alias("n"), F.count_if(missed).alias("missed"), rate(missed).alias("miss_rate")).orderBy(F.desc("missed"), F.desc("miss_rate"), "registered", "true")
 
 
+def swap_totals(df: DataFrame, neutral: tuple[str, ...] = DEFAULTS.neutral) -> DataFrame:
+    """(n, caught, missed, detection_rate, miss_rate, neutral_n, neutral_missed, neutral_miss_rate) of all trials of `swaps`.
+
+    neutral_...: of trials with both colours neutral; the rate is null without any, those of all trials 0.
+    """
+    caught = F.coalesce(F.col("action") == "ALLOW_WARN", F.lit(False))
+    both = F.upper("registered").isin(*neutral) & F.upper("true").isin(*neutral)
+    share = lambda hit: F.coalesce(rate(hit), F.lit(0.0))
+    return df.agg(
+        F.count("*").alias("n"), F.count_if(caught).alias("caught"), F.count_if(~caught).alias("missed"), share(caught).alias("detection_rate"), share(~caught).alias("miss_rate"),
+        F.count_if(both).alias("neutral_n"), F.count_if(both & ~caught).alias("neutral_missed"), (F.count_if(both & ~caught) / F.nullif(F.count_if(both), F.lit(0))).alias("neutral_miss_rate"),
+    )
+
+
 def unregistered(df: DataFrame) -> DataFrame:
     return df.agg(F.count("*").alias("n"), F.count_if(F.col("status") == "UNREGISTERED").alias("correct"), rate(F.col("status") == "UNREGISTERED").alias("rate"))
 

@@ -197,6 +197,14 @@ def test_curation(spark):
     assert {r.split: r.n for r in split.groupBy("split").agg(F.count_distinct("g").alias("n")).collect()} == {"train": 40, "val": 5, "test": 5}
 
 
+def test_swap_totals(spark):
+    rows = [("BLACK", "WHITE", "ALLOW"), ("Grey", "Silver", "ALLOW_WARN"), ("BLACK", "RED", "ALLOW_WARN"), ("RED", "BLUE", "ALLOW_WARN"), ("RED", "BLUE", None)]
+    df = spark.createDataFrame(rows, "registered string, true string, action string")
+    assert tuple(E.swap_totals(df).first()) == (5, 3, 2, 0.6, 0.4, 2, 1, 0.5)
+    assert tuple(E.swap_totals(df.filter("registered = 'RED'")).first()) == (2, 1, 1, 0.5, 0.5, 0, 0, None)
+    assert tuple(E.swap_totals(df.limit(0)).first()) == (0, 0, 0, 0.0, 0.0, 0, 0, None)
+
+
 def test_calibration(spark):
     df = spark.createDataFrame([(0.9, True), (0.8, False), (0.8, True), (0.95, True)], "c double, ok boolean")
     assert tuple(E.calibrate(df, "c", "ok").first()) == (0.9, 1.0, 0.5, 2, 4, True)
