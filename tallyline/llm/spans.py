@@ -4,16 +4,23 @@ A text is cut into sentences (ends: punctuation with a . ! or ? in it before whi
 each, the shortest run of at least RUN sentences and MIN_WORDS words is a span; so is each shortest run of fewer sentences with
 LONE_WORDS words, as a passage may be one long sentence. As passages begin and end inside sentences too, the LONE_WORDS words from the
 start of each shorter sentence, and those up to its end, are spans for the complete sentences in them: of a passage of twice so
-many words, one of the two lies in it for each of its complete sentences. Spans are hashed by their words (A-Z lowered, punctuation aside) and
-joined over all texts. Every sentence that lies in a span which stood earlier, in a text of a lesser doc_id or before in the
-same text, is removed; first occurrences stay.
-
-Spans are counted in the partial aggregation before the shuffle, the table of repeated spans is written, and the span rows join
-it by a sort-merge join whose hot keys Spark splits.
-
-Defined cases: a null text stays null with no sentences; a text without words has no spans and stays; a null doc_id comes after
-all others; rows with one doc_id are taken as one text, whose first spans stay in each; spans that overlap inside one run of
-equal sentences count as earlier for later ones; an empty table gives no rows; all columns of the input are kept.
+many words, one of the two lies in it for each of its complete sentences. A longer run repeats only where all shortest runs in it
+do, which cover all of its sentences. Spans are hashed by their words (A-Z lowered, punctuation aside) and
+joined over all texts. Every sentence that lies in a span which stood earlier, in a row before or earlier in the same row, is
+removed; first occurrences stay.
+
+Rows are in the order of doc_id, nulls last, and then of the text's address (60 bits of its MD5); by these two a row is told from
+others, so that what is found in one never goes from another with the same id, or with none. The id may be of any type that has an
+order.
+
+Of the rows of a slice of texts (4 MB) that hold a span, only the first is dealt by the span's hash, and meets those of other
+slices there, in order; the others are known to come later already. So a span that stands in a third of all texts costs its
+task one row a slice. Spans that meet in one row at the end are those of one text.
+
+Defined cases: a null text stays null with no sentences; a text without words has no spans and stays; rows with one id and other
+texts are rows of their own; rows equal in id and text are one row, from each of which the same goes; spans that overlap inside one
+run of equal sentences count as earlier for later ones; an empty table gives no rows; all columns of the input are kept, but that
+n_sentences, n_removed and removed are replaced.
 """
 
 from __future__ import annotations
@@ -22,18 +29,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 from tallyline.llm import kernel
-from tallyline.llm.common import batches_of, table, text_of, written
+from tallyline.llm.common import batches_of, clash_free, table, text_of
 
 RUN, MIN_WORDS, LONE_WORDS = 2, 20, 25
 #: bytes of ASCII punctuation
 MARK = np.zeros(256, bool)
 MARK[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
-LAST = (1 << 63) - 1
 
 
 def sentences(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -49,13 +57,13 @@ def sentences(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     end[:-1] |= (last_stop[:-1] > alone[:-1]) & space[1:]
     after = np.zeros(len(data) + 1, bool)
     after[1:] = end
-    # white space after an end belongs to the sentence before; a new one starts at the next other byte
-    starts = np.flatnonzero(~space & (np.concatenate([[True], space[:-1]]) if len(data) else True)) if len(data) else np.zeros(0, np.int64)
-    if len(starts):
-        ends_before = np.concatenate([[0], np.cumsum(end)])[starts]
-        new = np.ones(len(starts), bool)
-        new[1:] = ends_before[1:] > ends_before[:-1]
-        starts = starts[new]
+    # white space after an end belongs to the sentence before; a new one starts at the next other byte. White space before a text's
+    # first sentence is part of it, but for line breaks
+    starts = np.flatnonzero(~space & np.concatenate([[True], space[:-1]])) if len(data) else np.zeros(0, np.int64)
+    ends_before = np.concatenate([[0], np.cumsum(end)])
+    text = np.searchsorted(offsets, starts, "right") - 1
+    last = np.concatenate([[0], starts[:-1]]) if len(starts) else starts
+    starts = starts[ends_before[starts] > ends_before[np.maximum(last, offsets[text])]]
     starts = np.union1d(starts, offsets[:-1][np.diff(offsets) > 0])
     return starts, np.searchsorted(starts, offsets)
 
@@ -130,32 +138,62 @@ def spans(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return hashed, own, local[a], local[b - 1] + 1, again
 
 
-def _span_rows(rows: DataFrame) -> DataFrame:
+def row_of(text: str = "text") -> Column:
+    """60 bits of the text's MD5 as a number, null texts as empty ones."""
+    return F.conv(F.substr(F.md5(text_of(text).cast("binary")), F.lit(1), F.lit(15)), 16, 10).cast("long")
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """(id, row, text) to (deal, later, id, row, start, end): spans; later: not the first of their kind, dealt by the row; others by the span's hash."""
+    added = [("start", T.IntegerType()), ("end", T.IntegerType())]
+    schema = T.StructType([T.StructField("deal", T.LongType()), T.StructField("later", T.BooleanType()), rows.schema["id"], rows.schema["row"], *[T.StructField(*a) for a in added]])
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches_of(batches):
-            hashed, own, start, end, again = spans(b.column(1))
-            yield pa.RecordBatch.from_arrays([pa.array(hashed.view(np.int64)), b.column(0).take(pa.array(own)), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32)), pa.array(again)], names=["span", "doc", "start", "end", "again"])
-
-    return rows.mapInArrow(cut, "span long, doc long, start int, end int, again boolean")
+            hashed, own, start, end, again = spans(b.column(2))
+            rank = _ranks(b)[own]
+            order = np.lexsort((again, rank, hashed))
+            head = np.flatnonzero(np.concatenate([[True], hashed[order][1:] != hashed[order][:-1]])[: len(order)])
+            least = np.empty(len(order), np.int64)
+            least[order] = np.repeat(rank[order][head], np.diff(np.append(head, len(order))))
+            later, sent = again | (rank > least), np.zeros(len(order), bool)
+            sent[order[head]] = True  # of rows equal in id and text one is enough
+            sent = np.flatnonzero(sent | later)
+            at, later = pa.array(own[sent]), later[sent]
+            row = b.column(1).take(at)
+            deal = np.where(later, row.to_numpy(zero_copy_only=False), hashed.view(np.int64)[sent])
+            yield pa.RecordBatch.from_arrays([pa.array(deal), pa.array(later), b.column(0).take(at), row, pa.array(start[sent].astype(np.int32)), pa.array(end[sent].astype(np.int32))], names=schema.names)
+
+    return rows.mapInArrow(cut, schema)
+
+
+def _ranks(b: pa.RecordBatch) -> np.ndarray:
+    """Place of each row of (id, row, ...) in the order of both, the same for equal ones."""
+    keys = pa.table({"id": b.column(0), "row": b.column(1)})
+    order = pc.sort_indices(keys, [("id", "ascending"), ("row", "ascending")], null_placement="at_end").to_numpy()
+    row, code = b.column(1).to_numpy(zero_copy_only=False), pc.fill_null(b.column(0).dictionary_encode().indices, -1).to_numpy(zero_copy_only=False)
+    new = (row[order][1:] != row[order][:-1]) | (code[order][1:] != code[order][:-1])
+    out = np.empty(len(order), np.int64)
+    out[order] = np.concatenate([[0], np.cumsum(new)])[: len(order)]
+    return out
 
 
 def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc, start, end): sentence spans that aren't the first of their kind. doc: doc_id, or the greatest number for null."""
-    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("doc"), text_of(text).alias("text"))
-    found = written(_span_rows(rows), "spans")
-    counted = found.groupBy("span").agg(F.count("*").alias("n"), F.min("doc").alias("first")).filter("n > 1").select("span", "first")
-    repeated = written(counted, "repeated")
-    return found.join(repeated, "span").filter("doc <> first or again").select("doc", "start", "end")
+    """(id, row, start, end): sentence spans that aren't the first of their kind; row: row_of the text."""
+    dealt = _dealt(docs.select(F.col(doc_id).alias("id"), row_of(text).alias("row"), text_of(text).alias("text")))
+    rank = F.rank().over(W.partitionBy("deal", "later").orderBy(F.col("id").asc_nulls_last(), "row"))
+    return dealt.withColumn("rank", rank).filter("later or rank > 1").select("id", "row", "start", "end")
 
 
 def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with the text less repeated sentences, and n_sentences, n_removed and removed array<int> (their numbers)."""
-    covered = repeated_spans(docs, doc_id, text).groupBy("doc").agg(F.collect_set(F.struct("start", "end")).alias("__spans"))
-    marked = docs.withColumn("__doc", F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)))
-    joined = marked.join(covered.withColumnRenamed("doc", "__doc"), "__doc", "left").drop("__doc")
+    covered = repeated_spans(docs, doc_id, text).groupBy("id", "row").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    row, given = clash_free(docs.columns, "__row"), clash_free(docs.columns, "__spans")
+    marked = docs.withColumn(row, row_of(text))
+    joined = marked.join(covered, marked[doc_id].eqNullSafe(covered["id"]) & (marked[row] == covered["row"]), "left")
     added = [("n_sentences", T.IntegerType()), ("n_removed", T.IntegerType()), ("removed", T.ArrayType(T.IntegerType()))]
     keep = [c for c in docs.columns if c.lower() not in {a for a, _ in added}]
-    joined = joined.select(*[F.col(f"`{c}`") for c in keep], "__spans")
+    joined = joined.select(*[marked[f"`{c}`"] for c in keep], covered["spans"].alias(given))
     at = keep.index(text)
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

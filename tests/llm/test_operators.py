@@ -426,6 +426,68 @@ def test_spans_of_every_long_passage():
         assert gone >= set(full) and not gone & {0, first[2] - first[1] - 1}
 
 
+
+def _plain_spans(texts, ids):
+    """A plain version of the rule on a list of rows: numbers of the sentences that go from each."""
+    mark = re.escape("".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()))
+    cut = re.compile(rf"(?s).*?(?:[.!?][{mark}]*[\t-\r ]|\n)[\t-\r ]*|.+")
+    rows = []
+    for i, (key, x) in enumerate(zip(ids, texts)):
+        said = [re.findall(r"[0-9a-z\u0080-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), s)) for s in cut.findall(x or "")]
+        full = [(k, w) for k, w in enumerate(said) if w]
+        found = set()
+        flat = [w for _, own in full for w in own]
+        at = np.cumsum([0, *[len(w) for _, w in full]]).tolist()
+        place = [k for n, (_, w) in enumerate(full) for k in [n] * len(w)]
+        n = len(full)
+        for a in range(n):
+            for least, words_ in ((spans.RUN, spans.MIN_WORDS), (1, spans.LONE_WORDS)):
+                ends = [b for b in range(a + least, n + 1) if at[b] - at[a] >= words_][:1]
+                heads = [b for b in range(a + 1 - least, -1, -1) if at[a + 1] - at[b] >= words_][:1]
+                runs = [(a, b) for b in ends] + [(b, a + 1) for b in heads]
+                found |= {(at[x], at[y]) for x, y in runs if least > 1 or y - x < spans.RUN}
+            if at[a + 1] - at[a] < spans.LONE_WORDS:
+                found |= {(at[a], at[a] + spans.LONE_WORDS)} if at[a] + spans.LONE_WORDS <= at[n] else set()
+                found |= {(at[a + 1] - spans.LONE_WORDS, at[a + 1])} if at[a + 1] >= spans.LONE_WORDS else set()
+        where = (key is None, key if key is not None else 0, int(hashlib.md5((x or "").encode()).hexdigest()[:15], 16))
+        for lo, hi in sorted(found):
+            inside = [k for k in range(n) if at[k] >= lo and at[k + 1] <= hi]
+            if inside:
+                rows.append((tuple(flat[lo:hi]), where, lo, i, full[inside[0]][0], full[inside[-1]][0] + 1))
+    gone = [set() for _ in texts]
+    first = {}
+    for words_, where, lo, *_ in sorted(rows, key=lambda r: (r[1], r[2])):
+        first.setdefault(words_, (where, lo))
+    for words_, where, lo, i, a, b in rows:
+        if first[words_] != (where, lo):
+            gone[i] |= set(range(a, b))
+    return [sorted(g) for g in gone]
+
+
+@pytest.mark.parametrize("kind", ["long", "string", "null", "repeated"])
+def test_spans_against_plain(spark, kind):
+    rng = random.Random(15)
+    stock = [" ".join(words(rng, rng.randrange(1, 40), 9999).split()) + rng.choice([". ", "! ", ".) ", "\n", " ... ", "\n\n", ". \n"]) for _ in range(40)]
+    texts = ["".join(rng.choice(["", "", " ", "\n", "-- "]) + (rng.choice(stock) if rng.random() < 0.5 else words(rng, rng.randrange(1, 15), 9999) + ". ") for _ in range(rng.randrange(0, 12))) for _ in range(60)]
+    texts += [texts[3], texts[5], texts[5] + "X", None, "", "\n", "...", stock[0] * 3]
+    ids = {"long": list(range(len(texts))), "string": [f"id{i % 100:03}é" for i in range(len(texts))], "null": [None] * len(texts), "repeated": [i % 3 or None for i in range(len(texts))]}[kind]
+    docs = spark.createDataFrame([(i, n, x) for n, (i, x) in enumerate(zip(ids, texts))], f"doc_id {'string' if kind == 'string' else 'long'}, __row int, text string").repartition(3)
+    want = _plain_spans(texts, ids)
+    got = {r["__row"]: r for r in spans.without_repeats(docs).collect()}
+    assert len(got) == len(texts)
+    assert [got[n].removed for n in range(len(texts))] == want
+    assert any(want) and [got[n].n_removed for n in range(len(texts))] == [len(w) for w in want]
+
+
+def test_spans_leave_unique_text_of_a_shared_id(spark):
+    rng = random.Random(16)
+    text = lambda: " ".join(words(rng, 12, 9999) + "." for _ in range(5))
+    passage, alone = text(), [text() for _ in range(3)]
+    rows = [(5, passage), (5, alone[0]), (None, passage), (None, alone[1]), (9, passage), (9, alone[2])]
+    got = {(r.doc_id, r.text) for r in spans.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(5, passage), (5, alone[0]), (None, alone[1]), (9, alone[2]), (None, ""), (9, "")}
+
+
 # 10: toxicity
 
 
