@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,10 +55,23 @@ def batches_of(batches: Iterator[pa.RecordBatch], mb: float = 4.0, column: str =
     for b in batches:
         if b.num_rows == 0:
             continue
-        size = b.column(b.schema.names.index(column)).nbytes / 1e6
-        n = max(1, int(b.num_rows * mb / max(size, mb)))
-        for at in range(0, b.num_rows, n):
-            yield b.slice(at, n)
+        size = np.cumsum(pc.binary_length(b.column(b.schema.names.index(column))).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < b.num_rows:
+            before = size[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(size, before + mb * 1e6, "right")))
+            yield b.slice(at, to - at)
+            at = to
+        del b
+        released()
+
+
+def released() -> None:
+    """Gives memory that a Python worker has freed back to the machine: workers stay for later stages, beside a JVM that needs it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not every C library has it
+    if trim is not None:
+        trim(0)
 
 
 def clash_free(names: list[str], wanted: str) -> str:

@@ -3,13 +3,15 @@
 When no piece of a model crosses a whitespace marker, a text is its marked words (a run of markers and what follows up to the
 next), and each can be segmented alone. So:
 
-1. each block of texts (about 16 MB) becomes one row: its different chunks, dealt to buckets by a hash, and the texts as
-   sequences of numbers of chunks, the frequent ones low;
-2. the chunk lists, not the texts, are shuffled by bucket; a bucket's task holds the table of its distinct chunks, segments
-   each once, decodes it once, and answers each block in the order that the block asked;
-3. answers join back to blocks by (block, bucket), and ids to places in the texts by number.
+1. texts are taken in blocks of about BLOCK_MB; the different chunks of a block are dealt to buckets by a hash, and its texts
+   become sequences of numbers of chunks, the frequent ones low;
+2. the chunk lists, not the texts, are shuffled by bucket; a bucket's task holds a table of its distinct chunks, segments each
+   and checks what it decodes to, and answers each block in the order that the block asked;
+3. answers join back to blocks by name, and ids to places in the texts by number; texts are decoded from their pieces' bytes.
 
-A frequent chunk is asked for once by a block, however often it stands there, so no key is hot.
+A frequent chunk is asked for once by a block, however often it stands there, so no key is hot. A task's table holds the KNOWN
+chunks asked for last, or twice so many; a chunk that it has let go is segmented again, with the same result. The answers that
+meet in one row are those of one block.
 
 Defined cases: a null or empty text has no pieces (only the end id, where one is asked for); a text of spaces has marker
 pieces only; repeated rows are encoded each; a very long word is a chunk like others; an empty table gives no rows.
@@ -19,7 +21,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +32,14 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from tallyline.llm import kernel
-from tallyline.llm.common import batches_of, table, text_of
+from tallyline.llm.common import batches_of, released, table, text_of
 
 MARK = "▁"
-BLOCK_MB = 16.0
+BLOCK_MB = 8.0
+#: chunks that a task keeps at hand, about 60 MB
+KNOWN = 200_000
+#: words of a text that are joined at once
+SLICE = 1 << 17
 
 
 def model_bytes(path: str) -> bytes:
@@ -58,6 +64,12 @@ def _processor(raw: bytes):
     return sentencepiece.SentencePieceProcessor(model_proto=raw)
 
 
+def _surfaces(sp) -> list[bytes]:
+    """What each piece stands for, in bytes; the few that stand for something else in a text are told apart by decoding it."""
+    raw = lambda i: bytes([int(sp.id_to_piece(i)[3:-1], 16)]) if sp.is_byte(i) else sp.id_to_piece(i).replace(MARK, " ").encode()
+    return [raw(i) for i in range(sp.get_piece_size())]
+
+
 def chunks(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """(marked words of all texts with spaces for markers, number of words in each text)."""
     texts = pc.replace_substring(texts.fill_null(""), MARK, " ")
@@ -119,113 +131,161 @@ def _name(block: pa.RecordBatch) -> str:
     return h.hexdigest()
 
 
+def _numbered(block: pa.RecordBatch, n_buckets: int) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """(different words, the frequent ones first, bucket of each, the number of each word in the texts, words of each text)."""
+    words, counts = chunks(block.column(1))
+    coded = words.dictionary_encode()
+    code, different = coded.indices.to_numpy(), coded.dictionary
+    del words, coded
+    order = np.argsort(-np.bincount(code, minlength=len(different)), kind="stable")
+    number = np.empty(len(order), np.int32)
+    number[order] = np.arange(len(order), dtype=np.int32)
+    different = different.take(pa.array(order))
+    return different, _buckets(different, n_buckets), number[code], counts
+
+
+def ask_chunks(docs: DataFrame, n_buckets: int) -> DataFrame:
+    """(block, bucket, words): the different words of each block, in the order of their numbers, by bucket."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches_of(batches, BLOCK_MB):
+            different, bucket, _, _ = _numbered(b, n_buckets)
+            used = np.unique(bucket)
+            words = [_packed(different.take(pa.array(np.flatnonzero(bucket == k)))) for k in used]
+            yield pa.RecordBatch.from_arrays([pa.array([_name(b)] * len(used), pa.string()), pa.array(used.astype(np.int32)), pa.array(words, pa.binary())], names=["block", "bucket", "words"])
+
+    return docs.select("id", "text").mapInArrow(ask, "block string, bucket int, words binary")
+
+
 def block_table(docs: DataFrame, n_buckets: int) -> DataFrame:
-    """One row a block: (block, ids, counts, sequence, dealt, asked array<struct(bucket, words)>).
+    """One row a block: (block, ids, counts, sequence, dealt).
 
-    counts: words of each text; sequence: numbers of the words of all texts; dealt: the bucket of each number. A bucket's words
-    are in the order of their numbers. A block is named by its ids and texts, so that the rows can be made anew, for the second
-    use or after a loss, and meet the same answers.
+    counts: words of each text; sequence: numbers of the words of all texts; dealt: the bucket of each number. A block is named by
+    its ids and texts, so that its row can be made anew after a loss, and meets the same answers.
     """
     kind = to_arrow_type(docs.schema["id"].dataType)
-    asked = pa.list_(pa.struct([("bucket", pa.int32()), ("words", pa.binary())]))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches_of(batches, BLOCK_MB):
-            words, counts = chunks(b.column(1))
-            coded = words.dictionary_encode()
-            code, different = coded.indices.to_numpy(), coded.dictionary
-            often = np.bincount(code, minlength=len(different))
-            order = np.argsort(-often, kind="stable")
-            number = np.empty(len(order), np.int64)
-            number[order] = np.arange(len(order))
-            different = different.take(pa.array(order))
-            bucket = _buckets(different, n_buckets)
-            groups = [{"bucket": int(k), "words": _packed(different.take(pa.array(np.flatnonzero(bucket == k))))} for k in np.unique(bucket)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([_name(b)]), pa.array([b.column(0).to_pylist()], pa.list_(kind)), pa.array([_small(counts)]), pa.array([_small(number[code])]), pa.array([_small(bucket)]), pa.array([groups], asked)],
-                names=["block", "ids", "counts", "sequence", "dealt", "asked"],
-            )
+            _, bucket, sequence, counts = _numbered(b, n_buckets)
+            ids = pa.ListArray.from_arrays(pa.array([0, b.num_rows], pa.int32()), b.column(0).cast(kind))
+            yield pa.RecordBatch.from_arrays([pa.array([_name(b)]), ids, pa.array([_small(counts)]), pa.array([_small(sequence)]), pa.array([_small(bucket)])], names=["block", "ids", "counts", "sequence", "dealt"])
 
     fields = [("block", T.StringType()), ("ids", T.ArrayType(docs.schema["id"].dataType)), ("counts", T.BinaryType()), ("sequence", T.BinaryType()), ("dealt", T.BinaryType())]
-    fields.append(("asked", T.ArrayType(T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("words", T.BinaryType())]))))
     return docs.select("id", "text").mapInArrow(build, T.StructType([T.StructField(*f) for f in fields]))
 
 
-def segment_chunks(asked: DataFrame, raw: bytes) -> DataFrame:
-    """(block, bucket, words) to (block, answer struct(bucket, sizes, pieces, odd, surfaces)), in the order asked.
+class Known:
+    """The last chunks asked for: two tables of at most `most`; the older one is let go when the newer is full."""
+
+    def __init__(self, most: int = KNOWN):
+        self.most, self.new, self.old = most, {}, {}
+
+    def get(self, word: str):
+        got = self.new.get(word)
+        if got is None and (got := self.old.get(word)) is not None:
+            self.put(word, got)
+        return got
+
+    def put(self, word: str, value: tuple) -> None:
+        if len(self.new) >= self.most:
+            self.new, self.old = {}, self.new
+        self.new[word] = value
 
-    odd: places of the words that don't decode to themselves; surfaces: what those decode to.
+
+def segment_chunks(asked: DataFrame, raw: bytes, known: int = KNOWN) -> DataFrame:
+    """(block, bucket, words) to (block, bucket, sizes, pieces, odd, forms), in the order asked.
+
+    odd: places of the words that don't decode to the bytes of their pieces; forms: what those decode to.
     """
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sp = _processor(raw)
-        marker = [sp.piece_to_id(MARK)]
-        known: dict[str, tuple[bytes, str | None]] = {}
+        surface, marker = _surfaces(sp), [sp.piece_to_id(MARK)]
+        table = Known(known)
         for b in batches:
             for block, bucket, packed in zip(*[c.to_pylist() for c in b.columns]):
                 words = _words_of(packed).to_pylist()
-                new = [w for w in words if w not in known]
-                ids = sp.encode([w[1:] for w in new], num_threads=1)  # the encoder puts the first marker back
-                ids = [i if len(w) > 1 else marker for w, i in zip(new, ids)]
+                got = [table.get(w) for w in words]
+                new = [i for i, g in enumerate(got) if g is None]
+                ids = sp.encode([words[i][1:] for i in new], num_threads=1) if new else []  # the encoder puts the first marker back
+                ids = [p if len(words[i]) > 1 else marker for i, p in zip(new, ids)]
                 back = sp.decode(ids, num_threads=1) if ids else []
-                ends = np.cumsum([0, *map(len, ids)])
+                ends = np.fromiter(accumulate(map(len, ids), initial=0), np.int64, len(ids) + 1)
                 flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(ends[-1])).tobytes()
-                for w, s, lo, hi in zip(new, back, (ends[:-1] * 4).tolist(), (ends[1:] * 4).tolist()):
-                    known[w] = (flat[lo:hi], None if s == w[1:] else " " + s)
-                got = [known[w] for w in words]
+                for i, own, s, lo, hi in zip(new, ids, back, (ends[:-1] * 4).tolist(), (ends[1:] * 4).tolist()):
+                    form = b" " + s.encode()
+                    got[i] = (flat[lo:hi], None if form == b"".join([surface[p] for p in own]) else form)
+                    table.put(words[i], got[i])
                 sizes = np.fromiter((len(g[0]) for g in got), np.int64, len(got)) // 4
                 odd = [i for i, g in enumerate(got) if g[1] is not None]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([block]), pa.array([bucket], pa.int32()), pa.array([_small(sizes)]), pa.array([_small(np.frombuffer(b"".join([g[0] for g in got]), np.uint32))])]
-                    + [pa.array([odd], pa.list_(pa.int32())), pa.array([[got[i][1] for i in odd]], pa.list_(pa.string()))],
-                    names=["block", "bucket", "sizes", "pieces", "odd", "surfaces"],
+                    + [pa.array([odd], pa.list_(pa.int32())), pa.array([[got[i][1] for i in odd]], pa.list_(pa.binary()))],
+                    names=["block", "bucket", "sizes", "pieces", "odd", "forms"],
                 )
 
-    return asked.mapInArrow(answer, "block string, bucket int, sizes binary, pieces binary, odd array<int>, surfaces array<string>")
-
-
-def _by_number(asked: list[dict], answers: list[dict], dealt: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(ids of all words one after the other, start and end of each word's, decoded forms), by the words' numbers."""
-    answers = {a["bucket"]: a for a in answers}
-    ids, sizes, forms = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
-    for a in sorted(asked, key=lambda a: a["bucket"]):
-        got = answers[a["bucket"]]
-        own = _words_of(a["words"]).to_pylist()
-        for i, form in zip(got["odd"], got["surfaces"]):
-            own[i] = form
-        forms += own
-        ids.append(_large(got["pieces"]))
-        sizes.append(_large(got["sizes"]))
-    place = np.argsort(_large(dealt), kind="stable")  # numbers of the words, bucket by bucket
-    size = np.concatenate(sizes)
-    start, end, form = np.zeros(len(place), np.int64), np.zeros(len(place), np.int64), np.empty(len(place), object)
+    return asked.mapInArrow(answer, "block string, bucket int, sizes binary, pieces binary, odd array<int>, forms array<binary>")
+
+
+def _by_number(answers: list[dict], dealt: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict[int, bytes]]:
+    """(ids of all words one after the other, start and end of each word's, forms of the odd ones), by the words' numbers."""
+    answers = sorted(answers, key=lambda a: a["bucket"])
+    place = np.argsort(dealt, kind="stable")  # numbers of the words, bucket by bucket
+    sizes = [_large(a["sizes"]) for a in answers]
+    size, before = np.concatenate([np.zeros(0, np.int64), *sizes]), accumulate(map(len, sizes), initial=0)
+    if len(size) != len(place):
+        raise ValueError("a block of texts has other words than when it asked for them: the input differs between two readings")
+    odd = {int(place[at + i]): form for a, at in zip(answers, before) for i, form in zip(a["odd"], a["forms"])}
+    start, end = np.empty(len(place), np.int64), np.empty(len(place), np.int64)
     end[place] = np.cumsum(size)
     start[place] = end[place] - size
-    form[place] = forms
-    return np.concatenate(ids), start, end, form
+    return np.concatenate([np.zeros(0, np.int32), *[_large(a["pieces"]).astype(np.int32) for a in answers]]), start, end, odd
+
+
+def _joined(forms: np.ndarray, own: np.ndarray, tail: bytes = b"") -> Iterator[bytes]:
+    """The forms of a text's words and the tail, without the first byte, in slices."""
+    skip = 1
+    for at in range(0, len(own), SLICE):
+        yield b"".join(forms[own[at : at + SLICE]].tolist())[skip:]
+        skip = 0
+    yield tail[skip:]
 
 
-def _texts(row: dict, end_ids: list[int], digest: bool) -> Iterator[tuple]:
-    """The result columns of each text of a block."""
-    ids, start, end, form = _by_number(row["asked"], row["answers"], row["dealt"])
-    sequence, counts = _large(row["sequence"]), _large(row["counts"])
+def _objects(values: list) -> np.ndarray:
+    out = np.empty(len(values), object)
+    out[:] = values
+    return out
+
+
+def _texts(row: dict, surface: list[bytes], end_ids: list[int], digest: bool) -> Iterator[tuple]:
+    """The result columns of each text of a block: (n_tokens, ids_sha256, decoded_sha256), or (ids, decoded)."""
+    ids, start, end, odd = _by_number(row["answers"], _large(row["dealt"]))
+    sequence, counts = _large(row["sequence"]).astype(np.int32), _large(row["counts"])
     bounds = np.concatenate([[0], np.cumsum(counts)]).tolist()
+    size, spans = end - start, list(zip(start.tolist(), end.tolist()))
+    flat = ids.tolist()
+    forms = _objects([b"".join([surface[p] for p in flat[a:b]]) for a, b in spans])
+    for i, form in odd.items():
+        forms[i] = form
     if digest:
-        decimal = np.array([str(i) for i in range(int(ids.max()) + 1 if len(ids) else 0)], object)[ids].tolist()
-        plain = np.empty(len(start), object)
-        plain[:] = [" ".join(decimal[a:b]) for a, b in zip(start.tolist(), end.tolist())]
-        last = [str(i) for i in end_ids]
-    size = end - start
+        decimal = [b" %d" % i for i in range(len(surface))]
+        plain = _objects([b"".join([decimal[p] for p in flat[a:b]]) for a, b in spans])
+        last = b"".join([b" %d" % i for i in end_ids])
+    del flat, spans
     for lo, hi in zip(bounds, bounds[1:]):
         own = sequence[lo:hi]
-        decoded = "".join(form[own].tolist())[1:]
         if digest:
-            line = " ".join(plain[own].tolist() + last)
-            yield int(size[own].sum()) + len(end_ids), hashlib.sha256(line.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
+            of_ids, of_text = hashlib.sha256(), hashlib.sha256()
+            for part in _joined(plain, own, last):
+                of_ids.update(part)
+            for part in _joined(forms, own):
+                of_text.update(part)
+            yield int(size[own].sum()) + len(end_ids), of_ids.hexdigest(), of_text.hexdigest()
         else:
             n = size[own]
             at = np.repeat(start[own] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-            yield np.concatenate([ids[at], np.array(end_ids, np.int64)]).astype(np.int32), decoded
+            yield np.concatenate([ids[at], np.array(end_ids, np.int32)]), b"".join(_joined(forms, own)).decode()
 
 
 def encode(docs: DataFrame, model_path: str, doc_id: str = "doc_id", text: str = "text", end: bool = True, digest: bool = False) -> DataFrame:
@@ -237,9 +297,9 @@ def encode(docs: DataFrame, model_path: str, doc_id: str = "doc_id", text: str =
     raw = model_bytes(model_path)
     spark = docs.sparkSession
     n_buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = block_table(docs.select(F.col(doc_id).alias("id"), text_of(text).alias("text")), n_buckets)
-    asked = blocks.select("block", F.explode("asked").alias("a")).select("block", "a.bucket", "a.words").repartition(n_buckets, "bucket")
-    answers = segment_chunks(asked, raw).groupBy("block").agg(F.collect_list(F.struct("bucket", "sizes", "pieces", "odd", "surfaces")).alias("answers"))
+    rows = docs.select(F.col(doc_id).alias("id"), text_of(text).alias("text"))
+    asked = ask_chunks(rows, n_buckets).repartition(n_buckets, "bucket")
+    answers = segment_chunks(asked, raw).groupBy("block").agg(F.collect_list(F.struct("bucket", "sizes", "pieces", "odd", "forms")).alias("answers"))
     last = [_processor(raw).eos_id()] if end else []
     id_type = docs.schema[doc_id].dataType
     result = [("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())] if digest else [("ids", T.ArrayType(T.IntegerType())), ("decoded", T.StringType())]
@@ -247,15 +307,27 @@ def encode(docs: DataFrame, model_path: str, doc_id: str = "doc_id", text: str =
     kinds = [to_arrow_type(f.dataType) for f in schema]
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        surface = _surfaces(_processor(raw))
+
+        def batch(held: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held), kinds)], names=schema.names)
+
         for b in batches:
             for i in range(b.num_rows):
                 row = {n: c[i].as_py() for n, c in zip(b.schema.names, b.columns)}
-                cols = list(zip(*_texts(row, last, digest)))
-                if cols:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip([row["ids"], *cols], kinds)], names=schema.names)
+                held, words = [], 0
+                for own, n, got in zip(row["ids"], _large(row["counts"]).tolist(), _texts(row, surface, last, digest)):
+                    held.append((own, *got))
+                    words += n
+                    if words >= SLICE:
+                        yield batch(held)
+                        held, words = [], 0
+                if held:
+                    yield batch(held)
+        released()
 
     # a text without any words still has its block's row; a block without words at all has no answers
-    joined = blocks.join(answers, "block", "left").select("ids", "counts", "sequence", "dealt", "asked", F.coalesce("answers", F.array().cast(answers.schema["answers"].dataType)).alias("answers"))
+    joined = block_table(rows, n_buckets).join(answers, "block", "left").select("ids", "counts", "sequence", "dealt", F.coalesce("answers", F.array().cast(answers.schema["answers"].dataType)).alias("answers"))
     return joined.mapInArrow(rebuild, schema)
 
 

@@ -193,6 +193,28 @@ def test_pieces(spark, odd, none, odd_texts):
     assert pieces.encode(none, path).count() == 0
 
 
+def test_pieces_let_go(spark):
+    """A task that keeps two chunks at hand answers as one that keeps all, and the tables stay bounded."""
+    import public_tokenizers
+
+    raw = pieces.model_bytes(public_tokenizers.path("piece_bpe_32k.model"))
+    rng = random.Random(3)
+    docs = spark.createDataFrame([(i, words(rng, 50, 30)) for i in range(20)], "id long, text string").repartition(4)
+    asked = pieces.ask_chunks(docs, 3).cache()
+    key = lambda df: sorted((r.block, r.bucket, bytes(r.sizes), bytes(r.pieces)) for r in df.collect())
+    assert key(pieces.segment_chunks(asked.coalesce(1), raw, 2)) == key(pieces.segment_chunks(asked.coalesce(1), raw))
+    table = pieces.Known(3)
+    for k in range(20):
+        table.put(str(k), (k,))
+        assert table.get(str(k)) == (k,) and len(table.new) <= 3 and len(table.old) <= 3
+    assert table.get("0") is None
+
+
+def test_pieces_of_a_changed_block(spark):
+    with pytest.raises(ValueError, match="differs between two readings"):
+        pieces._by_number([{"bucket": 0, "sizes": pieces._small(np.array([1])), "pieces": pieces._small(np.array([5])), "odd": [], "forms": []}], np.array([0, 0]))
+
+
 # 4: secrets
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
