@@ -255,6 +255,34 @@ def test_secrets(spark, odd, none):
         assert (r.text or "") == "".join(want) and (r.text is None) == (plain is None)
     assert secrets.mask(odd).columns == odd.columns and secrets.mask(odd).count() == odd.count()
     assert secrets.scan_versions(none)[1].count() == 0
+    clash = docs.withColumn("spans", F.lit(1)).withColumn("BLOB", F.lit(2)).withColumn("__blob", F.lit(3))
+    assert secrets.scan_versions(clash)[1].columns == ["doc_id", "__blob", "blob", "spans"]
+    assert secrets.mask(clash).columns == clash.columns and {r["__blob"] for r in secrets.mask(clash).collect()} == {3}
+
+
+def test_secrets_beyond_the_base_kinds(spark):
+    made = {
+        "github": "ghp_" + "a1B2" * 9, "slack": "xoxb-123456789012-abc", "google": "AIza" + "x-_4Y" * 7, "jwt": "eyJhbGciOiJIUzI1.eyJzdWIiOiIxMjM0.c2lnbmF0dXJl",
+        "private": "-----BEGIN RSA PRIVATE KEY-----\nMIIEabc+/=\nxyz\n", "login": "postgres://me:hidden@",
+    }
+    docs = spark.createDataFrame([(k, f"\U0001f600 {v} token = abcdefgh") for k, v in made.items()], "doc_id string, text string")
+    for r in secrets.scan_versions(docs)[1].collect():
+        n = len(made[r.doc_id])
+        assert [(s.kind, s.start, s.end) for s in r.spans] == [(r.doc_id, 2, 2 + n), ("assign", 3 + n, 3 + n + 16)]
+    assert {k.kind for k in secrets.MORE} == set(made)
+    long = spark.createDataFrame([(1, "eyJ" * 50_000 + " https://" + "a:" * 400_000)], "doc_id long, text string")
+    assert secrets.scan_versions(long)[1].first().spans == []
+
+
+def test_secret_ledger_of_the_query(spark, tmp_path):
+    """The later commit scans only blobs that the earlier one lacks, and its copies get the earlier findings."""
+    rows = [(i, f"token = abcdefgh{i % 7} AKIAABCDEFGHIJK{i % 3}") for i in range(40)] + [(None, "token = abcdefgh0 AKIAABCDEFGHIJK0"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    first = secrets.entries(docs.filter("doc_id <= 19")).cache()
+    assert first.count() == 20 and secrets.entries(docs.filter("doc_id > 19"), ledger=first).count() == 1
+    got = {(r.doc_id, r.spans, r.base_sha256) for r in secrets.op4_blob_ledger_secrets(spark, str(tmp_path)).collect()}
+    assert got == {(i, _spans(x), hashlib.sha256(_spans(x).encode()).hexdigest()) for i, x in rows}
 
 
 # 5: sharding
