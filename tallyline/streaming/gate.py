@@ -97,15 +97,12 @@ class Session:
             self.evidence = [*self.evidence, row][-p.max_collect_frames :]
         candidate = self._candidate(p)
         agree = sum(V.near(candidate[2], e) for e in (V.eligible(x[0]) for x in self.evidence) if e)
-        if candidate[0] in ("AUTHORIZED", "UNREGISTERED") and agree >= p.lock_repeat:
-            self.state = "DECIDED"
-        elif self.ready >= p.max_ready_samples:
-            self.state = "DECIDED"
+        timed_out = self.ready >= p.max_ready_samples
+        # a candidate is shown to nobody before the guard or the time-out lets it through
+        if (candidate[0] in ("AUTHORIZED", "UNREGISTERED") and agree >= p.lock_repeat) or timed_out:
             if candidate[0] == "NO_PLATE":
                 candidate[:2] = ["UNCERTAIN", "LOG"]
-        self.decision = candidate
-        if self.state == "DECIDED" and self.decided_at is None:
-            self.decided_at = time
+            self.state, self.decision, self.decided_at = "DECIDED", candidate, time
 
 
 def _none(x) -> float | None:

@@ -103,13 +103,26 @@ def test_machine():
     s, out = _drive([(True, blank)] * 7, p)
     assert out[-1] == "DECIDED" and s.decision[:2] == ["UNCERTAIN", "LOG"]
     s, out = _drive([(True, blank)] * 2 + [(True, ["30F12345", 0.9, "", None, None])] + [(True, blank)] * 20)
-    assert out[-1] == "READY_TO_DECIDE"  # a single read waits for the time-out
+    assert out[-1] == "READY_TO_DECIDE" and s.decision is None and s.decided_at is None  # a single read waits for the time-out
+    s, out = _drive([(True, blank)] * 2 + [(True, ["30F12345", 0.9, "", None, None])] + [(True, blank)] * 20, Params(max_ready_samples=15))
+    assert out.index("DECIDED") == 16 and s.decision[:3] == ["UNREGISTERED", "DENY_ALERT", "30F12345"] and s.decided_at == 16.0
     s, out = _drive([(True, read), (False, None), (True, read), (True, read), (True, read)])
     assert out == ["TRACKING", "IDLE", "TRACKING", "TRACKING", "READY_TO_DECIDE"]
     s, _ = _drive([(True, blank)] * 100)
     assert len(s.evidence) == 50
 
 
+def test_nothing_is_decided_before_the_guard(spark, registry):
+    """One sure read and then blanks: no row before DECIDED has a status, an action or a plate."""
+    rows = [("session-9", i, float(i), True, "30F12345" if i == 3 else "", 0.95, "Red", 0.9, "frame", 0) for i in range(40)]
+    rows += [("session-8", i, float(i), True, "30F12345" if i in (3, 30) else "", 0.95, "Red", 0.9, "frame", 0) for i in range(40)]
+    got = gate.replay(spark, spark.createDataFrame(rows, gate.FRAME), registry).collect()
+    assert {r.state for r in got if r.session_id == "session-9"} == {"TRACKING", "READY_TO_DECIDE"}
+    assert {r.seq for r in got if r.state == "DECIDED"} == set(range(30, 40))
+    for r in got:
+        assert (r.state == "DECIDED") == (r.status is not None) == (r.action is not None) == (r.plate is not None) == (r.decided_at == 30.0)
+
+
 def test_stream_equals_replay(spark, registry, tmp_path):
     rows = []
     for k in range(6):
