@@ -74,6 +74,24 @@ def released() -> None:
         trim(0)
 
 
+class Recent:
+    """A table of what was asked for last: two parts of at most `most`; the older one is let go when the newer is full."""
+
+    def __init__(self, most: int):
+        self.most, self.new, self.old = most, {}, {}
+
+    def get(self, key):
+        got = self.new.get(key)
+        if got is None and (got := self.old.get(key)) is not None:
+            self.put(key, got)
+        return got
+
+    def put(self, key, value) -> None:
+        if len(self.new) >= self.most:
+            self.new, self.old = {}, self.new
+        self.new[key] = value
+
+
 def clash_free(names: list[str], wanted: str) -> str:
     """`wanted`, with underscores put before it until no input column has that name (case aside)."""
     taken = {n.lower() for n in names}

@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from tallyline.llm import kernel
-from tallyline.llm.common import batches_of, released, table, text_of
+from tallyline.llm.common import Recent, batches_of, released, table, text_of
 
 MARK = "▁"
 BLOCK_MB = 8.0
@@ -175,24 +175,6 @@ def block_table(docs: DataFrame, n_buckets: int) -> DataFrame:
     return docs.select("id", "text").mapInArrow(build, T.StructType([T.StructField(*f) for f in fields]))
 
 
-class Known:
-    """The last chunks asked for: two tables of at most `most`; the older one is let go when the newer is full."""
-
-    def __init__(self, most: int = KNOWN):
-        self.most, self.new, self.old = most, {}, {}
-
-    def get(self, word: str):
-        got = self.new.get(word)
-        if got is None and (got := self.old.get(word)) is not None:
-            self.put(word, got)
-        return got
-
-    def put(self, word: str, value: tuple) -> None:
-        if len(self.new) >= self.most:
-            self.new, self.old = {}, self.new
-        self.new[word] = value
-
-
 def segment_chunks(asked: DataFrame, raw: bytes, known: int = KNOWN) -> DataFrame:
     """(block, bucket, words) to (block, bucket, sizes, pieces, odd, forms), in the order asked.
 
@@ -202,7 +184,7 @@ def segment_chunks(asked: DataFrame, raw: bytes, known: int = KNOWN) -> DataFram
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sp = _processor(raw)
         surface, marker = _surfaces(sp), [sp.piece_to_id(MARK)]
-        table = Known(known)
+        table = Recent(known)
         for b in batches:
             for block, bucket, packed in zip(*[c.to_pylist() for c in b.columns]):
                 words = _words_of(packed).to_pylist()

@@ -1,20 +1,26 @@
 """Toxicity by noisy-channel deobfuscation.
 
 1. A character language model, trigram counts over all texts, is summed on the cluster (a table of 64**3 cells at most).
-2. Each word that looks written to hide (leet characters, marks between its letters, a letter three times or more, or single
-   letters in a row) is a lattice: a character stands for itself or for the letters it imitates, a mark may be nothing, and a
-   repeated letter may be one or two. Viterbi decoding finds the likeliest letters under the model; other words are only
-   lower-cased and freed of marks around them. A different word is decoded once in a batch.
-3. The restored text is scored by logistic regression on the presence of words and of word beginnings. The features are those
-   most bound to the label, and weights are fitted, on about MAX_TRAIN labelled rows, chosen by a hash of their ids.
+2. Each word that looks written to hide (leet characters, marks between its letters, a letter three times or more) is a lattice: a
+   character stands for itself or for the letters it imitates, or for nothing at a cost that says how often it is punctuation where it
+   stands, and a repeated one may be one or two. So is each run of short words, half of them single letters: a space between them is
+   one or nothing. A word of digits may be a number, which is no word. Viterbi decoding finds the likeliest letters under the model;
+   other words are only lower-cased and freed of marks around them. What a task decoded last it keeps at hand, RECENT words or
+   twice so many.
+3. The restored text is scored by logistic regression on the presence of words and of word beginnings (so that other endings
+   of a word are found, and other words that begin like it too). The features are the MAX_FEATURES that are most bound to the label of
+   those that MIN_DOCS toxic rows have, and that are twice as frequent in toxic rows as in all; they are the size of the model,
+   and bound what comes to the driver. They are chosen, and weights fitted, on about MAX_TRAIN labelled rows, chosen by a hash of their ids.
 
 Whole texts are read. Defined cases: a null or empty text has no features and gets the base score; without labels of both kinds
-every score is 0; repeated rows are scored each; labels that repeat for an id count once, as toxic if any is; a word of any
-length is decoded whole, as the lattice is walked once; an empty table gives no rows.
+every score is 0; repeated rows are scored each; labels that repeat for an id count once, as toxic if any is, and of rows with that id
+the one with the least text is learned from; a word of any length is decoded whole, as the lattice is walked once; an empty table gives
+no rows; columns of the input named score or predicted are replaced.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,10 +30,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyline.llm import kernel, language
-from tallyline.llm.common import batches_of, hash_share, table, text_of, written
+from tallyline.llm.common import Recent, batches_of, hash_share, table, text_of, written
 
 MAX_TRAIN, MAX_FEATURES, MIN_DOCS, BEGINNINGS, BAR = 12_000, 1000, 4, (3, 4, 5, 6), 0.3
 CLASSES = 64
+#: decoded words that a task keeps at hand
+RECENT = 100_000
 
 # Letters that a character imitates.
 LEET = {
@@ -35,6 +43,7 @@ LEET = {
     "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l", "¥": "y",
 }
 MARKS = set(".-_*~'`^,:;/\\#%&=")
+THRICE = re.compile(r"(.)\1\1")
 
 
 def _class(letter: np.ndarray) -> np.ndarray:
@@ -72,11 +81,25 @@ class Channel:
         low = (pair + 0.5) / (pair.sum(1, keepdims=True) + 0.5 * CLASSES)
         p = (n + 5.0 * low[None]) / (n.sum(2, keepdims=True) + 5.0)
         self.log = np.log(p)
+        self._start()
+
+    def _start(self) -> None:
+        self.flat = self.log.ravel().tolist()
+        self.known = Recent(RECENT)
+
+    def __getstate__(self) -> dict:
+        return {"log": self.log}
+
+    def __setstate__(self, state: dict) -> None:
+        self.log = state["log"]
+        self._start()
 
     def choices(self, word: str) -> list[list[tuple[str, float]]] | None:
         """For each place of the lattice, (letters, cost) that may stand there; None if the word hides nothing."""
         out: list[list[tuple[str, float]]] = []
         hidden, i, n = False, 0, len(word)
+        plain = [k for k, c in enumerate(word) if c.isalpha()]
+        lo, hi = (plain[0], plain[-1]) if plain else (0, n)
         while i < n:
             c = word[i]
             run = 1
@@ -88,69 +111,85 @@ class Channel:
                     out.append([(c, 0.0), (c * 2, 0.0)])
                 else:
                     out.append([(c * run, 0.0)])
+            elif c == " ":
+                hidden = True
+                out.append([(" ", 0.0), ("", 0.5)])
             elif c in LEET:
                 hidden = True
-                own = [(x * k, 0.7 * k) for x in LEET[c] for k in ({1, min(run, 2)})]
-                out.append([*own, ("", 8.0)])
+                # nothing: dear between letters, cheap where marks end a word, free for a uniform run of marks there
+                around, mark = not lo < i < hi, not c.isdigit()
+                nothing, letter = (4.0, 0.7) if around else (8.0, 0.7)
+                if around and mark and run >= 3:
+                    nothing, letter = 0.0, 4.7
+                elif around and c == "!":
+                    nothing, letter = 0.5, 2.7
+                own = [(x * k, letter + (1.5 if k < min(run, 2) and run < 3 else 0.0)) for x in LEET[c] for k in sorted({1, min(run, 2)})]
+                out.append([*own, ("", nothing * min(run, 2))])
             else:
                 hidden |= c in MARKS
                 out.append([("", 0.2)] if c in MARKS else [("", 2.0)])
             i += run
         return out if hidden else None
 
-    def decode(self, word: str) -> str:
-        """The likeliest letters of a lower-case word."""
-        places = self.choices(word)
-        if places is None:
-            return word
-        log = self.log
-        number = lambda x: int(_class(np.array([ord(x)]))[0])
+    def best(self, places: list[list[tuple[str, float]]]) -> tuple[float, str]:
+        """(score, letters) of the likeliest way through a lattice: log-probability of the letters and a gap after them, less costs."""
+        flat = self.flat
         # state: the last two letter classes; value: score and a chain of letters back to the start
-        states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
+        states: dict[int, tuple[float, tuple | None]] = {0: (0.0, None)}
         for options in places:
-            after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
-            coded = [(letters, cost, [number(x) for x in letters]) for letters, cost in options]
-            for (a, b), (score, chain) in states.items():
+            after: dict[int, tuple[float, tuple | None]] = {}
+            coded = [(letters, cost, [_code(x) for x in letters]) for letters, cost in options]
+            for last, (score, chain) in states.items():
                 for letters, cost, codes in coded:
-                    s, x, y = score - cost, a, b
+                    s, at = score - cost, last
                     for code in codes:
-                        s += log[x, y, code]
-                        x, y = y, code
-                    if (x, y) not in after or after[x, y][0] < s:
-                        after[x, y] = (s, (letters, chain) if letters else chain)
+                        s += flat[at * CLASSES + code]
+                        at = at % CLASSES * CLASSES + code
+                    held = after.get(at)
+                    if held is None or held[0] < s:
+                        after[at] = (s, (letters, chain) if letters else chain)
             states = after
-        _, chain = max(((s + log[a, b, 0], chain) for (a, b), (s, chain) in states.items()), key=lambda v: v[0])
+        score, chain = max(((s + flat[at * CLASSES], chain) for at, (s, chain) in states.items()), key=lambda v: v[0])
         found = []
         while chain is not None:
             found.append(chain[0])
             chain = chain[1]
-        return "".join(reversed(found))
+        return score, "".join(reversed(found))
+
+    def decode(self, word: str) -> str:
+        """The likeliest letters of a lower-case word; none where it is rather a number, two nats a digit."""
+        places = self.choices(word)
+        if places is None:
+            return word
+        score, found = self.best(places)
+        return "" if not any(c.isalpha() for c in word) and score < -2.0 * len(word) else found
 
     def restore(self, token: str) -> str:
-        """A token lower-cased, with marks around it cut off and what it hides decoded."""
-        if token.isalpha():
-            word = token.lower()
-        else:
-            word = token.lower()
+        """A token lower-cased, with marks around it cut off and what it hides decoded; a run of short words may give several."""
+        word = token.lower()
+        if not word.isalpha():
             lo, hi = 0, len(word)
-            while hi > lo and not word[hi - 1].isalnum():  # marks at the end are punctuation
+            while hi > lo and not (word[hi - 1].isalnum() or word[hi - 1] in LEET):  # marks that imitate nothing are punctuation
                 hi -= 1
             while lo < hi and not (word[lo].isalnum() or word[lo] in LEET):
                 lo += 1
             word = word[lo:hi]
-            if word.isdigit():
-                return ""
-        if word.isalpha() and not _thrice(word):
+        if word.isalpha() and not THRICE.search(word):
             return word
-        return self.decode(word)
+        got = self.known.get(word)
+        if got is None:
+            got = self.decode(word)
+            self.known.put(word, got)
+        return got
 
 
-def _thrice(word: str) -> bool:
-    return any(a == b == c for a, b, c in zip(word, word[1:], word[2:]))
+def _code(x: str) -> int:
+    n = ord(x)
+    return 0 if x == " " else n - 96 if 97 <= n <= 122 else 27 + n % (CLASSES - 27)
 
 
 def tokens(column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """(different tokens, their numbers in the order of the texts, text of each); single letters in a row make one more token."""
+    """(different tokens, their numbers in the order of the texts, text of each); a run of short words makes one more token, spaces and all."""
     data, offsets = kernel.text_bytes(column)
     ws, we, first = kernel.words(data, offsets, kernel.SPACE)
     h = kernel.hashes(data, ws, we, kernel.SPACE)
@@ -158,33 +197,35 @@ def tokens(column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     raw = data.tobytes()
     names = [raw[s:e].decode("utf-8", "replace") for s, e in zip(ws[at].tolist(), we[at].tolist())]
     text = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    single = np.array([len(x) == 1 and (x.isalpha() or x in LEET) for x in names], bool)[code] if len(names) else np.zeros(0, bool)
-    edge = np.diff(np.concatenate([[0], single.astype(np.int8), [0]]))
-    more_code, more_text, known = [], [], {x: i for i, x in enumerate(names)} if single.any() else {}
-    for lo, hi in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist()):
-        if hi - lo < 3:
-            continue
-        for t in np.unique(text[lo:hi]).tolist():
-            own = code[lo:hi][text[lo:hi] == t]
-            if len(own) >= 3 and len(set(own.tolist())) > 1:
-                joined = "".join(names[i] for i in own)
-                if joined not in known:
-                    known[joined] = len(names)
-                    names.append(joined)
-                more_code.append(known[joined])
-                more_text.append(t)
+    size = np.array([len(x) if len(x) <= 2 and all(c.isalpha() or c in LEET for c in x) else 0 for x in names], np.int8)[code] if len(names) else np.zeros(0, np.int8)
+    new = np.flatnonzero(np.concatenate([[True], ((size[1:] > 0) != (size[:-1] > 0)) | (text[1:] != text[:-1])])) if len(size) else np.zeros(0, np.int64)
+    end, ones = np.append(new[1:], len(size)), np.concatenate([[0], np.cumsum(size == 1)])
+    n, single = end - new, ones[end] - ones[new]
+    more_code, more_text = [], []
+    known = {x: i for i, x in enumerate(names)}
+    for k in np.flatnonzero((size[new] > 0) & (n >= 3) & (single >= 2) & (2 * single >= n)).tolist() if len(new) else []:
+        own = code[new[k] : end[k]].tolist()
+        if len(set(own)) > 1:
+            joined = " ".join([names[i] for i in own])
+            if joined not in known:
+                known[joined] = len(names)
+                names.append(joined)
+            more_code.append(known[joined])
+            more_text.append(text[new[k]])
     return names, np.concatenate([code, np.array(more_code, np.int64)]), np.concatenate([text, np.array(more_text, np.int64)])
 
 
-def word_features(word: str) -> list[str]:
-    return ["=" + word, *[word[:k] for k in BEGINNINGS if len(word) > k]] if word else []
+def word_features(words: str) -> list[str]:
+    """Features of one restored token: each word, and its beginnings."""
+    return [f for word in words.split() for f in ("=" + word, *[word[:k] for k in BEGINNINGS if len(word) > k])]
 
 
 def _sample(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
-    """(doc_id, text, toxic) of about `most` labelled rows. Their ids, at most twice so many, are broadcast."""
-    known = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("__toxic"))
+    """(doc_id, text, toxic) of about `most` labelled ids, at most twice so many, which are broadcast; one row an id."""
+    known = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = hash_share(known, F.col("doc_id").cast("string"), most).limit(2 * most)
-    return docs.join(F.broadcast(chosen), "doc_id").select(F.col("doc_id"), text_of().alias("text"), F.col("__toxic").cast("int").alias("toxic"))
+    rows = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(chosen), "doc_id")
+    return rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").cast("int").alias("toxic"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, channel: Channel, most: int = MAX_TRAIN) -> tuple[dict[str, float], float]:

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -11,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tallyline.llm import chosenpath, fixity, kernel, language, leakage, pieces, quality, secrets, sharding, spans, toxicity
+from tallyline.llm import chosenpath, common, fixity, kernel, language, leakage, pieces, quality, secrets, sharding, spans, toxicity
 
 from .conftest import words
 
@@ -203,7 +204,7 @@ def test_pieces_let_go(spark):
     asked = pieces.ask_chunks(docs, 3).cache()
     key = lambda df: sorted((r.block, r.bucket, bytes(r.sizes), bytes(r.pieces)) for r in df.collect())
     assert key(pieces.segment_chunks(asked.coalesce(1), raw, 2)) == key(pieces.segment_chunks(asked.coalesce(1), raw))
-    table = pieces.Known(3)
+    table = common.Recent(3)
     for k in range(20):
         table.put(str(k), (k,))
         assert table.get(str(k)) == (k,) and len(table.new) <= 3 and len(table.old) <= 3
@@ -552,15 +553,50 @@ def channel():
     return toxicity.Channel(cells, n)
 
 
-@pytest.mark.parametrize("hidden, plain", [("1d10t", "idiot"), ("i.d.i.o.t", "idiot"), ("st-up-id", "stupid"), ("p@thetic", "pathetic"), ("l0ser!!", "loser"), ("TRASH###", "trash"), ("moroooon", "moron"), ("cl0wn", "clown"), ("Stupid,", "stupid"), ("12345", ""), ("", ""), ("|", "")])
+@pytest.mark.parametrize("hidden, plain", [("1d10t", "idiot"), ("i.d.i.o.t", "idiot"), ("st-up-id", "stupid"), ("p@thetic", "pathetic"), ("l0ser!!", "loser"), ("TRASH###", "trash"), ("moroooon", "moron"), ("cl0wn", "clown"), ("Stupid,", "stupid"), ("12345", ""), ("", ""), ("|", ""), ("tr@$h", "trash"), ("tra5h", "trash"), ("id10+", "idiot"), ("idio+", "idiot"), ("i d io t", "idiot"), ("s t u p i d c l o w n", "stupid clown"), ("cl0wn!", "clown"), ("trash$$$", "trash")])
 def test_channel(channel, hidden, plain):
     assert channel.restore(hidden) == plain
 
 
 def test_spaced_words():
     names, code, text = toxicity.tokens(pa.array(["you i d i o t here", "a a a a", None, "x y"]))
-    assert "idiot" in [names[c] for c, t in zip(code, text) if t == 0]
+    assert "i d i o t" in [names[c] for c, t in zip(code, text) if t == 0]
     assert {names[c] for c, t in zip(code, text) if t == 1} == {"a"}
+    names, code, text = toxicity.tokens(pa.array(["you i d io t", "st u p id c", "of to in a", "x y"]))
+    assert [names[c] for c, t in zip(code, text) if " " in names[c]] == ["i d io t", "st u p id c"]
+
+
+def test_channel_against_all_ways(channel):
+    """Viterbi's best way has the best score of all ways through the lattice, each scored letter by letter."""
+    rng = random.Random(17)
+    words_ = ["cra$$", "a55", "a$$", "b1+", "1337", "i d io t", "@@@x", "wow!!", "(l0wn", "mooo.n", "5!", "x$$$", "é1é"]
+    words_ += ["".join(rng.choice("idotscl01345$!+@(.-* ") for _ in range(rng.randrange(1, 8))) for _ in range(300)]
+    checked = 0
+    for w in words_:
+        places = channel.choices(w)
+        if places is None:
+            continue
+        by = {}
+        for way in itertools.product(*places):
+            found, s, a, b = "".join(x for x, _ in way), -sum(c for _, c in way), 0, 0
+            for x in [*found, " "]:
+                n = ord(x)
+                c = 0 if x == " " else n - 96 if "a" <= x <= "z" else 27 + n % 37
+                s, a, b = s + channel.log[a, b, c], b, c
+            by[found] = max(s, by.get(found, -np.inf))
+        score, found = channel.best(places)
+        assert abs(score - max(by.values())) < 1e-9 and abs(by[found] - score) < 1e-9
+        checked += 1
+    assert checked > 200
+
+
+def test_channel_reads_leet_at_the_end():
+    text = " ".join(["crass ass bit the glass and a bit of crass mass is in a pass to it"] * 80)
+    letter, _ = language.letters(pa.array([text]))
+    c = toxicity._class(letter)
+    cells, n = np.unique((c[:-2] * 64 + c[1:-1]) * 64 + c[2:], return_counts=True)
+    channel = toxicity.Channel(cells, n)
+    assert [channel.restore(x) for x in ("cra$$", "a55", "a$$", "b1+", "A$$$", "a.", "mass,")] == ["crass", "ass", "ass", "bit", "a", "a", "mass"]
 
 
 def test_toxicity(spark, odd, none):
