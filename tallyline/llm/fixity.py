@@ -7,13 +7,16 @@ nodes that differ are joined, so that an intact file costs one comparison and a
 A record's place in the tree is its position in the manifest of the file; a record that a replica lacks leaves its place empty.
 Hashes cover lengths, not absolute offsets, so that a record of another length changes no other branch.
 
+Files of single records that are gzipped each, as crawls come, are read too; offsets and lengths are then those of the gzip members.
+
 Defined cases: a null url or body is empty; records of one page are kept in the order of url and digest; a null page_id is in
-file -1; records that both replicas lack don't exist; an empty table gives no rows.
+one of files -1 to -NULL_FILES, by its url and digest; other columns of pages are not carried; records that both replicas lack don't exist; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -23,7 +26,7 @@ from pyspark.sql import Window as W
 
 from tallyline.llm.common import table, written
 
-FANOUT, PER_FILE = 16, 512
+FANOUT, PER_FILE, NULL_FILES = 16, 512, 4096
 
 
 def record_text(url: Column, body: Column) -> Column:
@@ -50,6 +53,35 @@ def parse_records(raw: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]
         at = stop + 4
 
 
+def members(raw: bytes) -> Iterator[tuple[int, int, bytes]]:
+    """(offset, length, content) of each gzip member of a file. Raises ValueError where one is torn."""
+    at, step = 0, 1 << 16
+    while at < len(raw):
+        d, parts, to = zlib.decompressobj(31), [], at
+        try:
+            while not d.eof and to < len(raw):
+                parts.append(d.decompress(raw[to : to + step]))
+                to += step
+        except zlib.error as e:
+            raise ValueError(f"no gzip member at byte {at}") from e
+        if not d.eof:
+            raise ValueError(f"the gzip member at byte {at} is torn")
+        size = min(to, len(raw)) - at - len(d.unused_data)
+        yield at, size, b"".join(parts)
+        at += size
+
+
+def stored_records(raw: bytes) -> Iterator[tuple[int, int, bytes, dict[str, str], bytes]]:
+    """(offset, length, record, headers, body) of a file, plain or with a gzip member a record; offsets and lengths are as stored."""
+    if not raw.startswith(b"\x1f\x8b"):
+        for at, size, headers, body in parse_records(raw):
+            yield at, size, raw[at : at + size], headers, body
+        return
+    for at, size, whole in members(raw):
+        for _, _, headers, body in parse_records(whole):
+            yield at, size, whole, headers, body
+
+
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """(file, position, offset, length, digest, url, body) of the records of all files under path; a task reads a file at a time."""
 
@@ -59,7 +91,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
         for b in batches:
             for name, raw in zip(b.column(0).to_pylist(), b.column(1)):
                 whole = raw.as_py()
-                got = [(name, i, o, n, hashlib.sha256(whole[o : o + n]).hexdigest(), h.get("warc-target-uri"), body) for i, (o, n, h, body) in enumerate(parse_records(whole))]
+                got = [(name, i, o, n, hashlib.sha256(record).hexdigest(), h.get("warc-target-uri"), body) for i, (o, n, record, h, body) in enumerate(stored_records(whole))]
                 if got:
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*got)], names=["file", "position", "offset", "length", "digest", "url", "body"])
 
@@ -116,8 +148,9 @@ def _raised(levels: list[DataFrame], level: int) -> DataFrame:
 def page_records(pages: DataFrame) -> DataFrame:
     """(page_id, file, length, digest, order columns) of each page as a record; PER_FILE page ids share a file."""
     text = record_text(F.col("url"), F.col("html"))
-    file = F.coalesce(F.floor(F.col("page_id") / PER_FILE), F.lit(-1)).cast("long")
-    return pages.select("page_id", file.alias("file"), F.coalesce("url", F.lit("")).alias("url"), F.octet_length(text).cast("long").alias("length"), F.sha2(text.cast("binary"), 256).alias("digest"))
+    rows = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), F.octet_length(text).cast("long").alias("length"), F.sha2(text.cast("binary"), 256).alias("digest"))
+    file = F.coalesce(F.floor(F.col("page_id") / PER_FILE), -1 - F.pmod(F.xxhash64("url", "digest"), F.lit(NULL_FILES))).cast("long")
+    return rows.select("page_id", file.alias("file"), "url", "length", "digest")
 
 
 def op6_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,14 +2,16 @@
 
 Letters are lower-cased; every other character is one word gap. The n-grams of 1 to 3 characters, gaps included, are hashed to
 2**16 columns. Training counts columns by language, on about MAX_TRAIN texts that are chosen by a hash of their ids, spread
-over the cluster; the log-probability matrix (languages x columns, a fixed size) is broadcast. Scoring gathers the rows of the
+over the cluster; the log-probability matrix, of at most MAX_LANGUAGES x columns, is broadcast, with the share of each language in
+the training texts as its prior. Scoring gathers the rows of the
 matrix for the n-grams of a batch of texts and sums them by text; no count is limited and whole texts are read.
 
 The score is the posterior of the predicted language, with the log-odds of a text of n n-grams scaled by TEMPERATURE / sqrt(n), as
 neighbouring n-grams repeat each other's evidence.
 
 Defined cases: a null text, or one without a letter, is `und` with score 0; languages with equal posteriors go to the lesser
-name; without any usable training row every text is `und`; repeated rows are scored each; an empty table gives no rows.
+name; without any usable training row every text is `und`; repeated rows are scored each; an empty table gives no rows; more
+languages than MAX_LANGUAGES are a ValueError; columns of the input are kept, but that those named like what is added are replaced.
 """
 
 from __future__ import annotations
@@ -21,9 +23,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyline.llm.common import batches_of, hash_share, table, text_of
+from tallyline.llm.common import batches_of, hash_share, table, text_of, written
 
-BITS, ORDERS, MAX_TRAIN, TEMPERATURE = 16, (1, 2, 3), 8000, 0.25
+BITS, ORDERS, MAX_TRAIN, MAX_LANGUAGES, TEMPERATURE = 16, (1, 2, 3), 8000, 200, 0.25
 #: text that a task works on at once: about 60 bytes of arrays for each of its characters
 BATCH_MB = 2.0
 _U = np.uint32
@@ -46,27 +48,26 @@ _LETTER: np.ndarray | None = None
 
 
 def letters(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(letters, 0 for a gap, with one gap before each text and after all; first place of each text and one more)."""
+    """(letters, 0 for a gap, with a gap before and after each text; first place of each text and one more)."""
     global _LETTER
     if _LETTER is None:
         _LETTER = _classes()
-    joined = ("\n" + "\n".join(x or "" for x in texts.to_pylist()) + "\n").encode("utf-32-le", "surrogatepass")
+    joined = "".join(f"\n{x or ''}\n" for x in texts.to_pylist()).encode("utf-32-le", "surrogatepass")
     code = np.frombuffer(joined, _U)
     size = np.array([len(x or "") for x in texts.to_pylist()], np.int64)
-    first = np.concatenate([[0], np.cumsum(size + 1)])
+    first = np.concatenate([[0], np.cumsum(size + 2)])
     low = code < (1 << 16)
     letter = _LETTER[np.where(low, code, 0)]
     if not low.all():
-        for i in np.flatnonzero(~low):
-            x = chr(code[i])
-            letter[i] = ord(x.lower()) if x.isalpha() and len(x.lower()) == 1 else (code[i] if x.isalpha() else 0)
+        rare, which = np.unique(code[~low], return_inverse=True)
+        small = [(x.lower() if len(x.lower()) == 1 else x) if x.isalpha() else "\0" for x in map(chr, rare.tolist())]
+        letter[~low] = np.array([ord(x) for x in small], _U)[which]
     return letter, first
 
 
 def grams(letter: np.ndarray, first: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each order: (column, text) of the n-grams; a run of gaps is one gap, and no n-gram reaches over two texts."""
     text = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    text = np.append(text, len(first) - 2)
     keep = np.ones(len(letter), bool)
     keep[1:] = (letter[1:] > 0) | (letter[:-1] > 0) | (text[1:] != text[:-1])
     letter, text = letter[keep], text[keep]
@@ -81,8 +82,8 @@ def grams(letter: np.ndarray, first: np.ndarray) -> Iterator[tuple[np.ndarray, n
         yield (h >> _U(32 - BITS))[ok], text[: len(h)][ok]
 
 
-def train(docs: DataFrame, label: str = "lang", text: str = "text", key: str = "doc_id", most: int = MAX_TRAIN) -> tuple[list[str], np.ndarray]:
-    """(languages, log-probability matrix) from about `most` rows with a label, chosen by a hash of their key.
+def train(docs: DataFrame, label: str = "lang", text: str = "text", key: str = "doc_id", most: int = MAX_TRAIN) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(languages, log-probability matrix, log priors) from about `most` rows with a label, chosen by a hash of their key.
 
     A count comes to the driver, and summed counts of at most languages x 2**BITS cells.
     """
@@ -91,8 +92,11 @@ def train(docs: DataFrame, label: str = "lang", text: str = "text", key: str = "
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
+        texts: dict[str, int] = {}
         for b in batches_of(batches, BATCH_MB):
             names = np.array(b.column(0).to_pylist(), object)
+            for name in names:
+                texts[name] = texts.get(name, 0) + 1
             letter, first = letters(b.column(1))
             for column, text_no in grams(letter, first):
                 for name in set(names):
@@ -101,29 +105,37 @@ def train(docs: DataFrame, label: str = "lang", text: str = "text", key: str = "
         for name, n in total.items():
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at)), pa.array(at.astype(np.int32)), pa.array(n[at])], names=["label", "column", "n"])
+        # column -1: texts of the language
+        yield pa.RecordBatch.from_arrays([pa.array(list(texts), pa.string()), pa.array([-1] * len(texts), pa.int32()), pa.array(list(texts.values()), pa.int64())], names=["label", "column", "n"])
 
     counts = rows.select("label", "text").mapInArrow(count, "label string, column int, n long").groupBy("label", "column").agg(F.sum("n").alias("n"))
+    counts = written(counts, "columns")
+    names = [r[0] for r in counts.select("label").distinct().orderBy("label").limit(MAX_LANGUAGES + 1).collect()]
+    if len(names) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     got = counts.toPandas()
-    names = sorted(got.label.unique())
-    matrix = np.ones((len(names), 1 << BITS))
-    matrix[[names.index(x) for x in got.label], got.column] += got.n
-    return names, np.log(matrix / matrix.sum(1, keepdims=True))
+    place = got.label.map({x: i for i, x in enumerate(names)}).to_numpy(np.int64)
+    texts = (got.column == -1).to_numpy()
+    matrix, prior = np.ones((len(names), 1 << BITS)), np.zeros(len(names))
+    matrix[place[~texts], got.column[~texts]] += got.n[~texts]
+    prior[place[texts]] = got.n[texts]
+    return names, np.log(matrix / matrix.sum(1, keepdims=True)), np.log(prior / max(prior.sum(), 1.0))
 
 
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text", lang: str = "lang_pred", score: str = "score") -> DataFrame:
+def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], text: str = "text", lang: str = "lang_pred", score: str = "score") -> DataFrame:
     """docs with `lang` and `score`; columns of docs with these names are replaced."""
-    names, matrix = model
-    sent = docs.sparkSession.sparkContext.broadcast((names, np.ascontiguousarray(matrix, np.float32)))
+    names, matrix, prior = model
+    sent = docs.sparkSession.sparkContext.broadcast((names, np.ascontiguousarray(matrix, np.float32), prior))
     keep = [c for c in docs.columns if c.lower() not in (lang.lower(), score.lower())]
     carried = docs.select(*[F.col(f"`{c}`") for c in keep])
     at = keep.index(text)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, table = sent.value
+        names, table, prior = sent.value
         for b in batches_of(batches, BATCH_MB, text):
             letter, first = letters(b.column(at))
             n = b.num_rows
-            lettered = np.diff(np.concatenate([[0], np.cumsum(letter > 0)])[np.append(first[:-1], len(letter))]) > 0
+            lettered = np.diff(np.concatenate([[0], np.cumsum(letter > 0)])[first]) > 0
             total, seen = np.zeros((n, len(names))), np.zeros(n)
             for column, text_no in grams(letter, first):
                 size = np.bincount(text_no, minlength=n)
@@ -134,6 +146,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "t
                     if len(has):
                         total[has, k] += np.add.reduceat(table[k][column], starts, dtype=np.float64)
             if names:
+                total += prior
                 best = total.argmax(1)
                 odds = np.exp((total - total.max(1, keepdims=True)) * (TEMPERATURE / np.maximum(1.0, np.sqrt(seen)))[:, None])
                 top = odds[np.arange(n), best] / odds.sum(1)
@@ -152,7 +165,7 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def model_of(docs: DataFrame) -> tuple[list[str], np.ndarray]:
+def model_of(docs: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
     return train(docs.filter(~held_out(F.col("doc_id"))))
 
 

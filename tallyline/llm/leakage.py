@@ -9,7 +9,8 @@ Terms are 64-bit hashes of A-Z-lowered words (see kernel.ALNUM). Positions of tw
 
 Defined cases: a null or empty text has no words, is in the index and has no matches; an item without words has no windows;
 an item shorter than the window is one window; repeated documents and items count each by itself, items by their item_id; a
-null item_id counts as "" in the digest; an empty table of documents gives no rows, an empty benchmark no matches.
+null item_id counts as "" in the digest; an empty table of documents gives no rows, an empty benchmark no matches; of the
+documents' columns only the id is carried.
 """
 
 from __future__ import annotations
@@ -101,10 +102,12 @@ def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
 @dataclass
 class Phrases:
-    """Windows of one length: term hashes (windows x length) and the item of each window."""
+    """Windows of one length: term hashes of the items' words one after the other, and the start and the item of each window."""
 
-    terms: np.ndarray
+    words: np.ndarray
+    starts: np.ndarray
     items: np.ndarray
+    length: int
 
 
 def phrases(texts: list[str], window: int | None = WINDOW) -> list[Phrases]:
@@ -112,15 +115,15 @@ def phrases(texts: list[str], window: int | None = WINDOW) -> list[Phrases]:
     data, offsets = kernel.text_bytes(pa.array(texts, pa.string()))
     s, e, first = kernel.words(data, offsets, kernel.ALNUM)
     h = kernel.hashes(data, s, e, kernel.ALNUM)
-    by: dict[int, tuple[list, list]] = {}
-    for i in range(len(texts)):
-        own = h[first[i] : first[i + 1]]
-        if len(own):
-            k = min(window or len(own), len(own))
-            all_k = np.lib.stride_tricks.sliding_window_view(own, k)
-            by.setdefault(k, ([], []))[0].append(all_k)
-            by[k][1].append(np.full(len(all_k), i))
-    return [Phrases(np.concatenate(t), np.concatenate(i)) for t, i in by.values()]
+    size = np.diff(first)
+    length = np.minimum(size, window) if window else size
+    out = []
+    for k in np.unique(length[length > 0]).tolist():
+        item = np.flatnonzero(length == k)
+        n = size[item] - k + 1
+        inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        out.append(Phrases(h, np.repeat(first[item], n) + inside, np.repeat(item, n), k))
+    return out
 
 
 class Segment:
@@ -158,9 +161,9 @@ class Segment:
 
     def find(self, p: Phrases, block: int = 1 << 14) -> tuple[np.ndarray, np.ndarray]:
         """(window, first position) of every occurrence."""
-        found = []
-        for at in range(0, len(p.terms), block):
-            terms = self.rank(p.terms[at : at + block])
+        found, ranked = [], self.rank(p.words)  # each word of the items is looked up once
+        for at in range(0, len(p.starts), block):
+            terms = ranked[p.starts[at : at + block, None] + np.arange(p.length)]
             live = np.flatnonzero((terms >= 0).all(1))
             if not len(live):
                 continue
@@ -251,7 +254,7 @@ def phrase_matches(index: DataFrame, items: DataFrame, item_id: str = "item_id",
         asked = phrases(texts, window)
 
         def query(seg: Segment):
-            got = [(p.items[w], s, s + p.terms.shape[1]) for p in asked for w, s in [seg.find(p)]]
+            got = [(p.items[w], s, s + p.length) for p in asked for w, s in [seg.find(p)]]
             return tuple(np.concatenate([g[k] for g in got]) if got else np.zeros(0, np.int64) for k in range(3))
 
         return query
@@ -263,7 +266,7 @@ def proximity_matches(index: DataFrame, items: DataFrame, within: int, item_id:
     """Where the rarest term of an item has all its other terms less than `within` words away: the span of that one word."""
 
     def find(texts: list[str]):
-        asked = [(i, p.terms[0]) for i, t in enumerate(texts) for p in phrases([t], None)]
+        asked = [(i, p.words) for i, t in enumerate(texts) for p in phrases([t], None)]
 
         def query(seg: Segment):
             got = [(np.full(len(a), i), a) for i, terms in asked for a in [seg.near(terms, within)]]

@@ -10,7 +10,7 @@ it comes from counts by score bin over all labelled rows. Without labels of both
 
 Defined cases: a null or empty text has no words and fails the base rules; a text of one repeated word fails by repetition;
 repeated rows are scored each; ids that are null are hashed as such; labels that repeat for an id count once, as bad if any is;
-an empty table gives no rows.
+an empty table gives no rows; of the input's columns only the id is carried.
 """
 
 from __future__ import annotations
@@ -196,7 +196,8 @@ def threshold(scored: DataFrame, labels: DataFrame, max_loss: float = MAX_LOSS)
 def judge(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, COUNTS, base_failed, score, kept) of each row."""
     counted = count(docs, doc_id, text)
-    sample = hash_share(counted.filter(~F.col("base_failed")), F.col("id").cast("string"), SAMPLE).limit(2 * SAMPLE).select(*COUNTS).toPandas()
+    sample = hash_share(counted.filter(~F.col("base_failed")), F.col("id").cast("string"), SAMPLE).limit(2 * SAMPLE).select(F.xxhash64(F.col("id").cast("string")).alias("h"), *COUNTS).toPandas()
+    sample = sample.sort_values(["h", *COUNTS])  # the forest does not depend on the layout of the files
     forest = grow(features({k: sample[k].to_numpy() for k in COUNTS})) if len(sample) else None
     scored = written(score(counted, forest), "scores")
     bound = threshold(scored, labels)

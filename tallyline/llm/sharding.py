@@ -5,7 +5,8 @@ A shard that is added draws for itself alone, so that it takes records but none
 
 Defined cases: a null key is the key "\\x00null" (all such rows share a shard); equal keys share a shard;
 a null text counts no bytes and has the checksum of the empty text; repeated rows each get a slot of their own;
-an empty table gives no rows; columns of the input are kept by place(), under other names where one clashes with what is added.
+an empty table gives no rows; columns of the input are kept, but that those named like what is added (shard and grown shard, slot) are
+replaced.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tallyline.llm.common import table, text_of
+from tallyline.llm.common import clash_free, table, text_of
 
 NULL_KEY = "\x00null"
 
@@ -43,11 +44,11 @@ def choose(key: Column, weights: Sequence[float]) -> Column:
 def place(df: DataFrame, key: str, weights: Sequence[float], grown_weight: float | None = None, shard: str = "shard", grown: str = "grown_shard") -> DataFrame:
     """df with `shard` (int) and, with a weight for one more shard, `grown` (int): where the key would be then."""
     k, n = record_key(F.col(key)), len(weights)
-    best = choose(k, weights)
-    out = df.withColumn("__best", best)
-    cols = [F.col("__best.shard").alias(shard)]
+    best = clash_free(df.columns, "__best")
+    out = df.withColumn(best, choose(k, weights))
+    cols = [F.col(f"{best}.shard").alias(shard)]
     if grown_weight is not None:
-        cols.append(F.when(cost(k, n, grown_weight) < F.col("__best.cost"), F.lit(n)).otherwise(F.col("__best.shard")).cast("int").alias(grown))
+        cols.append(F.when(cost(k, n, grown_weight) < F.col(f"{best}.cost"), F.lit(n)).otherwise(F.col(f"{best}.shard")).cast("int").alias(grown))
     keep = [F.col(f"`{c}`") for c in df.columns if c.lower() not in (shard.lower(), grown.lower())]
     return out.select(*keep, *cols)
 
@@ -58,12 +59,14 @@ def slots(df: DataFrame, shard: str, spread: Sequence[str], n_shards: int, parts
     A shard is cut into `parts` by a hash of the `spread` columns; parts are counted (n_shards * parts rows at most, which is
     the bound of what is broadcast), numbered inside, and shifted by the rows of the parts before. No task holds a whole shard.
     """
-    marked = df.withColumn("__part", F.pmod(F.xxhash64(*[F.col(c).cast("string") for c in spread], F.lit(7919)), F.lit(parts)).cast("int"))
-    before = W.partitionBy(shard).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
-    starts = marked.groupBy(shard, "__part").count().select(shard, "__part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__start"))
-    inside = W.partitionBy(shard, "__part").orderBy(*spread)
-    numbered = marked.withColumn("__row", F.row_number().over(inside))
-    return numbered.join(F.broadcast(starts), [shard, "__part"]).withColumn(slot, (F.col("__start") + F.col("__row") - 1).cast("long")).drop("__part", "__row", "__start")
+    part, row, start = (clash_free(df.columns, x) for x in ("__part", "__row", "__start"))
+    marked = df.withColumn(part, F.pmod(F.xxhash64(*[F.col(c).cast("string") for c in spread], F.lit(7919)), F.lit(parts)).cast("int"))
+    before = W.partitionBy(shard).orderBy(part).rowsBetween(W.unboundedPreceding, -1)
+    starts = marked.groupBy(shard, part).agg(F.count("*").alias("n")).select(shard, part, F.coalesce(F.sum("n").over(before), F.lit(0)).alias(start))
+    inside = W.partitionBy(shard, part).orderBy(*spread)
+    numbered = marked.withColumn(row, F.row_number().over(inside)).join(F.broadcast(starts), [shard, part])
+    kept = [F.col(f"`{c}`") for c in df.columns if c.lower() != slot.lower()]
+    return numbered.select(*kept, (F.col(start) + F.col(row) - 1).cast("long").alias(slot))
 
 
 def op5_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -46,6 +46,17 @@ def test_decontamination_keeps_clean_rows_of_an_id(spark, tmp_path):
     assert {(r.doc_id, r.text) for r in kept.collect()} == {(None, clean[0]), (None, None), (7, clean[1]), (8, clean[2])}
 
 
+def test_empty_tables(spark, tmp_path):
+    """Without documents there are no rows; without benchmark items, nothing is dropped for them."""
+    kind = "doc_id long, text string, lang string, source string, n_chars long"
+    rng = random.Random(15)
+    rows = [(i, words(rng, 60, 9999), "en", "s", 1) for i in range(5)]
+    for name, own in (("none", []), ("some", rows)):
+        spark.createDataFrame(own, kind).write.parquet(str(tmp_path / name / "documents.parquet"))
+        spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / name / "benchmark.parquet"))
+        assert {r.doc_id for r in P.run(spark, str(tmp_path / name)).collect()} == {r[0] for r in own}
+
+
 def test_registered():
     names = {n.split("_")[0] for n in queries.queries()}
     assert names == {f"op{n}" for n in range(1, 11)}
