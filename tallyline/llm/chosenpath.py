@@ -5,7 +5,10 @@ case, marks or spaces only; sets too small to be linked with any but equal ones
 1 / (similarity * size), decided by a hash of the run and x: two similar sets share a kept token with a good chance, others
 hardly ever. A kept token is a path and names a bucket; a path is extended by further kept tokens in the same way. A bucket
 with at most `limit` sets is compared by brute force; a larger one is split by the paths one token longer, and at the last
-depth, or once it is no longer split, its sets are compared in blocks by many tasks. The number of runs follows from the
+depth, or once it is no longer split, its sets are compared in blocks by many tasks. There a set is written as what it has not of
+one set of the group, the pivot, and what it has besides, so that near copies are short; there are about as many pairs of
+blocks as partitions, each with its own, so a group of any size is spread evenly, and each set is sent as often as its side has
+blocks, which no longer grows once all partitions are in use, until a block is full (`BLOCK_TOKENS`). The number of runs follows from the
 recall that is asked of a pair just at the threshold that meets only at the last depth (`runs_for`; small sets, which run out
 of tokens to extend a path by, have more: `runs_by_size`).
 
@@ -14,7 +17,7 @@ A pair that meets in several buckets counts in the least of them. Comparisons us
 
 Defined cases: null and empty texts, and texts without words, have no tokens: equal ones are one class, and they have no links
 to others; a text of fewer than five words is one shingle; repeated rows are copies; the class of a document is the least
-doc_id of its class (null if all are null); an empty table gives no rows.
+doc_id of its class (null if all are null); an empty table gives no rows; one_of_each() keeps all columns, join_documents() the id.
 """
 
 from __future__ import annotations
@@ -30,14 +33,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyline.llm import kernel
-from tallyline.llm.common import batches_of, table, text_of, written
+from tallyline.llm.common import batches_of, clash_free, released, table, text_of, written
 
 _U = np.uint64
+_LOST = _U(0xA5A5A5A5A5A5A5A5)
 SHINGLE, SIMILARITY, DEPTH, RECALL = 5, Fraction(4, 5), 3, 0.99
 #: sets in a bucket that is compared without a further split
 LIMIT = 1000
-#: tokens of the sets on one side of a comparison task
-BLOCK_TOKENS = 1_000_000
+#: tokens of the sets on one side of a comparison task, and sets below which a block is not cut
+BLOCK_TOKENS, BLOCK_SETS = 1_000_000, 512
 
 
 def runs_for(recall: float, depth: int) -> int:
@@ -170,7 +174,7 @@ def _buckets(rows: DataFrame) -> DataFrame:
 
 
 def _groups(nodes: DataFrame, limit: int) -> DataFrame:
-    """(tid, group, tokens): which sets are to be compared, each group once, with the tokens of the whole group."""
+    """(tid, key, sets, tokens): which sets are to be compared, each group once, with the sets and tokens of the whole group."""
     rows = nodes.select("tid", "n", F.explode("k1").alias("key"))
     small, big, hot = [], [], None
     for depth in range(1, DEPTH + 1):
@@ -182,8 +186,8 @@ def _groups(nodes: DataFrame, limit: int) -> DataFrame:
         found = written(_buckets(rows), f"buckets{depth}")
         last = depth == DEPTH
         # two buckets with the same sets are one comparison
-        once = found.filter(F.col("sets") <= limit).groupBy("sets", "tokens", "print").agg(F.min("key").alias("key")).select("key", "tokens")
-        small.append(rows.join(once, "key").select("tid", "key", "tokens"))
+        once = found.filter(F.col("sets") <= limit).groupBy("sets", "tokens", "print").agg(F.min("key").alias("key")).select("key", "sets", "tokens")
+        small.append(rows.join(once, "key").select("tid", "key", "sets", "tokens"))
         hot = found.filter(F.col("sets") > limit)
         if last:
             big.append(rows.join(hot.select("key"), "key", "left_semi"))
@@ -198,8 +202,8 @@ def _groups(nodes: DataFrame, limit: int) -> DataFrame:
         least = held.groupBy("tid").agg(F.min("key").alias("least"))
         label = written(held.join(least, "tid").groupBy("key").agg(F.min("least").alias("label")), "labels")
         member = written(held.join(label, "key").select("tid", "n", F.col("label").alias("key")).distinct(), "members")
-        whole = member.groupBy("key").agg(F.sum("n").alias("tokens"))
-        out = out.unionByName(member.join(whole, "key").select("tid", "key", "tokens"))
+        whole = member.groupBy("key").agg(F.count("*").alias("sets"), F.sum("n").alias("tokens"))
+        out = out.unionByName(member.join(whole, "key").select("tid", "key", "sets", "tokens"))
     return out
 
 
@@ -216,7 +220,7 @@ def _unite(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
 
 def _overlaps(rows: np.ndarray, column: np.ndarray, n: int, left: np.ndarray, right: np.ndarray, width: int = 4096) -> np.ndarray:
     """Of a 0-1 matrix given by (row, column), the number of columns that rows of left and right share."""
-    out = np.zeros((len(left), len(right)), np.float32)
+    out = np.zeros((len(left), len(right)))
     where = np.full(n, -1)
     where[right] = np.arange(len(right))
     r = where[rows]
@@ -237,15 +241,19 @@ def _overlaps(rows: np.ndarray, column: np.ndarray, n: int, left: np.ndarray, ri
     return out
 
 
-def compare(key: int, tokens: list[np.ndarray], keys: list[list[int]], copies: np.ndarray, side: np.ndarray, similarity: Fraction = SIMILARITY, tile: int = 1024) -> tuple[np.ndarray, np.ndarray]:
+def compare(
+    key: int, tokens: list[np.ndarray], keys: list[list[int]], copies: np.ndarray, side: np.ndarray, size: np.ndarray | None = None, shift: np.ndarray | None = None,
+    similarity: Fraction = SIMILARITY, tile: int = 1024,
+) -> tuple[np.ndarray, np.ndarray]:
     """(linked rows, least member of each one's part) of the sets of one task.
 
     side: 0 for all against all; else rows of side 1 against rows of side 2. A link counts here if `key` is the least key
-    that both sets have; it joins parts in any case.
+    that both sets have; it joins parts in any case. With size and shift, tokens are differences from a pivot (see against_pivot).
     """
-    n = len(tokens)
-    size = np.array([len(t) for t in tokens])
-    rows, column = np.repeat(np.arange(n), size), np.unique(np.concatenate(tokens), return_inverse=True)[1]
+    n, given = len(tokens), np.array([len(t) for t in tokens])
+    size = given if size is None else size
+    shift = np.zeros(n) if shift is None else shift
+    rows, column = np.repeat(np.arange(n), given), np.unique(np.concatenate(tokens), return_inverse=True)[1]
     shared = np.bincount(column)[column] > 1
     rows, column = rows[shared], column[shared]
     lower = [(i, k) for i, own in enumerate(keys) for k in own if k < key]
@@ -259,7 +267,7 @@ def compare(key: int, tokens: list[np.ndarray], keys: list[list[int]], copies: n
         for j, right in enumerate(cut(two)):
             if not side.any() and j < i:
                 continue
-            both = _overlaps(rows, column, n, left, right)
+            both = _overlaps(rows, column, n, left, right) + (shift[left][:, None] + shift[right][None, :])
             # both / (a + b - both) >= num / den
             ok = (num + den) * both >= num * (size[left][:, None] + size[right][None, :])
             ok &= both > 0
@@ -274,6 +282,23 @@ def compare(key: int, tokens: list[np.ndarray], keys: list[list[int]], copies: n
     return links, parent
 
 
+def against_pivot(token: np.ndarray, pivot: np.ndarray) -> tuple[np.ndarray, float]:
+    """(what the set has not of the pivot, marked, and what it has besides; half the pivot's size less the first).
+
+    Two sets share |pivot| tokens, less those that either has not, and again those that both have not and those that both have
+    besides: the tokens that their differences share and the sum of their shifts.
+    """
+    lost = pivot[~np.isin(pivot, token, assume_unique=True)]
+    return np.concatenate([lost ^ _LOST, token[~np.isin(token, pivot, assume_unique=True)]]), len(pivot) / 2 - len(lost)
+
+
+def _against(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (tokens, pivot, n, shift, ...) with tokens as differences from the pivot."""
+    for b in batches:
+        got = [against_pivot(np.frombuffer(t.as_py(), _U), np.frombuffer(p.as_py(), _U)) for t, p in zip(b.column(0), b.column(1))]
+        yield pa.RecordBatch.from_arrays([pa.array([d.tobytes() for d, _ in got], pa.binary()), b.column(2), pa.array([x for _, x in got], pa.float64()), *b.columns[4:]], names=["tokens", *b.schema.names[2:]])
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (key, i, j) to (tid, root, links), one for each set that is linked."""
 
@@ -283,29 +308,60 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, i, j = group
         held.sort(key=lambda r: r[0])
         side = np.zeros(len(held), np.int8) if i == j else np.array([1 if r[4] == i else 2 for r in held], np.int8)
-        links, parent = compare(key, [np.frombuffer(r[3], _U) for r in held], [r[2] for r in held], np.array([r[1] for r in held], np.int64), side)
+        links, parent = compare(key, [np.frombuffer(r[3], _U) for r in held], [r[2] for r in held], np.array([r[1] for r in held], np.int64), side, np.array([r[5] for r in held]), np.array([r[6] for r in held]))
         at = np.flatnonzero((links > 0) | (parent != np.arange(len(held))))
         if len(at):
             yield pa.RecordBatch.from_arrays([pa.array([held[k][0] for k in at]), pa.array([held[parent[k]][0] for k in at]), pa.array(links[at])], names=["tid", "root", "links"])
 
     group, held = None, []
     for b in batches:
-        cols = [b.column(b.schema.names.index(c)) for c in ("key", "i", "j", "tid", "copies", "keys", "tokens", "block")]
+        cols = [b.column(b.schema.names.index(c)) for c in ("key", "i", "j", "tid", "copies", "keys", "tokens", "block", "n", "shift")]
         for row in zip(*[c.to_pylist() if k != 6 else c for k, c in enumerate(cols)]):
             if row[:3] != group:
                 if group is not None:
                     yield from done(group, held)
                 group, held = row[:3], []
-            held.append((row[3], row[4], row[5], row[6].as_py(), row[7]))
+            held.append((row[3], row[4], row[5], row[6].as_py(), *row[7:]))
     if group is not None:
         yield from done(group, held)
+    released()
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (text, ...) with the sorted shingles of the text in its place."""
     for b in batches_of(batches):
-        token, first = shingle_sets(b.column(b.schema.names.index("text")))
+        token, first = shingle_sets(b.column(0))
         raw = [token[first[i] : first[i + 1]].tobytes() for i in range(b.num_rows)]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(raw, pa.binary())], names=["tid", "copies", "groups", "tokens"])
+        yield pa.RecordBatch.from_arrays([pa.array(raw, pa.binary()), *b.columns[1:]], names=["tokens", *b.schema.names[1:]])
+
+
+def _comparisons(once: DataFrame, mine: DataFrame) -> DataFrame:
+    """Rows (key, i, j, block, tid, copies, keys, tokens, n, shift) of all comparison tasks, dealt and sorted by (key, i, j).
+
+    once: (tid, text); mine: (tid, copies, groups array<struct(key, blocks, big)>). Small groups are one task each; of big ones
+    each pair of blocks (i <= j) is one.
+    """
+    parts = int(once.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def sets_of(big: bool) -> DataFrame:
+        own = mine.select("tid", "copies", F.col("groups.key").alias("keys"), F.filter("groups", lambda g: g["big"] == big).alias("groups")).filter(F.size("groups") > 0)
+        sets = once.join(own, "tid").select("text", "tid", "copies", "keys", "groups")
+        sets = sets.mapInArrow(_tokens, f"tokens binary, tid string, copies long, keys array<long>, groups {mine.schema['groups'].dataType.simpleString()}")
+        return sets.withColumn("g", F.explode("groups")).select("tokens", "tid", "copies", "keys", "g.key", "g.blocks", F.expr("octet_length(tokens) div 8").cast("long").alias("n"))
+
+    zero = F.lit(0)
+    place = F.pmod(F.xxhash64("key"), F.lit(parts))
+    columns = ["key", "i", "j", "block", "tid", "copies", "keys", "tokens", "n", "shift"]
+    out = sets_of(False).select("*", zero.alias("i"), zero.alias("j"), zero.alias("block"), F.lit(0.0).alias("shift")).select(*columns, place.cast("int").alias("place"))
+    if mine.filter(F.exists("groups", lambda g: g["big"])).take(1):
+        big = sets_of(True)
+        pivots = big.groupBy("key").agg(F.min_by("tokens", "tid").alias("pivot"))
+        rows = big.join(pivots, "key").select("tokens", "pivot", "n", F.lit(0.0).alias("shift"), "tid", "copies", "keys", "key", "blocks")
+        rows = rows.mapInArrow(_against, "tokens binary, n long, shift double, tid string, copies long, keys array<long>, key long, blocks int")
+        block = F.pmod(F.xxhash64("tid"), F.col("blocks")).cast("int")
+        rows = rows.withColumn("block", block).withColumn("other", F.explode(F.sequence(zero, F.col("blocks") - 1))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+        out = out.union(rows.select(*columns, F.pmod(place + F.expr("j * (j + 1) div 2 + i"), F.lit(parts)).cast("int").alias("place")))
+    return out.repartitionById(parts, "place").drop("place").sortWithinPartitions("key", "i", "j")
 
 
 def components(edges: DataFrame, most: int = 100) -> DataFrame:
@@ -332,7 +388,7 @@ def components(edges: DataFrame, most: int = 100) -> DataFrame:
     raise RuntimeError(f"components did not settle in {most} rounds")
 
 
-def join_nodes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", recall: float = RECALL, limit: int = LIMIT) -> DataFrame:
+def join_nodes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", recall: float = RECALL, limit: int = LIMIT, block_sets: int = BLOCK_SETS) -> DataFrame:
     """One row per different text: (tid, copies, rep, root, class_id, n_links), as a table.
 
     tid: MD5 of the text; rep: the least id of its copies; root: the least tid of its class; n_links: other documents, copies
@@ -347,20 +403,14 @@ def join_nodes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", reca
     twins = texts.select("sid", "tid").join(sets_of.filter("more"), "sid").filter("tid <> head").select("tid")
     nodes = texts.join(written(twins, "twins"), "tid", "left_anti")
     heads = sets_of.select(F.col("head").alias("tid"), F.col("all").alias("copies"), F.col("least_rep").alias("rep"))
-    blocks = F.ceil(F.col("tokens") / BLOCK_TOKENS).cast("int")
-    mine = _groups(nodes, limit).groupBy("tid").agg(F.collect_list(F.struct("key", blocks.alias("blocks"))).alias("groups"))
+    # about as many pairs of blocks as partitions, if blocks do not get small, and no block over BLOCK_TOKENS
+    even = int((math.sqrt(8 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) + 1) - 1) / 2)
+    big = (F.col("sets") > limit) | (F.col("tokens") > BLOCK_TOKENS)
+    blocks = F.when(big, F.greatest(F.ceil(F.col("tokens") / BLOCK_TOKENS), F.least(F.lit(even), F.ceil(F.col("sets") / block_sets)))).otherwise(1).cast("int")
+    mine = _groups(nodes, limit).groupBy("tid").agg(F.collect_list(F.struct("key", blocks.alias("blocks"), big.alias("big"))).alias("groups"))
     mine = written(mine.join(heads.select("tid", "copies"), "tid"), "compared")
     once = rows.groupBy("tid").agg(F.first("text").alias("text"))
-    sets = once.join(mine, "tid").select("tid", "copies", "groups", "text").mapInArrow(_tokens, "tid string, copies long, groups array<struct<key:long,blocks:int>>, tokens binary")
-    block = F.pmod(F.xxhash64("tid"), F.col("g.blocks")).cast("int")
-    spread = (
-        sets.withColumn("keys", F.col("groups.key"))
-        .withColumn("g", F.explode("groups"))
-        .select("tid", "copies", "keys", "tokens", F.col("g.key").alias("key"), block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("g.blocks") - 1)).alias("other"))
-        .select("tid", "copies", "keys", "tokens", "key", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    )
-    dealt = spread.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key", "i", "j").sortWithinPartitions("key", "i", "j")
-    linked = written(dealt.select("key", "i", "j", "tid", "copies", "keys", "tokens", "block").mapInArrow(_verify, "tid string, root string, links long"), "linked")
+    linked = written(_comparisons(once, mine).mapInArrow(_verify, "tid string, root string, links long"), "linked")
     parts = components(linked.select(F.col("tid").alias("u"), F.col("root").alias("v")))
     links = linked.groupBy("tid").agg(F.sum("links").alias("links"))
     reps = parts.select(F.col("node").alias("tid"), "root").join(heads.select("tid", "rep"), "tid")
@@ -376,7 +426,7 @@ def join_nodes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", reca
 
 
 def join_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """(doc_id, class_id, n_links) of every row; options: recall and limit."""
+    """(doc_id, class_id, n_links) of every row; options: recall, limit and block_sets."""
     nodes = join_nodes(docs, doc_id, text, **options)
     return docs.select(F.col(doc_id), F.md5(text_of(text).cast("binary")).alias("tid")).join(nodes.select("tid", "class_id", "n_links"), "tid").drop("tid")
 
@@ -384,10 +434,11 @@ def join_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of docs, all columns, that stay when one row of each class does: that of the least id (and text address, if it repeats)."""
     nodes = join_nodes(docs, doc_id, text, **options)
-    stays = written(nodes.filter(F.col("rep").eqNullSafe(F.col("class_id"))).groupBy("root").agg(F.min(F.struct("tid", "rep")).alias("s")).select(F.col("s.tid").alias("__tid"), F.col("s.rep").alias("__rep")), "stays")
-    marked = docs.withColumn("__tid", F.md5(text_of(text).cast("binary")))
-    kept = marked.join(stays, (marked["__tid"] == stays["__tid"]) & marked[doc_id].eqNullSafe(stays["__rep"]), "left_semi")
-    return kept.dropDuplicates(["__tid"]).drop("__tid")
+    stays = written(nodes.filter(F.col("rep").eqNullSafe(F.col("class_id"))).groupBy("root").agg(F.min(F.struct("tid", "rep")).alias("s")).select("s.tid", "s.rep"), "stays")
+    tid = clash_free(docs.columns, "__tid")
+    marked = docs.withColumn(tid, F.md5(text_of(text).cast("binary")))
+    kept = marked.join(stays, (marked[tid] == stays["tid"]) & marked[doc_id].eqNullSafe(stays["rep"]), "left_semi")
+    return kept.dropDuplicates([tid]).drop(tid)
 
 
 def op2_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
