@@ -354,12 +354,12 @@ def _comparisons(once: DataFrame, mine: DataFrame) -> DataFrame:
     columns = ["key", "i", "j", "block", "tid", "copies", "keys", "tokens", "n", "shift"]
     out = sets_of(False).select("*", zero.alias("i"), zero.alias("j"), zero.alias("block"), F.lit(0.0).alias("shift")).select(*columns, place.cast("int").alias("place"))
     if mine.filter(F.exists("groups", lambda g: g["big"])).take(1):
-        big = sets_of(True)
-        pivots = big.groupBy("key").agg(F.min_by("tokens", "tid").alias("pivot"))
-        rows = big.join(pivots, "key").select("tokens", "pivot", "n", F.lit(0.0).alias("shift"), "tid", "copies", "keys", "key", "blocks")
-        rows = rows.mapInArrow(_against, "tokens binary, n long, shift double, tid string, copies long, keys array<long>, key long, blocks int")
-        block = F.pmod(F.xxhash64("tid"), F.col("blocks")).cast("int")
-        rows = rows.withColumn("block", block).withColumn("other", F.explode(F.sequence(zero, F.col("blocks") - 1))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+        big = sets_of(True).withColumn("block", F.pmod(F.xxhash64("tid"), F.col("blocks")).cast("int"))
+        # a copy of the pivot for each block, so that no task joins a whole group
+        pivots = big.groupBy("key", "blocks").agg(F.min_by("tokens", "tid").alias("pivot")).select("key", "pivot", F.explode(F.sequence(zero, F.col("blocks") - 1)).alias("block"))
+        rows = big.join(pivots, ["key", "block"]).select("tokens", "pivot", "n", F.lit(0.0).alias("shift"), "tid", "copies", "keys", "key", "block", "blocks")
+        rows = rows.mapInArrow(_against, "tokens binary, n long, shift double, tid string, copies long, keys array<long>, key long, block int, blocks int")
+        rows = rows.withColumn("other", F.explode(F.sequence(zero, F.col("blocks") - 1))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
         out = out.union(rows.select(*columns, F.pmod(place + F.expr("j * (j + 1) div 2 + i"), F.lit(parts)).cast("int").alias("place")))
     return out.repartitionById(parts, "place").drop("place").sortWithinPartitions("key", "i", "j")
 
