@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from itertools import groupby
+from math import fsum
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tallyline.functions import text as X
 from tallyline.operators import registry as R
@@ -93,9 +96,9 @@ def clusters(frames: list[Frame]) -> list[dict]:
         rows = [f for v in own for f in by[v]]
 
         def support(v: str, rows: list[Frame] = rows) -> tuple:
-            return sum(near(v, f.eligible or "") for f in rows), sum(f.plate_conf or 0.0 for f in by[v]), len(by[v]), v
+            return sum(near(v, f.eligible or "") for f in rows), fsum(f.plate_conf or 0.0 for f in by[v]), len(by[v]), v
 
-        out.append({"variants": own, "frames": rows, "support": support, "representative": max(own, key=support), "counts": {v: len(by[v]) for v in own}, "conf": sum(f.plate_conf or 0.0 for f in rows)})
+        out.append({"variants": own, "frames": rows, "support": support, "representative": max(own, key=support), "counts": {v: len(by[v]) for v in own}, "conf": fsum(f.plate_conf or 0.0 for f in rows)})
     return out
 
 
@@ -123,14 +126,14 @@ def decide(frames: list[Frame], known: set[str] | dict, soft: bool, p: Params =
         return max(listed, key=c["support"]) if listed else c["representative"]
 
     def commit(plate: str, rows: list[Frame], c: dict) -> Decision:
-        colors = [(f.color or "").strip() for f in rows]
+        colors = [(f.color or "").strip().upper() for f in rows]
         counts: dict[str, int] = {}
         for x in colors:
             if x:
                 counts[x] = counts.get(x, 0) + 1
         top = max(counts, key=lambda k: counts[k]) if counts else ""
-        own = [f.color_conf for f, x in zip(rows, colors) if x == top and f.color_conf is not None]
-        return Decision("COMMIT", plate, top, sum(own) / len(own) if own else None, c["counts"])
+        own = [f.color_conf or 0.0 for f, x in zip(rows, colors) if x == top]  # a colour without a confidence is unsure
+        return Decision("COMMIT", plate, top, fsum(own) / len(own) if own else 0.0, c["counts"])
 
     for least in [p.lock_conf, *([p.soft_conf] if soft else [])]:
         good = [c for c in clusters([f for f in fit if conf(f) >= least]) if len(c["frames"]) >= p.lock_repeat]
@@ -159,6 +162,24 @@ def judged(plate: str, color: str, conf: float | None, known: dict[str, str], p:
 VOTE = "session_id string, plate string, color string, color_conf double, outcome string, votes map<string,int>, n_frames int"
 
 
+def by_session(df: DataFrame, key: str, order: list[str], play: Callable[[Iterator[dict]], Iterator[tuple]], schema: str, most: int = 4096) -> DataFrame:
+    """Rows of play(rows of a session, in order), session by session as they come from a sorted partition: none is held whole."""
+    kinds = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in T.StructType.fromDDL(schema)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, held = (r for b in batches for r in b.to_pylist()), []
+        for _, own in groupby(rows, key=lambda r: r[key]):
+            for out in play(own):
+                held.append(out)
+                if len(held) >= most:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), kinds)], schema=kinds)
+                    held = []
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), kinds)], schema=kinds)
+
+    return df.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, schema)
+
+
 def lock_aware(df: DataFrame, registry: DataFrame, soft: bool = True, p: Params = DEFAULTS) -> DataFrame:
     """One row for each session: the decision over its last max_collect_frames rows, and the verdict on a committed plate.
 
@@ -167,20 +188,38 @@ def lock_aware(df: DataFrame, registry: DataFrame, soft: bool = True, p: Params
     """
     recent = last_rows(df, "session_id", "seq", p.max_collect_frames)
     keys = registry.select(X.registry_key(F.col("license_plate")).alias("__key")).distinct().withColumn("listed", F.lit(True))
-    marked = recent.withColumn("__key", X.lock_plate(F.col("plate_text"))).join(keys, "__key", "left").drop("__key")
+    marked = recent.withColumn("__key", X.lock_plate(F.col("plate_text"))).join(keys, "__key", "left")
 
-    def vote(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("seq")
-        none = lambda x: None if pd.isna(x) else float(x)
-        frames = [Frame(a or "", none(b), c or "", none(d)) for a, b, c, d in zip(rows.plate_text, rows.plate_conf, rows.color, rows.color_conf)]
-        known = {f.eligible for f, x in zip(frames, rows.listed) if x is True or x == True}  # noqa: E712
-        d = decide(frames, known, soft, p)
-        return pd.DataFrame({"session_id": [rows.session_id.iloc[0]], "plate": [d.plate], "color": [d.color], "color_conf": [d.color_conf], "outcome": [d.status], "votes": [d.votes], "n_frames": [len(frames)]})
+    def vote(rows: Iterator[dict]) -> Iterator[tuple]:
+        rows = list(rows)
+        frames = [Frame(r["plate_text"] or "", r["plate_conf"], r["color"] or "", r["color_conf"]) for r in rows]
+        d = decide(frames, {f.eligible for f, r in zip(frames, rows) if r["listed"]}, soft, p)
+        yield rows[0]["session_id"], d.plate, d.color, d.color_conf, d.status, list(d.votes.items()), len(frames)
 
-    voted = marked.groupBy("session_id").applyInPandas(vote, VOTE)
+    used = marked.select(F.col("session_id").cast("string").alias("session_id"), "seq", "plate_text", F.col("plate_conf").cast("double").alias("plate_conf"), "color", F.col("color_conf").cast("double").alias("color_conf"), "listed")
+    voted = by_session(used, "session_id", ["seq"], vote, VOTE)
     checked = R.verify(voted, registry, p, plate="plate")
     out = F.col("outcome") == "COMMIT"
     return checked.select(
         "session_id", "plate", "color", "n_frames", "votes",
         F.when(out, F.col("status")).otherwise(F.col("outcome")).alias("status"), F.when(out, F.col("action")).otherwise("LOG").alias("action"), (out & F.col("color_warning")).alias("color_warning"),
     )
+
+
+def legacy(df: DataFrame, registry: DataFrame, p: Params = DEFAULTS) -> DataFrame:
+    """The majority vote of each session, and the verdict on a plate that it decides; there is no confidence of colours to doubt."""
+    voted = majority(df).withColumn("color_conf", F.lit(None).cast("double")).withColumnRenamed("status", "outcome")
+    checked = R.verify(voted, registry, p, plate="plate")
+    out = F.col("outcome") == "DECIDED"
+    return checked.select(
+        F.col("session_id").cast("string").alias("session_id"), "plate", "color", F.col("n_frames").cast("int").alias("n_frames"),
+        F.when(out, F.col("status")).otherwise(F.col("outcome")).alias("status"), F.when(out, F.col("action")).otherwise("LOG").alias("action"), (out & F.col("color_warning")).alias("color_warning"),
+    )
+
+
+def aggregate(df: DataFrame, registry: DataFrame, soft: bool = True, p: Params = DEFAULTS) -> DataFrame:
+    """One row for each session: the lock-aware vote where any of its rows has a plate_conf, else the majority vote."""
+    given = df.groupBy("session_id").agg((F.count("plate_conf") > 0).alias("__given"))
+    marked = df.join(given.withColumnRenamed("session_id", "__session"), F.col("session_id").eqNullSafe(F.col("__session"))).drop("__session")
+    locked = lock_aware(marked.filter("__given").drop("__given"), registry, soft, p).drop("votes")
+    return locked.unionByName(legacy(marked.filter("not __given").drop("__given"), registry, p))

@@ -252,7 +252,7 @@ def mode_first_seen(spark, d):
     return V.first_seen_mode(table(spark, d, "events"), ["user_id"], "event_type", "event_id")
 
 
-@query()
+@query(I.LOCK_VOTE)
 def lock_aware_vote(spark, d):
     got = V.lock_aware(I.plates(spark, d), I.plate_registry(spark, d))
     return got.select("session_id", "plate", "color", "n_frames", "status", "action", "color_warning")
@@ -691,7 +691,7 @@ def ctc_timesteps(spark, d):
     return table(spark, d, "part").select("p_partkey", D.ctc_timesteps(F.col("p_name")).cast("int").alias("steps"))
 
 
-@query()
+@query(I.GATE_REPLAY)
 def stream_gate_replay(spark, d):
     from tallyline.streaming import gate
 

@@ -80,3 +80,63 @@ VERIFIED = f"""
          WHEN r.color_conf IS NOT NULL AND r.color_conf < 0.4 THEN 'ALLOW' ELSE 'ALLOW_WARN' END AS action
   FROM ({READINGS}) r LEFT JOIN ({REGISTRY}) g ON replace(r.plate_text, '-', '') = g.license_plate
 """
+PLATE_REGISTRY = f"""
+  SELECT license_plate AS key, arg_min(car_color, row_ord) AS listed FROM (
+    SELECT '30A' || lpad(cast(10000 + (c_custkey * 37) % 80000 AS VARCHAR), 5, '0') AS license_plate, {REGISTRY_EXPR["car_color"]} AS car_color, c_custkey AS row_ord FROM customer WHERE c_custkey % 3 <> 0) GROUP BY 1
+"""
+
+
+def vote_sql(evidence: str) -> str:
+    """CTEs whose last, `voted` (k, plate, color, n_frames, status, action, color_warning, agree), is the vote on evidence (k, seq, plate_text, plate_conf, color, color_conf, soft); start them with WITH RECURSIVE."""
+    return rf"""
+reg AS ({PLATE_REGISTRY}),
+ev AS ({evidence}),
+fit AS (SELECT *, CASE WHEN regexp_full_match(x, '[0-9]{{2}}[A-Z]{{1,2}}[0-9]{{5,6}}') THEN x END AS e FROM (SELECT *, upper(regexp_replace(coalesce(plate_text, ''), '[^A-Za-z0-9]', '', 'g')) AS x FROM ev)),
+tier(t, least) AS (VALUES (1, 0.5), (2, 0.4), (3, 0.85)),
+fr AS (SELECT k, t, e, seq, coalesce(plate_conf, 0) AS c, upper(trim(coalesce(color, ''))) AS u, coalesce(color_conf, 0) AS uc FROM fit JOIN tier ON coalesce(plate_conf, 0) >= least AND (t = 1 OR soft) WHERE e IS NOT NULL),
+v AS (SELECT k, t, e, count(*) AS n, fsum(c) AS c, max(c) AS m, min(seq) AS f FROM fr GROUP BY ALL),
+pr AS (SELECT a.k, a.t, a.e AS a, b.e AS b, b.n FROM v a JOIN v b ON a.k = b.k AND a.t = b.t AND levenshtein(a.e, b.e) <= 1),
+r AS (SELECT k, t, a AS node, a AS seen FROM pr UNION SELECT r.k, r.t, r.node, pr.b FROM r JOIN pr ON r.k = pr.k AND r.t = pr.t AND r.seen = pr.a),
+cl AS (SELECT k, t, node AS e, min(seen) AS root FROM r GROUP BY ALL),
+sup AS (SELECT k, t, a AS e, sum(n) AS s FROM pr GROUP BY ALL),
+w AS (SELECT v.*, cl.root, sup.s, reg.key IS NOT NULL AS known FROM v JOIN cl USING (k, t, e) JOIN sup USING (k, t, e) LEFT JOIN reg ON reg.key = v.e),
+c AS (SELECT k, t, root, sum(n) AS n, max(m) AS m, first(e ORDER BY s DESC, c DESC, n DESC, e DESC) AS rep, first(e ORDER BY s DESC, c DESC, n DESC, e DESC) FILTER (known) AS own FROM w GROUP BY ALL),
+cc AS (SELECT c.*, z.c FROM c JOIN (SELECT k, t, root, fsum(c) AS c FROM fr JOIN cl USING (k, t, e) GROUP BY ALL) z USING (k, t, root)),
+chosen AS (SELECT k, t, root, coalesce(own, rep) AS plate FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY t, CASE WHEN t < 3 THEN n ELSE m END DESC, c DESC, rep DESC) AS i FROM cc WHERE t = 3 OR n >= 2) WHERE i = 1),
+rows_of AS (SELECT h.k, fr.u, fr.uc, v.f, fr.seq FROM chosen h JOIN cl USING (k, t, root) JOIN fr USING (k, t, e) JOIN v USING (k, t, e) WHERE h.t < 3 OR e = h.plate),
+top AS (SELECT k, u FROM (SELECT k, u, row_number() OVER (PARTITION BY k ORDER BY count(*) DESC, min(CAST(f AS HUGEINT) * 1000000000000 + seq)) AS i FROM rows_of WHERE u <> '' GROUP BY k, u) WHERE i = 1),
+shade AS (SELECT rows_of.k, coalesce(top.u, '') AS color, fsum(uc) / count(*) AS conf FROM rows_of LEFT JOIN top ON top.k = rows_of.k WHERE rows_of.u = coalesce(top.u, '') GROUP BY ALL),
+agree AS (SELECT h.k, count(*) AS agree FROM chosen h JOIN fit USING (k) WHERE levenshtein(fit.e, h.plate) <= 1 GROUP BY 1),
+voted AS (
+  SELECT s.k, coalesce(h.plate, '') AS plate, coalesce(shade.color, '') AS color, s.n_frames,
+    CASE WHEN blank THEN 'NO_PLATE' WHEN h.plate IS NULL THEN 'UNCERTAIN' WHEN listed IS NULL THEN 'UNREGISTERED' ELSE 'AUTHORIZED' END AS status,
+    CASE WHEN h.plate IS NULL THEN 'LOG' WHEN listed IS NULL THEN 'DENY_ALERT' WHEN same OR conf < 0.4 THEN 'ALLOW' ELSE 'ALLOW_WARN' END AS action,
+    h.plate IS NOT NULL AND listed IS NOT NULL AND NOT (same OR conf < 0.4) AS color_warning, coalesce(agree, 0) AS agree
+  FROM (SELECT k, CAST(count(*) AS INTEGER) AS n_frames, bool_and(trim(coalesce(plate_text, '')) = '') AS blank FROM ev GROUP BY 1) s LEFT JOIN chosen h ON h.k = s.k LEFT JOIN shade ON shade.k = s.k LEFT JOIN agree ON agree.k = s.k
+  LEFT JOIN (SELECT key, listed FROM reg) g ON g.key = h.plate, LATERAL (SELECT color = listed OR (color IN {NEUTRAL} AND listed IN {NEUTRAL}) AS same)
+)"""
+
+
+LOCK_VOTE = f"WITH RECURSIVE {vote_sql(f'SELECT *, session_id AS k, true AS soft FROM ({PLATES}) QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY seq DESC) <= 50')} SELECT k AS session_id, plate, color, n_frames, status, action, color_warning FROM voted"
+_FRAMES = f"""
+SELECT *, max(CASE WHEN NOT target THEN seq END) OVER (PARTITION BY session_id ORDER BY seq) AS island FROM (
+  SELECT p.*, e.value < 300 AS target, CAST(event_id AS DOUBLE) / 10 AS source_time_s FROM ({PLATES}) p JOIN events e ON e.event_id = p.seq)
+"""
+_WINDOWS = """
+SELECT f.session_id || ':' || f.seq AS k, g.seq, g.plate_text, g.plate_conf, g.color, g.color_conf, f.run - 2 >= 10 AS soft FROM frames f JOIN frames g
+  ON f.session_id = g.session_id AND f.island IS NOT DISTINCT FROM g.island AND f.run >= 3 AND g.run BETWEEN greatest(3, f.run - 49) AND f.run
+"""
+#: every frame is voted on with its own window of evidence, in SQL; the first that the guard or the time-out lets through decides its stay
+GATE_REPLAY = f"""
+WITH RECURSIVE frames AS (SELECT *, CASE WHEN target THEN CAST(row_number() OVER (PARTITION BY session_id, island, target ORDER BY seq) AS INTEGER) ELSE 0 END AS run FROM ({_FRAMES})),
+{vote_sql(_WINDOWS)},
+decided AS (
+  SELECT session_id, island, min(run) AS run FROM frames JOIN voted ON voted.k = session_id || ':' || seq WHERE (status IN ('AUTHORIZED', 'UNREGISTERED') AND agree >= 2) OR run - 2 >= 300 GROUP BY 1, 2
+),
+d AS (SELECT x.session_id, x.island, x.run, f.source_time_s AS at, CASE WHEN v.status = 'NO_PLATE' THEN 'UNCERTAIN' ELSE v.status END AS status, v.action, v.plate, v.color_warning FROM decided x JOIN frames f ON f.session_id = x.session_id AND f.island IS NOT DISTINCT FROM x.island AND f.run = x.run JOIN voted v ON v.k = f.session_id || ':' || f.seq)
+SELECT f.session_id, f.seq, CASE WHEN NOT target THEN 'IDLE' WHEN f.run < 3 THEN 'TRACKING' WHEN f.run >= d.run THEN 'DECIDED' ELSE 'READY_TO_DECIDE' END AS state,
+  CAST(CASE WHEN f.run >= d.run THEN d.run ELSE f.run END AS INTEGER) AS run, CAST(greatest(0, CASE WHEN f.run >= d.run THEN d.run ELSE f.run END - 2) AS INTEGER) AS ready,
+  CASE WHEN f.run >= d.run THEN d.status END AS status, CASE WHEN f.run >= d.run THEN d.action END AS action, CASE WHEN f.run >= d.run THEN d.plate END AS plate, coalesce(f.run >= d.run AND d.color_warning, false) AS color_warning,
+  CASE WHEN f.run >= d.run THEN d.at END AS decided_at
+FROM frames f LEFT JOIN d ON target AND d.session_id = f.session_id AND d.island IS NOT DISTINCT FROM f.island
+"""

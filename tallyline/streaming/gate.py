@@ -105,27 +105,24 @@ class Session:
             self.state, self.decision, self.decided_at = "DECIDED", candidate, time
 
 
-def _none(x) -> float | None:
-    return None if x is None or pd.isna(x) else float(x)
-
-
-def _rows(session: Session, frames: pd.DataFrame, p: Params, every: int) -> tuple[Session, list[tuple]]:
-    out = []
-    for f in frames.sort_values("seq").itertuples(index=False):
-        generation = 0 if pd.isna(f.generation) else int(f.generation)
-        if generation < session.generation:
-            continue
-        if f.kind == "reset" or generation > session.generation:
-            session = Session(generation=max(generation, session.generation))
-            if f.kind == "reset":
-                continue
-        plate = f.plate_text if isinstance(f.plate_text, str) else ""
-        color = f.color if isinstance(f.color, str) else ""
-        listed = f.registered_color if isinstance(f.registered_color, str) else None
-        session.update(bool(f.target) if f.target is not None and not pd.isna(f.target) else False, [plate, _none(f.plate_conf), color, _none(f.color_conf), listed], _none(f.source_time_s), p, every)
-        d = session.decision or [None, None, None, False]
-        out.append((f.session_id, int(f.seq), session.state, session.run, session.ready, d[0], d[1], d[2], bool(d[3]), session.decided_at))
-    return session, out
+def _fed(session: Session, f: dict, p: Params, every: int) -> tuple[Session, tuple | None]:
+    """(session after a frame, the row to emit, if any)."""
+    generation = int(f["generation"] or 0)
+    if generation < session.generation:
+        return session, None
+    if f["kind"] == "reset" or generation > session.generation:
+        session = Session(generation=max(generation, session.generation))
+        if f["kind"] == "reset":
+            return session, None
+    session.update(bool(f["target"]), [f["plate_text"] or "", f["plate_conf"], f["color"] or "", f["color_conf"], f["registered_color"]], f["source_time_s"], p, every)
+    d = session.decision or [None, None, None, False]
+    return session, (f["session_id"], int(f["seq"]), session.state, session.run, session.ready, d[0], d[1], d[2], bool(d[3]), session.decided_at)
+
+
+def _plain(frames: pd.DataFrame) -> Iterator[dict]:
+    """Rows in the order of seq, with None for what pandas has as not a number."""
+    for f in frames.sort_values("seq").to_dict("records"):
+        yield {k: None if v is None or v != v or v is pd.NA else v for k, v in f.items()}
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
@@ -140,12 +137,17 @@ def listed(frames: DataFrame, registry: DataFrame) -> DataFrame:
 
 
 def replay(spark: SparkSession, frames: DataFrame, registry: DataFrame, p: Params = DEFAULTS, every: int = 1) -> DataFrame:
-    """One row a frame, as the stream gives it: the machine over each session's frames in order."""
+    """One row a frame, as the stream gives it: the machine over each session's frames in order, frame by frame."""
 
-    def play(rows: pd.DataFrame) -> pd.DataFrame:
-        return _frame(_rows(Session(), rows, p, every)[1])
+    def play(rows: Iterator[dict]) -> Iterator[tuple]:
+        session = Session()
+        for f in rows:
+            session, out = _fed(session, f, p, every)
+            if out is not None:
+                yield out
 
-    return listed(frames, registry).groupBy("session_id").applyInPandas(play, OUT)
+    names = [c.split()[0] for c in FRAME.split(", ")]
+    return V.by_session(listed(frames, registry).select(*names, "registered_color"), "session_id", ["seq"], play, OUT)
 
 
 def stream(frames: DataFrame, registry: DataFrame, p: Params = DEFAULTS, every: int = 1, idle_ms: int = IDLE_MS) -> DataFrame:
@@ -157,8 +159,10 @@ def stream(frames: DataFrame, registry: DataFrame, p: Params = DEFAULTS, every:
             state.remove()
             return
         session = Session(**json.loads(state.get[0])) if state.exists else Session()
-        frames = pd.concat(list(batches))
-        session, out = _rows(session, frames, p, every)
+        out = []
+        for f in _plain(pd.concat(list(batches))):
+            session, row = _fed(session, f, p, every)
+            out += [row] if row is not None else []
         state.update((json.dumps(asdict(session)),))
         state.setTimeoutDuration(idle_ms)
         yield _frame(out)

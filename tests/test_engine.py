@@ -74,7 +74,9 @@ def test_decide():
     two = [_f("30F12345", 0.6), _f("30F12345", 0.6), _f("51A99999", 0.9), _f("51A99999", 0.9)]
     assert d(two, set(), False).plate == "51A99999"
     colors = [_f("30F12345", 0.9, "Blue", 0.5), _f("30F12345", 0.9, "Red", 0.7), _f("30F12345", 0.9, "", None)]
-    assert (d(colors, set(), False).color, d(colors, set(), False).color_conf) == ("Blue", 0.5)
+    assert (d(colors, set(), False).color, d(colors, set(), False).color_conf) == ("BLUE", 0.5)
+    mixed = [_f("30F12345", 0.9, " red", 0.5), _f("30F12345", 0.9, "Red", None), _f("30F12345", 0.9, "Blue", 0.9)]
+    assert (d(mixed, set(), False).color, d(mixed, set(), False).color_conf) == ("RED", 0.25)
 
 
 def test_lock_aware(spark, registry):
@@ -84,6 +86,18 @@ def test_lock_aware(spark, registry):
     assert got == {"s": ("AUTHORIZED", "ALLOW_WARN", 50), "t": ("AUTHORIZED", "ALLOW", 1), "u": ("NO_PLATE", "LOG", 1)}
 
 
+def test_vote_dispatch(spark, registry):
+    """A session without any plate_conf goes to the majority vote; one with a single value to the lock-aware one."""
+    none = [("a", i, t, None, "Red", None) for i, t in enumerate(["30F12345", "30F12345", "30F12346", ""])]
+    tie = [("b", i, t, None, "Red", None) for i, t in enumerate(["30F12345", "30F12346"])]
+    one = [("c", i, "30F12345", 0.9 if i == 0 else None, "Red", 0.9) for i in range(3)]
+    blank = [("d", 0, " ", None, None, None)]
+    weak = [("e", i, "30F12345", 0.1 if i else None, "Red", 0.9) for i in range(3)]
+    df = spark.createDataFrame(none + tie + one + blank + weak, "session_id string, seq long, plate_text string, plate_conf double, color string, color_conf double")
+    got = {r.session_id: (r.plate, r.status, r.action, r.n_frames) for r in V.aggregate(df, registry).collect()}
+    assert got == {"a": ("30F12345", "AUTHORIZED", "ALLOW_WARN", 4), "b": ("", "UNCERTAIN", "LOG", 2), "c": ("30F12345", "AUTHORIZED", "ALLOW_WARN", 3), "d": ("", "NO_PLATE", "LOG", 1), "e": ("", "UNCERTAIN", "LOG", 3)}
+
+
 def _drive(rows, p=Params()):
     s, out = gate.Session(), []
     for i, (target, row) in enumerate(rows):
