@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallyline.functions import text as X
 from tallyline.params import PLATE, SOURCE_TYPES, SPLITS
 
+# Columns that a manifest must have, and those of its checksums.
 CORE = ("image_path", "label", "source_type", "group_id", "split", "verified")
 HASHES = ("source_sha256", "crop_sha256")
 

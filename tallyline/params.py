@@ -15,13 +15,13 @@ PLATE = r"^[0-9]{2}[A-Z]{1,2}[0-9]{4,6}\z"
 LOCK_PLATE = r"^[0-9]{2}[A-Z]{1,2}[0-9]{5,6}\z"
 SESSION_ID = r"^[A-Za-z0-9_-]{8,64}\z"
 SOURCE_TYPES, SPLITS = ("real", "synthetic", "pseudo"), ("train", "val", "test")
-BANDS = tuple(f"0.{k}-{'1.0' if k == 9 else f'0.{k + 1}'}" for k in range(10)) + ("1.0",)
+BANDS = ("0.0-0.1", "0.1-0.2", "0.2-0.3", "0.3-0.4", "0.4-0.5", "0.5-0.6", "0.6-0.7", "0.7-0.8", "0.8-0.9", "0.9-1.0", "1.0")
 VEHICLE_CLASSES = (2, 5, 7)
 
 
 @dataclass(frozen=True)
 class Params:
-    """Defaults are those of the deployed configuration."""
+    """Defaults are those of the deployed configuration."""
 
     color_warn_conf: float = 0.40
     neutral: tuple[str, ...] = NEUTRAL_COLORS

@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 
 from tallyline.functions import text as X
 from tallyline.functions.text import registry_key
+from tallyline.operators.tables import written
 
 REGISTRY = T.StructType([T.StructField(c, T.StringType()) for c in ("license_plate", "car_brand", "car_color")])
 IMAGE_EXTENSIONS = ("jpg", "jpeg", "png")
@@ -23,9 +24,21 @@ def exists(spark: SparkSession, path: str) -> bool:
     return bool(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(p))
 
 
-def with_order(df: DataFrame) -> DataFrame:
-    """df with row_ord: file name and place in the file decide, as far as a CSV has an order."""
-    return df.withColumn("row_ord", F.monotonically_increasing_id())
+def read_in_order(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+    """Rows of a CSV with row_ord, from 0: the order of file names, and in a file that of its rows.
+
+    Spark packs splits into tasks by their size, so that a task's number says nothing; rows are numbered inside each split, and shifted
+    by the rows of the splits before, of which there is one count each.
+    """
+    reader = spark.read.schema(schema) if schema is not None else spark.read
+    rows = reader.csv(path, header=True)
+    file, block, at = (F.col(f"_metadata.{c}") if c else F.monotonically_increasing_id() for c in ("file_path", "file_block_start", ""))
+    held = written(rows.select(*[F.col(f"`{c}`") for c in rows.columns], file.alias("__file"), block.alias("__block"), at.alias("__at")), "rows")
+    splits = held.groupBy("__file", "__block").agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(W.orderBy("__file", "__block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    inside = F.row_number().over(W.partitionBy("__file", "__block").orderBy("__at"))
+    numbered = held.withColumn("__k", inside).join(splits.select("__file", "__block", before.alias("__s")), ["__file", "__block"])
+    return numbered.select(*[F.col(f"`{c}`") for c in rows.columns], (F.col("__s") + F.col("__k") - 1).alias("row_ord"))
 
 
 def load_registry(spark: SparkSession, path: str) -> DataFrame:
@@ -38,10 +51,10 @@ def load_registry(spark: SparkSession, path: str) -> DataFrame:
 def read_registry(spark: SparkSession, path: str) -> DataFrame:
     """(license_plate, car_brand, car_color, row_ord): trimmed, without blank rows; no rows where there is no file."""
     if not exists(spark, path):
-        return spark.createDataFrame([], REGISTRY.add("row_ord", T.LongType()))
-    rows = spark.read.schema(REGISTRY).csv(path, header=True)
-    clean = rows.select(*[F.trim(F.coalesce(c, F.lit(""))).alias(c) for c in rows.columns])
-    return with_order(clean).filter(F.concat_ws("", "license_plate", "car_brand", "car_color") != "")
+        return spark.createDataFrame([], T.StructType([*REGISTRY.fields, T.StructField("row_ord", T.LongType())]))
+    rows = read_in_order(spark, path, REGISTRY)
+    clean = rows.select(*[F.trim(F.coalesce(c, F.lit(""))).alias(c) for c in REGISTRY.names], "row_ord")
+    return clean.filter(F.concat_ws("", "license_plate", "car_brand", "car_color") != "")
 
 
 def list_vehicles(registry: DataFrame, photos: DataFrame) -> DataFrame:
@@ -55,14 +68,14 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """Core columns, row_number from 2 on, and all other columns in `metadata`."""
     from tallyline.operators.manifest import CORE, HASHES
 
-    rows = spark.read.csv(path, header=True)
+    rows = read_in_order(spark, path)
     lacking = [c for c in CORE if c not in rows.columns]
     if lacking:
         raise ValueError(f"C1: columns {lacking} are missing")
-    extra = [c for c in rows.columns if c not in (*CORE, *HASHES)]
+    extra = [c for c in rows.columns if c not in (*CORE, *HASHES, "row_ord")]
     meta = F.map_from_arrays(F.array(*[F.lit(c) for c in extra]), F.array(*[F.coalesce(c, F.lit("")) for c in extra])) if extra else F.create_map().cast("map<string,string>")
     kept = [*CORE, *[h for h in HASHES if h in rows.columns]]
-    return with_order(rows.select(*kept, meta.alias("metadata"))).withColumn("row_number", F.col("row_ord") + 2).drop("row_ord")
+    return rows.select(*kept, meta.alias("metadata"), (F.col("row_ord") + 2).alias("row_number"))
 
 
 def files_of(spark: SparkSession, path: str, extensions: tuple[str, ...] = IMAGE_EXTENSIONS, content: bool = False) -> DataFrame:
@@ -117,10 +130,15 @@ def every_nth_frame(frames: DataFrame, fps: float, rate: float, index: str = "fr
     return frames.filter(F.pmod(F.col(index), F.lit(max(1, int(fps / rate)))) == 0)
 
 
-def ocr_parts(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("read_id string, part_ord int, text string, conf double, cx double, cy double, y_min double").json(path)
+def layout(spark: SparkSession, path: str) -> str:
+    """How an image tree is laid out: `split` (train/, val/ or test/ above the classes) or `flat` (classes right below)."""
+    top = F.regexp_extract(F.regexp_replace("parent", r"/+", "/"), r"([^/]+)/[^/]+$", 1)
+    return "split" if files_of(spark, path).filter(F.lower(top).isin("train", "val", "valid", "test")).take(1) else "flat"
 
 
-def split_files(df: DataFrame, label: str, key: str) -> DataFrame:
-    """df ranked inside its class by key."""
-    return df.withColumn("n", F.row_number().over(W.partitionBy(label).orderBy(key)))
+def class_samples(spark: SparkSession, path: str, names: dict[str, str] | None = None) -> DataFrame:
+    """(path, label, split) of an image tree in either layout; split is null in a flat one."""
+    rows = class_tree(spark, path, names)
+    top = F.lower(F.regexp_extract("path", r"([^/]+)/[^/]+/[^/]+$", 1))
+    split = F.when(top.isin("train", "val", "test"), top).when(top == "valid", "val") if layout(spark, path) == "split" else F.lit(None).cast("string")
+    return rows.withColumn("split", split)

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# The fields of the manifest, in the order of the file.
 MANIFEST_FIELDS = ("image_path", "label", "source_type", "group_id", "split", "verified", "source_sha256", "crop_sha256")
 
 
@@ -62,14 +63,3 @@ def markdown(df: DataFrame, most: int = 1000) -> str:
         raise ValueError(f"a table of more than {most} rows")
     head = "| " + " | ".join(df.columns) + " |\n|" + "---|" * len(df.columns)
     return "\n".join([head, *("| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows)])
-
-
-def memory_stream(df: DataFrame, name: str) -> None:
-    """A finished stream's rows as a table in memory, for tests."""
-    q = df.writeStream.format("memory").queryName(name).outputMode("append").start()
-    q.processAllAvailable()
-    q.stop()
-
-
-def session_of(df: DataFrame) -> SparkSession:
-    return df.sparkSession

@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from tallyline.operators import registry as R
 from tallyline.sources import files as S
 from tallyline.sources import sinks
 
@@ -59,3 +60,46 @@ def test_sinks(spark, tmp_path):
     assert sinks.markdown(df.select(F.lit(1).alias("k")).limit(1)).endswith("| 1 |")
     with pytest.raises(ValueError):
         sinks.report(df, 1)
+
+
+def test_rows_of_a_csv_of_several_splits(spark, tmp_path):
+    """row_ord is the file's order, though Spark packs splits by their size: of equal keys the first row of the first file wins."""
+    path = tmp_path / "registry"
+    path.mkdir()
+    want = []
+    for name, n in (("a.csv", 30), ("b.csv", 900), ("c.csv", 300)):
+        rows = [f"30F-{10000 + i % 50:05},brand {name},{name}{i}" for i in range(n)]
+        (path / name).write_text("license_plate,car_brand,car_color\n" + "\n".join(rows) + "\n")
+        want += [r.split(",")[2] for r in rows]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "100")
+    try:
+        got = S.read_registry(spark, str(path))
+        assert got.select("car_color").rdd.getNumPartitions() > 0
+        assert [r.car_color for r in got.orderBy("row_ord").collect()] == want
+        assert sorted(r.row_ord for r in got.collect()) == list(range(len(want)))
+        first = {r.license_plate: r.car_color for r in R.first_by_key(got.select("license_plate", "car_color", "row_ord"), "license_plate", "row_ord").collect()}
+        assert first["30F-10007"] == "a.csv7" and first["30F-10040"] == "b.csv40"
+        manifest = tmp_path / "manifest.csv"
+        manifest.write_text("image_path,label,source_type,group_id,split,verified,note\n" + "".join(f"{i}.jpg,30F12345,real,g,train,true,n{i}\n" for i in range(500)))
+        rows = S.read_manifest(spark, str(manifest)).orderBy("row_number").collect()
+        assert [(r.image_path, r.row_number, r.metadata) for r in rows] == [(f"{i}.jpg", i + 2, {"note": f"n{i}"}) for i in range(500)]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_photos_of_vehicles(spark):
+    registry = spark.createDataFrame([("30F-123.45", "a", "RED", 0), ("51A99999", "b", "BLUE", 1), (" - ", "c", "", 2)], "license_plate string, car_brand string, car_color string, row_ord long")
+    photos = spark.createDataFrame([("x/30F12345.png",), ("x/30F12345.jpg",), ("x/other.jpg",)], "path string")
+    got = {r.plate_key: r.photo for r in S.list_vehicles(registry, photos).collect()}
+    assert got == {"30F12345": "x/30F12345.jpg", "51A99999": None}
+
+
+def test_layouts(spark, tmp_path):
+    for root, names in (("flat", ["Red/1.jpg", "Blue/2.png"]), ("deep", ["train/Red/1.jpg", "valid/Red/2.jpg", "test/Blue/3.jpeg"])):
+        for n in names:
+            (tmp_path / root / n).parent.mkdir(parents=True, exist_ok=True)
+            (tmp_path / root / n).write_bytes(b"x")
+    assert {(r.label, r.split) for r in S.class_samples(spark, str(tmp_path / "flat")).collect()} == {("Red", None), ("Blue", None)}
+    assert {(r.label, r.split) for r in S.class_samples(spark, str(tmp_path / "deep")).collect()} == {("Red", "train"), ("Red", "val"), ("Blue", "test")}
