@@ -35,6 +35,21 @@ def numbered(df: DataFrame, keys: list[str], order: list[Column], at: str = "__a
     return held.withColumn("__r", inside).join(starts, on).select(*df.columns, (F.col("__s") + F.col("__r")).alias(at), total)
 
 
+def running(df: DataFrame, order: list[Column], sums: dict[str, str]) -> DataFrame:
+    """df with a running sum for each (name: column) of sums, over all rows in a total order, up to each row.
+
+    Rows are dealt by ranges of the order and summed inside; one row of sums for each range shifts them. No task holds all rows.
+    """
+    names = [f"__o{i}" for i in range(len(order))]
+    held = written(df.select("*", *[c.alias(n) for c, n in zip(order, names)]).repartitionByRange(*order).withColumn("__p", F.spark_partition_id()), "ranges")
+    upto = W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)
+    parts = held.groupBy("__p").agg(*[F.sum(c).alias(n) for n, c in sums.items()])
+    starts = parts.select(F.col("__p").alias("__q"), *[F.coalesce(F.sum(n).over(upto), F.lit(0)).alias(f"__s{i}") for i, n in enumerate(sums)])
+    inside = W.partitionBy("__p").orderBy(*names).rowsBetween(W.unboundedPreceding, 0)
+    summed = held.select("*", *[F.sum(c).over(inside).alias(f"__r{i}") for i, c in enumerate(sums.values())])
+    return summed.join(starts, F.col("__p") == F.col("__q")).select(*df.columns, *[(F.col(f"__s{i}") + F.col(f"__r{i}")).alias(n) for i, n in enumerate(sums)])
+
+
 def cap(df: DataFrame, keys: list[str], order: list[Column], target: int) -> tuple[DataFrame, DataFrame]:
     """(first `target` rows of each group by the ascending order, the overflow)."""
     ranked = numbered(df, keys, order)

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tallyline.operators.curate import running
 from tallyline.params import BANDS, DEFAULTS, Params
 
 
@@ -64,17 +68,38 @@ def latency_metrics(df: DataFrame, latency: str, status: str) -> DataFrame:
     return df.agg(F.count("*").alias("total"), F.coalesce(F.avg(latency), F.lit(0.0)).alias("avg_ms"), *[F.count_if(F.col(status) == s).alias(f"{s.lower()}_count") for s in names])
 
 
+def quantiles(df: DataFrame, keys: list[str], value: str, at: dict[str, float]) -> DataFrame:
+    """(keys, n, low, high, and a column for each (name: share) of `at`) by group: exact, between neighbours in proportion.
+
+    Values are counted first and ranked by running counts over range parts, so that no task holds the values of a group.
+    """
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("__v")).agg(F.count("*").alias("__c"))
+    ranked = running(counts, [*[F.col(k) for k in keys], F.col("__v")], {"__end": "__c"})
+    named = [f"__g{i}" for i in range(len(keys))]
+    size = ranked.groupBy(*[F.col(k).alias(g) for k, g in zip(keys, named)]).agg(F.sum("__c").alias("n"), F.min(F.col("__end") - F.col("__c")).alias("__base"))
+    on = reduce(and_, [F.col(k).eqNullSafe(F.col(g)) for k, g in zip(keys, named)], F.lit(True))
+    placed = ranked.join(size, on).select(*keys, "n", "__v", (F.col("__end") - F.col("__base")).alias("__end"))
+    place = {name: (F.col("n") - 1) * F.lit(float(q)) for name, q in at.items()}
+    pick = lambda rank: F.min(F.when(F.col("__end") > rank, F.col("__v")))
+    found = [x for name, h in place.items() for x in (pick(F.floor(h)).alias(f"__a_{name}"), pick(F.ceil(h)).alias(f"__b_{name}"))]
+    got = placed.groupBy(*keys, "n").agg(F.min("__v").alias("low"), F.max("__v").alias("high"), *found)
+    mixed = [F.when(F.floor(h) == F.ceil(h), F.col(f"__a_{name}")).otherwise((F.ceil(h) - h) * F.col(f"__a_{name}") + (h - F.floor(h)) * F.col(f"__b_{name}")).alias(name) for name, h in place.items()]
+    return got.select(*keys, "n", "low", "high", *mixed)
+
+
 def percentiles(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """(n, p50, p95) by group: exact, between neighbours in proportion."""
-    p = F.percentile(value, F.array(F.lit(0.5), F.lit(0.95)))
-    return df.groupBy(*keys).agg(F.count(value).alias("n"), p.alias("p")).select(*keys, "n", F.get("p", F.lit(0)).alias("p50"), F.get("p", F.lit(1)).alias("p95"))
+    """(n, p50, p95) by group; a group without values has none of them and n = 0."""
+    named = [f"__k{i}" for i in range(len(keys))]
+    got = quantiles(df, keys, value, {"p50": 0.5, "p95": 0.95}).select(*[F.col(k).alias(g) for k, g in zip(keys, named)], "n", "p50", "p95")
+    on = reduce(and_, [F.col(k).eqNullSafe(F.col(g)) for k, g in zip(keys, named)], F.lit(True))
+    return df.select(*keys).distinct().join(got, on, "left").select(*keys, F.coalesce("n", F.lit(0)).alias("n"), "p50", "p95")
 
 
 def stage_latency(df: DataFrame, stages: list[str]) -> DataFrame:
     """(stage, median, low, high) of one column a stage, and of their sum."""
     wide = df.withColumn("total", sum((F.col(s) for s in stages[1:]), F.col(stages[0])))
-    cols = ", ".join(f"'{s}', `{s}`" for s in [*stages, "total"])
-    return wide.selectExpr(f"stack({len(stages) + 1}, {cols}) as (stage, ms)").groupBy("stage").agg(F.median("ms").alias("median"), F.min("ms").alias("low"), F.max("ms").alias("high"))
+    cols = ", ".join(f"'{s}', cast(`{s}` as double)" for s in [*stages, "total"])
+    return quantiles(wide.selectExpr(f"stack({len(stages) + 1}, {cols}) as (stage, ms)"), ["stage"], "ms", {"median": 0.5}).select("stage", "median", "low", "high")
 
 
 def deployment_gate(df: DataFrame, p: Params = DEFAULTS) -> DataFrame:
@@ -88,11 +113,10 @@ def deployment_gate(df: DataFrame, p: Params = DEFAULTS) -> DataFrame:
 def calibrate(df: DataFrame, conf: str, correct: str, precision: float = 0.99) -> DataFrame:
     """(threshold, precision, coverage, support, total, available): the least observed confidence from which on the precision holds.
 
-    Rows are first counted by confidence, so that the running sums, over distinct values from the top, are of those only.
+    Rows are first counted by confidence; sums run over the distinct values from the top, in range parts.
     """
     counts = df.filter(F.col(conf).between(0, 1)).groupBy(F.col(conf).alias("c")).agg(F.count("*").alias("n"), F.count_if(F.col(correct)).alias("k"))
-    above = W.orderBy(F.desc("c")).rowsBetween(W.unboundedPreceding, 0)
-    run = counts.select("c", F.sum("n").over(above).alias("support"), F.sum("k").over(above).alias("hits"))
+    run = running(counts, [-F.col("c")], {"support": "n", "hits": "k"})
     ok = run.filter(F.col("hits") / F.col("support") >= precision)
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
     best = ok.agg(F.min_by(F.struct("c", "support", "hits"), "c").alias("b"))
@@ -146,6 +170,11 @@ def benchmark(df: DataFrame) -> DataFrame:
     return df.groupBy("candidate").agg(F.count("*").alias("n"), rate(F.col("truth") == F.col("guess")).alias("accuracy"), F.avg("ms").alias("ms_per_row"), (F.lit(1000.0) / F.nullif(F.avg("ms"), F.lit(0.0))).alias("per_second"))
 
 
+def near_certain(df: DataFrame, conf: str, least: float = 0.999) -> DataFrame:
+    """Rows whose confidence leaves next to no doubt; sort them by it, greatest first, and by path."""
+    return df.filter(F.col(conf) >= least)
+
+
 def suspects(df: DataFrame, least: float = 0.80) -> DataFrame:
     """Confident predictions against the label, surest first."""
     return df.filter((F.col("pred_label") != F.col("true_label")) & (F.col("confidence") >= least)).orderBy(F.desc("confidence"), "sample_id")

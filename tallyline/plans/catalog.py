@@ -453,7 +453,11 @@ def exact_dedup(spark, d):
     return C.exact_dedup(table(spark, d, "documents").select("doc_id", "text"), ["text"], "doc_id").select("doc_id")
 
 
-@query()
+@query("""
+WITH RECURSIVE o AS (SELECT vec_id, label, list_aggregate(list_transform(embedding, lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), 'string_agg', '') AS h, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS n FROM embeddings),
+r(label, n, vec_id, kept, held) AS (SELECT label, n, vec_id, true, [h] FROM o WHERE n = 1
+  UNION ALL SELECT label, n, vec_id, ok, CASE WHEN ok THEN list_append(held, h) ELSE held END FROM (SELECT o.*, r.held, len(list_filter(r.held, lambda x: hamming(x, o.h) <= 12)) = 0 AS ok FROM r JOIN o ON o.label = r.label AND o.n = r.n + 1))
+SELECT vec_id, label, kept FROM r""")
 def greedy_dedup(spark, d):
     bits = F.aggregate(F.slice("embedding", 1, 64), F.lit(0).cast("long"), lambda a, x: F.shiftleft(a, 1).bitwiseOR(F.when(x > 0, F.lit(1).cast("long")).otherwise(F.lit(0).cast("long"))))
     rows = table(spark, d, "embeddings").select("vec_id", "label", bits.alias("phash"))
@@ -575,9 +579,9 @@ def class_weights(spark, d):
     return E.class_weights(table(spark, d, "documents"), "lang", _CLASSES)
 
 
-@query(f"SELECT count(*) AS n, count(*) FILTER (action = 'ALLOW') AS correct, count(*) FILTER (action = 'ALLOW_WARN') AS false_alarms, count(*) FILTER (status <> 'AUTHORIZED') AS unexpected, count(*) FILTER (action = 'ALLOW_WARN') / CAST(count(*) AS DOUBLE) AS false_alarm_rate FROM ({I.VERIFIED}) WHERE event_id % 2 = 0")
+@query(f"SELECT count(*) AS n, count(*) FILTER (action = 'ALLOW') AS correct, count(*) FILTER (action = 'ALLOW_WARN') AS false_alarms, count(*) FILTER (status <> 'AUTHORIZED') AS unexpected, count(*) FILTER (action = 'ALLOW_WARN') / CAST(count(*) AS DOUBLE) AS false_alarm_rate FROM ({I.VERIFIED})")
 def security_legitimate(spark, d):
-    return E.legitimate(R.verify(I.readings(spark, d).filter("event_id % 2 = 0"), I.registry(spark, d)))
+    return E.legitimate(R.verify(I.readings(spark, d), I.registry(spark, d)))
 
 
 @query(f"SELECT registered, \"true\", count(*) AS n, count(*) FILTER (action <> 'ALLOW_WARN') AS missed, count(*) FILTER (action <> 'ALLOW_WARN') / CAST(count(*) AS DOUBLE) AS miss_rate FROM (SELECT registered, upper(color) AS \"true\", action FROM ({I.VERIFIED}) WHERE registered IS NOT NULL) GROUP BY ALL")
@@ -587,9 +591,9 @@ def security_swaps(spark, d):
     return E.swaps(got.join(reg.select(F.col("license_plate").alias("k"), F.col("car_color").alias("registered")), "k").withColumn("true", F.upper("color")))
 
 
-@query(f"SELECT count(*) AS n, count(*) FILTER (status = 'UNREGISTERED') AS correct, count(*) FILTER (status = 'UNREGISTERED') / CAST(count(*) AS DOUBLE) AS rate FROM ({I.VERIFIED}) WHERE event_id % 3 = 1")
+@query(f"SELECT count(*) AS n, count(*) FILTER (status = 'UNREGISTERED') AS correct, count(*) FILTER (status = 'UNREGISTERED') / CAST(count(*) AS DOUBLE) AS rate FROM ({I.VERIFIED})")
 def security_unregistered(spark, d):
-    return E.unregistered(R.verify(I.readings(spark, d).filter("event_id % 3 = 1"), I.registry(spark, d)))
+    return E.unregistered(R.verify(I.readings(spark, d), I.registry(spark, d)))
 
 
 _GATES = [0.0, 0.3, 0.4, 0.5, 0.6]
@@ -657,20 +661,40 @@ def label_audit(spark, d):
     return E.suspects(rows).select("sample_id", "true_label", "pred_label")
 
 
+@query("SELECT event_id, row_number() OVER (ORDER BY event_id % 2000 DESC, event_id) - 1 AS place FROM events WHERE event_id % 2000 >= 1998")
+def near_certain(spark, d):
+    rows = table(spark, d, "events").selectExpr("event_id", "(event_id % 2000) / 2000D AS conf")
+    from tallyline.operators.ordered import pages_of
+
+    return pages_of(E.near_certain(rows, "conf"), [F.col("conf").desc(), F.col("event_id")], 1).select("event_id", F.col("page").cast("long").alias("place"))
+
+
+@query(f"SELECT session_id, plate, color, n_frames, status, action, color_warning FROM ({I.LOCK_VOTE})")
+def vote_dispatch(spark, d):
+    return V.aggregate(I.plates(spark, d), I.plate_registry(spark, d))
+
+
 # sequences
 
 
-@query()
+@query("""
+WITH RECURSIVE b AS (SELECT band, n, row_number() OVER (ORDER BY band) AS i FROM (SELECT CAST(CAST(floor(value / 40) AS BIGINT) AS VARCHAR) AS band, count(*) AS n FROM events GROUP BY 1)),
+r(i, g, total) AS (SELECT i, 1, n FROM b WHERE i = 1 UNION ALL SELECT b.i, CASE WHEN r.total < 200 THEN r.g ELSE r.g + 1 END, CASE WHEN r.total < 200 THEN r.total + b.n ELSE b.n END FROM r JOIN b ON b.i = r.i + 1)
+SELECT string_agg(band, '|' ORDER BY b.i) AS bands, CAST(sum(n) AS BIGINT) AS n FROM r JOIN b ON b.i = r.i GROUP BY g""")
 def merge_small_bands(spark, d):
     bands = table(spark, d, "events").groupBy((F.floor(F.col("value") / 40)).cast("string").alias("band")).agg(F.count("*").alias("n"))
     rows = bands.agg(F.array_sort(F.collect_list(F.struct("band", "n"))).alias("counts"))
     return rows.select(F.explode(D.merge_small_bands(F.col("counts"), 200)).alias("g")).select(F.array_join("g.bands", "|").alias("bands"), "g.n")
 
 
-@query()
+@query("""
+WITH s AS (SELECT vec_id, t, list_transform(list_slice(embedding, t * 8 + 1, t * 8 + 8), lambda v: CAST(v AS DOUBLE)) AS x FROM embeddings, range(8) steps(t)),
+b AS (SELECT vec_id, t, list_position(x, m) - 1 AS i, 1 / list_sum(list_transform(x, lambda v: exp(v - m))) AS p FROM (SELECT *, list_max(x) AS m FROM s)),
+k AS (SELECT *, i <> 7 AND i IS DISTINCT FROM lag(i) OVER (PARTITION BY vec_id ORDER BY t) AS emitted FROM b)
+SELECT vec_id, coalesce(string_agg(substr('ABCDEFG', CAST(i + 1 AS INTEGER), 1), '' ORDER BY t) FILTER (emitted), '') AS text, round(coalesce(avg(p) FILTER (emitted), 0), 6) AS conf FROM k GROUP BY 1""")
 def ctc_decode(spark, d):
     rows = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda t: F.transform(F.slice("embedding", t * 8 + 1, 8), lambda x: x.cast("double")))
-    return table(spark, d, "embeddings").withColumn("r", D.ctc_decode(rows, "ABCDEFG")).select("vec_id", "r.text", "r.conf")
+    return table(spark, d, "embeddings").withColumn("r", D.ctc_decode(rows, "ABCDEFG")).select("vec_id", "r.text", F.round("r.conf", 6).alias("conf"))
 
 
 @query("SELECT vec_id, CAST(list_position(m, list_max(m)) - 1 AS INTEGER) AS best FROM (SELECT vec_id, list_transform(range(1, 9), lambda i: (CAST(embedding[i] AS DOUBLE) + CAST(embedding[i + 8] AS DOUBLE)) / 2) AS m FROM embeddings)")
@@ -679,7 +703,12 @@ def tta_argmax(spark, d):
     return table(spark, d, "embeddings").select("vec_id", D.argmax(D.mean_of_two(part(1), part(9))).alias("best"))
 
 
-@query()
+@query("""
+WITH RECURSIVE p AS (SELECT p_partkey, i, i || substr(p_name, 1, 3) AS text, (p_partkey * (i + 3)) % 17 AS cx, ((p_partkey * (i + 1)) % 3) * 20 AS cy FROM part, range(6) parts(i)),
+o AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY cy, i) AS j, (max(cy) OVER (PARTITION BY p_partkey) - min(cy) OVER (PARTITION BY p_partkey)) / CAST(3 AS DOUBLE) AS lim FROM p),
+r(p_partkey, j, anchor, line) AS (SELECT p_partkey, j, cy, 0 FROM o WHERE j = 1
+  UNION ALL SELECT o.p_partkey, o.j, CASE WHEN o.cy - r.anchor > lim THEN o.cy ELSE r.anchor END, r.line + CASE WHEN o.cy - r.anchor > lim THEN 1 ELSE 0 END FROM r JOIN o ON o.p_partkey = r.p_partkey AND o.j = r.j + 1)
+SELECT p_partkey, string_agg(text, '' ORDER BY line, cx, i) AS text FROM r JOIN o USING (p_partkey, j) GROUP BY 1""")
 def reading_order(spark, d):
     parts = F.transform(F.sequence(F.lit(0), F.lit(5)), lambda i: F.struct(F.substring(F.col("p_name"), 1, 3).alias("text"), (F.pmod(F.col("p_partkey") * (i + 3), F.lit(17))).cast("double").alias("cx"), (F.pmod(F.col("p_partkey") * (i + 1), F.lit(3)) * 20).cast("double").alias("cy")))
     named = F.transform(parts, lambda p, i: F.struct(F.concat(i.cast("string"), p["text"]).alias("text"), p["cx"].alias("cx"), p["cy"].alias("cy")))

@@ -257,3 +257,32 @@ def test_entry_imports():
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert os.path.exists(entry.__file__)
+
+
+def test_running_sums_and_quantiles(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    rows = [(["a", "b", None][i % 3], float(rng.integers(0, 40)) if i % 7 else None) for i in range(500)] + [("c", None), ("d", 2.5)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(5)
+    got = {r.k: (r.n, r.p50, r.p95) for r in E.percentiles(df, ["k"], "v").collect()}
+    for k in ("a", "b", None, "d"):
+        own = [v for x, v in rows if x == k and v is not None]
+        assert got[k][0] == len(own) and np.allclose(got[k][1:], np.percentile(own, [50, 95]))
+    assert got["c"] == (0, None, None)
+    run = C.running(spark.range(100).repartition(7), [-F.col("id")], {"total": "id"}).orderBy("id").collect()
+    assert [r.total for r in run] == [sum(range(i, 100)) for i in range(100)]
+    plan = E.calibrate(spark.range(100).selectExpr("id / 100D AS c", "id > 50 AS ok"), "c", "ok")._jdf.queryExecution().optimizedPlan().toString()
+    assert "windowspecdefinition(c" not in plan
+
+
+def test_small_helpers(spark):
+    files = spark.createDataFrame([("a.jpg", bytearray(b"x")), ("b.jpg", bytearray(b"y"))], "image_path string, content binary")
+    rows = spark.createDataFrame([("a.jpg", "2D711642B726B04401627CA9FBAC32F5C8530FB1903CC4DB02258717921A4881"), ("b.jpg", "00"), ("c.jpg", "00")], "image_path string, source_sha256 string")
+    assert {r.image_path: r.provenance for r in M.provenance(rows, files).collect()} == {"a.jpg": "verified", "b.jpg": "mismatch", "c.jpg": "unavailable"}
+    frames = spark.createDataFrame([("s", 1, 0.0, 0.4), ("s", 2, 1.0, 1.1), ("t", 1, 0.0, 9.0)], "session_id string, seq long, source_time_s double, arrived_s double")
+    assert {(r.session_id, r.seq) for r in gate.shed(frames).collect()} == {("s", 2), ("t", 1)}
+    assert {(r.session_id, r.seq) for r in gate.in_time(frames, 0.5).collect()} == {("s", 1), ("s", 2)}
+    reads = spark.createDataFrame([("30F12345", 0.6), ("30F12346", 0.6), ("30F12347", 0.6), ("30F12377", 0.6), ("51A99999", 0.9)], "p string, c double")
+    got = {r.representative: r["count"] for r in Z.representatives(reads, "p", "c", Z.near_clusters(reads, "p")).collect()}
+    assert got == {"30F12347": 4, "51A99999": 1}
