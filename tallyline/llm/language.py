@@ -27,7 +27,7 @@ from tallyline.llm.common import batches_of, hash_share, table, text_of, written
 
 BITS, ORDERS, MAX_TRAIN, MAX_LANGUAGES, TEMPERATURE = 16, (1, 2, 3), 8000, 200, 0.25
 #: text that a task works on at once: about 60 bytes of arrays for each of its characters
-BATCH_MB = 2.0
+BATCH_MB = 1.0
 _U = np.uint32
 
 

@@ -1,6 +1,6 @@
 """Benchmark decontamination over a distributed positional inverted index.
 
-The index is partitioned by document: each segment (about 8 MB of text) is one row with the sorted term hashes of its texts
+The index is partitioned by document: each segment (about 5 MB of text) is one row with the sorted term hashes of its texts
 and, for each, the ordered positions where it stands. Building it needs no shuffle, and a segment answers a query alone. A
 phrase is looked up from its rarest term in the segment: that list, shifted by the term's offset, is cut down by the lists of
 the other terms, from rare to frequent; a phrase with a term that the segment lacks is dropped at once.
@@ -33,7 +33,7 @@ from tallyline.llm.common import batches_of, table, text_of, written
 WINDOW = 13
 #: bytes of item texts that are sent to the executors at once; a larger benchmark is asked in several rounds
 QUERY_BYTES = 16_000_000
-SEGMENT_MB = 8.0
+SEGMENT_MB = 5.0
 
 
 def _varints(x: np.ndarray) -> bytes:
