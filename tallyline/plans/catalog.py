@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tallyline.functions import decode as D
 from tallyline.functions import geometry as G
 from tallyline.functions import text as X
+from tallyline.operators import chains as H
 from tallyline.operators import curate as C
 from tallyline.operators import evaluate as E
 from tallyline.operators import fuzzy as Z
@@ -785,3 +786,112 @@ def single_frame_verdict(spark, d):
     named = C.top_per_group(vehicles.filter("cls IN (2, 5, 7)"), ["frame"], [F.desc("area"), F.asc("det_ord")]).select("frame", F.col("l_linenumber").cast("long").alias("det_ord"), "cls", "area")
     plates = items.selectExpr("l_orderkey AS frame", "CASE WHEN l_suppkey % 4 = 0 THEN NULL ELSE CAST(l_linenumber AS BIGINT) END AS vehicle_ord", order, "l_discount AS conf", "CASE WHEN l_suppkey % 7 = 0 THEN '' ELSE CAST(l_suppkey * 3 AS STRING) END AS plate_text")
     return frames.single_frame(shot, named, plates, I.registry(spark, d)).select("frame", "status", "action")
+
+
+# chains
+
+_FOUND_SQL = f"""
+WITH b AS ({I.BOXES}), k AS ({I.RESERVED}), lab AS (SELECT DISTINCT label FROM k WHERE label <> ''), own AS (SELECT DISTINCT label FROM b WHERE label IS NOT NULL),
+near AS (SELECT own.label, min(CASE WHEN own.label = lab.label THEN 0 ELSE 1 END) AS near FROM own, lab
+  WHERE own.label = lab.label OR ((starts_with(own.label, lab.label) AND length(lab.label) >= {{guard}}) OR (starts_with(lab.label, own.label) AND length(own.label) >= {{guard}})) OR levenshtein(own.label, lab.label) <= 1 GROUP BY 1),
+px AS (SELECT b.*, c - a AS w, e - t AS h, c > a AND e > t AS ok, near, source_sha256 IN (SELECT source_sha256 FROM k WHERE source_sha256 <> '') AS rs, crop_sha256 IN (SELECT crop_sha256 FROM k WHERE crop_sha256 <> '') AS rc
+  FROM (SELECT *, CAST(greatest(0, least(width, round_even((cx - bw / 2) * width, 0))) AS INTEGER) AS a, CAST(greatest(0, least(height, round_even((cy - bh / 2) * height, 0))) AS INTEGER) AS t,
+    CAST(greatest(0, least(width, round_even((cx + bw / 2) * width, 0))) AS INTEGER) AS c, CAST(greatest(0, least(height, round_even((cy + bh / 2) * height, 0))) AS INTEGER) AS e FROM b) b LEFT JOIN near ON near.label = b.label),
+judged AS (SELECT *, CASE WHEN image LIKE '%Gen%' THEN 'excluded-source' WHEN rs THEN 'reserved-source-hash' WHEN height IS NULL THEN 'unreadable' WHEN NOT ok OR {{wrong}} THEN '{{shape}}' WHEN kind = 0 THEN 'unreadable' WHEN label IS NULL THEN 'invalid-format'
+  WHEN near = 0 THEN 'reserved-label' WHEN near = 1 THEN '{{near}}' WHEN rc THEN 'reserved-crop-hash' ELSE 'kept' END AS reason FROM px)"""
+_PSEUDO_SQL = _FOUND_SQL.format(guard=1, wrong="h < 24", shape="too-small", near="reserved-label")
+_CAR_SQL = _FOUND_SQL.format(guard=5, wrong="least(w, h) < 20 OR w / CAST(h AS DOUBLE) < 2.2", shape="low-aspect", near="near-reserved-label")
+_NAME_SQL = "'{p}_' || substr(source_sha256, 1, 16) || '_' || substr(sha256(rel_path), 1, 12) || '_' || printf('%02d', box_index) || '.jpg'"
+
+
+@query(f"{_PSEUDO_SQL} SELECT reason, count(*) AS n FROM judged GROUP BY 1")
+def pseudo_label_funnel(spark, d):
+    return H.funnel_counts(H.pseudo_labels(I.boxes(spark, d), I.reserved(spark, d)))
+
+
+@query(f"""
+{_PSEUDO_SQL} SELECT 'images/' || {_NAME_SQL.format(p="pseudo")} AS image_path, label, 'source:' || substr(sha256(split_part(regexp_replace(image, '\\.[^.]*$', ''), '.rf.', 1)), 1, 16) AS group_id, source_sha256, ocr_confidence FROM judged WHERE reason = 'kept'""")
+def pseudo_label_manifest(spark, d):
+    return H.pseudo_manifest(H.pseudo_labels(I.boxes(spark, d), I.reserved(spark, d))).select("image_path", "label", "group_id", "source_sha256", "ocr_confidence")
+
+
+@query(f"""
+WITH RECURSIVE m AS ({_PSEUDO_SQL} SELECT 'images/' || {_NAME_SQL.format(p="pseudo")} AS image_path, ocr_confidence, CASE WHEN ocr_confidence >= 1 THEN 10 ELSE CAST(floor(ocr_confidence * 10) AS INTEGER) END AS i FROM judged WHERE reason = 'kept'),
+n AS (SELECT CAST(b.i AS INTEGER) AS i, CASE WHEN b.i = 10 THEN '1.0' ELSE printf('%.1f-%.1f', b.i / 10.0, (b.i + 1) / 10.0) END AS band, count(m.i) AS n FROM range(11) b(i) LEFT JOIN m ON m.i = b.i GROUP BY b.i),
+r(i, g, total) AS (SELECT i, 1, n FROM n WHERE i = 0 UNION ALL SELECT n.i, CASE WHEN r.total < 10 THEN r.g ELSE r.g + 1 END, CASE WHEN r.total < 10 THEN r.total + n.n ELSE n.n END FROM r JOIN n ON n.i = r.i + 1),
+j AS (SELECT i, string_agg(band, '+') OVER (PARTITION BY g ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS band FROM r JOIN n USING (i)),
+s AS (SELECT * FROM (SELECT m.*, j.band, row_number() OVER (PARTITION BY j.band ORDER BY sha256('{H.AUDIT_SEED}:' || image_path), image_path) AS k FROM m JOIN j USING (i)) WHERE k <= 30),
+o AS (SELECT *, row_number() OVER (ORDER BY i, ocr_confidence, image_path) - 1 AS place FROM s)
+SELECT CAST(place // 30 + 1 AS INTEGER) AS sheet, CAST(place + 1 AS INTEGER) AS cell, image_path, ocr_confidence, band FROM o""")
+def pseudo_label_audit(spark, d):
+    return H.audit(H.pseudo_manifest(H.pseudo_labels(I.boxes(spark, d), I.reserved(spark, d))))
+
+
+@query(f"{_CAR_SQL} SELECT reason, count(*) AS n FROM judged GROUP BY 1")
+def car_review_funnel(spark, d):
+    return H.funnel_counts(H.car_boxes(I.boxes(spark, d), I.reserved(spark, d)))
+
+
+@query(f"""
+{_CAR_SQL}, s AS (SELECT *, row_number() OVER (PARTITION BY label, source_sha256 ORDER BY ocr_confidence DESC, crop_sha256) AS n FROM (SELECT DISTINCT ON (label, source_sha256, crop_sha256) * FROM judged WHERE reason = 'kept'))
+SELECT {_NAME_SQL.format(p="car")} AS crop_name, label AS label_draft, ocr_confidence, '[' || a || ',' || t || ',' || c || ',' || e || ']' AS box_json, w / CAST(h AS DOUBLE) AS aspect_ratio
+FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY n > 1, ocr_confidence DESC, source_sha256, crop_sha256) AS k FROM s) WHERE k <= 3""")
+def car_review_export(spark, d):
+    return H.review(H.car_boxes(I.boxes(spark, d), I.reserved(spark, d))).select("crop_name", "label_draft", "ocr_confidence", "box_json", "aspect_ratio")
+
+
+_EXTERNAL_SQL = f"""
+WITH k AS ({I.RESERVED}), lab AS (SELECT DISTINCT label FROM k WHERE label <> ''),
+b AS (SELECT *, least(a + 8 * (1 + box_index % 40), width) - a AS w, least(t + 4 * (1 + box_index % 30), height) - t AS h FROM (SELECT *, CAST(box_index % 600 AS INTEGER) AS a, CAST(box_index % 450 AS INTEGER) AS t FROM ({I.BOXES}))),
+near AS (SELECT own.label, min(CASE WHEN own.label = lab.label THEN 0 ELSE 1 END) AS near FROM (SELECT DISTINCT label FROM b WHERE label IS NOT NULL) own, lab WHERE own.label = lab.label OR levenshtein(own.label, lab.label) <= 1 OR starts_with(own.label, lab.label) OR starts_with(lab.label, own.label) GROUP BY 1),
+judged AS (SELECT *, CASE WHEN source_sha256 IN (SELECT source_sha256 FROM k WHERE source_sha256 <> '') THEN 'reserved-source-hash' WHEN height IS NULL OR w <= 0 OR h <= 0 OR least(w, h) < 20 OR w / CAST(h AS DOUBLE) < 2.2 THEN 'low-aspect' WHEN kind = 0 THEN 'unreadable'
+  WHEN b.label IS NULL THEN 'invalid-format' WHEN near = 0 THEN 'reserved-label' WHEN near = 1 THEN 'near-reserved-label' WHEN crop_sha256 IN (SELECT crop_sha256 FROM k WHERE crop_sha256 <> '') THEN 'reserved-crop-hash' ELSE 'kept' END AS reason FROM b LEFT JOIN near ON near.label = b.label)"""
+
+
+def _external(spark, d):
+    rows = I.boxes(spark, d)
+    frames = rows.select("image", "rel_path", "source_sha256", "width", "height").distinct()
+    left, top = F.pmod("box_index", F.lit(600)), F.pmod("box_index", F.lit(450))
+    found = rows.select("rel_path", "box_index", "parts", "crop_sha256", left.alias("x1"), top.alias("y1"), (left + 8 * (1 + F.pmod("box_index", F.lit(40)))).alias("x2"), (top + 4 * (1 + F.pmod("box_index", F.lit(30)))).alias("y2"), (F.pmod("box_index", F.lit(100)) / 100).alias("conf"))
+    return H.car_boxes(H.external_boxes(frames, found), I.reserved(spark, d), detector=True)
+
+
+@query(f"{_EXTERNAL_SQL} SELECT reason, CASE WHEN reason = 'reserved-source-hash' THEN count(DISTINCT rel_path) ELSE count(*) END AS n FROM judged GROUP BY 1")
+def external_review_funnel(spark, d):
+    return H.funnel_counts(_external(spark, d), per_image=True)
+
+
+@query(f"""
+{_EXTERNAL_SQL}, s AS (SELECT *, row_number() OVER (PARTITION BY label, source_sha256 ORDER BY ocr_confidence DESC, crop_sha256) AS n FROM (SELECT DISTINCT ON (label, source_sha256, crop_sha256) * FROM judged WHERE reason = 'kept'))
+SELECT {_NAME_SQL.format(p="car")} AS crop_name, label AS label_draft, printf('detector:%.4f', (box_index % 100) / CAST(100 AS DOUBLE)) AS filter_notes
+FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY n > 1, ocr_confidence DESC, source_sha256, crop_sha256) AS k FROM s) WHERE k <= 3""")
+def external_review_export(spark, d):
+    return H.review(_external(spark, d), notes=F.col("filter_notes")).select("crop_name", "label_draft", "filter_notes")
+
+
+@query(f"""
+{_PSEUDO_SQL}, f AS (SELECT *, split_part(regexp_replace(image, '\\.[^.]*$', ''), '.rf.', 1) AS stem FROM judged WHERE ok AND image NOT LIKE '%Gen%' AND NOT rs),
+g AS (SELECT *, row_number() OVER (PARTITION BY stem ORDER BY (w >= 80 AND h >= 24) DESC, focus DESC, w * h DESC, rel_path DESC, box_index) AS n FROM f)
+SELECT printf('candidate-%04d', row_number() OVER (ORDER BY (w >= 80 AND h >= 24) DESC, focus DESC, w * h DESC, rel_path DESC, box_index) - 1) AS candidate_id, 'det:' || stem AS group_id, w AS crop_width, h AS crop_height
+FROM g WHERE n = 1 AND NOT rc QUALIFY row_number() OVER (ORDER BY (w >= 80 AND h >= 24) DESC, focus DESC, w * h DESC, rel_path DESC, box_index) <= 400""")
+def review_candidates(spark, d):
+    return H.review_candidates(I.boxes(spark, d), I.reserved(spark, d), ("*Gen*",)).select("candidate_id", "group_id", "crop_width", "crop_height")
+
+
+@query("""
+WITH RECURSIVE p AS (SELECT CASE WHEN vec_id % 2 = 0 THEN 'web_' ELSE 'own_' END || vec_id AS name, label, vec_id IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 30) AS seen,
+  list_aggregate(list_transform(embedding, lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), 'string_agg', '') AS h FROM embeddings),
+o AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY name) AS n FROM p WHERE seen),
+r(label, n, name, kept, held) AS (SELECT label, n, name, true, [h] FROM o WHERE n = 1
+  UNION ALL SELECT label, n, name, ok, CASE WHEN ok THEN list_append(held, h) ELSE held END FROM (SELECT o.*, r.held, len(list_filter(r.held, lambda x: hamming(x, o.h) <= 14)) = 0 AS ok FROM r JOIN o ON o.label = r.label AND o.n = r.n + 1)),
+c AS (SELECT label, name, row_number() OVER (PARTITION BY label ORDER BY CASE WHEN starts_with(name, 'own_') THEN 0 ELSE 1 END, name) AS k FROM r WHERE kept),
+f AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY sha256('42:' || name), name) AS pos, round_even(count(*) OVER (PARTITION BY label) * CAST(0.15 AS DOUBLE), 0) AS t FROM c WHERE k <= 20)
+SELECT name, label, CASE WHEN pos <= t THEN 'test' WHEN pos <= 2 * t THEN 'val' ELSE 'train' END AS fate FROM f
+UNION ALL SELECT name, label, 'no-vehicle' FROM p WHERE NOT seen UNION ALL SELECT name, label, 'near-duplicate' FROM r WHERE NOT kept UNION ALL SELECT name, label, 'overflow' FROM c WHERE k > 20""")
+def curation_chain(spark, d):
+    bits = F.aggregate(F.slice("embedding", 1, 64), F.lit(0).cast("long"), lambda a, x: F.shiftleft(a, 1).bitwiseOR(F.when(x > 0, F.lit(1).cast("long")).otherwise(F.lit(0).cast("long"))))
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("name"), "label", bits.alias("phash"), "vec_id")
+    name = F.concat(F.when(F.col("l_orderkey") % 2 == 0, "web_").otherwise("own_"), F.col("l_orderkey").cast("string"))
+    vehicles = table(spark, d, "lineitem").filter("l_quantity > 30").select(name.alias("name"))
+    parts = {"web": rows.filter("vec_id % 2 = 0").drop("vec_id"), "own": rows.filter("vec_id % 2 = 1").drop("vec_id")}
+    return H.curate_images(parts, vehicles, 20, ["own_"], 14)

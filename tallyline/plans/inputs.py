@@ -13,6 +13,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# the names that differ between the engines
+_SPARK, _DUCK = {"s": "string", "sha": "sha2", "bits": ", 256"}, {"s": "VARCHAR", "sha": "sha256", "bits": ""}
+
 # The colour that an event type or a market segment stands for.
 TYPE_COLOR = {"click": "Black", "error": "Red", "purchase": "White", "signup": "Blue", "view": "Silver"}
 SEGMENT_COLOR = {"AUTOMOBILE": "WHITE", "BUILDING": "RED", "FURNITURE": "BLACK", "HOUSEHOLD": "BLUE", "MACHINERY": "YELLOW"}
@@ -42,12 +45,48 @@ PLATES_EXPR = {
 }
 
 
+# boxes of images with what a reader found in them: nothing, no plate, a plate beside a mark, or a plate in two parts
+_DIGITS = "lpad(cast(10000 + ({k} * 13) % 80000 as {{s}}), 5, '0')"
+_CONF = "(l_partkey * 7 % 101) / cast(100 as double)"
+_IMAGE = "concat('car', cast(l_orderkey as {s}), CASE WHEN l_orderkey % 11 = 4 THEN '_Gen' ELSE '' END, CASE WHEN l_orderkey % 10 = 3 THEN '.rf.1' ELSE '' END, '.jpg')"
+BOXES_EXPR = {
+    "image": _IMAGE,
+    "rel_path": f"concat('set/', {_IMAGE})",
+    "source_sha256": "{sha}(concat('src', cast(l_orderkey % 20011 as {s})){bits})",
+    "width": "640",
+    "height": "CASE WHEN l_orderkey % 23 = 0 THEN NULL ELSE 480 END",
+    "box_index": "cast(l_linenumber as bigint) * 100000000 + l_partkey * 100 + l_suppkey % 100",
+    "cx": "(l_partkey % 64) / cast(64 as double)",
+    "cy": "(l_suppkey % 32) / cast(32 as double)",
+    "bw": "(1 + (l_partkey * 3) % 50) / cast(64 as double)",
+    "bh": "l_linenumber / cast(32 as double)",
+    "crop_sha256": "{sha}(concat('crop', cast(l_partkey as {s}), ':', cast(l_linenumber as {s})){bits})",
+    "focus": "cast((l_partkey * 31) % 1009 as double)",
+    "kind": "l_partkey % 7",
+}
+_FULL = f"concat('30A', {_DIGITS.format(k='l_partkey')})"
+#: what the reader's parts come to
+FOUND_EXPR = {
+    "label": f"CASE l_partkey % 7 WHEN 0 THEN NULL WHEN 1 THEN NULL ELSE {_FULL} END",
+    "ocr_confidence": f"CASE l_partkey % 7 WHEN 0 THEN NULL WHEN 1 THEN NULL WHEN 2 THEN {_CONF} ELSE least({_CONF}, cast(0.97 as double)) END",
+}
+_PART = "named_struct('text', {t}, 'conf', {c}, 'y', {y})"
+PARTS = f"""CASE l_partkey % 7 WHEN 0 THEN NULL WHEN 1 THEN array({_PART.format(t="'x'", c="0.5D", y="0.1D")})
+  WHEN 2 THEN array({_PART.format(t=_FULL, c=_CONF, y="0.2D")}, {_PART.format(t="'zz!'", c="0.4D", y="0.7D")})
+  ELSE array({_PART.format(t=_DIGITS.format(k="l_partkey"), c="0.97D", y="0.2D")}, {_PART.format(t="'30a-'", c=_CONF, y="0.8D")}) END"""
+RESERVED_EXPR = {
+    "label": f"CASE WHEN p_partkey % 97 = 5 THEN concat('30A', {_DIGITS.format(k='p_partkey')}, CASE WHEN p_partkey % 2 = 0 THEN '0' ELSE '' END) ELSE '' END",
+    "source_sha256": "CASE WHEN p_partkey % 97 = 5 THEN {sha}(concat('src', cast(p_partkey * 7 as {s})){bits}) ELSE NULL END",
+    "crop_sha256": "CASE WHEN p_partkey % 89 = 4 THEN {sha}(concat('crop', cast(p_partkey as {s}), ':3'){bits}) ELSE NULL END",
+}
+
+
 def _sql(exprs: dict[str, str], source: str, where: str = "") -> str:
-    return "SELECT " + ", ".join(f"{v.format(s='VARCHAR')} AS {k}" for k, v in exprs.items()) + f" FROM {source} {where}"
+    return "SELECT " + ", ".join(f"{v.format(**_DUCK)} AS {k}" for k, v in exprs.items()) + f" FROM {source} {where}"
 
 
 def _df(df: DataFrame, exprs: dict[str, str]) -> DataFrame:
-    return df.selectExpr(*[f"{v.format(s='string')} AS {k}" for k, v in exprs.items()])
+    return df.selectExpr(*[f"{v.format(**_SPARK)} AS {k}" for k, v in exprs.items()])
 
 
 def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,6 +107,17 @@ def plate_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.concat(F.lit("30A"), F.lpad((10000 + (F.col("c_custkey") * 37) % 80000).cast("string"), 5, "0")).alias("license_plate"), F.expr(REGISTRY_EXPR["car_color"]).alias("car_color"), F.col("c_custkey").alias("row_ord"))
 
 
+def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as boxes of the images that orders stand for, each once."""
+    return _df(table(spark, sf_dir, "lineitem"), BOXES_EXPR | {"parts": PARTS}).drop("kind").distinct()
+
+
+def reserved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _df(table(spark, sf_dir, "part").filter("p_partkey % 97 = 5 OR p_partkey % 89 = 4"), RESERVED_EXPR)
+
+
+BOXES = _sql(BOXES_EXPR | FOUND_EXPR, "lineitem").replace("SELECT", "SELECT DISTINCT", 1)
+RESERVED = _sql(RESERVED_EXPR, "part", "WHERE p_partkey % 97 = 5 OR p_partkey % 89 = 4")
 READINGS = _sql(READINGS_EXPR, "events")
 REGISTRY = _sql(REGISTRY_EXPR, "customer", "WHERE c_custkey % 3 <> 0")
 PLATES = _sql(PLATES_EXPR, "events")
