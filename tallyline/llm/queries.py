@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyline.llm import chosenpath, fixity, language, leakage, pieces, quality, secrets, sharding, spans, toxicity
+from tallyline.llm import chosenpath, fixity, language, leakage, negatives, pieces, quality, secrets, sharding, spans, spelling, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_positional_index_decontamination": leakage.op8_positional_index_decontamination,
         "op9_sliding_sentence_spans": spans.op9_sliding_sentence_spans,
         "op10_noisy_channel_toxicity": toxicity.op10_noisy_channel_toxicity,
+        "op12_trie_frontier_spelling": spelling.op12_trie_frontier_spelling,
+        "op13_one_bit_negatives": negatives.op13_one_bit_negatives,
     }
 
 
@@ -30,4 +32,6 @@ def oracle_sql() -> dict[str, str]:
         "op4_blob_ledger_secrets": secrets.OP4_SQL,
         "op6_merkle_fixity": fixity.OP6_SQL,
         "op8_positional_index_decontamination": leakage.OP8_SQL,
+        "op12_trie_frontier_spelling": spelling.OP12_SQL,
+        "op13_one_bit_negatives": negatives.OP13_SQL,
     }
