@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyline.llm import chosenpath, fixity, language, leakage, negatives, pieces, quality, secrets, sharding, spans, spelling, toxicity
+from tallyline.llm import chosenpath, fixity, idfiles, language, leakage, negatives, pieces, quality, secrets, sharding, spans, spelling, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_positional_index_decontamination": leakage.op8_positional_index_decontamination,
         "op9_sliding_sentence_spans": spans.op9_sliding_sentence_spans,
         "op10_noisy_channel_toxicity": toxicity.op10_noisy_channel_toxicity,
+        "op11_perfect_hash_ids": idfiles.op11_perfect_hash_ids,
         "op12_trie_frontier_spelling": spelling.op12_trie_frontier_spelling,
         "op13_one_bit_negatives": negatives.op13_one_bit_negatives,
     }
