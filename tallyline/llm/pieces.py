@@ -14,7 +14,8 @@ chunks asked for last, or twice so many; a chunk that it has let go is segmented
 meet in one row are those of one block.
 
 Defined cases: a null or empty text has no pieces (only the end id, where one is asked for); a text of spaces has marker
-pieces only; repeated rows are encoded each; a very long word is a chunk like others; an empty table gives no rows.
+pieces only; repeated rows, and whole files of them, are encoded each; a very long word is a chunk like others; an empty table gives no rows; of
+the input's columns only the id is carried, so others can't clash, unless the id has the name of a result (n_tokens, ids, ...).
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from itertools import accumulate, chain
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -123,12 +125,13 @@ def _buckets(words: pa.Array, n: int) -> np.ndarray:
     return (kernel.hashes(data, offsets[:-1], offsets[1:], kernel.SPACE) % np.uint64(n)).astype(np.int64)
 
 
-def _name(block: pa.RecordBatch) -> str:
+def _name(block: pa.RecordBatch, number: int) -> str:
+    """The block's place in the input, which both readings share, and its content, which they must share: blocks of equal rows have names of their own."""
     data, offsets = kernel.text_bytes(block.column(1))
     h = hashlib.blake2b(data, digest_size=16)
     h.update(offsets.tobytes())
     h.update(repr(block.column(0).to_pylist()).encode())
-    return h.hexdigest()
+    return f"{TaskContext.get().partitionId()}-{number}-{h.hexdigest()}"
 
 
 def _numbered(block: pa.RecordBatch, n_buckets: int) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
@@ -148,11 +151,11 @@ def ask_chunks(docs: DataFrame, n_buckets: int) -> DataFrame:
     """(block, bucket, words): the different words of each block, in the order of their numbers, by bucket."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches_of(batches, BLOCK_MB):
+        for number, b in enumerate(batches_of(batches, BLOCK_MB)):
             different, bucket, _, _ = _numbered(b, n_buckets)
             used = np.unique(bucket)
             words = [_packed(different.take(pa.array(np.flatnonzero(bucket == k)))) for k in used]
-            yield pa.RecordBatch.from_arrays([pa.array([_name(b)] * len(used), pa.string()), pa.array(used.astype(np.int32)), pa.array(words, pa.binary())], names=["block", "bucket", "words"])
+            yield pa.RecordBatch.from_arrays([pa.array([_name(b, number)] * len(used), pa.string()), pa.array(used.astype(np.int32)), pa.array(words, pa.binary())], names=["block", "bucket", "words"])
 
     return docs.select("id", "text").mapInArrow(ask, "block string, bucket int, words binary")
 
@@ -161,15 +164,15 @@ def block_table(docs: DataFrame, n_buckets: int) -> DataFrame:
     """One row a block: (block, ids, counts, sequence, dealt).
 
     counts: words of each text; sequence: numbers of the words of all texts; dealt: the bucket of each number. A block is named by
-    its ids and texts, so that its row can be made anew after a loss, and meets the same answers.
+    its place, ids and texts, so that its row can be made anew after a loss, and meets the same answers.
     """
     kind = to_arrow_type(docs.schema["id"].dataType)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches_of(batches, BLOCK_MB):
+        for number, b in enumerate(batches_of(batches, BLOCK_MB)):
             _, bucket, sequence, counts = _numbered(b, n_buckets)
             ids = pa.ListArray.from_arrays(pa.array([0, b.num_rows], pa.int32()), b.column(0).cast(kind))
-            yield pa.RecordBatch.from_arrays([pa.array([_name(b)]), ids, pa.array([_small(counts)]), pa.array([_small(sequence)]), pa.array([_small(bucket)])], names=["block", "ids", "counts", "sequence", "dealt"])
+            yield pa.RecordBatch.from_arrays([pa.array([_name(b, number)]), ids, pa.array([_small(counts)]), pa.array([_small(sequence)]), pa.array([_small(bucket)])], names=["block", "ids", "counts", "sequence", "dealt"])
 
     fields = [("block", T.StringType()), ("ids", T.ArrayType(docs.schema["id"].dataType)), ("counts", T.BinaryType()), ("sequence", T.BinaryType()), ("dealt", T.BinaryType())]
     return docs.select("id", "text").mapInArrow(build, T.StructType([T.StructField(*f) for f in fields]))
