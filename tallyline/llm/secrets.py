@@ -8,7 +8,7 @@ lengths (code points) gives start and end of each. A text is read once for all r
 
 Defined cases: a null text is the empty text; copies of a text share one scan; matches whose group is too short are dropped
 after matching, as they still take up their characters; an empty table gives no rows; a text without findings keeps an
-empty span list; columns of the input are kept, but that findings() replaces those named blob and spans.
+empty span list; ids play no part but in op4's query, where they may be of any type; columns of the input are kept, but that findings() replaces those named blob and spans.
 """
 
 from __future__ import annotations
@@ -48,14 +48,16 @@ BASE = (
     Rule("access", r"AKIA[A-Z0-9]{12,}", 0, 16, literals=("AKIA",)),
     Rule("hex", r"[0-9a-f]{32,}", 0, 32, r"[0-9a-f]{32}"),
 )
-# Published formats of keys and tokens, beyond the base kinds. Repetitions are bounded where a text could make a scan quadratic.
+# Published formats of keys and tokens, beyond the base kinds, of any length. A token's first part is tried once a run of its characters, and
+# runs are never given back, so that a scan stays linear; the span is the whole run.
+_TOKEN = "[A-Za-z0-9_-]"
 MORE = (
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 40, literals=("ghp_", "gho_", "ghu_", "ghs_", "ghr_")),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}", 0, 15, literals=("xox",)),
     Rule("google", r"AIza[A-Za-z0-9_-]{35,}", 0, 39, literals=("AIza",)),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,1000}\.eyJ[A-Za-z0-9_-]{8,1000}\.[A-Za-z0-9_-]{8,}", 0, 30, literals=("eyJ",)),
+    Rule("jwt", rf"(?<!{_TOKEN})(?>{_TOKEN}*?eyJ){_TOKEN}{{8,}}+\.eyJ{_TOKEN}{{8,}}+\.{_TOKEN}{{8,}}+", 0, 30, literals=("eyJ",)),
     Rule("private", r"-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY-----[A-Za-z0-9+/=\x0A\x0D]*", 0, 27, literals=("PRIVATE KEY-----",)),
-    Rule("login", r"(?:https?|ftp|ssh|postgres|postgresql|mysql|mongodb|redis|amqp)://[^\x00-\x20:/@]{1,200}:[^\x00-\x20:/@]{1,200}@", 0, 10, literals=("://",)),
+    Rule("login", r"(?:https?|ftp|ssh|postgres|postgresql|mysql|mongodb|redis|amqp)://[^\x00-\x20:/@]++:[^\x00-\x20:/@]++@", 0, 10, literals=("://",)),
 )
 RULES = BASE + MORE
 _SPANS = "array<struct<start:bigint,ord:int,kind:string,end:bigint>>"
@@ -160,10 +162,9 @@ def mask(docs: DataFrame, text: str = "text", ledger: DataFrame | None = None, r
 
 
 def op4_blob_ledger_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents as a history in two commits by doc_id: the earlier half fills the ledger, and of the later one only unseen blobs are scanned."""
+    """documents as a history in two commits, halves by a hash of doc_id of any type: the earlier fills the ledger, and of the later only unseen blobs are scanned."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    ends = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
-    later = F.col("doc_id").isNull() | (F.col("doc_id") > sum(x or 0 for x in ends) // 2)
+    later = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(2)) == 1
     first = written(entries(docs.filter(~later)), "ledger")
     ledger = first.unionByName(written(entries(docs.filter(later), ledger=first), "ledger"))
     back = findings(docs, ledger)
@@ -174,9 +175,11 @@ def op4_blob_ledger_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ANY_CASE = "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in "(password|passwd|secret|token|api_?key)")
 _ASSIGN_SQL = _ANY_CASE + r"""["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+# the same runs without look-behind and possessive repeats
+_SQL_FORM = {"jwt": rf"{_TOKEN}*eyJ{_TOKEN}{{8,}}\.eyJ{_TOKEN}{{8,}}\.{_TOKEN}{{8,}}", "login": next(r.pattern for r in MORE if r.kind == "login").replace("++", "+")}
 _FOUND_SQL = " UNION ALL ".join(
     f"SELECT r, {o} AS o, '{k}' AS k, regexp_split_to_array(x, '{p}') AS g, regexp_extract_all(x, '{p}', 0) AS w, regexp_extract_all(x, '{p}', {c}) AS c, {n} AS least FROM t WHERE regexp_matches(x, '{p}')"
-    for o, (k, p, c, n) in enumerate([("assign", _ASSIGN_SQL, 2, 8), ("access", "AKIA[A-Z0-9]+", 0, 16), ("hex", "[0-9a-f]{32,}", 0, 32), *[(r.kind, r.pattern, r.group, r.least) for r in MORE]])
+    for o, (k, p, c, n) in enumerate([("assign", _ASSIGN_SQL, 2, 8), ("access", "AKIA[A-Z0-9]+", 0, 16), ("hex", "[0-9a-f]{32,}", 0, 32), *[(r.kind, _SQL_FORM.get(r.kind, r.pattern), r.group, r.least) for r in MORE]])
 )
 OP4_SQL = f"""
 WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS x FROM documents),
