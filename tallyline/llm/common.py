@@ -23,15 +23,17 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
-def hash_share(df: DataFrame, key: Column, most: int) -> DataFrame:
-    """About `most` rows of df, all if it has no more: those whose key's hash lies in the share of the range that gives so many.
+def hash_share(df: DataFrame, address: str, most: int) -> DataFrame:
+    """About `most` rows of df with different addresses, all if it has no more: those whose address lies in the share of the range that gives so many.
 
-    Only a count comes to the driver, and no row is sorted or moved.
+    `address` is a column of 64-bit hashes of what tells rows apart, such as id and text, so that neither null nor repeated ids come in or stay out
+    together, and repeated rows count once. What is chosen depends on the rows alone. Only an estimate of a count comes to the driver, and of a larger
+    table only the chosen rows are moved.
     """
-    n = df.count()
-    if n <= most:
-        return df
-    return df.filter(F.pmod(F.xxhash64(key), F.lit(1 << 31)) < int(most / n * (1 << 31)))
+    n = df.agg(F.approx_count_distinct(address, 0.02)).first()[0]
+    if n > most:
+        df = df.filter(F.pmod(F.col(address), F.lit(1 << 31)) < int(most / n * (1 << 31)))
+    return df.dropDuplicates([address])
 
 
 def batches_of(batches: Iterator[pa.RecordBatch], mb: float = 4.0, column: str = "text") -> Iterator[pa.RecordBatch]:

@@ -1,9 +1,9 @@
 """Language ID: multinomial naive Bayes over hashed character n-grams.
 
 Letters are lower-cased; every other character is one word gap. The n-grams of 1 to 3 characters, gaps included, are hashed to
-2**16 columns. Training counts columns by language, on about MAX_TRAIN texts that are chosen by a hash of their ids, spread
-over the cluster; the log-probability matrix, of at most MAX_LANGUAGES x columns, is broadcast, with the share of each language in
-the training texts as its prior. Scoring gathers the rows of the
+2**16 columns. Training counts columns by language, on about MAX_TRAIN different texts, as many of each language, that are chosen by
+a hash of id and text, spread over the cluster; the log-probability matrix, of at most MAX_LANGUAGES x columns, is broadcast, with the
+share of each language in all labelled texts as its prior. Scoring gathers the rows of the
 matrix for the n-grams of a batch of texts and sums them by text; no count is limited and whole texts are read.
 
 The score is the posterior of the predicted language, with the log-odds of a text of n n-grams scaled by TEMPERATURE / sqrt(n), as
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyline.llm.common import batches_of, hash_share, table, text_of, written
+from tallyline.llm.common import batches_of, table, text_of
 
 BITS, ORDERS, MAX_TRAIN, MAX_LANGUAGES, TEMPERATURE = 16, (1, 2, 3), 8000, 200, 0.25
 #: text that a task works on at once: about 60 bytes of arrays for each of its characters
@@ -83,20 +83,25 @@ def grams(letter: np.ndarray, first: np.ndarray) -> Iterator[tuple[np.ndarray, n
 
 
 def train(docs: DataFrame, label: str = "lang", text: str = "text", key: str = "doc_id", most: int = MAX_TRAIN) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """(languages, log-probability matrix, log priors) from about `most` rows with a label, chosen by a hash of their key.
+    """(languages, log-probability matrix, log priors) from about `most` rows with a label and a text, chosen by a hash of key and text.
 
-    A count comes to the driver, and summed counts of at most languages x 2**BITS cells.
+    Each language gives an equal part of the `most`, or all it has, so that a rare one is learned too; the priors are the shares of all labelled rows.
+    Counts of rows by language come to the driver, and summed counts of at most languages x 2**BITS cells.
     """
-    labelled = docs.filter(F.col(label).isNotNull()).select(F.col(label).cast("string").alias("label"), F.col(text).alias("text"), F.col(key).cast("string").alias("key"))
-    rows = hash_share(labelled, F.col("key"), most).filter(F.col("text").isNotNull())
+    address = F.xxhash64(F.col(key).cast("string"), F.col(text))
+    labelled = docs.filter(F.col(label).isNotNull() & F.col(text).isNotNull()).select(F.col(label).cast("string").alias("label"), F.col(text).alias("text"), address.alias("address"))
+    sizes = labelled.groupBy("label").agg(F.count("*").alias("rows"), F.approx_count_distinct("address", 0.02).alias("different")).orderBy("label").limit(MAX_LANGUAGES + 1).collect()
+    if len(sizes) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    below = {r["label"]: min(1.0, most / len(sizes) / r["different"]) for r in sizes}
+    share = F.create_map(*[F.lit(x) for pair in below.items() for x in pair]) if below else F.lit(None)
+    chosen = labelled.filter(F.pmod("address", F.lit(1 << 31)) < share[F.col("label")] * (1 << 31)) if below else labelled
+    rows = chosen.dropDuplicates(["address"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
-        texts: dict[str, int] = {}
         for b in batches_of(batches, BATCH_MB):
             names = np.array(b.column(0).to_pylist(), object)
-            for name in names:
-                texts[name] = texts.get(name, 0) + 1
             letter, first = letters(b.column(1))
             for column, text_no in grams(letter, first):
                 for name in set(names):
@@ -105,20 +110,14 @@ def train(docs: DataFrame, label: str = "lang", text: str = "text", key: str = "
         for name, n in total.items():
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at)), pa.array(at.astype(np.int32)), pa.array(n[at])], names=["label", "column", "n"])
-        # column -1: texts of the language
-        yield pa.RecordBatch.from_arrays([pa.array(list(texts), pa.string()), pa.array([-1] * len(texts), pa.int32()), pa.array(list(texts.values()), pa.int64())], names=["label", "column", "n"])
 
     counts = rows.select("label", "text").mapInArrow(count, "label string, column int, n long").groupBy("label", "column").agg(F.sum("n").alias("n"))
-    counts = written(counts, "columns")
-    names = [r[0] for r in counts.select("label").distinct().orderBy("label").limit(MAX_LANGUAGES + 1).collect()]
-    if len(names) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     got = counts.toPandas()
+    names = sorted(below)
     place = got.label.map({x: i for i, x in enumerate(names)}).to_numpy(np.int64)
-    texts = (got.column == -1).to_numpy()
-    matrix, prior = np.ones((len(names), 1 << BITS)), np.zeros(len(names))
-    matrix[place[~texts], got.column[~texts]] += got.n[~texts]
-    prior[place[texts]] = got.n[texts]
+    matrix = np.ones((len(names), 1 << BITS))
+    matrix[place, got.column] += got.n
+    prior = np.array([r["rows"] for r in sorted(sizes, key=lambda r: r["label"])], float)
     return names, np.log(matrix / matrix.sum(1, keepdims=True)), np.log(prior / max(prior.sum(), 1.0))
 
 

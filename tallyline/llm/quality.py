@@ -1,15 +1,16 @@
 """Quality rules: an isolation forest on rule statistics, with a threshold that labelled rows set.
 
 Counts are taken from whole texts. Words are runs without ASCII white space. The forest sees ratios only (FEATURES), so that a
-long text isn't odd for its length; repetition is left to the base rules, as a page frame that stands twice is no fault. It is grown on about SAMPLE rows (never over twice as many), chosen by a hash of their ids among rows that
-pass the base rules: TREES trees of PSI rows each, split at random between the extremes of a random feature. A text's score is
+long text isn't odd for its length; repetition is left to the base rules, as a page frame that stands twice is no fault. It is grown on about SAMPLE rows (never over twice as many), chosen by a hash of id and
+text among different rows that pass the base rules: TREES trees of PSI rows each, split at random between the extremes of a random feature. A text's score is
 2 ** (-mean path length / expected path length): near 1 if random splits set it apart soon.
 
 The threshold is the least score above which at most MAX_LOSS of the rows labelled good lie, and by which bad rows are caught;
 it comes from counts by score bin over all labelled rows. Without labels of both kinds nothing is rejected by the forest.
 
 Defined cases: a null or empty text has no words and fails the base rules; a text of one repeated word fails by repetition;
-repeated rows are scored each; ids that are null are hashed as such; labels that repeat for an id count once, as bad if any is;
+repeated rows are scored each and grown on once; null ids are
+told apart by their texts; labels that repeat for an id count once, as bad if any is;
 an empty table gives no rows; of the input's columns only the id is carried.
 """
 
@@ -150,16 +151,17 @@ def grow(x: np.ndarray, trees: int = TREES, psi: int = PSI, seed: int = SEED) ->
 
 
 def count(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, COUNTS, base_failed) of each row, as a table: no text goes further than this."""
+    """(id, address, COUNTS, base_failed) of each row, as a table: no text goes further than this. address: a hash of id and text."""
     id_type = docs.schema[doc_id].dataType
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches_of(batches):
-            c = statistics(b.column(1))
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c[k].astype(np.int64)) for k in COUNTS]], names=["id", *COUNTS])
+            c = statistics(b.column(2))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(c[k].astype(np.int64)) for k in COUNTS]], names=["id", "address", *COUNTS])
 
-    schema = T.StructType([T.StructField("id", id_type), *[T.StructField(k, T.LongType()) for k in COUNTS]])
-    got = docs.select(F.col(doc_id).alias("id"), text_of(text).alias("text")).mapInArrow(ask, schema)
+    schema = T.StructType([T.StructField("id", id_type), T.StructField("address", T.LongType()), *[T.StructField(k, T.LongType()) for k in COUNTS]])
+    address = F.xxhash64(F.col(doc_id).cast("string"), text_of(text))
+    got = docs.select(F.col(doc_id).alias("id"), address.alias("address"), text_of(text).alias("text")).mapInArrow(ask, schema)
     return written(got.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))), "counts")
 
 
@@ -196,12 +198,12 @@ def threshold(scored: DataFrame, labels: DataFrame, max_loss: float = MAX_LOSS)
 def judge(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, COUNTS, base_failed, score, kept) of each row."""
     counted = count(docs, doc_id, text)
-    sample = hash_share(counted.filter(~F.col("base_failed")), F.col("id").cast("string"), SAMPLE).limit(2 * SAMPLE).select(F.xxhash64(F.col("id").cast("string")).alias("h"), *COUNTS).toPandas()
-    sample = sample.sort_values(["h", *COUNTS])  # the forest does not depend on the layout of the files
+    # in order, so that the forest does not depend on the layout of the files
+    sample = hash_share(counted.filter(~F.col("base_failed")), "address", SAMPLE).orderBy("address").limit(2 * SAMPLE).select(*COUNTS).toPandas()
     forest = grow(features({k: sample[k].to_numpy() for k in COUNTS})) if len(sample) else None
     scored = written(score(counted, forest), "scores")
     bound = threshold(scored, labels)
-    return scored.withColumn("kept", ~F.col("base_failed") & (F.col("score") < bound)).withColumnRenamed("id", doc_id)
+    return scored.withColumn("kept", ~F.col("base_failed") & (F.col("score") < bound)).drop("address").withColumnRenamed("id", doc_id)
 
 
 def op1_isolation_forest_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -223,7 +223,7 @@ def word_features(words: str) -> list[str]:
 def _sample(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
     """(doc_id, text, toxic) of about `most` labelled ids, at most twice so many, which are broadcast; one row an id."""
     known = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    chosen = hash_share(known, F.col("doc_id").cast("string"), most).limit(2 * most)
+    chosen = hash_share(known.withColumn("address", F.xxhash64(F.col("doc_id").cast("string"))), "address", most).orderBy("address").limit(2 * most).drop("address")
     rows = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(chosen), "doc_id")
     return rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").cast("int").alias("toxic"))
 
