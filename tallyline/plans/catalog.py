@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from tallyline.functions import decode as D
 from tallyline.functions import geometry as G
@@ -728,6 +729,42 @@ def stream_gate_replay(spark, d):
     return gate.replay(spark, gate.frames_of_events(table(spark, d, "events")), I.plate_registry(spark, d))
 
 
+@query(I.LIFE_REPLAY)
+def session_lifecycle_replay(spark, d):
+    """Resets, passing generations and idle expiry, measured from completion."""
+    from tallyline.streaming import gate
+
+    return gate.replay(spark, gate.frames_of_events(table(spark, d, "events"), **I.LIFE_EXPR), I.plate_registry(spark, d), idle_ms=300_000)
+
+
+@query(I.SINGLE_FLIGHT)
+def single_flight_samples(spark, d):
+    from tallyline.streaming import sessions
+
+    return sessions.sampled(I.offers(spark, d))
+
+
+def _reads(spark, d):
+    first = W.partitionBy("user_id")
+    return table(spark, d, "events").select(F.col("user_id").alias("session_id"), F.col("event_id").alias("seq"), ((F.sqrt("event_id") - F.min(F.sqrt("event_id")).over(first)) / 40).alias("elapsed_s"))
+
+
+@query(I.PACED)
+def paced_frames(spark, d):
+    from tallyline.streaming import sessions
+
+    return sessions.paced(_reads(spark, d), 25, 0.5).select("session_id", "seq", "frame", "skipped")
+
+
+@query(f"SELECT session_id, count(*) AS n_frames, count(*) FILTER (displayed) AS n_displayed, CAST(sum(hash) AS BIGINT) AS checksum FROM (SELECT session_id, f = frame AS displayed, f * seq % 1009 AS hash FROM (SELECT *, unnest(range(frame - skipped, frame + 1)) AS f FROM ({I.PACED}))) GROUP BY 1")
+def paced_evidence(spark, d):
+    """Skipped frames go on as evidence beside those displayed."""
+    from tallyline.streaming import sessions
+
+    rows = sessions.with_skipped(sessions.paced(_reads(spark, d), 25, 0.5), "session_id", "seq")
+    return rows.groupBy("session_id").agg(F.count("*").alias("n_frames"), F.count_if("displayed").alias("n_displayed"), F.sum(F.col("frame") * F.col("seq") % 1009).alias("checksum"))
+
+
 # frames
 
 

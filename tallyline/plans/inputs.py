@@ -168,25 +168,75 @@ voted AS (
 
 
 LOCK_VOTE = f"WITH RECURSIVE {vote_sql(f'SELECT *, session_id AS k, true AS soft FROM ({PLATES}) QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY seq DESC) <= 50')} SELECT k AS session_id, plate, color, n_frames, status, action, color_warning FROM voted"
-_FRAMES = f"""
-SELECT *, max(CASE WHEN NOT target THEN seq END) OVER (PARTITION BY session_id ORDER BY seq) AS island FROM (
-  SELECT p.*, e.value < 300 AS target, CAST(event_id AS DOUBLE) / 10 AS source_time_s FROM ({PLATES}) p JOIN events e ON e.event_id = p.seq)
+#: what sessions live through besides frames: resets, generations that pass, older ones that come late, and idle times
+LIFE_EXPR = {
+    "kind": "CASE WHEN event_id % 37 = 5 THEN 'reset' ELSE 'frame' END",
+    "generation": "cast(CASE WHEN event_id % 23 = 4 THEN 0 ELSE floor(sqrt(event_id) / 20) END as int)",
+    "arrived_ms": "cast(floor(sqrt(event_id) * 100000) as bigint)",
+    "done_ms": "cast(floor(sqrt(event_id) * 100000) as bigint) + event_id % 7 * 1000",
+}
+#: requests of a sampler: offers, completions and resets, about 100 ms apart
+OFFERS_EXPR = {
+    "session_id": "cast(user_id as {s})",
+    "seq": "event_id",
+    "t_ms": "sqrt(event_id) * 100",
+    "kind": "CASE WHEN event_type IN ('purchase', 'signup') THEN 'done' WHEN event_id % 31 = 3 THEN 'reset' ELSE 'offer' END",
+}
+OFFERS = _sql(OFFERS_EXPR, "events")
+_PLAIN = f"SELECT p.*, p.session_id AS own, e.value < 300 AS target, CAST(event_id AS DOUBLE) / 10 AS source_time_s FROM ({PLATES}) p JOIN events e ON e.event_id = p.seq"
+_LIVED = f"""
+SELECT * REPLACE (own || '|' || life || '|' || epoch AS session_id) FROM (
+  SELECT *, sum(CASE WHEN kind = 'reset' OR generation > before THEN 1 ELSE 0 END) OVER (PARTITION BY own, life ORDER BY seq) AS epoch FROM (
+    SELECT *, greatest(0, coalesce(max(generation) OVER (PARTITION BY own, life ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS before FROM (
+      SELECT *, sum(CASE WHEN arrived_ms - previous >= 300000 THEN 1 ELSE 0 END) OVER (PARTITION BY own ORDER BY seq) AS life FROM (
+        SELECT f.*, x.* EXCLUDE (id), lag(done_ms) OVER (PARTITION BY own ORDER BY seq) AS previous FROM ({_PLAIN}) f JOIN ({_sql({"id": "event_id", **LIFE_EXPR}, "events")}) x ON x.id = f.seq)))
+  WHERE generation >= before) WHERE kind = 'frame'
 """
 _WINDOWS = """
 SELECT f.session_id || ':' || f.seq AS k, g.seq, g.plate_text, g.plate_conf, g.color, g.color_conf, f.run - 2 >= 10 AS soft FROM frames f JOIN frames g
   ON f.session_id = g.session_id AND f.island IS NOT DISTINCT FROM g.island AND f.run >= 3 AND g.run BETWEEN greatest(3, f.run - 49) AND f.run
 """
-#: every frame is voted on with its own window of evidence, in SQL; the first that the guard or the time-out lets through decides its stay
-GATE_REPLAY = f"""
-WITH RECURSIVE frames AS (SELECT *, CASE WHEN target THEN CAST(row_number() OVER (PARTITION BY session_id, island, target ORDER BY seq) AS INTEGER) ELSE 0 END AS run FROM ({_FRAMES})),
+
+
+def gate_sql(frames: str) -> str:
+    """The replay of frames (session_id, which tells stays apart; own, the id to show; seq, ...): every frame is voted on with its own window of
+    evidence, and the first that the guard or the time-out lets through decides its stay."""
+    islands = f"SELECT *, max(CASE WHEN NOT target THEN seq END) OVER (PARTITION BY session_id ORDER BY seq) AS island FROM ({frames})"
+    return f"""
+WITH RECURSIVE frames AS (SELECT *, CASE WHEN target THEN CAST(row_number() OVER (PARTITION BY session_id, island, target ORDER BY seq) AS INTEGER) ELSE 0 END AS run FROM ({islands})),
 {vote_sql(_WINDOWS)},
 decided AS (
   SELECT session_id, island, min(run) AS run FROM frames JOIN voted ON voted.k = session_id || ':' || seq WHERE (status IN ('AUTHORIZED', 'UNREGISTERED') AND agree >= 2) OR run - 2 >= 300 GROUP BY 1, 2
 ),
 d AS (SELECT x.session_id, x.island, x.run, f.source_time_s AS at, CASE WHEN v.status = 'NO_PLATE' THEN 'UNCERTAIN' ELSE v.status END AS status, v.action, v.plate, v.color_warning FROM decided x JOIN frames f ON f.session_id = x.session_id AND f.island IS NOT DISTINCT FROM x.island AND f.run = x.run JOIN voted v ON v.k = f.session_id || ':' || f.seq)
-SELECT f.session_id, f.seq, CASE WHEN NOT target THEN 'IDLE' WHEN f.run < 3 THEN 'TRACKING' WHEN f.run >= d.run THEN 'DECIDED' ELSE 'READY_TO_DECIDE' END AS state,
+SELECT f.own AS session_id, f.seq, CASE WHEN NOT target THEN 'IDLE' WHEN f.run < 3 THEN 'TRACKING' WHEN f.run >= d.run THEN 'DECIDED' ELSE 'READY_TO_DECIDE' END AS state,
   CAST(CASE WHEN f.run >= d.run THEN d.run ELSE f.run END AS INTEGER) AS run, CAST(greatest(0, CASE WHEN f.run >= d.run THEN d.run ELSE f.run END - 2) AS INTEGER) AS ready,
   CASE WHEN f.run >= d.run THEN d.status END AS status, CASE WHEN f.run >= d.run THEN d.action END AS action, CASE WHEN f.run >= d.run THEN d.plate END AS plate, coalesce(f.run >= d.run AND d.color_warning, false) AS color_warning,
   CASE WHEN f.run >= d.run THEN d.at END AS decided_at
 FROM frames f LEFT JOIN d ON target AND d.session_id = f.session_id AND d.island IS NOT DISTINCT FROM f.island
 """
+
+
+GATE_REPLAY, LIFE_REPLAY = gate_sql(_PLAIN), gate_sql(_LIVED)
+SINGLE_FLIGHT = f"""
+WITH RECURSIVE o AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seq) AS n FROM ({OFFERS})),
+r(session_id, n, busy, waiting, waiting_ms, last_ms, offer_seq, sent_seq, offered_ms, sent_ms) AS (
+  SELECT session_id, CAST(0 AS BIGINT), false, CAST(NULL AS BIGINT), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE) FROM (SELECT DISTINCT session_id FROM o)
+  UNION ALL
+  SELECT session_id, n, CASE kind WHEN 'done' THEN busy AND waiting IS NOT NULL WHEN 'reset' THEN false ELSE busy OR fits END,
+    CASE WHEN kind <> 'offer' THEN NULL WHEN fits AND busy THEN seq ELSE waiting END, CASE WHEN kind <> 'offer' THEN NULL WHEN fits AND busy THEN t_ms ELSE waiting_ms END,
+    CASE WHEN kind = 'reset' THEN NULL WHEN kind = 'offer' AND fits THEN t_ms ELSE last_ms END,
+    CASE WHEN sends AND kind = 'offer' THEN seq WHEN sends THEN waiting END, CASE WHEN sends THEN seq END, CASE WHEN sends AND kind = 'offer' THEN t_ms WHEN sends THEN waiting_ms END, CASE WHEN sends THEN t_ms END
+  FROM (SELECT *, (kind = 'offer' AND fits AND NOT busy) OR (kind = 'done' AND busy AND waiting IS NOT NULL) AS sends FROM (
+    SELECT o.*, r.busy, r.waiting, r.waiting_ms, r.last_ms, r.last_ms IS NULL OR o.t_ms - r.last_ms >= 100 AS fits FROM r JOIN o ON o.session_id = r.session_id AND o.n = r.n + 1)))
+SELECT session_id, offer_seq, sent_seq, offered_ms, sent_ms FROM r WHERE sent_seq IS NOT NULL
+"""
+PACED = """
+SELECT session_id, seq, frame, frame - coalesce(lag(frame) OVER (PARTITION BY session_id ORDER BY seq), -1) - 1 AS skipped FROM (
+  SELECT session_id, seq, CAST(i + greatest(0, max(CAST(floor(greatest(0, elapsed_s - 0.5) * 25) AS BIGINT) - i) OVER (PARTITION BY session_id ORDER BY seq)) AS BIGINT) AS frame FROM (
+    SELECT user_id AS session_id, event_id AS seq, (sqrt(event_id) - min(sqrt(event_id)) OVER (PARTITION BY user_id)) / 40 AS elapsed_s, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i FROM events))
+"""
+
+
+def offers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _df(table(spark, sf_dir, "events"), OFFERS_EXPR)

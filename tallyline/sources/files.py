@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from tallyline.functions import text as X
 from tallyline.functions.text import registry_key
 from tallyline.operators.tables import written
+from tallyline.sources import snapshots
 
 REGISTRY = T.StructType([T.StructField(c, T.StringType()) for c in ("license_plate", "car_brand", "car_color")])
 IMAGE_EXTENSIONS = ("jpg", "jpeg", "png")
@@ -49,7 +50,8 @@ def load_registry(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_registry(spark: SparkSession, path: str) -> DataFrame:
-    """(license_plate, car_brand, car_color, row_ord): trimmed, without blank rows; no rows where there is no file."""
+    """(license_plate, car_brand, car_color, row_ord): trimmed, without blank rows, of a CSV or of the newest version at `path`; no rows where there is no file."""
+    path = snapshots.current(spark, path)[1] or path
     if not exists(spark, path):
         return spark.createDataFrame([], T.StructType([*REGISTRY.fields, T.StructField("row_ord", T.LongType())]))
     rows = read_in_order(spark, path, REGISTRY)

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyline.sources import files, snapshots
+
 # The fields of the manifest, in the order of the file.
 MANIFEST_FIELDS = ("image_path", "label", "source_type", "group_id", "split", "verified", "source_sha256", "crop_sha256")
 
@@ -15,19 +18,21 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").csv(path, header=True)
 
 
-def replace_registry(df: DataFrame, path: str) -> None:
-    """A full rewrite: to a new folder first, as Spark can't overwrite what it reads, and then in the old one's place."""
-    spark = df.sparkSession
-    new, old = f"{path}.new", f"{path}.old"
-    df.select("license_plate", "car_brand", "car_color").coalesce(1).write.mode("overwrite").csv(new, header=True)
-    jvm = spark.sparkContext._jvm
-    p = lambda x: jvm.org.apache.hadoop.fs.Path(x)
-    fs = p(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(p(old), True)
-    if fs.exists(p(path)):
-        fs.rename(p(path), p(old))
-    fs.rename(p(new), p(path))
-    fs.delete(p(old), True)
+def _registry_csv(df: DataFrame, folder: str) -> None:
+    df.select("license_plate", "car_brand", "car_color").coalesce(1).write.mode("errorifexists").csv(folder, header=True)
+
+
+def replace_registry(df: DataFrame, path: str, base: int | None = None) -> int:
+    """A full rewrite with header as the next version of the registry at `path`, which it gives; files.read_registry reads the newest.
+
+    base: the version that df was made from (snapshots.Conflict if there is a newer one); None for the newest.
+    """
+    return snapshots.commit(df, path, snapshots.current(df.sparkSession, path)[0] if base is None else base, _registry_csv)
+
+
+def change_registry(spark: SparkSession, path: str, change: Callable[[DataFrame], DataFrame]) -> int:
+    """Commits change(registry), anew where another change came first."""
+    return snapshots.change(spark, path, lambda data: files.read_registry(spark, data or path), change, _registry_csv)
 
 
 def write_manifest(df: DataFrame, path: str, fields: tuple[str, ...] = MANIFEST_FIELDS) -> None:

@@ -1,4 +1,4 @@
-"""The gate's session machine, as one Python state machine that runs in batch replay and in Structured Streaming.
+"""The gate's session machine, as one Python state machine that runs in batch replay here and in Structured Streaming in streaming.sessions.
 
 A session is sequential: rows of a key are taken in the order of seq. The machine holds at most max_collect_frames evidence rows.
 Registered variants and colours are joined to frames before the state, so that a registry change takes effect with the next
@@ -10,9 +10,8 @@ a blank read; kind `reset` drops the state; a frame of an older generation than
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
-from dataclasses import asdict, dataclass, field
+from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,7 +24,6 @@ from tallyline.params import DEFAULTS, SESSION_ID, Params
 
 FRAME = "session_id string, seq long, source_time_s double, target boolean, plate_text string, plate_conf double, color string, color_conf double, kind string, generation int"
 OUT = "session_id string, seq long, state string, run int, ready int, status string, action string, plate string, color_warning boolean, decided_at double"
-IDLE_MS = 300_000
 
 
 def valid(frames: DataFrame, session: str = "session_id", time: str = "source_time_s") -> tuple[DataFrame, DataFrame]:
@@ -136,56 +134,30 @@ def listed(frames: DataFrame, registry: DataFrame) -> DataFrame:
     return frames.withColumn("__key", X.lock_plate(F.col("plate_text"))).join(known.select("__key", "registered_color"), "__key", "left").drop("__key")
 
 
-def replay(spark: SparkSession, frames: DataFrame, registry: DataFrame, p: Params = DEFAULTS, every: int = 1) -> DataFrame:
-    """One row a frame, as the stream gives it: the machine over each session's frames in order, frame by frame."""
+def replay(spark: SparkSession, frames: DataFrame, registry: DataFrame, p: Params = DEFAULTS, every: int = 1, idle_ms: int | None = None) -> DataFrame:
+    """One row a frame, as the stream gives it: the machine over each session's frames in order, frame by frame.
+
+    With idle_ms, frames have arrived_ms and done_ms too, and a frame that arrives idle_ms or more after the last was done finds a new session.
+    """
 
     def play(rows: Iterator[dict]) -> Iterator[tuple]:
-        session = Session()
+        session, last = Session(), None
         for f in rows:
+            if last is not None and f["arrived_ms"] - last >= idle_ms:
+                session = Session()
             session, out = _fed(session, f, p, every)
+            last = f["done_ms"] if idle_ms is not None else None
             if out is not None:
                 yield out
 
-    names = [c.split()[0] for c in FRAME.split(", ")]
+    names = [c.split()[0] for c in FRAME.split(", ")] + (["arrived_ms", "done_ms"] if idle_ms is not None else [])
     return V.by_session(listed(frames, registry).select(*names, "registered_color"), "session_id", ["seq"], play, OUT)
 
 
-def stream(frames: DataFrame, registry: DataFrame, p: Params = DEFAULTS, every: int = 1, idle_ms: int = IDLE_MS) -> DataFrame:
-    """The same over a stream of frames. A session without frames for idle_ms is dropped."""
-    from pyspark.sql.streaming.state import GroupStateTimeout
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        session = Session(**json.loads(state.get[0])) if state.exists else Session()
-        out = []
-        for f in _plain(pd.concat(list(batches))):
-            session, row = _fed(session, f, p, every)
-            out += [row] if row is not None else []
-        state.update((json.dumps(asdict(session)),))
-        state.setTimeoutDuration(idle_ms)
-        yield _frame(out)
-
-    return listed(frames, registry).groupBy("session_id").applyInPandasWithState(step, OUT, "data string", "append", GroupStateTimeout.ProcessingTimeTimeout)
-
-
-def frames_of_events(events: DataFrame) -> DataFrame:
-    """Frames made from the events table: a session a user; a target while values are below 300; plates misread now and then."""
+def frames_of_events(events: DataFrame, **more: str) -> DataFrame:
+    """Frames made from the events table: a session a user; a target while values are below 300; plates misread now and then. more: other expressions."""
     from tallyline.plans.inputs import PLATES_EXPR
 
-    cols = {**PLATES_EXPR, "source_time_s": "cast(event_id as double) / 10", "target": "value < 300", "kind": "'frame'", "generation": "0"}
+    cols = {**PLATES_EXPR, "source_time_s": "cast(event_id as double) / 10", "target": "value < 300", "kind": "'frame'", "generation": "0", **more}
     names = [c.split()[0] for c in FRAME.split(", ")]
-    return events.selectExpr(*[f"{cols[n].format(s='string')} AS {n}" for n in names])
-
-
-def shed(frames: DataFrame, key: str = "session_id", order: str = "seq") -> DataFrame:
-    """The newest frame of each session in a micro-batch: what a single-request client would have sent."""
-    from tallyline.operators.ordered import latest_per_key
-
-    return latest_per_key(frames, key, order)
-
-
-def in_time(frames: DataFrame, lag_s: float, now: str = "arrived_s", time: str = "source_time_s") -> DataFrame:
-    """Frames that lag at most lag_s behind their arrival."""
-    return frames.filter(F.col(now) - F.col(time) <= lag_s)
+    return events.selectExpr(*[f"{cols[n].format(s='string')} AS {n}" for n in [*names, *[m for m in more if m not in names]]])

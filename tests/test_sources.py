@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tallyline.operators import registry as R
 from tallyline.sources import files as S
-from tallyline.sources import sinks
+from tallyline.sources import sinks, snapshots
 
 
 def test_registry_files(spark, tmp_path):
@@ -103,3 +103,54 @@ def test_layouts(spark, tmp_path):
             (tmp_path / root / n).write_bytes(b"x")
     assert {(r.label, r.split) for r in S.class_samples(spark, str(tmp_path / "flat")).collect()} == {("Red", None), ("Blue", None)}
     assert {(r.label, r.split) for r in S.class_samples(spark, str(tmp_path / "deep")).collect()} == {("Red", "train"), ("Red", "val"), ("Blue", "test")}
+
+
+class Killed(Exception):
+    pass
+
+
+@pytest.mark.parametrize("step", ["_written", "_named", "_published"])
+@pytest.mark.parametrize("after", [False, True])
+def test_a_killed_commit_leaves_one_whole_version(spark, tmp_path, monkeypatch, step, after):
+    path = str(tmp_path / "reg")
+    rows = lambda k: spark.createDataFrame([(f"30F-{k}{i}", "Kia", "RED") for i in range(5)], S.REGISTRY)
+    assert sinks.replace_registry(rows(1), path) == 1
+    own = getattr(snapshots, step)
+
+    def killed(*a):
+        if after:
+            own(*a)
+        raise Killed
+
+    monkeypatch.setattr(snapshots, step, killed)
+    with pytest.raises(Killed):
+        sinks.replace_registry(rows(2), path)
+    monkeypatch.undo()
+    done = after and step == "_published"
+    assert {r.license_plate[4] for r in S.read_registry(spark, path).collect()} == {"2" if done else "1"} and S.read_registry(spark, path).count() == 5
+    assert sinks.replace_registry(rows(3), path) == (3 if done else 2)
+    assert {r.license_plate[4] for r in S.load_registry(spark, path).collect()} == {"3"}
+    assert snapshots.vacuum(spark, path, 1) >= 1 and S.read_registry(spark, path).count() == 5
+
+
+def test_a_lost_race_raises_and_a_change_is_made_anew(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "reg")
+    row = lambda p: spark.createDataFrame([(p, "Kia", "RED")], S.REGISTRY)
+    sinks.replace_registry(row("30F-1"), path)
+    base, _ = snapshots.current(spark, path)
+    assert sinks.replace_registry(row("30F-2"), path, base) == 2
+    with pytest.raises(snapshots.Conflict):
+        sinks.replace_registry(row("30F-3"), path, base)
+    assert [r.license_plate for r in S.read_registry(spark, path).collect()] == ["30F-2"]
+    own, others = snapshots._written, [row("30F-4")]
+
+    def slow(df, folder, write):
+        own(df, folder, write)
+        if others:
+            monkeypatch.setattr(snapshots, "_written", own)
+            sinks.change_registry(spark, path, lambda r: r.drop("row_ord").unionByName(others.pop()))
+
+    monkeypatch.setattr(snapshots, "_written", slow)
+    assert sinks.change_registry(spark, path, lambda r: r.drop("row_ord").unionByName(row("30F-5"))) == 4
+    assert sorted(r.license_plate for r in S.read_registry(spark, path).collect()) == ["30F-2", "30F-4", "30F-5"]
+    assert snapshots.current(spark, str(tmp_path / "none")) == (0, None)
