@@ -10,8 +10,8 @@ a bitmap of twice as many places as there are keys left: keys alone at their pla
 key's slot is the rank of its bit, so that n keys have the slots 0 to n - 1; a slot holds the key's fingerprint of 64 bits, shard, offset and
 count. A look-up reads some bits and one slot, whatever the number of keys; a key that isn't there has another fingerprint (but for one in 2^64).
 
-Encoding. A byte-level tokenizer cuts a text before each single space between two characters that are no white space; what lies between
-two cuts is encoded once a task while it is among the KNOWN seen last, and its ids are joined.
+Encoding. A byte-level tokenizer makes pre-tokens by a pattern that never looks back, so a text can be cut where one ends for certain (cuts); what
+lies between two cuts is encoded once by a worker while it is among the KNOWN to 2 * KNOWN seen last, and its ids are joined.
 
 Defined cases: a null or empty text has the end id only; records with equal ids, a null id among them (first in order), stand side by side by
 hash of text and keep one key each; an id asked for in vain gives a row with found = false; a text of any length is one record; an empty table
@@ -20,9 +20,11 @@ gives no files, an empty index and no rows; only id and text are read, so other
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from uuid import uuid4
 
 import numpy as np
@@ -32,18 +34,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tallyline.llm.common import Recent, batches_of, table, text_of, written
+from tallyline.llm import kernel
+from tallyline.llm.common import Recent, batches_of, released, table, text_of, written
 from tallyline.llm.kernel import mix
 from tallyline.operators.tables import shared_dir
 
 MAGIC = "IDSHARD1"
 #: a shard has so many bytes of ids, or one record more, and so many records at most
-SHARD_BYTES, SHARD_RECORDS = 16_000_000, 50_000
-#: cut texts that a task keeps at hand
-KNOWN = 200_000
+SHARD_BYTES, SHARD_RECORDS = 8_000_000, 50_000
+#: parts of texts that a worker keeps at hand, about 50 MB
+KNOWN = 250_000
 #: keys of a bucket of the index, on average
 BUCKET_KEYS = 4096
-CUT = re.compile(r"(?<=\S)(?= \S)")
 _U = np.uint64
 
 
@@ -60,38 +62,89 @@ def width_of(raw: bytes, end: int) -> int:
 
 def cuts_are_safe(raw: bytes) -> bool:
     """Whether texts can be cut before spaces: byte-level pre-tokens by the usual pattern, no normaliser, and no added token with white space."""
-    import json
-
     t = json.loads(raw)
     pre = t.get("pre_tokenizer") or {}
     plain = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not t.get("normalizer") and not t.get("truncation")
     return bool(plain and not any(re.search(r"\s", a["content"]) or a["lstrip"] or a["rstrip"] or a["single_word"] for a in t.get("added_tokens", [])))
 
 
+def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Byte starts of the parts of all texts: a text's start, a single space between two characters that are no white space, and an ASCII character
+    that is no letter behind one that is. A pre-token ends at each, and none looks back. Of other characters only the Latin letters below U+0100 count
+    as no white space; where in doubt, parts are longer."""
+    ascii_, letter = data < 128, ((data | 32) >= 97) & ((data | 32) <= 122)
+    solid = ascii_ & (data != 32) & ~((data >= 9) & (data <= 13)) & ~((data >= 28) & (data <= 31))
+    latin = np.zeros(len(data), bool)
+    latin[1:] = (data[1:] >= 128) & (data[:-1] == 0xC3)
+    start = np.zeros(len(data), bool)
+    start[1:-1] = (data[1:-1] == 32) & (solid | latin)[:-2] & (solid | (data == 0xC3))[2:]
+    start[1:] |= letter[:-1] & ascii_[1:] & ~letter[1:]
+    start[offsets[:-1][np.diff(offsets) > 0]] = True
+    return np.flatnonzero(start)
+
+
 class Encoder:
-    """Texts to bytes of ids."""
+    """Texts to ids; parts of texts are encoded once while they are among those seen last."""
 
     def __init__(self, raw: bytes, end: int, known: int = KNOWN):
-        self.tokenizer, self.safe, self.kind = _tokenizer(raw), cuts_are_safe(raw), f"<u{width_of(raw, end)}"
-        self.seen, self.end = Recent(known), np.array([end], self.kind).tobytes()
+        self.tokenizer, self.safe, self.kind, self.end = _tokenizer(raw), cuts_are_safe(raw), np.dtype(f"<u{width_of(raw, end)}"), end
+        n = self.tokenizer.get_vocab_size()
+        self.size = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(n)])  # a byte-level token has a letter a byte
+        self.seen, self.added = Recent(known), [a["content"].encode() for a in json.loads(raw).get("added_tokens", [])]
 
     def plain(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def __call__(self, text: str) -> bytes:
-        if not self.safe:
-            return self.plain([text])[0] + self.end
-        parts, get = CUT.split(text), self.seen.get
-        got = [get(p) for p in parts]
-        if None in got:
-            new = list(dict.fromkeys(p for p, g in zip(parts, got) if g is None))
-            fresh = dict(zip(new, self.plain(new)))
-            for p, ids in fresh.items():
-                if len(p) <= 64:  # a longer one is hardly seen again
-                    self.seen.put(p, ids)
-            got = [fresh[p] if g is None else g for p, g in zip(parts, got)]
-        got.append(self.end)
-        return b"".join(got)
+    def parts(self, words: list[str]) -> list[bytes]:
+        """The ids of each part. Parts that begin with one space before, and end with, other characters are encoded in one text, which is cut at them anew."""
+        joined = [i for i, w in enumerate(words) if w[0] == " " and not w[-1].isspace() and not w[1:2].isspace()]
+        out = [b""] * len(words)
+        if self.safe and joined:
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join([words[i] for i in joined])], add_special_tokens=False)[0].ids, self.kind)
+            ends = np.cumsum([len(words[i].encode()) for i in joined])
+            place = np.searchsorted(np.cumsum(self.size[ids]), ends)
+            raw, step = ids.tobytes(), self.kind.itemsize
+            for i, lo, hi in zip(joined, np.concatenate([[0], place[:-1] + 1]).tolist(), (place + 1).tolist()):
+                out[i] = raw[lo * step : hi * step]
+        rest = [i for i, x in enumerate(out) if not x]
+        for i, x in zip(rest, self.plain([words[i] for i in rest])):
+            out[i] = x
+        return out
+
+    def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, `end` behind each; ids of each text)."""
+        data, offsets = kernel.text_bytes(column)
+        whole = not self.safe or any(t in data.tobytes() for t in self.added)  # a token may not be cut
+        starts = offsets[:-1][np.diff(offsets) > 0] if whole else cuts(data, offsets)
+        parts = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(np.append(starts, len(data)).astype(np.int64)), pa.py_buffer(data)]).dictionary_encode()
+        code, words = parts.indices.to_numpy(), parts.dictionary.to_pylist()
+        got = [self.seen.get(w) for w in words]
+        new = [i for i, g in enumerate(got) if g is None]
+        for at in range(0, len(new), 4096):
+            some = new[at : at + 4096]
+            for i, ids in zip(some, (self.plain if whole else self.parts)([words[i] for i in some])):
+                got[i] = ids
+                if len(words[i]) <= 64:  # a longer one is hardly seen again
+                    self.seen.put(words[i], ids)
+        size = np.fromiter(map(len, got), np.int64, len(got)) // self.kind.itemsize
+        ids, before = np.frombuffer(b"".join(got), self.kind), np.cumsum(size) - size
+        # an end id stands behind the last part of each text
+        n = size[code]
+        first = np.searchsorted(starts, offsets)
+        total = np.concatenate([[0], np.cumsum(n)])
+        counts = np.diff(total[first]) + 1
+        out = np.full(int(counts.sum()), self.end, self.kind)
+        text = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
+        to = total[:-1] + text
+        step = np.arange(int(n.sum())) - np.repeat(total[:-1], n)
+        out[np.repeat(to, n) + step] = ids[np.repeat(before[code], n) + step]
+        return out, counts
+
+
+@lru_cache(maxsize=1)
+def _encoder(raw: bytes, end: int) -> Encoder:
+    """The encoder of a Python worker, which later tasks find with what it has seen."""
+    return Encoder(raw, end)
 
 
 def write_shards(docs: DataFrame, tokenizer_path: str, end: int, folder: str | None = None, doc_id: str = "doc_id", text: str = "text", shard_bytes: int = SHARD_BYTES, shard_records: int = SHARD_RECORDS) -> tuple[str, int]:
@@ -106,30 +159,37 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end: int, folder: str | N
     folder = folder or f"{shared_dir(docs.sparkSession)}/ids-{uuid4().hex}"
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, number = Encoder(raw, end), TaskContext.get().partitionId() << 20
+        encoder, number = _encoder(raw, end), TaskContext.get().partitionId() << 20
         ids, counts, payload, size = [], [], [], 0
 
         def shard() -> pa.RecordBatch:
-            footer = pa.record_batch([pa.array(ids, pa.string()), pa.array(counts, pa.int64())], names=["id", "n"])
+            footer = pa.record_batch([pa.chunked_array(ids).combine_chunks(), pa.array(np.concatenate(counts))], names=["id", "n"])
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, footer.schema) as stream:
                 stream.write_batch(footer)
             tail = sink.getvalue().to_pybytes()
             return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([b"".join([*payload, tail, len(tail).to_bytes(8, "little")])], pa.binary())], names=["shard", "value"])
 
-        for b in batches_of(batches):
-            for key, own in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                got = encoder(own)
-                ids.append(key)
-                counts.append(len(got) // width)
-                payload.append(got)
-                size += len(got)
-                if size >= shard_bytes or len(ids) >= shard_records:
+        for b in batches_of(batches, 6.0):
+            got, n = encoder(b.column(1))
+            ends, at = np.concatenate([[0], np.cumsum(n)]), 0
+            while at < b.num_rows:  # up to the record that fills the shard
+                held = sum(map(len, counts))
+                to = min(b.num_rows, at + shard_records - held, 1 + int(np.searchsorted(ends[1:], ends[at] + (shard_bytes - size) / width)))
+                ids.append(b.column(0).slice(at, to - at))
+                counts.append(n[at:to])
+                payload.append(got[ends[at] : ends[to]].tobytes())
+                size += len(payload[-1])
+                if size >= shard_bytes or held + to - at >= shard_records:
                     yield shard()
                     number += 1
                     ids, counts, payload, size = [], [], [], 0
+                at = to
+            del got, b
         if ids:
             yield shard()
+            ids, counts, payload = [], [], []
+        released()
 
     rows = docs.select(F.col(doc_id).alias("id"), text_of(text).alias("text"))
     order = ["id", "h", "place"]
@@ -174,12 +234,14 @@ def records(spark: SparkSession, folder: str, width: int) -> DataFrame:
                     [pa.array([shard.as_py()] * len(n), pa.int64()), keys, pa.array(nth), pa.array(first.astype(np.int64)), pa.array(end - n), pa.array(n), pa.array(crc, pa.int64())],
                     names=["shard", "id", "nth", "n_first", "offset", "n", "crc32"],
                 )
+                del data, ids, footer, content
+        released()
 
     return _files(spark, folder).mapInArrow(read, "shard long, id string, nth long, n_first long, offset long, n long, crc32 long")
 
 
 def shard_starts(read: DataFrame) -> DataFrame:
-    """(shard, start): the ids of all shards before. One row a shard, which is what a single task sums up: 6 million of 16 MB for 100 TB of ids."""
+    """(shard, start): the ids of all shards before. One row a shard, which is what a single task sums up: 12 million of 8 MB for 100 TB of ids."""
     each = read.groupBy("shard").agg(F.sum("n").alias("n"))
     return each.select("shard", F.coalesce(F.sum("n").over(W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("start"))
 

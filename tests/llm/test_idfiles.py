@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -91,11 +92,25 @@ def test_cuts_change_nothing():
     rng = random.Random(5)
     glue = [" ", "  ", "\n", "\t ", " \n", " ", "\x1c", "\x85", "  ", "'s ", "'ll", "<|endoftext|> ", " 　", "\r\n", ""]
     texts = ["".join(words(rng, 1) + rng.choice(glue) for _ in range(rng.randrange(40))) for _ in range(300)]
-    texts += [" ", "  a", "a  ", "é \U0001f600 日本 語", "x" * 100_000, words(rng, 400_000, 5000)]
+    texts += [None, "", " ", "  a", "a  ", "é \U0001f600 日本 語", "don't, it's we'll x'y 'tis 12ab,34 a_b-c", "x" * 100_000, words(rng, 400_000, 5000)]
     with open(PATH, "rb") as f:
         encoder = idfiles.Encoder(f.read(), 2, 50)
     assert encoder.safe
-    assert [np.frombuffer(encoder(x), "<u2").tolist() for x in texts] == plain(texts)
+    tame = [x for x in texts if "<|" not in (x or "")]
+    for some in (tame, texts, [], [""], [None]):
+        ids, n = encoder(pa.array(some, pa.string()))
+        assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])][: len(some)] == plain(some)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_any_characters(seed):
+    """Strings of white space, letters, digits, marks and other scripts in any order."""
+    rng = random.Random(seed)
+    signs = [*" \t\n\r\x0b\x0c\x1c\x1f\x85\xa0\u2003\u2028\u3000", *"abZ'séÀ×ñß", *"09.,;'!?-_$|<", "日", "\U0001f600", "\u0301", "ſ", "Ω", "\x00", "\ufeff"]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(30))) for _ in range(3000)]
+    with open(PATH, "rb") as f:
+        ids, n = idfiles.Encoder(f.read(), 2)(pa.array(texts))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == plain(texts)
 
 
 def test_a_cut_file_is_an_error(spark, odd, tmp_path):
