@@ -59,5 +59,5 @@ def test_empty_tables(spark, tmp_path):
 
 def test_registered():
     names = {n.split("_")[0] for n in queries.queries()}
-    assert names == {f"op{n}" for n in range(1, 11)}
+    assert names == {f"op{n}" for n in range(1, 14)}
     assert set(queries.oracle_sql()) <= set(queries.queries())
