@@ -15,6 +15,7 @@ from tallyline.functions import decode as D
 from tallyline.functions import geometry as G
 from tallyline.functions import text as X
 from tallyline.operators import curate as C
+from tallyline.operators import hamming as B
 from tallyline.operators.fuzzy import near_reserved
 from tallyline.operators.ordered import pages_of
 from tallyline.operators.tables import written
@@ -157,7 +158,7 @@ def curate_images(parts: dict[str, DataFrame], vehicles: DataFrame, target: int,
     whole = C.consolidate(parts, "name").select("name", "label", "phash")
     seen = vehicles.select("name").distinct().withColumn("__seen", F.lit(True))
     clean = written(whole.join(seen, "name", "left"), "consolidated")
-    judged = written(C.greedy_dedup(clean.filter("__seen").drop("__seen"), "label", "name", "phash", most), "deduped")
+    judged = written(B.greedy(clean.filter("__seen").drop("__seen"), "label", "name", "phash", most), "deduped")
     fit, over = C.cap(judged.filter("kept"), ["label"], [C.priority(F.col("name"), prefixes), F.col("name")], target)
     split = C.class_split(fit, "label", "name", seed, "task")
     gone = [clean.filter("__seen is null").withColumn("fate", F.lit("no-vehicle")), judged.filter("not kept").withColumn("fate", F.lit("near-duplicate")), over.withColumn("fate", F.lit("overflow"))]

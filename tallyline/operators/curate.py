@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -136,30 +135,6 @@ def round_robin(df: DataFrame, label: str, key: str, n: int, seed: int = 42) ->
     return turns.join(own, [label, "__at"]).select("turn", "round", *df.columns)
 
 
-def greedy_dedup(df: DataFrame, group: str, order: str, fingerprint: str, most: int = 5) -> DataFrame:
-    """df with kept: a row goes if its 64-bit fingerprint is within `most` bits of one kept before it in its group.
-
-    Keeping is in order, so a group is one task's fold. A fingerprint that repeats is settled before: only its first row can stay,
-    and copies, however many, are combined in the partial aggregation.
-    """
-    first = df.groupBy(group, fingerprint).agg(F.min(order).alias("__first"))
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("__first")
-        kept: list[int] = []
-        out = []
-        for f in rows[fingerprint].astype("int64"):
-            ok = not any(((int(f) ^ k) & 0xFFFFFFFFFFFFFFFF).bit_count() <= most for k in kept)
-            out.append(ok)
-            if ok:
-                kept.append(int(f))
-        return rows.assign(__ok=out)
-
-    schema = first.schema.simpleString()[len("struct<") : -1].replace(":", " ")
-    judged = first.groupBy(group).applyInPandas(fold, schema.replace(",", ", ") + ", __ok boolean")
-    return df.join(judged, [group, fingerprint]).withColumn("kept", F.col("__ok") & (F.col(order) == F.col("__first"))).drop("__ok", "__first")
-
-
 def exact_dedup(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The first row of each key, by order; copies are combined before the shuffle."""
     rest = [c for c in df.columns if c not in keys]

@@ -19,6 +19,7 @@ from tallyline.operators import chains as H
 from tallyline.operators import curate as C
 from tallyline.operators import evaluate as E
 from tallyline.operators import fuzzy as Z
+from tallyline.operators import hamming as B
 from tallyline.operators import manifest as M
 from tallyline.operators import ordered as O
 from tallyline.operators import registry as R
@@ -463,7 +464,7 @@ SELECT vec_id, label, kept FROM r""")
 def greedy_dedup(spark, d):
     bits = F.aggregate(F.slice("embedding", 1, 64), F.lit(0).cast("long"), lambda a, x: F.shiftleft(a, 1).bitwiseOR(F.when(x > 0, F.lit(1).cast("long")).otherwise(F.lit(0).cast("long"))))
     rows = table(spark, d, "embeddings").select("vec_id", "label", bits.alias("phash"))
-    return C.greedy_dedup(rows, "label", "vec_id", "phash", 12).select("vec_id", "label", "kept")
+    return B.greedy(rows, "label", "vec_id", "phash", 12).select("vec_id", "label", "kept")
 
 
 @query("""

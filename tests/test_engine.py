@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tallyline.operators import curate as C
 from tallyline.operators import evaluate as E
 from tallyline.operators import fuzzy as Z
+from tallyline.operators import hamming as B
 from tallyline.operators import manifest as M
 from tallyline.operators import ordered as O
 from tallyline.operators import registry as R
@@ -197,7 +198,7 @@ def test_curation(spark):
     assert {(r.label, r.crop) for r in C.diverse(df, "label", "source", "crop", "conf", 2).collect()} == {("l", "c1"), ("l", "c3"), ("m", "c4")}
     assert C.diverse(df.limit(0), "label", "source", "crop", "conf").count() == 0
     rows = spark.createDataFrame([("g", i, v) for i, v in enumerate([0, 1, 63, 62, 0, 1 << 62])], "g string, i long, h long")
-    assert {r.i for r in C.greedy_dedup(rows, "g", "i", "h", 5).filter("kept").collect()} == {0, 2}
+    assert {r.i for r in B.greedy(rows, "g", "i", "h", 5).filter("kept").collect()} == {0, 2}
     split = C.grouped_split(spark.range(1000).selectExpr("id", "id % 50 AS g"), "g")
     assert split.groupBy("g").agg(F.count_distinct("split").alias("n")).filter("n > 1").count() == 0
     assert {r.split: r.n for r in split.groupBy("split").agg(F.count_distinct("g").alias("n")).collect()} == {"train": 40, "val": 5, "test": 5}
