@@ -125,14 +125,21 @@ def sample_per_band(df: DataFrame, band: str, key: str, n: int = 30, seed: int =
 
 
 def round_robin(df: DataFrame, label: str, key: str, n: int, seed: int = 42) -> DataFrame:
-    """n trials, one class after the other; a class that runs out starts again (round counts them). Only n rows of a class are kept."""
-    order = [hash_order(F.col(key), seed), F.col(key)]
-    own = top_per_group(df, [label], order, n).withColumn("__at", F.row_number().over(W.partitionBy(label).orderBy(*order)) - 1)
-    size = own.groupBy(label).agg(F.count("*").alias("__size"))
+    """n trials, one class after the other; a class that runs out starts again in another order (round counts them).
+
+    The order of a round is that of a hash of seed, round and key, so that it needs no state. Only the rows that a class can give are kept.
+    """
+    if n <= 0:
+        return df.limit(0).select(F.lit(0).alias("turn"), F.lit(0).alias("round"), *df.columns)
+    size = df.groupBy(label).agg(F.count("*").alias("__size"))
     classes = size.withColumn("__c", F.row_number().over(W.orderBy(label)) - 1).withColumn("__k", F.count("*").over(W.partitionBy()))
-    turns = classes.withColumn("turn", F.explode(F.sequence(F.col("__c"), F.lit(n - 1 if n else 0), F.col("__k").cast("int")))) if n else classes.withColumn("turn", F.lit(None).cast("int")).limit(0)
-    turns = turns.withColumn("__at", F.pmod(F.floor(F.col("turn") / F.col("__k")), F.col("__size"))).withColumn("round", F.floor(F.col("turn") / F.col("__k") / F.col("__size")).cast("int"))
-    return turns.join(own, [label, "__at"]).select("turn", "round", *df.columns)
+    turns = classes.filter(F.col("__c") < n).withColumn("turn", F.explode(F.sequence(F.col("__c"), F.lit(n - 1), F.col("__k").cast("int"))))
+    turns = turns.withColumn("__i", F.floor(F.col("turn") / F.col("__k"))).select(label, "turn", F.pmod("__i", F.col("__size")).alias("__at"), F.floor(F.col("__i") / F.col("__size")).cast("int").alias("round"))
+    asked = turns.groupBy(label, "round").agg(F.max("__at").alias("__last"))
+    order = [F.sha2(F.concat(F.lit(str(seed)), F.when(F.col("round") > 0, F.concat(F.lit("."), F.col("round").cast("string"))).otherwise(""), F.lit(":"), F.col(key).cast("string")).cast("binary"), 256), F.col(key)]
+    # a round of a class takes its first rows: a class of more than n rows has one round
+    own = top_per_group(df.join(asked, label), [label, "round"], order, n).withColumn("__at", F.row_number().over(W.partitionBy(label, "round").orderBy(*order)) - 1)
+    return turns.join(own.filter("__at <= __last"), [label, "round", "__at"]).select("turn", "round", *df.columns)
 
 
 def exact_dedup(df: DataFrame, keys: list[str], order: str) -> DataFrame:

@@ -9,7 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tallyline.operators.curate import running
+from tallyline.functions import text as X
+from tallyline.operators import registry as R
+from tallyline.operators.curate import hash_order, round_robin, running
+from tallyline.operators.tables import written
 from tallyline.params import BANDS, DEFAULTS, Params
 
 
@@ -102,6 +105,71 @@ def stage_latency(df: DataFrame, stages: list[str]) -> DataFrame:
     return quantiles(wide.selectExpr(f"stack({len(stages) + 1}, {cols}) as (stage, ms)"), ["stage"], "ms", {"median": 0.5}).select("stage", "median", "low", "high")
 
 
+def ocr_report(df: DataFrame, subsets: tuple[str, ...] = ("frozen", "expanded"), truth: str = "truth", prediction: str = "prediction", latency: str = "latency_ms", order: str = "seq") -> DataFrame:
+    """(engine, subset, n, exact_match, cer, invalid_format_rate, cold_ms, p50, p95) of each engine over all samples (subset `all`) and each subset.
+
+    df: engine, subset, kind (`cold` for first calls, of which the first by `order` counts, `sample`, or others that count nowhere). A row goes to two
+    groups, as grouping sets would have it, and everything but the quantiles is one aggregation. A subset without samples has zeros, and null latencies.
+    """
+    sample = F.col("kind") == "sample"
+    both = df.withColumn("subset", F.explode(F.array(F.lit("all"), F.col("subset"))))
+    edits, size = F.levenshtein(F.coalesce(prediction, F.lit("")), F.coalesce(truth, F.lit(""))), F.length(F.coalesce(truth, F.lit("")))
+    of = lambda hit: F.coalesce(F.count_if(sample & hit) / F.nullif(F.count_if(sample), F.lit(0)), F.lit(0.0))
+    got = both.groupBy("engine", "subset").agg(
+        F.count_if(sample).alias("n"), of(F.coalesce(F.col(prediction) == F.col(truth), F.lit(False))).alias("exact_match"),
+        F.coalesce(F.sum(F.when(sample, edits)) / F.nullif(F.sum(F.when(sample, size)), F.lit(0)), F.lit(0.0)).alias("cer"), of(~X.is_plate(F.col(prediction))).alias("invalid_format_rate"),
+        F.min_by(latency, F.when(F.col("kind") == "cold", F.col(order))).alias("cold_ms"),
+    )
+    cold = got.filter("subset = 'all'").select("engine", F.col("cold_ms").alias("__cold"))
+    ranks = quantiles(both.filter(sample), ["engine", "subset"], latency, {"p50": 0.5, "p95": 0.95}).select("engine", "subset", "p50", "p95")
+    grid = df.select("engine").distinct().withColumn("subset", F.explode(F.array(*[F.lit(s) for s in ("all", *subsets)])))
+    zero = lambda c, v: F.coalesce(c, F.lit(v)).alias(c)
+    whole = grid.join(got.drop("cold_ms"), ["engine", "subset"], "left").join(cold, "engine", "left").join(ranks, ["engine", "subset"], "left")
+    return whole.select("engine", "subset", zero("n", 0), zero("exact_match", 0.0), zero("cer", 0.0), zero("invalid_format_rate", 0.0), F.col("__cold").alias("cold_ms"), "p50", "p95")
+
+
+def ocr_deployment(report: DataFrame, candidate: str, other: str, p: Params = DEFAULTS) -> DataFrame:
+    """The gate on an ocr_report: one row, with the reasons against the candidate engine."""
+    one = lambda engine, subset, c: F.max(F.when((F.col("engine") == engine) & (F.col("subset") == subset), F.col(c)))
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    row = report.agg(
+        zero(one(candidate, "frozen", "exact_match")).alias("frozen_exact"), zero(one(candidate, "expanded", "exact_match")).alias("expanded_exact"),
+        zero(one(candidate, "all", "cer")).alias("cer"), one(candidate, "all", "p95").alias("candidate_p95"), one(other, "all", "p95").alias("other_p95"),
+    )
+    return deployment_gate(row, p)
+
+
+def security_trials(images: DataFrame, label: str, key: str, classes: tuple[str, ...], n: int, seed: int = 42) -> DataFrame:
+    """n trials of each scenario: (scenario, turn, plate, true, registered, and the image's columns), classes in turn.
+
+    legitimate: registered under its own colour; plate_swap: under another, drawn by a hash of seed and turn; unregistered: under none. Plates differ.
+    """
+    colours = F.array(*[F.lit(c) for c in classes])
+    parts = []
+    for k, scenario in enumerate(("legitimate", "plate_swap", "unregistered")):
+        rows = round_robin(images, label, key, n, seed + k).withColumn("scenario", F.lit(scenario)).withColumn("true", F.col(label))
+        others = F.array_except(colours, F.array("true"))
+        draw = F.conv(F.substr(hash_order(F.concat(F.lit("other:"), F.col("turn").cast("string")), seed + k), F.lit(1), F.lit(8)), 16, 10).cast("long")
+        registered = {"legitimate": F.col("true"), "plate_swap": F.get(others, F.pmod(draw, F.size(others)).cast("int")), "unregistered": F.lit(None).cast("string")}[scenario]
+        parts.append(rows.withColumn("registered", registered).withColumn("plate", F.format_string(f"{30 + k}A%05d", "turn")))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).drop("round")
+
+
+def security_report(trials: DataFrame, predicted: str, conf: str, gates: list[float], p: Params = DEFAULTS) -> DataFrame:
+    """(metric, value): trials are registered, verified with the predicted colour, scored by scenario, and swept over the gates."""
+    held = written(trials, "trials")
+    registry = held.filter("registered is not null").select(F.col("plate").alias("license_plate"), F.col("registered").alias("car_color"), F.col("turn").alias("row_ord"))
+    seen = written(R.verify(held.withColumn("plate_text", F.col("plate")).withColumn("color", F.col(predicted)).withColumn("color_conf", F.col(conf)), registry, p), "verified")
+    of = lambda s: seen.filter(F.col("scenario") == s)
+    parts = [(legitimate(of("legitimate")), "legitimate"), (swap_totals(of("plate_swap"), p.neutral), "plate_swap"), (unregistered(of("unregistered")), "unregistered")]
+    named = lambda df, s: df.select(F.explode(F.array(*[F.struct(F.lit(f"{s}.{c}").alias("metric"), F.col(c).cast("double").alias("value")) for c in df.columns])).alias("m")).select("m.*")
+    out = named(*parts[0]).union(named(*parts[1])).union(named(*parts[2]))
+    swept = seen.filter("registered is not null").select(F.when(F.col("scenario") == "plate_swap", "swap").otherwise("legitimate").alias("scenario"), F.upper("color").alias("predicted"), F.upper("registered").alias("registered"), F.col("color_conf").alias("conf"))
+    for g in ("false_alarm_rate", "detection_rate"):
+        out = out.union(gate_sweep(swept, gates, p.neutral).select(F.format_string(f"gate.%.2f.{g}", "gate").alias("metric"), F.col(g).alias("value")))
+    return out
+
+
 def deployment_gate(df: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     """df (frozen_exact, expanded_exact, cer, candidate_p95, other_p95) with reasons against, and passed."""
     low = lambda c, bar, text: F.when(F.col(c) < bar, F.format_string(f"{text} %.4f is below {bar:.2f}", F.col(c)))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tallyline.functions import text as X
+from tallyline.operators.tables import written
 from tallyline.params import PLATE, SOURCE_TYPES, SPLITS
+from tallyline.sources import snapshots
 
 # Columns that a manifest must have, and those of its checksums.
 CORE = ("image_path", "label", "source_type", "group_id", "split", "verified")
@@ -90,17 +92,39 @@ def isolated(df: DataFrame, reserved: DataFrame, key: str) -> DataFrame:
     return df.join(hit, key, "left_anti")
 
 
-def compose(parts: list[DataFrame], reserved: DataFrame) -> DataFrame:
-    """The union of manifests; ValueError if an identity is reserved or stands in two splits."""
+def marked(parts: list[DataFrame], reserved: DataFrame) -> DataFrame:
+    """The union of manifests with `reserved` and `crossing`: whether an identity of the row is reserved, or stands in two splits.
+
+    Rows are told apart by a number of their own, in a written table, so that repeated rows are rows. An identity's splits combine before the shuffle.
+    """
     whole = parts[0]
     for p in parts[1:]:
         whole = whole.unionByName(p, allowMissingColumns=True)
-    if leaks(whole, reserved).take(1):
-        raise ValueError("an identity is reserved")
-    crossing = violations(whole).filter(F.col("rule").isin("C10", "C11", "C14"))
-    if crossing.take(1):
-        raise ValueError("an identity stands in two splits")
-    return whole
+    whole = written(whole.withColumn("__row", F.monotonically_increasing_id()), "composed")
+    found = [F.struct(F.lit("label").alias("kind"), X.plate_text(F.col("label")).alias("value")), F.struct(F.lit("group").alias("kind"), F.trim("group_id").alias("value"))]
+    found += [F.struct(F.lit("hash").alias("kind"), F.lower(F.trim(F.col(h))).alias("value")) for h in HASHES if h in whole.columns]
+    own = whole.select("__row", "split", F.inline(F.array(*found))).filter("value is not null and value <> ''")
+    splits = own.groupBy("kind", "value").agg((F.min("split") < F.max("split")).alias("crosses"))
+    bad = splits.join(identities(reserved).withColumn("taken", F.lit(True)), ["kind", "value"], "left").filter("crosses or taken")
+    hit = own.join(bad, ["kind", "value"]).groupBy("__row").agg(F.bool_or(F.coalesce("taken", F.lit(False))).alias("reserved"), F.bool_or("crosses").alias("crossing"))
+    flag = lambda c: F.coalesce(c, F.lit(False)).alias(c)
+    return whole.join(hit, "__row", "left").select(*[c for c in whole.columns if c != "__row"], flag("reserved"), flag("crossing"))
+
+
+def compose(parts: list[DataFrame], reserved: DataFrame, path: str) -> dict[str, int]:
+    """Commits the union of manifests as the next version of `path` and gives its counts; ValueError, and no version, if an identity is reserved or stands
+    in two splits. The constraints are metrics of the one pass that writes the rows, which are looked at before the version is published."""
+    rows = marked(parts, reserved)
+    seen = Observation("compose")
+    watched = rows.observe(seen, F.count("*").alias("rows"), F.count_if("reserved").alias("reserved"), F.count_if("crossing").alias("crossing"))
+
+    def write(df: DataFrame, folder: str) -> None:
+        df.drop("reserved", "crossing").write.parquet(folder)
+        if seen.get["reserved"] or seen.get["crossing"]:
+            raise ValueError(f"{seen.get['reserved']} rows with a reserved identity, {seen.get['crossing']} with one in two splits")
+
+    snapshots.commit(watched, path, snapshots.current(rows.sparkSession, path)[0], write)
+    return dict(seen.get)
 
 
 def summary(df: DataFrame) -> DataFrame:

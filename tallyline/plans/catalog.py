@@ -357,6 +357,18 @@ def manifest_violations(spark, d):
     return M.violations(_manifest(spark, d), label_ok=F.col("label").isNotNull())
 
 
+@query(f"""
+WITH m AS (SELECT row_number, label, group_id, split, source_sha256 FROM {_MANIFEST_SQL}),
+i AS (SELECT row_number, split, 'label' AS kind, upper(label) AS value FROM m UNION ALL SELECT row_number, split, 'group', trim(group_id) FROM m UNION ALL SELECT row_number, split, 'hash', lower(trim(source_sha256)) FROM m),
+b AS (SELECT kind, value, min(split) < max(split) AS crosses, EXISTS (FROM (SELECT sha256(text) AS h, item_id FROM benchmark) r WHERE (kind = 'hash' AND value = h) OR (kind = 'label' AND value = 'EN' || (item_id * 7)) OR (kind = 'group' AND value = 'web-' || item_id)) AS taken FROM i WHERE value <> '' GROUP BY 1, 2)
+SELECT m.row_number, coalesce(bool_or(taken), false) AS reserved, coalesce(bool_or(crosses), false) AS crossing FROM m LEFT JOIN i ON i.row_number = m.row_number LEFT JOIN b ON b.kind = i.kind AND b.value = i.value GROUP BY 1""")
+def composed_manifest(spark, d):
+    """What stops the composition of two manifests: identities that are reserved or cross splits."""
+    rows = _manifest(spark, d).select("row_number", "label", "group_id", "split", "source_sha256")
+    reserved = table(spark, d, "benchmark").select(F.concat(F.lit("en"), (F.col("item_id") * 7).cast("string")).alias("label"), F.concat(F.lit("web-"), F.col("item_id").cast("string")).alias("group_id"), F.sha2(F.col("text").cast("binary"), 256).alias("source_sha256"))
+    return M.marked([rows.filter("row_number % 2 = 0"), rows.filter("row_number % 2 = 1")], reserved).select("row_number", "reserved", "crossing")
+
+
 @query(f"SELECT count(*) AS rows, count(DISTINCT label) AS labels, count(DISTINCT group_id) AS groups, count(*) FILTER ({_REAL} AND split = 'test') AS real_test FROM {_MANIFEST_SQL}")
 def manifest_summary(spark, d):
     return M.summary(_manifest(spark, d))
@@ -446,7 +458,10 @@ def sample_per_band(spark, d):
 WITH o AS (SELECT p_partkey, p_type, row_number() OVER (PARTITION BY p_type ORDER BY sha256('42:' || p_partkey), p_partkey) - 1 AS pos, count(*) OVER (PARTITION BY p_type) AS n FROM part),
 c AS (SELECT p_type, row_number() OVER (ORDER BY p_type) - 1 AS c, count(*) OVER () AS k, least(200, max(n)) AS n FROM o GROUP BY 1),
 t AS (SELECT CAST(range AS INTEGER) AS turn FROM range(200))
-SELECT turn, CAST(turn // k // c.n AS INTEGER) AS round, o.p_partkey FROM t JOIN c ON turn % k = c.c JOIN o ON o.p_type = c.p_type AND o.pos = (turn // k) % c.n""")
+SELECT turn, CAST(turn // k // c.n AS INTEGER) AS round, o.p_partkey FROM t JOIN c ON turn % k = c.c JOIN o ON o.p_type = c.p_type AND o.pos = (turn // k) % c.n WHERE turn // k // c.n = 0
+UNION ALL SELECT turn, round, p_partkey FROM (
+  SELECT t.turn, CAST(turn // k // c.n AS INTEGER) AS round, (turn // k) % c.n AS place, o.p_partkey, row_number() OVER (PARTITION BY t.turn ORDER BY sha256('42.' || (turn // k // c.n) || ':' || o.p_partkey), o.p_partkey) - 1 AS pos
+  FROM t JOIN c ON turn % k = c.c JOIN o ON o.p_type = c.p_type WHERE turn // k // c.n > 0) WHERE pos = place""")
 def round_robin_trials(spark, d):
     return C.round_robin(table(spark, d, "part").select("p_partkey", "p_type"), "p_type", "p_partkey", 200).select("turn", "round", "p_partkey")
 
@@ -611,6 +626,67 @@ def gate_sweep(spark, d):
     return E.gate_sweep(rows, _GATES)
 
 
+_CLASSES = ("Black", "Blue", "Brown", "Grey", "Red", "Silver", "White", "Yellow")
+_CARS_EXPR = {"vec_id": "vec_id", "colour": f"element_at(array({', '.join(map(repr, _CLASSES))}), cast(label % 8 + 1 as int))", "seen": f"element_at(array({', '.join(map(repr, _CLASSES))}), cast((label + CASE WHEN vec_id % 5 = 0 THEN 3 ELSE 0 END) % 8 + 1 as int))", "conf": "(vec_id % 100) / cast(100 as double)"}
+_TRIAL_SQL = f"""
+cars AS (SELECT vec_id, k[label % 8 + 1] AS colour, k[(label + CASE WHEN vec_id % 5 = 0 THEN 3 ELSE 0 END) % 8 + 1] AS seen, (vec_id % 100) / CAST(100 AS DOUBLE) AS conf FROM embeddings, (SELECT {list(_CLASSES)!r} AS k)),
+scen AS (SELECT unnest(['legitimate', 'plate_swap', 'unregistered']) AS scenario, unnest([42, 43, 44]) AS seed),
+cls AS (SELECT colour, row_number() OVER (ORDER BY colour) - 1 AS c, count(*) OVER () AS k, n FROM (SELECT colour, count(*) AS n FROM cars GROUP BY 1)),
+turn AS (SELECT scenario, seed, CAST(t AS INTEGER) AS turn, colour, (t // k) % n AS place, t // k // n AS round FROM scen, range(600) r(t) JOIN cls ON t % k = c),
+pick AS (SELECT t.scenario, t.seed, t.turn, t.place, x.*, row_number() OVER (PARTITION BY t.scenario, t.turn ORDER BY sha256(t.seed || CASE WHEN t.round > 0 THEN '.' || t.round ELSE '' END || ':' || x.vec_id), x.vec_id) - 1 AS pos FROM turn t JOIN cars x USING (colour)),
+trial AS (SELECT *, CASE scenario WHEN 'legitimate' THEN colour WHEN 'plate_swap' THEN list_filter({list(_CLASSES)!r}, lambda z: z <> colour)[CAST('0x' || substr(sha256(seed || ':other:' || turn), 1, 8) AS BIGINT) % 7 + 1] END AS registered FROM pick WHERE pos = place),
+v AS (SELECT *, upper(seen) = upper(registered) OR (upper(seen) IN {I.NEUTRAL} AND upper(registered) IN {I.NEUTRAL}) AS same, upper(colour) IN {I.NEUTRAL} AND upper(registered) IN {I.NEUTRAL} AS neutral, NOT coalesce(same OR conf < 0.4, false) AND registered IS NOT NULL AS warn FROM trial)"""
+
+
+@query(f"""
+WITH {_TRIAL_SQL},
+g AS (SELECT gate, avg(CASE WHEN NOT same AND NOT conf < gate THEN 1 ELSE 0 END) FILTER (scenario = 'legitimate') AS f, count(*) FILTER (scenario = 'plate_swap' AND NOT same AND NOT conf < gate) / CAST(count(*) FILTER (scenario = 'plate_swap') AS DOUBLE) AS d FROM v, (SELECT unnest([0.0, 0.4, 0.6]) AS gate) WHERE registered IS NOT NULL GROUP BY gate),
+l AS (SELECT count(*) AS n, count(*) FILTER (NOT warn) AS correct, count(*) FILTER (warn) AS alarms FROM v WHERE scenario = 'legitimate'),
+s AS (SELECT count(*) AS n, count(*) FILTER (warn) AS caught, count(*) FILTER (neutral) AS nn, count(*) FILTER (neutral AND NOT warn) AS nm FROM v WHERE scenario = 'plate_swap')
+SELECT unnest(['legitimate.n', 'legitimate.correct', 'legitimate.false_alarms', 'legitimate.unexpected', 'legitimate.false_alarm_rate']) AS metric, unnest([n, correct, alarms, 0, alarms / CAST(n AS DOUBLE)]) AS value FROM l
+UNION ALL SELECT unnest(['plate_swap.n', 'plate_swap.caught', 'plate_swap.missed', 'plate_swap.detection_rate', 'plate_swap.miss_rate', 'plate_swap.neutral_n', 'plate_swap.neutral_missed', 'plate_swap.neutral_miss_rate']), unnest([n, caught, n - caught, caught / CAST(n AS DOUBLE), (n - caught) / CAST(n AS DOUBLE), nn, nm, nm / CAST(nn AS DOUBLE)]) FROM s
+UNION ALL SELECT unnest(['unregistered.n', 'unregistered.correct', 'unregistered.rate']), unnest([n, n, CAST(1 AS DOUBLE)]) FROM (SELECT count(*) AS n FROM v WHERE scenario = 'unregistered')
+UNION ALL SELECT printf('gate.%.2f.false_alarm_rate', gate), f FROM g UNION ALL SELECT printf('gate.%.2f.detection_rate', gate), d FROM g""")
+def security_evaluation(spark, d):
+    """Trials, registration, verification, scores and the sweep as one chain."""
+    trials = E.security_trials(table(spark, d, "embeddings").selectExpr(*[f"{v} AS {k}" for k, v in _CARS_EXPR.items()]), "colour", "vec_id", _CLASSES, 600)
+    return E.security_report(trials, "seen", "conf", [0.0, 0.4, 0.6])
+
+
+_TRUTH = "concat('30A', lpad(cast(10000 + p_partkey * 37 % 80000 as {s}), 5, '0'))"
+_READ_EXPR = {
+    "engine": "engine", "subset": "CASE WHEN p_partkey % 2 = 0 THEN 'frozen' ELSE 'expanded' END", "kind": "CASE WHEN p_partkey % 100 = 1 THEN 'cold' ELSE 'sample' END", "truth": _TRUTH,
+    "prediction": f"CASE WHEN p_partkey * k % 13 = 0 THEN '' WHEN p_partkey * k % 17 = 0 THEN concat(substr({_TRUTH}, 2), 'Q') WHEN p_partkey * k % 19 = 0 THEN substr({_TRUTH}, 1, 7) ELSE {_TRUTH} END",
+    "latency_ms": "cast(p_partkey * k * 31 % 1009 as double)", "seq": "p_partkey",
+}
+_ENGINES = "(SELECT 'candidate' AS engine, 1 AS k UNION ALL SELECT 'other', 3)"
+_READS = "SELECT " + ", ".join(f"{v.format(s='VARCHAR')} AS {k}" for k, v in _READ_EXPR.items()) + f" FROM part, {_ENGINES}"
+_OCR = rf"""
+two AS (SELECT * REPLACE (unnest(['all', subset]) AS subset) FROM ({_READS})),
+report AS (SELECT engine, subset, count(*) AS n, count(*) FILTER (prediction = truth) / CAST(count(*) AS DOUBLE) AS exact_match, CAST(sum(levenshtein(prediction, truth)) AS DOUBLE) / sum(length(truth)) AS cer,
+  count(*) FILTER (NOT regexp_full_match(prediction, '[0-9]{{2}}[A-Z]{{1,2}}[0-9]{{4,6}}')) / CAST(count(*) AS DOUBLE) AS invalid_format_rate, first(cold) AS cold_ms, quantile_cont(latency_ms, 0.5) AS p50, quantile_cont(latency_ms, 0.95) AS p95
+  FROM two JOIN (SELECT engine, arg_min(latency_ms, seq) AS cold FROM ({_READS}) WHERE kind = 'cold' GROUP BY 1) USING (engine) WHERE kind = 'sample' GROUP BY 1, 2)"""
+
+
+def _reads_of_engines(spark, d):
+    engines = F.explode(F.array(*[F.struct(F.lit(e).alias("engine"), F.lit(k).cast("long").alias("k")) for e, k in (("candidate", 1), ("other", 3))]))
+    return table(spark, d, "part").select("p_partkey", engines.alias("e")).select("p_partkey", "e.*").selectExpr(*[f"{v.format(s='string')} AS {k}" for k, v in _READ_EXPR.items()])
+
+
+@query(f"WITH {_OCR} SELECT * FROM report")
+def ocr_report(spark, d):
+    return E.ocr_report(_reads_of_engines(spark, d))
+
+
+@query(f"""
+WITH {_OCR}, r AS (SELECT max(exact_match) FILTER (engine = 'candidate' AND subset = 'frozen') AS a, max(exact_match) FILTER (engine = 'candidate' AND subset = 'expanded') AS b, max(cer) FILTER (engine = 'candidate' AND subset = 'all') AS c, max(p95) FILTER (engine = 'candidate' AND subset = 'all') AS p, max(p95) FILTER (engine = 'other' AND subset = 'all') AS q FROM report)
+SELECT len(reasons) = 0 AS passed, array_to_string(reasons, '; ') AS reasons FROM (SELECT list_filter([CASE WHEN a < 0.9 THEN 'frozen exact match ' || printf('%.4f', a) || ' is below 0.90' END, CASE WHEN b < 0.9 THEN 'expanded exact match ' || printf('%.4f', b) || ' is below 0.90' END,
+  CASE WHEN c > 0.031 THEN 'combined CER ' || printf('%.4f', c) || ' exceeds 0.031' END, CASE WHEN p >= q THEN 'candidate warm p95 latency ' || printf('%.2f', p) || ' ms is not lower than Paddle p95 ' || printf('%.2f', q) || ' ms' END], lambda x: x IS NOT NULL) AS reasons FROM r)""")
+def ocr_deployment(spark, d):
+    """From predictions to the reasons against deployment."""
+    return E.ocr_deployment(E.ocr_report(_reads_of_engines(spark, d)), "candidate", "other").select("passed", F.array_join("reasons", "; ").alias("reasons"))
+
+
 @query("SELECT event_type, count(value) AS n, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.95) AS p95 FROM events GROUP BY 1")
 def latency_percentiles(spark, d):
     return E.percentiles(table(spark, d, "events"), ["event_type"], "value")
