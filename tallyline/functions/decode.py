@@ -74,12 +74,14 @@ def merged_observation(parts: Column, valid_plate: str) -> Column:
     return F.coalesce(whole, F.when(best.isNotNull(), F.struct(best["text"].alias("text"), best["conf"].alias("conf"))))
 
 
-def lines_by_height(lines: Column) -> Column:
-    """struct(text, conf) of array<struct(text, conf, y_min)>: lines from the top joined, letters and digits only, mean conf of those with any."""
-    clean = F.array_sort(F.transform(lines, lambda p, i: F.struct(p["y_min"].alias("y"), i.alias("i"), F.upper(F.regexp_replace(p["text"], "[^A-Za-z0-9]", "")).alias("text"), p["conf"].cast("double").alias("conf"))))
-    kept = F.filter(clean, lambda p: p["text"] != "")
-    conf = F.when(F.size(kept) > 0, F.aggregate(kept, F.lit(0.0), lambda a, p: a + p["conf"]) / F.size(kept)).otherwise(0.0)
-    return F.struct(F.array_join(F.transform(kept, lambda p: p["text"]), "").alias("text"), conf.alias("conf"))
+def lines_by_height(lines: Column, raw: bool = False) -> Column:
+    """struct(text, conf) of array<struct(text, conf, y_min)>: lines from the top joined, letters and digits only, and the mean confidence of those with
+    any, or with raw of those that aren't blank as read; 0 without a text."""
+    clean = F.array_sort(F.transform(lines, lambda p, i: F.struct(p["y_min"].alias("y"), i.alias("i"), F.upper(F.regexp_replace(p["text"], "[^A-Za-z0-9]", "")).alias("text"), p["conf"].cast("double").alias("conf"), (F.trim(p["text"]) != "").alias("any"))))
+    kept = F.filter(clean, lambda p: p["any"] if raw else p["text"] != "")
+    text = F.array_join(F.transform(kept, lambda p: p["text"]), "")
+    conf = F.when(text != "", F.aggregate(kept, F.lit(0.0), lambda a, p: a + p["conf"]) / F.size(kept)).otherwise(0.0)
+    return F.struct(text.alias("text"), conf.alias("conf"))
 
 
 def merge_small_bands(counts: Column, least: int = 10) -> Column:

@@ -139,6 +139,27 @@ def ocr_deployment(report: DataFrame, candidate: str, other: str, p: Params = DE
     return deployment_gate(row, p)
 
 
+def color_report(rows: DataFrame, classes: list[str], truth: str = "true") -> DataFrame:
+    """(metric, value) of a classifier on the test split of rows (split, true, plain, tta): accuracy and macro F1 of both predictions, and each class's
+    precision and recall of `tta`; a class that is nowhere counts with zeros."""
+    held = written(rows.select("split", truth, "plain", "tta"), "predictions")
+    test = held.filter("split = 'test'")
+    share = lambda c: F.coalesce(rate(F.col(c) == F.col(truth)), F.lit(0.0))
+    whole = held.agg(F.count("*").cast("double").alias("n_total"), F.count_if(F.col("split") == "test").cast("double").alias("n_test"))
+    exact = test.agg(share("plain").alias("accuracy.plain"), share("tta").alias("accuracy.tta"))
+    named = lambda df: df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(f"`{c}`").alias("value")) for c in df.columns])).alias("m")).select("m.*")
+    out = named(whole).union(named(exact))
+    grid = held.sparkSession.createDataFrame([(c,) for c in classes], ["class"])
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    for guess in ("plain", "tta"):
+        each = grid.join(class_metrics(test, truth, guess), "class", "left")
+        out = out.union(each.agg(F.avg(zero("f1")).alias("value")).select(F.lit(f"macro_f1.{guess}").alias("metric"), "value"))
+        if guess == "tta":
+            for m in ("precision", "recall"):
+                out = out.union(each.select(F.concat(F.lit(f"{m}."), "class").alias("metric"), zero(m).alias("value")))
+    return out
+
+
 def security_trials(images: DataFrame, label: str, key: str, classes: tuple[str, ...], n: int, seed: int = 42) -> DataFrame:
     """n trials of each scenario: (scenario, turn, plate, true, registered, and the image's columns), classes in turn.
 

@@ -21,6 +21,11 @@ def usable(width: Column, height: Column) -> Column:
     return F.coalesce((width >= 2) & (height >= 2), F.lit(False))
 
 
+def detected(boxes: DataFrame, conf: float, override: str = "override") -> DataFrame:
+    """Boxes at or above the detector's threshold, or that of their call where it brings one; without a confidence none."""
+    return boxes.filter(F.col("conf") >= F.coalesce(F.col(override), F.lit(float(conf))))
+
+
 def best_box(boxes: DataFrame, frame: str, by: str = "conf", order: str = "det_ord") -> DataFrame:
     """The box of each frame with the greatest value; of equals, the first."""
     return top_per_group(boxes, [frame], [F.col(by).desc(), F.col(order).asc()])

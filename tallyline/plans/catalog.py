@@ -312,15 +312,14 @@ def reserved_near_unguarded(spark, d):
     return Z.near_reserved(*_drafts(spark, d), guard=None).select("id", "reason")
 
 
-_PAIRS = "(SELECT item_id, regexp_extract(text, '[A-Za-z]+') AS truth, CASE item_id % 3 WHEN 0 THEN regexp_extract(text, '[A-Za-z]+') ELSE substr(regexp_extract(text, '[A-Za-z]+'), 2) || 'q' END AS guess, CASE WHEN item_id % 2 = 0 THEN 'frozen' ELSE 'expanded' END AS subset FROM benchmark)"
+_PAIRS = "(SELECT truth, CASE item_id % 3 WHEN 0 THEN truth ELSE substr(truth, 2) || 'q' END AS guess, CASE WHEN item_id % 2 = 0 THEN 'frozen' ELSE 'expanded' END AS subset FROM (SELECT item_id, regexp_replace(text, '[^ -~]', '', 'g') AS truth FROM benchmark))"
 
 
-@query(f"SELECT subset, count(*) AS n, count(*) FILTER (levenshtein(truth, guess) = 0) AS exact, CAST(sum(levenshtein(truth, guess)) AS DOUBLE) / sum(length(truth)) AS cer_micro FROM {_PAIRS} GROUP BY subset")
+@query(f"SELECT subset, count(*) AS n, count(*) FILTER (levenshtein(truth, guess) = 0) AS exact, CAST(sum(levenshtein(truth, guess)) AS DOUBLE) / sum(length(truth)) AS cer_micro, round(avg(levenshtein(truth, guess) / CAST(greatest(1, length(truth)) AS DOUBLE)), 9) AS cer_macro FROM {_PAIRS} GROUP BY subset")
 def cer_by_subset(spark, d):
-    rows = table(spark, d, "benchmark").selectExpr(
-        "regexp_extract(text, '[A-Za-z]+', 0) AS truth", "CASE item_id % 3 WHEN 0 THEN regexp_extract(text, '[A-Za-z]+', 0) ELSE substr(regexp_extract(text, '[A-Za-z]+', 0), 2) || 'q' END AS guess", "CASE WHEN item_id % 2 = 0 THEN 'frozen' ELSE 'expanded' END AS subset"
-    )
-    return Z.edit_rates(rows, "truth", "guess", ["subset"]).select("subset", "n", "exact", "cer_micro")
+    rows = table(spark, d, "benchmark").selectExpr("item_id", "regexp_replace(text, '[^ -~]', '') AS truth")
+    rows = rows.selectExpr("truth", "CASE item_id % 3 WHEN 0 THEN truth ELSE substr(truth, 2) || 'q' END AS guess", "CASE WHEN item_id % 2 = 0 THEN 'frozen' ELSE 'expanded' END AS subset")
+    return Z.edit_rates(rows, "truth", "guess", ["subset"]).select("subset", "n", "exact", "cer_micro", F.round("cer_macro", 9).alias("cer_macro"))
 
 
 # manifests
@@ -496,16 +495,16 @@ def consolidate_sources(spark, d):
     return C.consolidate({"a": table(spark, d, "nation").select(F.col("n_name").alias("name")), "b": table(spark, d, "region").select(F.col("r_name").alias("name"))}, "name")
 
 
-@query("SELECT s_suppkey AS k FROM supplier UNION SELECT c_custkey FROM customer WHERE c_custkey < 500")
+@query("SELECT s_suppkey AS k FROM supplier UNION SELECT c_custkey FROM customer")
 def merge_skip_existing(spark, d):
-    return C.merge_new(table(spark, d, "supplier").select(F.col("s_suppkey").alias("k")), table(spark, d, "customer").filter("c_custkey < 500").select(F.col("c_custkey").alias("k")), "k")
+    return C.merge_new(table(spark, d, "supplier").select(F.col("s_suppkey").alias("k")), table(spark, d, "customer").select(F.col("c_custkey").alias("k")), "k")
 
 
-@query("SELECT l_orderkey, count(*) AS boxes FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') GROUP BY 1 UNION ALL SELECT o_orderkey, 0 FROM orders WHERE o_orderstatus = 'F' AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
+@query("SELECT o_orderkey AS l_orderkey, o_orderstatus AS split, coalesce(n, 0) AS boxes FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey")
 def images_with_boxes(spark, d):
-    images = table(spark, d, "orders").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"))
+    images = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderstatus").alias("split"))
     boxes = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("boxes"))
-    return images.join(boxes, "l_orderkey", "left").select("l_orderkey", F.coalesce("boxes", F.lit(0)).alias("boxes"))
+    return images.join(boxes, "l_orderkey", "left").select("l_orderkey", "split", F.coalesce("boxes", F.lit(0)).alias("boxes"))
 
 
 @query("SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 40)")
@@ -626,15 +625,15 @@ def gate_sweep(spark, d):
     return E.gate_sweep(rows, _GATES)
 
 
-_CLASSES = ("Black", "Blue", "Brown", "Grey", "Red", "Silver", "White", "Yellow")
-_CARS_EXPR = {"vec_id": "vec_id", "colour": f"element_at(array({', '.join(map(repr, _CLASSES))}), cast(label % 8 + 1 as int))", "seen": f"element_at(array({', '.join(map(repr, _CLASSES))}), cast((label + CASE WHEN vec_id % 5 = 0 THEN 3 ELSE 0 END) % 8 + 1 as int))", "conf": "(vec_id % 100) / cast(100 as double)"}
+_COLOURS = ("Black", "Blue", "Brown", "Grey", "Red", "Silver", "White", "Yellow")
+_CARS_EXPR = {"vec_id": "vec_id", "colour": f"element_at(array({', '.join(map(repr, _COLOURS))}), cast(label % 8 + 1 as int))", "seen": f"element_at(array({', '.join(map(repr, _COLOURS))}), cast((label + CASE WHEN vec_id % 5 = 0 THEN 3 ELSE 0 END) % 8 + 1 as int))", "conf": "(vec_id % 100) / cast(100 as double)"}
 _TRIAL_SQL = f"""
-cars AS (SELECT vec_id, k[label % 8 + 1] AS colour, k[(label + CASE WHEN vec_id % 5 = 0 THEN 3 ELSE 0 END) % 8 + 1] AS seen, (vec_id % 100) / CAST(100 AS DOUBLE) AS conf FROM embeddings, (SELECT {list(_CLASSES)!r} AS k)),
+cars AS (SELECT vec_id, k[label % 8 + 1] AS colour, k[(label + CASE WHEN vec_id % 5 = 0 THEN 3 ELSE 0 END) % 8 + 1] AS seen, (vec_id % 100) / CAST(100 AS DOUBLE) AS conf FROM embeddings, (SELECT {list(_COLOURS)!r} AS k)),
 scen AS (SELECT unnest(['legitimate', 'plate_swap', 'unregistered']) AS scenario, unnest([42, 43, 44]) AS seed),
 cls AS (SELECT colour, row_number() OVER (ORDER BY colour) - 1 AS c, count(*) OVER () AS k, n FROM (SELECT colour, count(*) AS n FROM cars GROUP BY 1)),
 turn AS (SELECT scenario, seed, CAST(t AS INTEGER) AS turn, colour, (t // k) % n AS place, t // k // n AS round FROM scen, range(600) r(t) JOIN cls ON t % k = c),
 pick AS (SELECT t.scenario, t.seed, t.turn, t.place, x.*, row_number() OVER (PARTITION BY t.scenario, t.turn ORDER BY sha256(t.seed || CASE WHEN t.round > 0 THEN '.' || t.round ELSE '' END || ':' || x.vec_id), x.vec_id) - 1 AS pos FROM turn t JOIN cars x USING (colour)),
-trial AS (SELECT *, CASE scenario WHEN 'legitimate' THEN colour WHEN 'plate_swap' THEN list_filter({list(_CLASSES)!r}, lambda z: z <> colour)[CAST('0x' || substr(sha256(seed || ':other:' || turn), 1, 8) AS BIGINT) % 7 + 1] END AS registered FROM pick WHERE pos = place),
+trial AS (SELECT *, CASE scenario WHEN 'legitimate' THEN colour WHEN 'plate_swap' THEN list_filter({list(_COLOURS)!r}, lambda z: z <> colour)[CAST('0x' || substr(sha256(seed || ':other:' || turn), 1, 8) AS BIGINT) % 7 + 1] END AS registered FROM pick WHERE pos = place),
 v AS (SELECT *, upper(seen) = upper(registered) OR (upper(seen) IN {I.NEUTRAL} AND upper(registered) IN {I.NEUTRAL}) AS same, upper(colour) IN {I.NEUTRAL} AND upper(registered) IN {I.NEUTRAL} AS neutral, NOT coalesce(same OR conf < 0.4, false) AND registered IS NOT NULL AS warn FROM trial)"""
 
 
@@ -649,7 +648,7 @@ UNION ALL SELECT unnest(['unregistered.n', 'unregistered.correct', 'unregistered
 UNION ALL SELECT printf('gate.%.2f.false_alarm_rate', gate), f FROM g UNION ALL SELECT printf('gate.%.2f.detection_rate', gate), d FROM g""")
 def security_evaluation(spark, d):
     """Trials, registration, verification, scores and the sweep as one chain."""
-    trials = E.security_trials(table(spark, d, "embeddings").selectExpr(*[f"{v} AS {k}" for k, v in _CARS_EXPR.items()]), "colour", "vec_id", _CLASSES, 600)
+    trials = E.security_trials(table(spark, d, "embeddings").selectExpr(*[f"{v} AS {k}" for k, v in _CARS_EXPR.items()]), "colour", "vec_id", _COLOURS, 600)
     return E.security_report(trials, "seen", "conf", [0.0, 0.4, 0.6])
 
 
@@ -776,10 +775,59 @@ def ctc_decode(spark, d):
     return table(spark, d, "embeddings").withColumn("r", D.ctc_decode(rows, "ABCDEFG")).select("vec_id", "r.text", F.round("r.conf", 6).alias("conf"))
 
 
-@query("SELECT vec_id, CAST(list_position(m, list_max(m)) - 1 AS INTEGER) AS best FROM (SELECT vec_id, list_transform(range(1, 9), lambda i: (CAST(embedding[i] AS DOUBLE) + CAST(embedding[i + 8] AS DOUBLE)) / 2) AS m FROM embeddings)")
+@query("SELECT vec_id, CAST(list_position(m, list_max(m)) - 1 AS INTEGER) AS best FROM (SELECT vec_id, list_transform(range(1, 33), lambda i: (CAST(embedding[i] AS DOUBLE) + CAST(embedding[i + 32] AS DOUBLE)) / 2) AS m FROM embeddings)")
 def tta_argmax(spark, d):
-    part = lambda k: F.transform(F.slice("embedding", k, 8), lambda x: x.cast("double"))
-    return table(spark, d, "embeddings").select("vec_id", D.argmax(D.mean_of_two(part(1), part(9))).alias("best"))
+    return table(spark, d, "embeddings").select("vec_id", D.argmax(D.mean_of_two(_half(1), _half(33))).alias("best"))
+
+
+def _half(start):
+    return F.transform(F.slice("embedding", start, 32), lambda x: x.cast("double"))
+
+
+_COLOR_CLASSES = [f"class-{k}" for k in range(8)]
+
+
+@query("""
+WITH c AS (SELECT *, count(*) OVER (PARTITION BY t) AS n, row_number() OVER (PARTITION BY t ORDER BY sha256('42:' || vec_id), vec_id) AS pos FROM (SELECT vec_id, 'class-' || (label % 8) AS t, embedding FROM embeddings)),
+x AS (SELECT t, 'class-' || ((list_position(p, list_max(p)) - 1) % 8) AS p, 'class-' || ((list_position(m, list_max(m)) - 1) % 8) AS g FROM (
+  SELECT t, list_transform(range(1, 33), lambda i: CAST(embedding[i] AS DOUBLE)) AS p, list_transform(range(1, 33), lambda i: (CAST(embedding[i] AS DOUBLE) + CAST(embedding[i + 32] AS DOUBLE)) / 2) AS m
+  FROM c WHERE pos > greatest(1, floor(n * CAST(0.70 AS DOUBLE))) + greatest(1, floor(n * CAST(0.15 AS DOUBLE))))),
+k AS (SELECT 'class-' || unnest(range(8)) AS class),
+s AS (SELECT class, h, (SELECT count(*) FROM x WHERE t = class) AS s, (SELECT count(*) FROM x WHERE CASE WHEN h = 'plain' THEN p ELSE g END = class) AS q, (SELECT count(*) FROM x WHERE t = class AND CASE WHEN h = 'plain' THEN p ELSE g END = class) AS k FROM k, (SELECT unnest(['plain', 'tta']) AS h)),
+r AS (SELECT class, h, CASE WHEN q = 0 THEN 0 ELSE k / CAST(q AS DOUBLE) END AS precision, CASE WHEN s = 0 THEN 0 ELSE k / CAST(s AS DOUBLE) END AS recall, CASE WHEN q + s = 0 THEN 0 ELSE 2 * k / CAST(q + s AS DOUBLE) END AS f1 FROM s)
+SELECT 'n_total' AS metric, CAST((SELECT count(*) FROM embeddings) AS DOUBLE) AS value UNION ALL SELECT 'n_test', CAST((SELECT count(*) FROM x) AS DOUBLE)
+UNION ALL SELECT 'accuracy.plain', count(*) FILTER (t = p) / CAST(count(*) AS DOUBLE) FROM x UNION ALL SELECT 'accuracy.tta', count(*) FILTER (t = g) / CAST(count(*) AS DOUBLE) FROM x
+UNION ALL SELECT 'macro_f1.' || h, round(avg(f1), 9) FROM r GROUP BY h
+UNION ALL SELECT 'precision.' || class, precision FROM r WHERE h = 'tta' UNION ALL SELECT 'recall.' || class, recall FROM r WHERE h = 'tta'""")
+def deployed_color_report(spark, d):
+    """Split, predictions with and without averaging, and the report of the test split, as one chain."""
+    rows = table(spark, d, "embeddings").withColumn("true", F.concat(F.lit("class-"), (F.col("label") % 8).cast("string")))
+    name = lambda values: F.concat(F.lit("class-"), (D.argmax(values) % 8).cast("string"))
+    split = C.class_split(rows.select("vec_id", "true", name(_half(1)).alias("plain"), name(D.mean_of_two(_half(1), _half(33))).alias("tta")), "true", "vec_id")
+    return E.color_report(split, _COLOR_CLASSES).select("metric", F.when(F.startswith("metric", F.lit("macro")), F.round("value", 9)).otherwise(F.col("value")).alias("value"))
+
+
+_LINES = [("concat('30', substr(p_name, 1, 2), '-')", "0.5D", 2), ("CASE WHEN p_partkey % 3 = 0 THEN '--' WHEN p_partkey % 3 = 1 THEN '  ' ELSE 'A1' END", "0.7D", 1), ("cast(p_partkey as string)", "(p_partkey % 10) / 10D", 3)]
+
+
+@query(r"""
+WITH l AS (SELECT p_partkey, unnest([1, 2, 3]) AS y, unnest([CASE p_partkey % 3 WHEN 0 THEN '--' WHEN 1 THEN '  ' ELSE 'A1' END, '30' || substr(p_name, 1, 2) || '-', CAST(p_partkey AS VARCHAR)]) AS text, unnest([CAST(0.7 AS DOUBLE), CAST(0.5 AS DOUBLE), (p_partkey % 10) / CAST(10 AS DOUBLE)]) AS conf FROM part),
+c AS (SELECT *, upper(regexp_replace(text, '[^A-Za-z0-9]', '', 'g')) AS clean FROM l)
+SELECT p_partkey, string_agg(clean, '' ORDER BY y) AS text, round(avg(conf) FILTER (trim(text) <> ''), 6) AS conf_raw, round(avg(conf) FILTER (clean <> ''), 6) AS conf_clean FROM c GROUP BY 1""")
+def reader_lines(spark, d):
+    """Lines of both readers: one counts those with any character, the other those with a letter or digit."""
+    lines = F.expr("array(" + ", ".join(f"named_struct('text', {t}, 'conf', {c}, 'y_min', {y})" for t, c, y in _LINES) + ")")
+    rows = table(spark, d, "part").select("p_partkey", D.lines_by_height(lines, raw=True).alias("r"), D.lines_by_height(lines).alias("c"))
+    return rows.select("p_partkey", "r.text", F.round("r.conf", 6).alias("conf_raw"), F.round("c.conf", 6).alias("conf_clean"))
+
+
+@query("SELECT l_orderkey, count(*) AS n FROM lineitem WHERE (l_partkey % 100) / CAST(100 AS DOUBLE) >= CASE WHEN l_orderkey % 3 = 0 THEN 0.6 ELSE 0.25 END GROUP BY 1")
+def detector_threshold(spark, d):
+    """Some calls bring a threshold of their own, which replaces the detector's."""
+    from tallyline.operators import frames
+
+    boxes = table(spark, d, "lineitem").selectExpr("l_orderkey", "(l_partkey % 100) / 100D AS conf", "CASE WHEN l_orderkey % 3 = 0 THEN 0.6D END AS override")
+    return frames.detected(boxes, 0.25).groupBy("l_orderkey").agg(F.count("*").alias("n"))
 
 
 @query("""
@@ -869,12 +917,12 @@ def class_histogram(spark, d):
     return frames.class_histogram(table(spark, d, "lineitem").select((F.col("l_partkey") % 9).cast("int").alias("cls")))
 
 
-@query("SELECT o_orderstatus AS split, count(DISTINCT o_orderkey) AS images, (SELECT count(*) FROM lineitem JOIN orders p ON l_orderkey = p.o_orderkey WHERE p.o_orderstatus = o.o_orderstatus AND l_linenumber = 2) AS labels, (SELECT count(DISTINCT l_orderkey) FROM lineitem JOIN orders p ON l_orderkey = p.o_orderkey WHERE p.o_orderstatus = o.o_orderstatus AND l_linenumber = 2) AS paired FROM orders o GROUP BY 1")
+@query("SELECT split, count(DISTINCT o_orderkey) AS images, count(l_orderkey) AS labels, count(DISTINCT l_orderkey) AS paired FROM (SELECT o_orderkey, o_orderstatus AS split FROM orders) LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")
 def pair_inventory(spark, d):
     from tallyline.operators import frames
 
     orders = table(spark, d, "orders").select(F.col("o_orderstatus").alias("split"), F.col("o_orderkey").alias("stem"))
-    labels = table(spark, d, "lineitem").filter("l_linenumber = 2").select(F.col("l_orderkey").alias("stem")).join(orders, "stem").select("split", "stem")
+    labels = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("stem")).join(orders, "stem").select("split", "stem")
     return frames.inventory(orders, labels)
 
 

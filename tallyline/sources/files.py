@@ -5,6 +5,12 @@ Paths may be of any store that Spark reads; whether one is there is asked of Spa
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +23,8 @@ from tallyline.sources import snapshots
 
 REGISTRY = T.StructType([T.StructField(c, T.StringType()) for c in ("license_plate", "car_brand", "car_color")])
 IMAGE_EXTENSIONS = ("jpg", "jpeg", "png")
+#: files up to this size are read as one value, larger ones in pieces
+WHOLE_BYTES, PIECE_BYTES = 64_000_000, 8_000_000
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -88,7 +96,27 @@ def files_of(spark: SparkSession, path: str, extensions: tuple[str, ...] = IMAGE
 
 
 def checksums(spark: SparkSession, path: str, extensions: tuple[str, ...] = IMAGE_EXTENSIONS) -> DataFrame:
-    return files_of(spark, path, extensions, True).select("path", F.sha2("content", 256).alias("sha256"))
+    """(path, sha256) of files of any size but empty ones, which Spark doesn't list.
+
+    Files of up to WHOLE_BYTES are values of the file scan; what is larger, up to beyond the 2 GB that a value can hold, is listed without its content,
+    dealt one by one, and read in pieces by the tasks through Arrow's file systems.
+    """
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    kept = found.filter(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(*extensions))
+    whole = kept.filter(F.col("length") <= WHOLE_BYTES).select("path", F.sha2("content", 256).alias("sha256"))
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for p in b.column(0).to_pylist():
+                fs, at = pa.fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", p))
+                digest = hashlib.sha256()
+                with fs.open_input_stream(at) as f:
+                    while piece := f.read(PIECE_BYTES):
+                        digest.update(piece)
+                yield pa.RecordBatch.from_arrays([pa.array([p]), pa.array([digest.hexdigest()])], names=["path", "sha256"])
+
+    large = kept.filter(F.col("length") > WHOLE_BYTES).select("path").repartition(F.col("path"))
+    return whole.unionByName(large.mapInArrow(stream, "path string, sha256 string"))
 
 
 def class_tree(spark: SparkSession, path: str, names: dict[str, str] | None = None, most: int | None = None) -> DataFrame:
@@ -117,6 +145,12 @@ def yolo_pairs(images: DataFrame, labels: DataFrame) -> DataFrame:
     return side(labels, "labels").select("root", "stem", F.col("path").alias("label")).join(best, ["root", "stem"]).select("label", "image")
 
 
+def sibling_pairs(files: DataFrame, prefix: str = "", image: str = "jpg", label: str = "txt") -> DataFrame:
+    """(image, label): images whose name begins so, with the label file of their stem in the same folder; those without one are left out. For an order, sort by image."""
+    own = lambda e: files.filter((F.col("extension") == e) & F.col("stem").startswith(prefix)).select("parent", "stem", F.col("path"))
+    return own(image).withColumnRenamed("path", "image").join(own(label).withColumnRenamed("path", "label"), ["parent", "stem"]).select("image", "label")
+
+
 def coco_labels(spark: SparkSession, path: str) -> DataFrame:
     """(image_id, file_name, width, height, boxes array<struct(x, y, w, h)>): all images, those without a box with none; boxes of unknown images are dropped."""
     schema = "images array<struct<id:long,file_name:string,width:int,height:int>>, annotations array<struct<image_id:long,bbox:array<double>>>"
@@ -138,9 +172,21 @@ def layout(spark: SparkSession, path: str) -> str:
     return "split" if files_of(spark, path).filter(F.lower(top).isin("train", "val", "valid", "test")).take(1) else "flat"
 
 
-def class_samples(spark: SparkSession, path: str, names: dict[str, str] | None = None) -> DataFrame:
-    """(path, label, split) of an image tree in either layout; split is null in a flat one."""
+def class_samples(spark: SparkSession, path: str, names: dict[str, str] | None = None, most: int | None = None, seed: int = 42) -> DataFrame:
+    """(path, label, split) of an image tree in either layout; split is null in a flat one.
+
+    With `most`, the splits of a class are pooled first, and so many of it are taken in an order by a hash of seed and path. ValueError if a class of `names`
+    has no image.
+    """
+    from tallyline.operators.curate import hash_order, top_per_group
+
     rows = class_tree(spark, path, names)
+    if names:
+        lacking = set(names.values()) - {r[0] for r in rows.select("label").distinct().collect()}  # of the few classes that names has
+        if lacking:
+            raise ValueError(f"no image of {sorted(lacking)}")
+    if most is not None:
+        rows = top_per_group(rows, ["label"], [hash_order(F.col("path"), seed), F.col("path")], most)
     top = F.lower(F.regexp_extract("path", r"([^/]+)/[^/]+/[^/]+$", 1))
     split = F.when(top.isin("train", "val", "test"), top).when(top == "valid", "val") if layout(spark, path) == "split" else F.lit(None).cast("string")
     return rows.withColumn("split", split)

@@ -154,3 +154,37 @@ def test_a_lost_race_raises_and_a_change_is_made_anew(spark, tmp_path, monkeypat
     assert sinks.change_registry(spark, path, lambda r: r.drop("row_ord").unionByName(row("30F-5"))) == 4
     assert sorted(r.license_plate for r in S.read_registry(spark, path).collect()) == ["30F-2", "30F-4", "30F-5"]
     assert snapshots.current(spark, str(tmp_path / "none")) == (0, None)
+
+
+def test_pairs_and_samples(spark, tmp_path):
+    for name in ("clip3_new_1.jpg", "clip3_new_1.txt", "clip3_new_2.jpg", "other.jpg", "other.txt", "sub/clip3_new_3.jpg", "sub/clip3_new_3.TXT"):
+        p = tmp_path / "clips" / name
+        p.parent.mkdir(parents=True, exist_ok=True)
+        p.write_text("x")
+    files = S.files_of(spark, str(tmp_path / "clips"), ("jpg", "txt"))
+    assert sorted(r.image.rsplit("/", 1)[1] for r in S.sibling_pairs(files, "clip3_new_").collect()) == ["clip3_new_1.jpg", "clip3_new_3.jpg"]
+    for k in range(8):
+        for split in ("train", "val"):
+            p = tmp_path / "cars" / split / ("WHITE" if k % 2 else "red") / f"{k}.jpg"
+            p.parent.mkdir(parents=True, exist_ok=True)
+            p.write_text("x")
+    names = {"white": "White", "red": "Red"}
+    got = S.class_samples(spark, str(tmp_path / "cars"), names, 5).collect()
+    assert sorted(r.label for r in got) == ["Red"] * 5 + ["White"] * 5 and {r.split for r in got} == {"train", "val"}
+    assert S.class_samples(spark, str(tmp_path / "cars"), names).count() == 16
+    with pytest.raises(ValueError, match="Blue"):
+        S.class_samples(spark, str(tmp_path / "cars"), {**names, "blue": "Blue"})
+
+
+def test_checksums_of_files_of_any_size(spark, tmp_path, monkeypatch):
+    """Files over the bound are read in pieces, with the same result."""
+    import hashlib
+
+    want = {}
+    for k, size in enumerate((1, 10, 5000, 3_000_000)):
+        raw = bytes((i * 31 + k) % 251 for i in range(size))
+        (tmp_path / f"{k}.jpg").write_bytes(raw)
+        want[f"{k}.jpg"] = hashlib.sha256(raw).hexdigest()
+    for bound in (S.WHOLE_BYTES, 4000):
+        monkeypatch.setattr(S, "WHOLE_BYTES", bound)
+        assert {r.path.rsplit("/", 1)[1]: r.sha256 for r in S.checksums(spark, str(tmp_path)).collect()} == want
