@@ -31,7 +31,7 @@ from tallyline.llm import kernel
 from tallyline.llm.common import batches_of, table, text_of, written
 
 WINDOW = 13
-#: bytes of item texts that are sent to the executors at once; a larger benchmark is asked in several rounds
+#: bytes of items' terms (8 a word) up to which they are sent to all executors; a larger benchmark is dealt to the segments that can hold it
 QUERY_BYTES = 16_000_000
 SEGMENT_MB = 5.0
 
@@ -110,12 +110,11 @@ class Phrases:
     length: int
 
 
-def phrases(texts: list[str], window: int | None = WINDOW) -> list[Phrases]:
-    """All windows of the texts, by length; without a window length, each text is one phrase. Items are numbered as given."""
-    data, offsets = kernel.text_bytes(pa.array(texts, pa.string()))
-    s, e, first = kernel.words(data, offsets, kernel.ALNUM)
-    h = kernel.hashes(data, s, e, kernel.ALNUM)
-    size = np.diff(first)
+def phrases(terms: list[np.ndarray], window: int | None = WINDOW) -> list[Phrases]:
+    """All windows of the items' terms, by length; without a window length, each item is one phrase. Items are numbered as given."""
+    h = np.concatenate([np.zeros(0, np.uint64), *terms])
+    size = np.array([len(t) for t in terms], np.int64)
+    first = np.concatenate([[0], np.cumsum(size)])
     length = np.minimum(size, window) if window else size
     out = []
     for k in np.unique(length[length > 0]).tolist():
@@ -196,87 +195,156 @@ class Segment:
         return anchor
 
 
-def _rounds(items: DataFrame, item_id: str, text: str, limit: int) -> Iterator[tuple[list, list[str]]]:
-    """(ids, texts) of all items in rounds of about `limit` bytes, by a hash of their rows; an item over the limit is a round's main part."""
-    rows = items.select(F.col(item_id).alias("id"), text_of(text).alias("text"))
-    total = rows.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
-    n = -(-total // limit)
-    for r in range(n):
-        part = rows if n == 1 else rows.filter(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == r)
-        got = part.collect()
-        yield [x["id"] for x in got], [x["text"] for x in got]
-
-
-def _matches(index: DataFrame, items: DataFrame, item_id: str, text: str, limit: int, find) -> DataFrame:
-    """Rows (segment, doc_no, item, start, end) that find(segment, texts) gives for each round of items; spans of an item that meet are one."""
-    item_type = items.schema[item_id].dataType
-    schema = T.StructType([T.StructField("segment", T.StringType()), T.StructField("doc_no", T.IntegerType()), T.StructField("item", item_type), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
-    parts = index.select("segment", "firsts", "terms", "lengths", "positions")
-    out = None
-    for ids, texts in _rounds(items, item_id, text, limit):
-        sent = index.sparkSession.sparkContext.broadcast((ids, texts))
-
-        def ask(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            ids, texts = sent.value
-            query = None
+def _joined(seg: Segment, name: str, item: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[list, ...]:
+    """Columns (segment, doc_no, item, start, end) of occurrences in a segment; spans of an item that meet in a text are one."""
+    order = np.lexsort((start, item))
+    item, start, end = item[order], start[order], end[order]
+    doc = np.searchsorted(seg.firsts, start, "right") - 1
+    # ends only grow within (item, text) as windows of an item have one length each, short phrases one
+    top = end.copy()
+    new = np.concatenate([[True], (item[1:] != item[:-1]) | (doc[1:] != doc[:-1]) | (start[1:] > top[:-1])])[: len(item)]
+    head = np.flatnonzero(new)
+    tail = np.append(head[1:], len(item))[: len(head)] - 1
+    base = seg.firsts[doc[head]]
+    return [name] * len(head), doc[head].astype(np.int32), item[head], start[head] - base, end[tail] - base
+
+
+def _sent(index: DataFrame, items: DataFrame, find) -> DataFrame:
+    """(segment, doc_no, item_no, start, end): all items, which are few, are sent to each task."""
+    got = items.select("item_no", "terms").collect()
+    sent = index.sparkSession.sparkContext.broadcast(([r["item_no"] for r in got], [np.frombuffer(r["terms"], np.uint64) for r in got]))
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers, terms = sent.value
+        query = None
+        for b in batches:
+            for name, *raw in zip(*[c.to_pylist() for c in b.columns]):
+                seg = Segment(*raw)
+                query = query or find(np.array(numbers, np.int64), terms)
+                found = query(seg)
+                if len(found[0]):
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in _joined(seg, name, *found)], names=_FOUND_NAMES)
+
+    return index.select("segment", "firsts", "terms", "lengths", "positions").mapInArrow(ask, _FOUND)
+
+
+def _anchors(terms: np.ndarray, n: np.ndarray, window: int | None) -> list[tuple[int, np.ndarray]]:
+    """(rarest term, terms) of each stretch of windows with one rarest term, by the numbers n of segments that have each; no window with a term that none has."""
+    k = min(window or len(terms), len(terms))
+    if not k:
+        return []
+    view = np.lib.stride_tricks.sliding_window_view(n, k)
+    at = np.arange(len(view)) + view.argmin(axis=1)
+    live = np.flatnonzero(view.min(axis=1) > 0)
+    cut = np.flatnonzero((np.diff(live) > 1) | (np.diff(at[live]) != 0)) + 1
+    return [(int(terms[at[r[0]]]), terms[r[0] : r[-1] + k]) for r in np.split(live, cut) if len(r)]
+
+
+def _dealt(index: DataFrame, items: DataFrame, find, window: int | None) -> DataFrame:
+    """The same for items of any number, in one pass over the index and without bringing one to the driver.
+
+    The index's terms are listed by segment, as far as items have them. Each stretch of an item's windows goes to the segments that have its
+    rarest term, where it is looked up as before. A window with a term that no segment has goes nowhere.
+    """
+
+    def spread(name: str, kind: str):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                for name, *raw in zip(*[c.to_pylist() for c in b.columns]):
-                    seg = Segment(*raw)
-                    query = query or find(texts)
-                    item, start, end = query(seg)
-                    order = np.lexsort((start, item))
-                    item, start, end = item[order], start[order], end[order]
-                    if not len(item):
-                        continue
-                    doc = np.searchsorted(seg.firsts, start, "right") - 1
-                    # ends only grow within (item, text) as windows of an item have one length each, short phrases one
-                    new = np.concatenate([[True], (item[1:] != item[:-1]) | (doc[1:] != doc[:-1]) | (start[1:] > end[:-1])])
-                    head = np.flatnonzero(new)
-                    tail = np.append(head[1:], len(item)) - 1
-                    base = seg.firsts[doc[head]]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([name] * len(head)), pa.array(doc[head].astype(np.int32)), pa.array([ids[i] for i in item[head]], b_type), pa.array(start[head] - base), pa.array(end[tail] - base)],
-                        names=schema.names,
-                    )
-
-        from pyspark.sql.pandas.types import to_arrow_type
-
-        b_type = to_arrow_type(item_type)
-        found = parts.mapInArrow(ask, schema)
-        out = found if out is None else out.unionByName(found)
-    return out if out is not None else index.sparkSession.createDataFrame([], schema)
+                for key, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                    terms = np.frombuffer(raw, np.int64)
+                    for at in range(0, len(terms), 1 << 16):
+                        part = terms[at : at + (1 << 16)]
+                        yield pa.RecordBatch.from_arrays([pa.array([key] * len(part)), pa.array(np.arange(at, at + len(part))), pa.array(part)], names=[name, "at", "term"])
+
+        return run, f"{name} {kind}, at long, term long"
+
+    words = items.select("item_no", "terms").mapInArrow(*spread("item_no", "long"))
+    listed = index.select("segment", "terms").mapInArrow(*spread("segment", "string")).select("term", "segment")
+    listed = written(listed.join(words.select("term").distinct(), "term", "left_semi"), "listed")
+    counts = listed.groupBy("term").agg(F.count("*").alias("n"))
+    known = words.join(counts, "term").groupBy("item_no").agg(F.collect_list(F.struct("at", "n")).alias("known"))
+
+    def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for item, raw, known in zip(*[c.to_pylist() for c in b.columns]):
+                terms = np.frombuffer(raw, np.uint64)
+                n = np.zeros(len(terms), np.int64)
+                n[[x["at"] for x in known]] = [x["n"] for x in known]
+                got = _anchors(terms, n, window)
+                if got:
+                    rarest = np.array([t for t, _ in got], np.uint64).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(rarest), pa.array([item] * len(got), pa.int64()), pa.array([t.tobytes() for _, t in got], pa.binary())], names=["term", "item_no", "asked"])
+
+    asked = items.join(known, "item_no").select("item_no", "terms", "known").mapInArrow(stretches, "term long, item_no long, asked binary")
+    routed = asked.join(listed, "term").select(F.col("segment").alias("to"), "item_no", "asked")
+
+    def answer(asked: pa.Table, index: pa.Table) -> pa.Table:
+        columns: tuple = ([], [], [], [], [])
+        if asked.num_rows and index.num_rows:
+            seg = Segment(*[index.column(c)[0].as_py() for c in ("firsts", "terms", "lengths", "positions")])
+            found = find(asked.column("item_no").to_numpy(), [np.frombuffer(x, np.uint64) for x in asked.column("asked").to_pylist()])(seg)
+            if len(found[0]):
+                columns = _joined(seg, index.column("segment")[0].as_py(), *found)
+        return pa.table([pa.array(c, f.type) for c, f in zip(columns, _FOUND_ARROW)], schema=_FOUND_ARROW)
+
+    return routed.groupBy("to").cogroup(index.select("segment", "firsts", "terms", "lengths", "positions").groupBy("segment")).applyInArrow(answer, _FOUND)
+
+
+_FOUND_NAMES = ["segment", "doc_no", "item_no", "start", "end"]
+_FOUND = "segment string, doc_no int, item_no long, start long, end long"
+_FOUND_ARROW = pa.schema([("segment", pa.string()), ("doc_no", pa.int32()), ("item_no", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
+
+
+def _matches(index: DataFrame, items: DataFrame, item_id: str, text: str, limit: int, find, window: int | None) -> DataFrame:
+    """Rows (segment, doc_no, item, start, end) that find(item numbers, terms of each)(segment) gives; spans of an item that meet are one.
+
+    Items of up to `limit` bytes are broadcast, behind a sum of their sizes; more are dealt to the segments that can hold them.
+    """
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches_of(batches, 1.0, "__text"):
+            data, offsets = kernel.text_bytes(b.column(1))
+            s, e, first = kernel.words(data, offsets, kernel.ALNUM)
+            h = kernel.hashes(data, s, e, kernel.ALNUM)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([h[lo:hi].tobytes() for lo, hi in zip(first, first[1:])], pa.binary())], names=["item", "terms"])
+
+    rows = items.select(F.col(item_id).alias("item"), text_of(text).alias("__text"))
+    schema = T.StructType([T.StructField("item", items.schema[item_id].dataType), T.StructField("terms", T.BinaryType())])
+    held = written(rows.mapInArrow(split, schema).filter(F.octet_length("terms") > 0).withColumn("item_no", F.monotonically_increasing_id()), "items")
+    total = held.agg(F.sum(F.octet_length("terms") + 16)).first()[0] or 0
+    found = _sent(index, held, find) if total <= limit else _dealt(index, held, find, window)
+    # items with one id are one item in what is told of a text
+    return found.join(held.select("item_no", "item"), "item_no").select("segment", "doc_no", "item", "start", "end")
 
 
 def phrase_matches(index: DataFrame, items: DataFrame, item_id: str = "item_id", text: str = "text", window: int | None = WINDOW, limit: int = QUERY_BYTES) -> DataFrame:
     """Word spans [start, end) of texts that are covered by exact occurrences of windows of an item."""
 
-    def find(texts: list[str]):
-        asked = phrases(texts, window)
+    def find(numbers: np.ndarray, terms: list[np.ndarray]):
+        asked = phrases(terms, window)
 
         def query(seg: Segment):
-            got = [(p.items[w], s, s + p.length) for p in asked for w, s in [seg.find(p)]]
+            got = [(numbers[p.items[w]], s, s + p.length) for p in asked for w, s in [seg.find(p)]]
             return tuple(np.concatenate([g[k] for g in got]) if got else np.zeros(0, np.int64) for k in range(3))
 
         return query
 
-    return _matches(index, items, item_id, text, limit, find)
+    return _matches(index, items, item_id, text, limit, find, window)
 
 
 def proximity_matches(index: DataFrame, items: DataFrame, within: int, item_id: str = "item_id", text: str = "text", limit: int = QUERY_BYTES) -> DataFrame:
     """Where the rarest term of an item has all its other terms less than `within` words away: the span of that one word."""
 
-    def find(texts: list[str]):
-        asked = [(i, p.words) for i, t in enumerate(texts) for p in phrases([t], None)]
-
+    def find(numbers: np.ndarray, terms: list[np.ndarray]):
         def query(seg: Segment):
-            got = [(np.full(len(a), i), a) for i, terms in asked for a in [seg.near(terms, within)]]
+            got = [(np.full(len(a), i), a) for i, t in zip(numbers, terms) if len(t) for a in [seg.near(t, within)]]
             item = np.concatenate([g[0] for g in got]) if got else np.zeros(0, np.int64)
             at = np.concatenate([g[1] for g in got]) if got else np.zeros(0, np.int64)
             return item, at, at + 1
 
         return query
 
-    return _matches(index, items, item_id, text, limit, find)
+    return _matches(index, items, item_id, text, limit, find, None)
 
 
 def contamination(index: DataFrame, matches: DataFrame) -> DataFrame:
