@@ -8,9 +8,9 @@
    other words are only lower-cased and freed of marks around them. What a task decoded last it keeps at hand, RECENT words or
    twice so many.
 3. The restored text is scored by logistic regression on the presence of words and of word beginnings (so that other endings
-   of a word are found, and other words that begin like it too). The features are the MAX_FEATURES that are most bound to the label of
-   those that MIN_DOCS toxic rows have, and that are twice as frequent in toxic rows as in all; they are the size of the model,
-   and bound what comes to the driver. They are chosen, and weights fitted, on about MAX_TRAIN labelled rows, chosen by a hash of their ids.
+   of a word are found, and other words that begin like it too). The features are all that MIN_DOCS toxic rows or
+   more have, the evidence that a weight needs, and that are twice as frequent in toxic rows as in all. They are chosen, and weights
+   fitted, on about MAX_TRAIN labelled rows, chosen by a hash of their ids, which bounds what comes to the driver.
 
 Whole texts are read. Defined cases: a null or empty text has no features and gets the base score; without labels of both kinds
 every score is 0; repeated rows are scored each; labels that repeat for an id count once, as toxic if any is, and of rows with that id
@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from tallyline.llm import kernel, language
 from tallyline.llm.common import Recent, batches_of, hash_share, table, text_of, written
 
-MAX_TRAIN, MAX_FEATURES, MIN_DOCS, BEGINNINGS, BAR = 12_000, 1000, 4, (3, 4, 5, 6), 0.3
+MAX_TRAIN, MIN_DOCS, BEGINNINGS, BAR = 12_000, 4, (3, 4, 5, 6), 0.3
 CLASSES = 64
 #: decoded words that a task keeps at hand
 RECENT = 100_000
@@ -260,7 +260,7 @@ def fit(docs: DataFrame, labels: DataFrame, channel: Channel, most: int = MAX_TR
     rate = bad / (bad + good)
     counted = sample.mapInArrow(present, "f string, n long, bad long").groupBy("f").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).filter(F.col("bad") >= MIN_DOCS)
     gain = F.col("bad") * F.ln((F.col("bad") + 0.5) / (F.col("n") * rate + 0.5))
-    top = [r["f"] for r in counted.filter(F.col("bad") > 2 * rate * F.col("n")).orderBy(gain.desc(), "f").limit(MAX_FEATURES).select("f").collect()]
+    top = [r["f"] for r in counted.filter(F.col("bad") > 2 * rate * F.col("n")).orderBy(gain.desc(), "f").select("f").collect()]
     if not top:
         return {}, float(np.log(rate / (1 - rate)))
     place = spark.sparkContext.broadcast({f: i for i, f in enumerate(top)})
@@ -271,25 +271,30 @@ def fit(docs: DataFrame, labels: DataFrame, channel: Channel, most: int = MAX_TR
             yield pa.RecordBatch.from_arrays([b.column(2), pa.array(got, pa.list_(pa.int32()))], names=["toxic", "at"])
 
     known = sample.mapInArrow(rows, "toxic int, at array<int>").toPandas()
-    x = np.zeros((len(known), len(top)), np.float32)
-    for i, at in enumerate(known["at"]):
-        x[i, np.asarray(at, np.int64)] = 1
-    w, b = _logistic(x, known["toxic"].to_numpy(np.float32))
+    w, b = _logistic([np.asarray(at, np.int64) for at in known["at"]], len(top), known["toxic"].to_numpy(np.float64))
     return {f: float(v) for f, v in zip(top, w)}, float(b)
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.03, steps: int = 400) -> tuple[np.ndarray, float]:
-    """Weights of 0 or more (a feature is a sign of toxicity or nothing) and intercept, by accelerated projected gradient."""
-    n = len(y)
-    rate = 1.0 / (0.25 * float(np.linalg.norm(x.T @ x, 2)) / n + ridge / n + 0.25)
-    w, b = np.zeros(x.shape[1], np.float32), 0.0
+def _logistic(at: list[np.ndarray], n_features: int, y: np.ndarray, ridge: float = 0.03, steps: int = 400) -> tuple[np.ndarray, float]:
+    """Weights of 0 or more (a feature is a sign of toxicity or nothing) and intercept, by accelerated projected gradient; `at`: the features of each row."""
+    n, column = len(y), np.concatenate([np.zeros(0, np.int64), *at])
+    row = np.repeat(np.arange(n), [len(a) for a in at])
+    times = lambda v: np.bincount(row, v[column], n)
+    back = lambda g: np.bincount(column, g[row], n_features)
+    v = np.ones(n_features)
+    for _ in range(30):  # the largest eigenvalue of x'x, a little over
+        u = back(times(v))
+        top = float(np.linalg.norm(u))
+        v = u / max(top, 1e-300)
+    rate = 1.0 / (0.25 * 1.05 * top / n + ridge / n + 0.25)
+    w, b = np.zeros(n_features), 0.0
     vw, vb, t = w.copy(), b, 1.0
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ vw + np.float32(vb), -30, 30)))
-        g = ((p - y) / n).astype(np.float32)
-        new_w, new_b = np.maximum(vw - np.float32(rate) * (x.T @ g + np.float32(ridge / n) * vw), 0), vb - rate * float(g.sum())
+        p = 1 / (1 + np.exp(-np.clip(times(vw) + vb, -30, 30)))
+        g = (p - y) / n
+        new_w, new_b = np.maximum(vw - rate * (back(g) + ridge / n * vw), 0), vb - rate * float(g.sum())
         t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        vw, vb = new_w + np.float32((t - 1) / t2) * (new_w - w), new_b + (t - 1) / t2 * (new_b - b)
+        vw, vb = new_w + (t - 1) / t2 * (new_w - w), new_b + (t - 1) / t2 * (new_b - b)
         w, b, t = new_w, new_b, t2
     return w, b
 
