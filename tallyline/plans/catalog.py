@@ -181,6 +181,67 @@ def json_props(spark, d):
     return table(spark, d, "events").filter(ok).select("event_id", k.alias("k"), F.to_json(F.struct(k.alias("k"))).alias("back"))
 
 
+_BODY = """concat('{{"event_id":"', CASE WHEN event_id % 11 = 3 THEN ' ' ELSE concat('e', cast(event_id as {s})) END, '","source_time_s":', CASE event_id % 7 WHEN 0 THEN '-1' WHEN 1 THEN '"1"' WHEN 2 THEN 'true' ELSE cast(event_id as {s}) END,
+  ',"playback_time_s":2.5,"is_playing":', CASE event_id % 3 WHEN 0 THEN 'true' WHEN 1 THEN 'false' ELSE '1' END, CASE WHEN event_id % 13 = 0 THEN '' ELSE ',"decision":{{"status":"AUTHORIZED"}}' END, ',"latency_ms":', CASE WHEN event_id % 2 = 0 THEN '"x"' ELSE '12.5' END, CASE WHEN event_id % 17 = 0 THEN '' ELSE '}}' END)"""
+
+
+@query(f"""
+WITH b AS (SELECT event_id AS id, {_BODY.format(s="VARCHAR")} AS b FROM events), j AS (SELECT id, CAST(b AS JSON) AS j FROM b WHERE json_valid(b))
+SELECT id, json_extract_string(j, '$.event_id') AS event_id, CAST(j->'$.source_time_s' AS DOUBLE) AS source_time_s, CAST(j->'$.playback_time_s' AS DOUBLE) AS playback_time_s, CAST(j->'$.is_playing' AS BOOLEAN) AS is_playing, json_extract_string(j, '$.decision.status') AS status,
+  CASE WHEN json_type(j, '$.latency_ms') IN ('DOUBLE', 'UBIGINT', 'BIGINT') THEN CAST(j->'$.latency_ms' AS DOUBLE) END AS latency_ms
+FROM j WHERE trim(json_extract_string(j, '$.event_id')) <> '' AND json_type(j, '$.source_time_s') IN ('DOUBLE', 'UBIGINT', 'BIGINT') AND json_type(j, '$.is_playing') = 'BOOLEAN' AND json_extract_string(j, '$.decision.status') <> ''
+  AND CASE WHEN json_type(j, '$.source_time_s') IN ('DOUBLE', 'UBIGINT', 'BIGINT') THEN CAST(j->'$.source_time_s' AS DOUBLE) >= 0 ELSE false END""")
+def event_rows(spark, d):
+    """Posted events that are rows, of those with faults of each kind."""
+    from tallyline.streaming import gate
+
+    bodies = table(spark, d, "events").selectExpr("event_id AS id", f"{_BODY.format(s='string')} AS b")
+    return bodies.select("id", gate.event_row(F.col("b")).alias("r")).filter("r is not null").select("id", "r.*")
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'unavailable' WHEN doc_id % 7 = 1 THEN 'mismatch' ELSE 'verified' END AS provenance FROM documents WHERE text IS NOT NULL")
+def provenance_check(spark, d):
+    docs = table(spark, d, "documents").filter("text is not null").select("doc_id", F.col("doc_id").cast("string").alias("image_path"), F.col("text").cast("binary").alias("content"))
+    sha = F.sha2("content", 256)
+    rows = docs.select("doc_id", "image_path", F.when(F.col("doc_id") % 7 == 1, F.reverse(sha)).otherwise(F.upper(sha)).alias("source_sha256"))
+    return M.provenance(rows, docs.filter("doc_id % 5 <> 0").select("image_path", "content")).select("doc_id", "provenance")
+
+
+@query(f"SELECT event_id, CASE WHEN event_id % 4 = 0 THEN '—' WHEN event_id % 4 = 1 THEN plate_text ELSE registered_plate END AS plate_shown, round(color_conf * 100, 2) AS color_percent, status = 'UNREGISTERED' OR action = 'ALLOW_WARN' AS alert FROM (SELECT *, replace(plate_text, '-', '') AS registered_plate FROM ({I.VERIFIED}))")
+def display_cards(spark, d):
+    from tallyline.operators import frames
+
+    rows = R.verify(I.readings(spark, d), I.registry(spark, d))
+    named = rows.withColumn("plate", F.when(F.col("event_id") % 4 > 1, F.replace("plate_text", F.lit("-"), F.lit(""))).when(F.col("event_id") % 2 == 0, "")).withColumn("plate_text", F.when(F.col("event_id") % 4 == 0, "").otherwise(F.col("plate_text")))
+    return frames.card(named).select("event_id", "plate_shown", "color_percent", "alert")
+
+
+@query("""
+SELECT l_orderkey, l_linenumber, CASE WHEN b - a >= 2 THEN a ELSE 0 END AS top, CASE WHEN b - a >= 2 THEN b ELSE h END AS bottom, w >= 2 AND h >= 2 AS usable, printf('0 %.6f %.6f %.6f %.6f', (x + w / 2) / 64, (y + h / 2) / 32, w / CAST(64 AS DOUBLE), h / CAST(32 AS DOUBLE)) AS line, CASE WHEN x2 > x1 THEN x2 - x1 END AS pixels
+FROM (SELECT *, CAST(trunc(h * CAST(0.2 AS DOUBLE)) AS INTEGER) AS a, CAST(trunc(h * CAST(0.85 AS DOUBLE)) AS INTEGER) AS b, CAST(least(640, greatest(0, round_even(x / 4, 0))) AS INTEGER) AS x1, CAST(least(640, greatest(0, round_even((x + w) / 4, 0))) AS INTEGER) AS x2 FROM (
+  SELECT l_orderkey, l_linenumber, CAST(l_partkey % 512 AS DOUBLE) AS x, CAST(l_suppkey % 256 AS DOUBLE) AS y, 2 * (CAST(l_quantity AS INTEGER) % 3) AS w, CAST(2 * (l_partkey % 45) AS INTEGER) AS h FROM lineitem))""")
+def crop_forms(spark, d):
+    """Body bands, usable crops, label lines and pixels of boxes."""
+    from tallyline.operators import frames
+
+    r = table(spark, d, "lineitem").selectExpr("l_orderkey", "l_linenumber", "l_partkey % 512D AS x", "l_suppkey % 256D AS y", "2 * (cast(l_quantity as int) % 3) AS w", "cast(2 * (l_partkey % 45) as int) AS h")
+    x, y, w, h = (F.col(c) for c in "xywh")
+    p = G.pixel_box(x / 4, F.lit(0.0), (x + w) / 4, F.lit(9.0), F.lit(640), F.lit(480))
+    band = G.body_band(h)
+    return r.select("l_orderkey", "l_linenumber", band["top"].alias("top"), band["bottom"].alias("bottom"), frames.usable(w, h).alias("usable"), G.coco_to_yolo(x, y, w, h, F.lit(64), F.lit(32)).alias("line"), (p["x2"] - p["x1"]).alias("pixels"))
+
+
+@query("SELECT frame_idx, bbox FROM (SELECT l_orderkey AS frame_idx, l_partkey AS bbox, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC, l_partkey) AS n FROM lineitem WHERE l_orderkey % 3 = 0) WHERE n = 1 UNION ALL SELECT l_orderkey, l_suppkey FROM lineitem WHERE l_orderkey % 5 = 0")
+def frame_candidates(spark, d):
+    """The surest box of every third frame, and the annotated boxes of every fifth."""
+    from tallyline.operators import frames
+
+    f = table(spark, d, "orders").select(F.col("o_orderkey").alias("frame_idx"))
+    lines = table(spark, d, "lineitem")
+    boxes = lines.select(F.col("l_orderkey").alias("frame_idx"), F.col("l_quantity").alias("conf"), F.col("l_partkey").alias("bbox"))
+    return frames.candidates(f, boxes, 3).union(frames.candidates(f, boxes, 5, lines.select(F.col("l_orderkey").alias("frame_idx"), F.col("l_suppkey").alias("bbox"))))
+
+
 @query(r"SELECT session_id, seq FROM (SELECT session_id, seq, (event_id % 7) - 1.0 AS t FROM (" + I.READINGS + r")) WHERE regexp_full_match(session_id, '[A-Za-z0-9_-]{8,64}') AND t >= 0")
 def valid_frames(spark, d):
     from tallyline.streaming.gate import valid
