@@ -103,11 +103,16 @@ def _long_pairs(words: DataFrame) -> DataFrame:
     """(word, near) among words of LONG letters and more, both ways."""
     known = written(words.filter(F.length("word") >= LONG).select(F.unhex(F.sha2("word", 256)).alias("id"), "word"), "long-words")
     keys = written(known.mapInArrow(_remains, "id binary, place long, hash long"), "long-keys")
-    a, b = keys.filter("place >= 0").alias("a"), keys.alias("b")
-    same = (F.col("a.hash") == F.col("b.hash")) & (F.col("a.id") != F.col("b.id")) & F.col("b.place").isin(-1) | (F.col("a.hash") == F.col("b.hash")) & (F.col("a.place") == F.col("b.place")) & (F.col("a.id") < F.col("b.id"))
-    found = a.join(b, same).select(F.col("a.id").alias("x"), F.col("b.id").alias("y")).distinct()
+    cut = keys.filter("place >= 0")
+    # one letter more: what is left of x is y; in a run of one letter it is left at many places
+    whole = keys.filter("place < 0").select("hash", F.col("id").alias("y"))
+    shorter = cut.groupBy("hash", F.col("id").alias("x")).agg(F.min("place").alias("place")).join(whole, "hash").filter("x <> y").select("x", "y", "place", F.lit(True).alias("less"))
+    # another letter at one place
+    other = cut.select("hash", "place", F.col("id").alias("x")).join(cut.select("hash", "place", F.col("id").alias("y")), ["hash", "place"]).filter("x < y").select("x", "y", "place", F.lit(False).alias("less"))
+    found = shorter.union(other)
     texts = found.join(known.select(F.col("id").alias("x"), F.col("word")), "x").join(known.select(F.col("id").alias("y"), F.col("word").alias("near")), "y")
-    near = texts.filter(F.levenshtein("word", "near", 1) == 1)
+    rest = lambda c: F.concat(F.substring(c, F.lit(1), F.col("place").cast("int")), F.substring(c, F.col("place").cast("int") + 2, F.length(c)))
+    near = texts.filter(rest("word") == F.when(F.col("less"), F.col("near")).otherwise(rest("near")))
     return near.select(F.inline(F.array(F.struct("word", "near"), F.struct(F.col("near").alias("word"), F.col("word").alias("near")))))
 
 

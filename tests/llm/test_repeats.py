@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallyline.llm import common, language, pieces, quality, secrets
+from tallyline.llm import common, language, leakage, pieces, quality, secrets
 from tests.llm.conftest import words
 
 
@@ -86,3 +86,30 @@ def test_rare_language_and_null_ids(spark):
     assert names == ["en", "sv"] and abs(np.exp(prior[1]) - 1 / 300) < 1e-9
     got = language.predict(df, language.train(df, most=100)).collect()
     assert all(r.lang_pred == r.lang for r in got)
+
+
+@pytest.mark.parametrize("limit", [leakage.QUERY_BYTES, 0])
+def test_a_large_benchmark_is_dealt(spark, limit, monkeypatch):
+    """Broadcast or dealt to segments: each window found where it stands, items of all lengths, repeated and null ids, common terms."""
+    monkeypatch.setattr(leakage, "SEGMENT_MB", 0.002)
+    rng = random.Random(6)
+    texts = [words(rng, rng.randrange(5, 120), 60) for _ in range(60)]
+    items = [(None if k % 7 == 0 else k % 20, " ".join(texts[k].split()[3:40]) if k % 2 else words(rng, 30, 60)) for k in range(40)]
+    items += [(50, "w1a"), (51, ""), (52, None), (53, " ".join(texts[5].split()[:4])), (50, "w1a"), (54, texts[8] + " nowhere " + texts[9])]
+    docs = spark.createDataFrame(list(enumerate([*texts, None, ""])), "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    index = leakage.build_index(docs)
+    got = {r.id: (r.n_hit, tuple(r["items"])) for r in leakage.contamination(index, leakage.phrase_matches(index, bench, limit=limit)).collect()}
+    asked = [("" if i is None else str(i), (t or "").split()) for i, t in items]
+    for k, text in enumerate([*texts, "", ""]):
+        own, hit, found = text.split(), set(), set()
+        for name, w in asked:
+            n = min(13, len(w))
+            for a in range(len(w) - n + 1 if n else 0):
+                for b in range(len(own) - n + 1):
+                    if own[b : b + n] == w[a : a + n]:
+                        hit.update(range(b, b + n))
+                        found.add(name)
+        assert got[k] == (len(hit), tuple(sorted(found))), k
+    near = leakage.proximity_matches(index, bench.limit(0).union(spark.createDataFrame([(1, " ".join(texts[3].split()[4:7]))], bench.schema)), within=4, limit=limit)
+    assert near.count() >= 1
