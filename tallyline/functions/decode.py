@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -47,18 +49,28 @@ def mean_of_two(a: Column, b: Column) -> Column:
     return F.zip_with(a, b, lambda x, y: (x + y) / 2)
 
 
+def once(x: Column, body: Callable[[Column], Column]) -> Column:
+    """body(x), with x worked out once for a row: a column that is named several times, or in a lambda, is worked out at each place and for each element."""
+    return F.get(F.transform(F.array(x), body), F.lit(0))
+
+
 def reading_order(parts: Column) -> Column:
     """Text of array<struct(text, cx, cy)>: rows from the top (a third of the span of heights parts them, against a row's first part), each left to right."""
-    span = F.array_max(F.transform(parts, lambda p: p["cy"])) - F.array_min(F.transform(parts, lambda p: p["cy"]))
-    limit = F.when(F.size(parts) >= 2, span / 3).otherwise(float("inf"))
-    ordered = F.array_sort(F.transform(parts, lambda p, i: F.struct(p["cy"].cast("double").alias("cy"), i.alias("i"), p["cx"].cast("double").alias("cx"), p["text"].alias("text"))))
-    zero = F.struct(F.lit(None).cast("double").alias("anchor"), F.lit(-1).alias("row"), F.array().cast("array<struct<row:int,cx:double,i:int,text:string>>").alias("out"))
+    plain = F.transform(parts, lambda p, i: F.struct(p["cy"].cast("double").alias("cy"), i.alias("i"), p["cx"].cast("double").alias("cx"), p["text"].alias("text")))
+    return once(F.array_sort(plain), _in_rows)
+
+
+def _in_rows(ordered: Column) -> Column:
+    heights = F.transform(ordered, lambda p: p["cy"])
+    limit = F.when(F.size(ordered) >= 2, (F.array_max(heights) - F.array_min(heights)) / 3).otherwise(float("inf"))
+    none = F.array().cast("array<struct<row:int,cx:double,i:int,text:string>>")
+    zero = F.struct(F.lit(None).cast("double").alias("anchor"), F.lit(-1).alias("row"), limit.alias("limit"), none.alias("out"))
 
     def step(acc: Column, p: Column) -> Column:
-        new = acc["anchor"].isNull() | (F.abs(p["cy"] - acc["anchor"]) > limit)
+        new = acc["anchor"].isNull() | (F.abs(p["cy"] - acc["anchor"]) > acc["limit"])
         row = F.when(new, acc["row"] + 1).otherwise(acc["row"])
         item = F.struct(row.alias("row"), p["cx"].alias("cx"), p["i"].alias("i"), p["text"].alias("text"))
-        return F.struct(F.when(new, p["cy"]).otherwise(acc["anchor"]).alias("anchor"), row.alias("row"), F.array_append(acc["out"], item).alias("out"))
+        return F.struct(F.when(new, p["cy"]).otherwise(acc["anchor"]).alias("anchor"), row.alias("row"), acc["limit"].alias("limit"), F.array_append(acc["out"], item).alias("out"))
 
     return F.aggregate(ordered, zero, step, lambda acc: F.array_join(F.transform(F.array_sort(acc["out"]), lambda x: x["text"]), ""))
 
