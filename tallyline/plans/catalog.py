@@ -1003,7 +1003,7 @@ def single_frame_verdict(spark, d):
 
     items = table(spark, d, "lineitem")
     shot = table(spark, d, "orders").selectExpr("o_orderkey AS frame", "CASE o_orderkey % 3 WHEN 0 THEN 'White' WHEN 1 THEN 'Red' ELSE 'Blue' END AS color", "(o_orderkey % 100) / 100D AS color_conf")
-    order = "l_linenumber * 1000000L + l_partkey AS det_ord"
+    order = "struct(l_linenumber, l_partkey, l_suppkey) AS det_ord"
     vehicles = items.selectExpr("l_orderkey AS frame", order, "l_partkey % 9 AS cls", "l_quantity AS area", "l_linenumber")
     # vehicles are named by their line, as plates refer to it
     named = C.top_per_group(vehicles.filter("cls IN (2, 5, 7)"), ["frame"], [F.desc("area"), F.asc("det_ord")]).select("frame", F.col("l_linenumber").cast("long").alias("det_ord"), "cls", "area")

@@ -53,3 +53,12 @@ def test_greedy_dedup_takes_all_bits(spark, tmp_path):
     rows = [(0, at, 1), (1, [-1.0] * 12 + at[12:63] + [-1.0], 1), (2, at[:63] + [-1.0], 2), (3, [-1.0] * 12 + at[12:63] + [-1.0], 2)]  # 13 bits apart, then 12
     spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
     assert {r.vec_id: r.kept for r in catalog.queries()["greedy_dedup"](spark, str(tmp_path)).collect()} == {0: True, 1: True, 2: True, 3: False}
+
+
+def test_single_frame_verdict_takes_any_part_key(spark, tmp_path):
+    """The second line has the smaller part key by more than a million."""
+    rows = [(1, 1999998, 4, 1, 1.0, 0.5), (1, 0, 28, 2, 1.0, 0.5)]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_discount double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.createDataFrame([(1,)], "o_orderkey long").write.parquet(str(tmp_path / "orders.parquet"))
+    spark.createDataFrame([(12, "BUILDING")], "c_custkey long, c_mktsegment string").write.parquet(str(tmp_path / "customer.parquet"))
+    assert [tuple(r) for r in catalog.queries()["single_frame_verdict"](spark, str(tmp_path)).collect()] == [(1, "UNREGISTERED", "DENY_ALERT")]
