@@ -58,6 +58,13 @@ def test_review_takes_other_sources_first(spark):
     assert {r.crop_sha256 for r in H.review(judged, 2).collect()} == {"c0", "c9"}
 
 
+def test_review_is_the_same_in_any_layout(spark, reserved):
+    """Copies of a crop in other images of the same source."""
+    rows = [_row(i, source="s", crop=f"c{i % 4}") for i in range(40)]
+    names = lambda order: {r.crop_name for r in H.review(H.car_boxes(spark.createDataFrame(order, BOX).coalesce(1), reserved)).collect()}
+    assert names(rows) == names(rows[::-1])
+
+
 def test_funnel_counts_images_of_the_external_export(spark, boxes, reserved):
     df = boxes.union(spark.createDataFrame([_row(2, source="res"), _row(20, image="aGen1.jpg", source="res")], BOX))
     each = {r.reason: r.n for r in H.funnel_counts(H.car_boxes(df, reserved)).collect()}
