@@ -78,12 +78,17 @@ def _in_rows(ordered: Column) -> Column:
 def merged_observation(parts: Column, valid_plate: str) -> Column:
     """struct(text, conf) of array<struct(text, conf, y)>: parts from the greatest y, those of two or more letters and digits joined, least conf; if that is no plate, the most confident part that is one; else null."""
     clean = F.transform(parts, lambda p: F.struct((-p["y"]).alias("y"), F.upper(F.regexp_replace(p["text"], "[^A-Za-z0-9]", "")).alias("text"), p["conf"].alias("conf")))
+    return once(clean, lambda c: _merged(c, valid_plate))
+
+
+def _merged(clean: Column, valid_plate: str) -> Column:
     kept = F.array_sort(F.filter(clean, lambda p: F.length(p["text"]) >= 2))
     text = F.array_join(F.transform(kept, lambda p: p["text"]), "")
-    whole = F.when(text.rlike(valid_plate), F.struct(text.alias("text"), F.array_min(F.transform(kept, lambda p: p["conf"])).alias("conf")))
+    joined = F.struct(text.alias("text"), F.array_min(F.transform(kept, lambda p: p["conf"])).alias("conf"))
+    whole = once(joined, lambda w: F.when(w["text"].rlike(valid_plate), w))
     single = F.filter(clean, lambda p: p["text"].rlike(valid_plate))
     best = F.array_max(F.transform(single, lambda p: F.struct(p["conf"].alias("conf"), p["text"].alias("text"))))
-    return F.coalesce(whole, F.when(best.isNotNull(), F.struct(best["text"].alias("text"), best["conf"].alias("conf"))))
+    return F.coalesce(whole, once(best, lambda b: F.when(b.isNotNull(), F.struct(b["text"].alias("text"), b["conf"].alias("conf")))))
 
 
 def lines_by_height(lines: Column, raw: bool = False) -> Column:

@@ -27,12 +27,28 @@ MIN_HEIGHT, MOST_CROPS, CANDIDATES = 24, 3, 400
 AUDIT_SEED, AUDIT_ROWS_A_BAND, AUDIT_LEAST, AUDIT_CELLS = 20260713, 30, 10, 30
 
 
+def _hashes(column: Column, reserved: DataFrame) -> DataFrame:
+    """(hash) of a reserved column, or of an array of them, trimmed and in lower case, each once; blanks go.
+
+    It is written, so that Spark knows its size when it plans: a small table goes to the boxes, and not they to it.
+    """
+    return written(reserved.select(F.explode(column).alias("hash")).select(F.lower(F.trim("hash")).alias("hash")).filter("hash <> ''").distinct(), "hashes")
+
+
 def _marked(df: DataFrame, column: str, hashes: DataFrame, mark: str) -> DataFrame:
     """df with whether its hash, in any case, is one of (hash) hashes."""
-    own = hashes.select(F.lower(F.trim("hash")).alias("__hash")).filter("__hash <> ''").distinct().withColumn(mark, F.lit(True))
+    own = hashes.select(F.col("hash").alias("__hash"), F.lit(True).alias(mark))
     return df.join(own, F.lower(F.trim(column)) == F.col("__hash"), "left").drop("__hash").withColumn(mark, F.coalesce(mark, F.lit(False)))
 
 
+def _read(boxes: DataFrame) -> DataFrame:
+    """boxes with label and ocr_confidence, what the reader's parts come to, and whether it found nothing."""
+    if "__nothing" in boxes.columns:
+        return boxes
+    read = boxes.withColumn("__read", D.merged_observation(F.col("parts"), PLATE)).withColumn("__nothing", F.col("parts").isNull() | (F.size("parts") == 0))
+    return read.withColumn("label", F.col("__read.text")).withColumn("ocr_confidence", F.col("__read.conf")).drop("__read")
+
+
 def _pixels(boxes: DataFrame) -> DataFrame:
     if "box" in boxes.columns:
         return boxes
@@ -45,19 +61,17 @@ def judge(boxes: DataFrame, reserved: DataFrame, shape: tuple[str, Column], guar
     shape: the reason and the condition (on box) of a box that is too small or of a wrong form; guard as in near_reserved. With
     detector, no file name is excluded and boxes of images that can't be read have the shape's reason, as a detector's boxes do.
     """
-    read = _pixels(boxes).withColumn("__read", D.merged_observation(F.col("parts"), PLATE))
-    read = read.withColumn("label", F.col("__read.text")).withColumn("ocr_confidence", F.col("__read.conf")).drop("__read")
-    marked = _marked(_marked(read, "source_sha256", reserved.select(F.col("source_sha256").alias("hash")), "__source"), "crop_sha256", reserved.select(F.col("crop_sha256").alias("hash")), "__crop")
-    held = near_reserved(written(marked, "boxes"), reserved, "label", guard=guard).withColumnRenamed("reason", "__near")
-    nothing = F.col("parts").isNull() | (F.size("parts") == 0)
+    held = near_reserved(_read(_pixels(boxes)), reserved, "label", guard=guard).withColumnRenamed("reason", "__near")
+    for column, mark in (("source_sha256", "__source"), ("crop_sha256", "__crop")):
+        held = _marked(held, column, _hashes(F.array(column), reserved), mark)
     wrong = F.col("box").isNull() | F.coalesce(shape[1], F.lit(True))
     image = [] if detector else [("unreadable", F.col("width").isNull() | F.col("height").isNull())]
     names = [] if detector else [("excluded-source", X.glob_any(F.col("image"), list(excluded)))]
     reasons = [
-        *names, ("reserved-source-hash", F.col("__source")), *image, (shape[0], wrong), ("unreadable", nothing), ("invalid-format", F.col("label").isNull()),
+        *names, ("reserved-source-hash", F.col("__source")), *image, (shape[0], wrong), ("unreadable", F.col("__nothing")), ("invalid-format", F.col("label").isNull()),
         ("reserved-label", F.col("__near") == "reserved-label"), ("near-reserved-label", F.col("__near").isNotNull()), ("reserved-crop-hash", F.col("__crop")),
     ]
-    return C.funnel(held, reasons).drop("__source", "__crop", "__near")
+    return C.funnel(held, reasons).drop("__source", "__crop", "__near", "__nothing")
 
 
 def pseudo_labels(boxes: DataFrame, reserved: DataFrame, excluded: tuple[str, ...] = EXCLUDED, least: int = MIN_HEIGHT) -> DataFrame:
@@ -129,7 +143,8 @@ def external_boxes(frames: DataFrame, detections: DataFrame) -> DataFrame:
     inside = (F.col("box.x2") > F.col("box.x1")) & (F.col("box.y2") > F.col("box.y1"))
     # sides past the image end with it
     cut = G.box(F.col("x1").cast("int"), F.col("y1").cast("int"), F.least(F.col("x2").cast("int"), F.col("width")), F.least(F.col("y2").cast("int"), F.col("height")))
-    found = frames.join(detections, "rel_path").withColumn("box", F.when(F.col("width").isNotNull() & F.col("height").isNotNull(), cut).otherwise(pixel))
+    # detections are read before the join, which then carries what they come to
+    found = frames.join(_read(detections), "rel_path").withColumn("box", F.when(F.col("width").isNotNull() & F.col("height").isNotNull(), cut).otherwise(pixel))
     found = found.withColumn("box", F.when(inside & F.col("width").isNotNull() & F.col("height").isNotNull(), F.col("box")))
     return found.withColumn("filter_notes", F.format_string("detector:%.4f", F.coalesce(F.col("conf").cast("double"), F.lit(0.0)))).drop("x1", "y1", "x2", "y2", "conf")
 
@@ -139,12 +154,12 @@ def review_candidates(boxes: DataFrame, reserved: DataFrame, excluded: tuple[str
 
     boxes also have `focus`. Source and crop hashes are reserved in one namespace. A reserved best crop leaves no other in its place.
     """
-    hashes = reserved.select(F.explode(F.array("source_sha256", "crop_sha256")).alias("hash"))
+    hashes = _hashes(F.array("source_sha256", "crop_sha256"), reserved)
     fit = _marked(_pixels(boxes), "source_sha256", hashes, "__source").filter(~F.col("__source") & ~X.glob_any(F.col("image"), list(excluded)) & F.col("box").isNotNull()).drop("__source")
     w, h = F.col("box.x2") - F.col("box.x1"), F.col("box.y2") - F.col("box.y1")
     sized = fit.withColumn("crop_width", w).withColumn("crop_height", h).withColumn("__crop", F.lower(F.trim("crop_sha256"))).withColumn("__source", F.substring_index(F.regexp_replace("image", r"\.[^.]*\z", ""), ".rf.", 1))
     order = [((F.col("crop_width") >= 80) & (F.col("crop_height") >= 24)).desc(), F.col("focus").desc(), (F.col("crop_width") * F.col("crop_height")).desc(), F.col("rel_path").desc(), F.col("box_index").asc()]
-    taken = hashes.select(F.lower(F.trim("hash")).alias("__crop"))
+    taken = hashes.select(F.col("hash").alias("__crop"))
     best = C.best_not_reserved(sized, "__source", order, taken, "__crop", count)
     place = F.row_number().over(W.orderBy(*order, "__source")) - 1  # of `count` rows at most
     return best.select(F.format_string("candidate-%04d", place).alias("candidate_id"), F.concat(F.lit("det:"), F.col("__source")).alias("group_id"), "rel_path", "source_sha256", "crop_sha256", "crop_width", "crop_height", "focus")

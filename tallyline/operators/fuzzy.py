@@ -65,12 +65,14 @@ def representatives(df: DataFrame, column: str, conf: str, clusters: DataFrame)
 def near_reserved(drafts: DataFrame, reserved: DataFrame, column: str = "draft", label: str = "label", guard: int | None = 5) -> DataFrame:
     """drafts with `reason`: reserved-label for an equal label; near-reserved-label where one begins the other (the shorter of `guard` characters or more; with None of any length) or they are one edit apart; else null.
 
-    Prefixes are joined through the beginnings of the longer text, edits through neighbourhoods.
+    Prefixes are joined through the beginnings of the longer text, edits through neighbourhoods. Drafts are read twice: once for their
+    different texts, and once to be joined with the texts found, which are written: Spark knows their size when it plans, and sends a
+    few to the drafts as they lie. If they are many, blank drafts are spread over the tasks.
     """
     norm = X.plate_text
     d = drafts.withColumn("__d", norm(F.col(column)))
-    r = reserved.select(norm(F.col(label)).alias("__r")).filter("__r <> ''").distinct()
-    values = d.select("__d").filter("__d <> ''").distinct()
+    r = written(reserved.select(norm(F.col(label)).alias("__r")).filter("__r <> ''").distinct(), "reserved")
+    values = written(d.select("__d").distinct(), "texts").filter("__d <> ''")
     least = F.lit(guard or 1)
     starts = lambda c: F.explode(F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.substr(c, F.lit(1), i)))
     exact = values.join(r, values["__d"] == r["__r"]).select("__d", F.lit(0).alias("k"))
@@ -80,7 +82,8 @@ def near_reserved(drafts: DataFrame, reserved: DataFrame, column: str = "draft",
     edit = dk.join(rk, "__n").filter(F.levenshtein("__d", "__r", 1).between(0, 1)).select("__d", F.lit(1).alias("k"))
     worst = exact.union(shorter_r).union(shorter_d).union(edit).groupBy("__d").agg(F.min("k").alias("__k"))
     reason = F.when(F.col("__k") == 0, "reserved-label").when(F.col("__k") == 1, "near-reserved-label")
-    return d.join(worst, "__d", "left").withColumn("reason", reason).drop("__d", "__k")
+    spread = d.withColumn("__d", F.when(F.col("__d") != "", F.col("__d")).otherwise(F.concat(F.lit(" "), F.spark_partition_id())))
+    return spread.join(written(worst, "near"), "__d", "left").withColumn("reason", reason).drop("__d", "__k")
 
 
 def edit_rates(df: DataFrame, truth: str, guess: str, keys: list[str] | None = None) -> DataFrame:

@@ -1073,10 +1073,9 @@ judged AS (SELECT *, CASE WHEN source_sha256 IN (SELECT source_sha256 FROM k WHE
 
 def _external(spark, d):
     rows = I.boxes(spark, d)
-    frames = rows.select("image", "rel_path", "source_sha256", "width", "height").distinct()
     left, top = F.pmod("box_index", F.lit(600)), F.pmod("box_index", F.lit(450))
     found = rows.select("rel_path", "box_index", "parts", "crop_sha256", left.alias("x1"), top.alias("y1"), (left + 8 * (1 + F.pmod("box_index", F.lit(40)))).alias("x2"), (top + 4 * (1 + F.pmod("box_index", F.lit(30)))).alias("y2"), (F.pmod("box_index", F.lit(100)) / 100).alias("conf"))
-    return H.car_boxes(H.external_boxes(frames, found), I.reserved(spark, d), detector=True)
+    return H.car_boxes(H.external_boxes(I.images(spark, d), found), I.reserved(spark, d), detector=True)
 
 
 @query(f"{_EXTERNAL_SQL} SELECT reason, CASE WHEN reason = 'reserved-source-hash' THEN count(DISTINCT rel_path) ELSE count(*) END AS n FROM judged GROUP BY 1")

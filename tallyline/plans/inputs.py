@@ -108,8 +108,19 @@ def plate_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items as boxes of the images that orders stand for, each once."""
-    return _df(table(spark, sf_dir, "lineitem"), BOXES_EXPR | {"parts": PARTS}).drop("kind").distinct()
+    """Line items as boxes of the images that orders stand for, each once.
+
+    Equal boxes are those of equal keys, as far as a box shows them, so that only keys are shuffled. 800 is the least that 100 and 32, the
+    shares of l_suppkey in a box, divide.
+    """
+    keys = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey", "l_partkey", "l_suppkey % 800 AS l_suppkey", "l_linenumber").distinct()
+    return _df(keys, BOXES_EXPR | {"parts": PARTS}).drop("kind")
+
+
+def images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The images of the boxes, each once."""
+    orders = table(spark, sf_dir, "lineitem").select("l_orderkey").distinct()
+    return _df(orders, {k: BOXES_EXPR[k] for k in ("image", "rel_path", "source_sha256", "width", "height")})
 
 
 def reserved(spark: SparkSession, sf_dir: str) -> DataFrame:
