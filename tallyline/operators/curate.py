@@ -63,14 +63,15 @@ def priority(name: Column, prefixes: list[str]) -> Column:
     return F.lit(0) if out is None else out.otherwise(len(prefixes))
 
 
-def diverse(df: DataFrame, label: str, source: str, item: str, conf: str, most: int = 3) -> DataFrame:
+def diverse(df: DataFrame, label: str, source: str, item: str, conf: str, most: int = 3, place: tuple[str, ...] = ()) -> DataFrame:
     """At most `most` rows of each label: the best of each source first, by confidence and source, then the rest; an (item, source) once.
 
-    Of a source only `most` rows can count, so each task keeps no more. Copies of an item that are equal so far go by their other columns,
-    so that the same rows give the same result in any layout.
+    Of a source only `most` rows can count, so each task keeps no more. Copies of an item that are equal so far go by `place`, the columns
+    that say where an item comes, and then by their other columns, so that the same rows give the same result in any layout.
     """
     order = [F.col(conf).desc(), F.col(source), F.col(item)]
-    once = top_per_group(df, [label, source, item], [*order, *[F.col(c) for c in sorted(df.columns) if c not in (label, source, item, conf)]])
+    rest = [c for c in sorted(df.columns) if c not in (label, source, item, conf, *place)]
+    once = top_per_group(df, [label, source, item], [*order, *[F.col(c) for c in (*place, *rest)]])
     rank = F.row_number().over(W.partitionBy(label, source).orderBy(*order))
     ranked = once.withColumn("__s", rank).filter(F.col("__s") <= most)
     return top_per_group(ranked, [label], [(F.col("__s") > 1).cast("int"), *order], most).drop("__s")

@@ -87,6 +87,13 @@ def test_boxes_are_told_apart_by_their_keys(spark, tmp_path):
     assert sorted(map(repr, I.images(spark, str(tmp_path)).collect())) == sorted(map(repr, images.collect()))
 
 
+def test_review_takes_the_first_copy_by_path_and_box(spark, reserved):
+    """The copy that comes first is neither the narrowest nor the first by its box or its name."""
+    rows = [_row(2, image="car2.jpg", at=(0.2, 0.5, 0.25, 0.1), crop="c"), _row(10, image="car1.jpg", at=(0.1, 0.5, 0.2, 0.1), crop="c"), _row(9, image="car1.jpg", at=(0.5, 0.5, 0.5, 0.1), crop="c")]
+    got = H.review(H.car_boxes(spark.createDataFrame(rows, BOX), reserved)).collect()
+    assert [(r.source_ref, r.box_json) for r in got] == [("a/car1.jpg", "[160,216,480,264]")]
+
+
 def test_funnel_counts_images_of_the_external_export(spark, boxes, reserved):
     df = boxes.union(spark.createDataFrame([_row(2, source="res"), _row(20, image="aGen1.jpg", source="res")], BOX))
     each = {r.reason: r.n for r in H.funnel_counts(H.car_boxes(df, reserved)).collect()}
