@@ -111,6 +111,16 @@ def test_external_boxes(spark):
     assert got == {"x": ("kept", "detector:0.5000", (10, 10, 100, 40)), "y": ("low-aspect", "detector:0.0000", None), "z": ("low-aspect", "detector:0.2500", None)}
 
 
+def test_external_review_takes_the_first_copy_by_path_and_box(spark):
+    """Three boxes of a source show one crop: the first by path and box stays, whatever its width, its note and its row."""
+    frames = spark.createDataFrame([("f.jpg", "a/f.jpg", "s", 640, 480), ("e.jpg", "a/e.jpg", "s", 640, 480)], "image string, rel_path string, source_sha256 string, width int, height int")
+    found = [("a/f.jpg", 0, 10.0, 10.0, 100.0, 40.0, 0.1, READ, "x"), ("a/e.jpg", 10, 5.0, 10.0, 95.0, 40.0, 0.2, READ, "x"), ("a/e.jpg", 9, 10.0, 10.0, 200.0, 40.0, 0.5, READ, "x")]
+    df = spark.createDataFrame(found, "rel_path string, box_index int, x1 double, y1 double, x2 double, y2 double, conf double, parts array<struct<text:string,conf:double,y:double>>, crop_sha256 string")
+    judged = H.car_boxes(H.external_boxes(frames, df), spark.createDataFrame([], KEPT), detector=True)
+    got = H.review(judged, notes=judged.filter_notes).collect()
+    assert [(r.source_ref, r.filter_notes) for r in got] == [("a/e.jpg", "detector:0.5000")] and "box_index" not in got[0]
+
+
 def test_candidates(spark, reserved):
     rows = [_row(0, image="a.rf.1.jpg", focus=1.0), _row(1, image="a.rf.2.jpg", focus=2.0), _row(2, image="b.jpg", focus=9.0, at=(0.5, 0.5, 0.1, 0.1)), _row(3, image="c.jpg", focus=8.0, crop="CR"), _row(4, image="c.jpg", focus=7.0), _row(5, source="cr")]
     got = [(r.candidate_id, r.group_id, r.crop_sha256) for r in H.review_candidates(spark.createDataFrame(rows, BOX), reserved).orderBy("candidate_id").collect()]
